@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import languages
 from .mixing import MIXTURE_SQL, mixture
 from .packing import packed
+from .quality import quality
 from .simhash import near_duplicates
 from .toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op2_weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
