@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ from ._fit import fold, labelled, temperature, texts
 
 #: Labelled rows for the fit, words of the vocabulary, dimensions, and entries of a word's random index.
 FIT_ROWS, VOCABULARY, DIM, ENTRIES, REACH = 8192, 8192, 48, 4, 2
+#: Inputs of the network: the pooled vector, the log of the length, and three repetition rates.
+INPUTS = DIM + 4
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
 
 
@@ -45,17 +48,24 @@ class Vectors:
     at: dict[str, int]
     table: np.ndarray
 
-    def ids(self, text: str) -> np.ndarray:
-        get, words = self.at.get, tokens(text)
+    def ids(self, words: list[str]) -> np.ndarray:
+        get = self.at.get
         return np.fromiter((i if (i := get(w)) is not None else get(shape(w), 0) for w in words), np.int32, len(words))
 
     def pooled(self, text: str) -> np.ndarray:
-        """Mean vector of all tokens, and the log of their number; zeros for none. Long texts go in pieces."""
-        ids = self.ids(text)
-        if not len(ids):
-            return np.zeros(DIM + 1, np.float32)
-        total = sum(self.table[ids[i : i + 8192]].sum(axis=0, dtype=np.float64) for i in range(0, len(ids), 8192))
-        return np.append(total / len(ids), np.log1p(len(ids)) / 10).astype(np.float32)
+        """Mean vector of all tokens, the log of their number, and how many repeat the one before, or a line.
+
+        All zeros for a text without tokens. Long texts go in pieces.
+        """
+        words = tokens(text)
+        ids = self.ids(words)
+        n = len(ids)
+        if not n:
+            return np.zeros(INPUTS, np.float32)
+        total = sum(self.table[ids[i : i + 8192]].sum(axis=0, dtype=np.float64) for i in range(0, n, 8192))
+        lines = text.split("\n")
+        again = sum(map(operator.eq, words[1:], words)), sum(map(operator.eq, words[2:], words))
+        return np.append(total / n, [np.log1p(n) / 10, again[0] / n, again[1] / n, 1 - len(set(lines)) / len(lines)]).astype(np.float32)
 
 
 def _vocabulary(sample: DataFrame) -> list[str]:
@@ -82,7 +92,7 @@ def _vectors(sample: DataFrame) -> Vectors:
         total = np.zeros((len(known), DIM), np.float32)
         for batch in batches:
             for t in texts(batch.column(0)):
-                ids = first.ids(t)
+                ids = first.ids(tokens(t))
                 for i in range(0, len(ids), 8192):
                     x = ids[i : i + 8192 + REACH]
                     for d in range(1, REACH + 1):
@@ -116,7 +126,7 @@ class Network:
         return 1 / (1 + np.exp(z[:, 0] - z[:, 1]))
 
 
-def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, passes: int = 60, batch: int = 128, rate: float = 3e-3) -> Network:
+def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, passes: int = 30, batch: int = 128, rate: float = 3e-3) -> Network:
     """Adam on the log loss with weight decay, from a fixed seed."""
     rng = np.random.default_rng(0)
     net = Network(x.mean(axis=0), x.std(axis=0) + 1e-3, rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 0.1, (hidden, 2)), np.zeros(2))
@@ -137,7 +147,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, passes: int = 60, batc
             back = (p @ net.w2.T) * (h > 0)
             step += 1
             for q, g, (m, v) in zip(params, (a.T @ back, back.sum(axis=0), h.T @ p, p.sum(axis=0)), moments, strict=True):
-                g = g + 1e-4 * q
+                g = g + 1e-3 * q
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -154,7 +164,7 @@ class Model:
         if self.network is None:
             return np.array([self.prior for _ in rows])
         x = [self.vectors.pooled(t) for t in rows]
-        return self.network.probability(np.array(x).reshape(len(x), DIM + 1))
+        return self.network.probability(np.array(x).reshape(len(x), INPUTS))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
