@@ -11,6 +11,7 @@ from .embed_dedup import similar_vectors
 from .language import languages
 from .mixing import MIXTURE_SQL, mixture
 from .packing import packed
+from .pii import personal_data
 from .quality import quality
 from .simhash import near_duplicates
 from .toxicity import toxicity
@@ -28,6 +29,10 @@ def op2_weighted_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
