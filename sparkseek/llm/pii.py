@@ -18,8 +18,10 @@ from ._fit import texts
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, at most, and the tokens such a document may have.
 FIT_ROWS, FIT_TOKENS = 2048, 512
-#: Marginal probability from which a token joins the base spans.
-SURE = 0.9
+#: Marginal probability from which a token with similar tokens elsewhere joins the base spans.
+SURE = 0.6
+#: Log potential that linked similar tokens agree on a kind, where the sample has nothing to say.
+AGREE = 4.0
 
 # A match must start where its first run does: the run is taken whole or not at all, so searching inside it is futile.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -211,7 +213,8 @@ def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, ste
 
     cb, ca = around(chain)
     sb, sa = around(skip)
-    field = Field(np.zeros((x.shape[1], k)), np.zeros((k, k)), np.zeros((k, k)))
+    prior = np.diag([0.0, *[AGREE] * len(KINDS)])
+    field = Field(np.zeros((x.shape[1], k)), np.zeros((k, k)), prior.copy())
     params = [field.unary, field.chain, field.skip]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
@@ -219,8 +222,8 @@ def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, ste
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p = (p / p.sum(axis=1, keepdims=True) - hot) / len(y)
         grads = (x.T @ p, cb.T @ p + (ca.T @ p).T, sb.T @ p + (sa.T @ p).T)
-        for q, g, (m, v) in zip(params, grads, moments, strict=True):
-            g = g + 1e-4 * q
+        for q, g, (m, v), mean in zip(params, grads, moments, (0, 0, prior), strict=True):
+            g = g + 1e-4 * (q - mean)
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -263,7 +266,9 @@ def spans(rows: list[str], field: Field) -> tuple[list[list[Span]], list[list[Sp
     if g.doc:
         p = field.marginals(g)
         kind, last = p.argmax(axis=1) - 1, None
-        for n in np.flatnonzero((np.array(g.fixed) < 0) & (kind >= 0) & (p.max(axis=1) >= SURE)).tolist():
+        alike = np.zeros(len(g.doc), bool)
+        alike[np.array(g.skip, int).reshape(-1)] = True
+        for n in np.flatnonzero(alike & (np.array(g.fixed) < 0) & (kind >= 0) & (p.max(axis=1) >= SURE)).tolist():
             doc, s, e = g.doc[n], g.start[n], g.end[n]
             if last and last[0] == doc and full[doc][-1] == last[1] and last[1][1] == kind[n] and rows[doc][last[1][2] : s] in (" ", "-"):
                 s = full[doc].pop()[0]
@@ -281,7 +286,7 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     Counts and digest are of the base spans; ``spans`` lists base spans and those of the field as
     ``kind:start:end`` in code points, by start, then kind. Added spans are tokens with a digit or ``@``
-    outside all base spans that the field is sure of: their features and the labels of neighbours and of
+    outside all base spans that resemble another token and that the field is sure of: their features and the labels of neighbours and of
     repeated or similar tokens anywhere in the text decide together. Null texts count as empty and have no
     spans. Repeated rows each come back; an empty table gives an empty result; further columns are not read.
     """

@@ -50,10 +50,10 @@ def test_whole_table(spark):
 
 def test_field_extends_labels_to_similar_tokens(spark):
     field = fit(spark.read.parquet(DATA))
-    text = "Write to anna.lee7@mail.example.org today. " + "word " * 300 + "Or anna.lee7@mail if that fails, build 2024 of 17."
+    text = "Ring +15551234567 or write to anna.lee7@mail.example.org today. " + "word " * 300 + "Or 15551234567. or anna.lee7@mail if that fails, build 2024 of 17."
     base, full = spans([text, "nothing here", "only 12 or 2024"], field)
-    assert [text[s:e] for s, _, e in base[0]] == ["anna.lee7@mail.example.org"]
-    assert [text[s:e] for s, k, e in full[0] if k == 0] == ["anna.lee7@mail.example.org", "anna.lee7@mail"]
+    assert [text[s:e] for s, _, e in base[0]] == ["+15551234567", "anna.lee7@mail.example.org"]
+    assert [(text[s:e], KINDS[k]) for s, k, e in full[0][2:]] == [("15551234567", "phone"), ("anna.lee7@mail", "email")]
     assert full[1:] == [[], []]
 
 
