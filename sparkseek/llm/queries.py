@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .embed_dedup import similar_vectors
 from .language import languages
+from .licenses import licenses, licenses_sql
 from .mixing import MIXTURE_SQL, mixture
 from .packing import packed
 from .pii import personal_data
@@ -41,6 +42,10 @@ def op5_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_mixture": MIXTURE_SQL}
+    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql()}
