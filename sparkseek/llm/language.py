@@ -156,3 +156,18 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
     held = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(predicted, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` with a learned language: null texts, and texts without a letter, go.
+
+    All rows go where there is nothing to learn from.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([sent.value.score(t.as_py() or "") is not None for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

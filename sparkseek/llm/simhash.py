@@ -212,3 +212,30 @@ def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     least = saved(whole.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(whole.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, reach: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of least ``doc_id``.
+
+    Rows with a null ``doc_id`` only stay where a component has no other, one for each. Of repeated rows
+    with the id that stays, one stays.
+    """
+    found = saved(near_duplicates(docs, reach))
+    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    stays = saved(stays)
+    again = stays.where("n > 1").limit(1).count()
+    nameless = saved(found.where("component_id IS NULL"))
+    kept = docs.join(stays.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_semi")
+    if again:
+        kept = kept.dropDuplicates(["doc_id"])
+    if nameless.isEmpty():
+        return kept
+    # Components without any id: rare enough to fingerprint their rows once more, with all columns at hand.
+    bare = docs.where("doc_id IS NULL")
+    lone = nameless.select("fingerprint").distinct()
+    mark = F.xxhash64(*[f"`{c}`" for c in docs.columns])
+    keyed = bare.withColumn("__row", mark)
+    prints = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), reach)
+    first = prints.join(lone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
+    rest = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
+    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
