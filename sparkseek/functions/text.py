@@ -99,15 +99,24 @@ def has_phrase(tokens: Column, phrase: Sequence[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).contains(" " + " ".join(phrase) + " ")
 
 
+def least_distance(tokens: Column, a: str, b: str) -> Column:
+    """Least distance between the places of two words, null if one is missing: one pass that keeps the last place of each."""
+    if a == b:
+        return F.when(F.array_contains(tokens, a), F.lit(0))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("i"), none.alias("a"), none.alias("b"), none.alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        gap = F.when(x == a, s["i"] - s["b"]).when(x == b, s["i"] - s["a"])
+        return F.struct((s["i"] + 1).alias("i"), F.when(x == a, s["i"]).otherwise(s["a"]).alias("a"), F.when(x == b, s["i"]).otherwise(s["b"]).alias("b"), F.least(s["best"], gap).alias("best"))
+
+    return F.aggregate(tokens, start, step)["best"]
+
+
 def proximity(tokens: Column, terms: Sequence[str]) -> Column:
     """Mean over the pairs of terms of 2 minus a tenth of their least distance, at least 1."""
-    at = lambda t: F.filter(F.transform(tokens, lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
-    where = [at(t) for t in terms]
-    gains = []
-    for i in range(len(terms)):
-        for j in range(i + 1, len(terms)):
-            least = F.array_min(F.transform(where[i], lambda a, q=where[j]: F.array_min(F.transform(q, lambda b: F.abs(a - b)))))
-            gains.append(F.greatest(F.lit(1.0), F.lit(2.0) - least * 0.1))
+    gain = lambda d: F.when(d.isNotNull(), F.greatest(F.lit(1.0), F.lit(2.0) - d * 0.1))
+    gains = [gain(least_distance(tokens, terms[i], terms[j])) for i in range(len(terms)) for j in range(i + 1, len(terms))]
     known = F.filter(F.array(*gains), lambda g: g.isNotNull())
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, g: s + g) / F.size(known)).otherwise(F.lit(1.0))
 

@@ -163,10 +163,10 @@ def extended(records: DataFrame, query: str, opts: Options) -> DataFrame:
 
 def scored(records: DataFrame, query: str, opts: Options) -> DataFrame:
     """All rows of the first stage that finds any, with ``raw``, ``stage`` and ``word_pos``."""
-    syntax = opts.extended and any(c in query for c in "'!^$|") or opts.extended and has_known_field(query)
-    stages: list[Callable[[], DataFrame]] = [lambda: direct(records, query, opts)]
+    syntax = any(c in query for c in "'!^$|") or has_known_field(query)
     if opts.extended and opts.extended_first and syntax:
-        stages = [lambda: extended(records, query, opts)]
+        return extended(records, query, opts)
+    stages: list[Callable[[], DataFrame]] = [lambda: direct(records, query, opts)]
     if opts.scoring == "bm25f":
         stages.insert(0 if opts.bm25f_always else len(stages), lambda: bm25f(records, query, opts))
     after: list[Callable[[], DataFrame]] = []
@@ -203,7 +203,8 @@ def diversified(rows: DataFrame, opts: Options) -> DataFrame:
 
 
 def _order() -> list[Column]:
-    return [F.desc("raw"), F.asc("stage"), F.asc("word_pos"), F.asc("seq")]
+    """Best first. Scores count to 9 digits, so that equal ones tie on any machine; then stage, word and row."""
+    return [F.round("raw", 9).desc(), F.asc("stage"), F.asc("word_pos"), F.asc("seq")]
 
 
 def ranked(records: DataFrame, query: str, opts: Options | None = None, **knobs) -> DataFrame:
@@ -221,7 +222,7 @@ def ranked(records: DataFrame, query: str, opts: Options | None = None, **knobs)
             boost = F.when(F.col("type") == k, F.lit(float(v))).otherwise(boost)
         rows = rows.withColumn("raw", F.col("raw") * boost)
     if opts.diversify:
-        return diversified(rows, opts).orderBy(F.desc("raw"), "place")
+        return diversified(rows, opts).orderBy(F.round("raw", 9).desc(), "place")
     return rows.orderBy(*(opts.order or _order()))
 
 
