@@ -195,9 +195,9 @@ b AS (SELECT *, {3 + d} AS stage, 0 AS word_pos, CASE WHEN hd IS NOT NULL THEN (
   WHEN bd <= {d} THEN (1 - bd / greatest({n}, length(lb))::DOUBLE) * {b} * (2 - exp(-length(body) / 5e1)) END AS raw FROM e) {top(where='raw IS NOT NULL', limit=20)}"""
 
 
-@query(_fuzzy_sql(PARTS, "steal", 1, 6e1, 4e1))
+@query(_fuzzy_sql(PARTS, "hotplate", 1, 6e1, 4e1))
 def fuzzy_one_edit(spark, sf):
-    return S.search(parts(spark, sf), "steal", fuzzy=True, limit=20)
+    return S.search(parts(spark, sf), "hotplate", fuzzy=True, limit=20)
 
 
 @query(_fuzzy_sql(PARTS, "smal rinf", 2, 3e1, 2e1))
