@@ -151,13 +151,16 @@ def static_export(records: DataFrame, path: str, form: str = "json") -> None:
     rows.write.mode("overwrite").text(path)
 
 
-def shards(records: DataFrame, n: int) -> DataFrame:
-    """``seq, shard``: contiguous shards of equal, rounded-up size."""
-    total = records.count()
-    size = max(1, -(-total // n))
-    at = records.select("seq").orderBy("seq").withColumn("i", F.monotonically_increasing_id())
-    part = F.shiftright("i", 33)
-    counts = at.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each partition
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    rank = F.col("offset") + F.col("i").bitwiseAND(F.lit((1 << 33) - 1))
-    return at.withColumn("part", part).join(before, "part").select("seq", F.floor(rank / size).cast("int").alias("shard"))
+def shards(records: DataFrame, n: int, width: int = 65_536) -> DataFrame:
+    """``seq, shard``: contiguous shards of equal, rounded-up size.
+
+    Rows are ranked within spans of ``width`` sequence numbers, and spans by their counts, so no task
+    ranks the whole table.
+    """
+    rows = records.select("seq", F.floor(F.col("seq") / width).alias("span"))
+    counts = rows.groupBy("span").agg(F.count("*").alias("n"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    counts = counts.select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    size = F.ceil(F.lit(records.count()) / F.lit(n))
+    rank = F.row_number().over(Window.partitionBy("span").orderBy("seq")) - 1
+    return rows.withColumn("rank", rank).join(counts, "span").select("seq", F.floor((F.col("rank") + F.col("offset")) / size).cast("int").alias("shard"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkseek.plans import q_search, q_text  # noqa: F401
+from sparkseek.plans import q_index, q_search, q_text  # noqa: F401
 from sparkseek.plans.registry import QUERIES, SQL, Query
 
 
