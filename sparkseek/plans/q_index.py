@@ -147,7 +147,7 @@ def save_load(spark, sf):
     return I.load(spark, path).select("seq", "id", "heading", "type")
 
 
-@query(f"WITH {PARTS} SELECT seq, ((row_number() OVER (ORDER BY seq) - 1) // ceil((SELECT count(*) FROM d) / 7e0))::INT AS shard FROM d")
+@query(f"WITH {PARTS} SELECT seq, ((row_number() OVER (ORDER BY seq) - 1) // ceil((SELECT count(*) FROM d) / 7e0)::BIGINT)::INT AS shard FROM d")
 def shard_array(spark, sf):
     return I.shards(parts(spark, sf), 7)
 
