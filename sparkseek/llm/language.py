@@ -38,7 +38,9 @@ def grams(text: str) -> list[np.ndarray] | None:
         return None
     keep = letter.copy()
     keep[1:] |= letter[:-1]
-    a = np.concatenate([[np.uint32(32)], np.where(letter, a, np.uint32(32))[keep], [np.uint32(32)]]).astype(np.uint32)
+    a = np.where(letter, a, np.uint32(32))[keep]
+    space = np.array([32], np.uint32)
+    a = np.concatenate([space, a] if a[-1] == 32 else [space, a, space])
     h, out = a, []
     for n in ORDERS:
         if n > 1:
