@@ -40,15 +40,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files that :func:`saved` wrote for ``df``, once nothing reads them any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files that :func:`saved` wrote for these tables, once nothing reads them any more."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def word_count(text: Column) -> Column:
@@ -88,13 +89,14 @@ def components(edges: DataFrame) -> DataFrame:
         half = saved(half.select("ra", "b"))
         full = half.join(to.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         after = saved(full.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-        for used in (left, half):
-            dropped(used)
+        dropped(left, half)
         left = after
     if not steps:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps[0]
     for to in steps[1:]:
         nxt = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        found = saved(found.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        longer = saved(found.join(nxt, "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        dropped(found, to)
+        found = longer
     return found

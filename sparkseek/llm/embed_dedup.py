@@ -103,8 +103,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     whole = saved(whole.select("h1", "h2", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "node").alias("root")))
     least = saved(whole.groupBy("root").agg(F.min("first").alias("component")))
     named = saved(whole.join(least, "root").select("h1", "h2", "links", "component"))
-    dropped(found)
-    dropped(whole)
+    dropped(found, whole, sizes, least)
     light = saved(rows.select("vec_id", "ok", "h1", "h2"))
     joined = light.where("ok").join(named, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = light.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, saved, word_chunks
+from ._common import components, dropped, saved, word_chunks
 
 #: Fingerprints that the top tree is planned from; it only shapes the shards, never the links.
 SAMPLE = 16_384
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     whole = saved(classes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     least = saved(whole.groupBy("root").agg(F.min("first").alias("component_id")))
     named = saved(whole.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    dropped(classes, whole, least)
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sparkseek.llm._common import components
-from sparkseek.llm.simhash import link_shard, near_duplicates, plan_tree, route, simhash64
+from sparkseek.llm.simhash import deduplicated, link_shard, near_duplicates, plan_tree, route, simhash64
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 
@@ -88,3 +88,12 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(61)}) == 1 and len({got[1000 + i] for i in range(50)}) == 1
     assert len(set(got.values())) == 3 and len(got) == 61 + 50 + 3
+
+
+def test_one_row_stays_of_each_group(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (5, None, "y"), (3, "", "z"), (None, "only here", "n"), (None, "only here", "n"), (None, "A b c d", "m"), (9, "A B C D", "w"), (7, "other words entirely", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit(1)).withColumn("fp", F.lit("f"))
+    out = deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r.doc_id), r.source) for r in out.collect()) == [("1", "x"), ("3", "z"), ("7", "v"), ("None", "n")]
+    assert deduplicated(docs.limit(0)).collect() == []
