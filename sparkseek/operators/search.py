@@ -290,3 +290,23 @@ def semantic(vectors: DataFrame, query: Sequence[float], limit: int = 10) -> Dat
     """The rows of ``vectors(vec_id, embedding)`` of greatest cosine with a query vector."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select("vec_id", X.cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(limit)
+
+
+def recent_completions(entries: DataFrame, prefix: str, most: int = 10_000) -> DataFrame:
+    """Values of ``entries(key, value, used)`` whose key starts with a prefix, last used first.
+
+    Of equal keys the last stays; only the ``most`` last used keys are held.
+    """
+    rows = entries.groupBy("key").agg(F.max_by("value", "used").alias("value"), F.max("used").alias("used"))
+    held = rows.orderBy(F.desc("used"), "key").limit(most)
+    return held.where(F.col("key").startswith(prefix)).orderBy(F.desc("used"), "key").select("key", "value")
+
+
+def hooked(records: DataFrame, query: str, before: Sequence[Callable[[str], str]] = (), after: Sequence[Callable[[DataFrame], DataFrame]] = (), **knobs) -> DataFrame:
+    """A search with plug-ins that rewrite the query first and the result last."""
+    for f in before:
+        query = f(query)
+    rows = search(records, query, **knobs)
+    for f in after:
+        rows = rows.transform(f)
+    return rows

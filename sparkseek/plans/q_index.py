@@ -330,3 +330,19 @@ def stream_rescans(spark, sf):
 def analytics_counts(spark, sf):
     rows = table(spark, sf, "events").where(F.trim("event_type") != "")
     return rows.groupBy(F.lit("query").alias("type"), F.trim("event_type").alias("query")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) + 1 AS lines, 1 AS heads FROM part")
+def static_export(spark, sf):
+    path = _folder(spark)
+    I.static_export(parts(spark, sf).select("seq", "id", "heading"), path, "hugo")
+    lines = spark.read.option("wholetext", False).text(path)
+    return lines.agg((F.count_if(F.col("value").startswith("{")) + F.count_if(F.col("value") == "search_index: true")).alias("lines"), F.count_if(F.col("value") == "search_index: true").alias("heads"))
+
+
+@query("SELECT count(*) AS nodes, count(DISTINCT url) AS urls FROM pages")
+def site_graph_saved(spark, sf):
+    pages, path = table(spark, sf, "pages"), _folder(spark)
+    pages.select("url", "page_id").write.parquet(f"{path}/nodes")
+    E.graph_edges(E.links(pages), pages).write.parquet(f"{path}/edges")
+    return spark.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes"), F.countDistinct("url").alias("urls"))

@@ -84,9 +84,9 @@ def search_bm25f(spark, sf):
     return S.search(parts(spark, sf), "copper ring", scoring="bm25f", bm25f_always=True)
 
 
-@query(_bm25f_sql(PARTS, "of a"))
+@query(_bm25f_sql(DOCS, "is of nd"))
 def search_bm25f_gated(spark, sf):
-    return S.search(parts(spark, sf), "of a", scoring="bm25f")
+    return S.search(documents(spark, sf), "is of nd", scoring="bm25f")
 
 
 @query(f"WITH {PARTS}, {direct('red ring', heading=0.5, body=5)}, {boost('red ring')} {top(limit=12)}")
@@ -293,3 +293,20 @@ def cosine_topk(spark, sf):
 SELECT vec_id, array_to_string(list_transform(v, lambda x: greatest(-127, least(127, floor(x / m * 127 + 0.5::DOUBLE)))::INT), ',') AS q FROM m""")
 def quantize(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.array_join(X.quantize(F.col("embedding")).cast("array<string>"), ",").alias("q"))
+
+
+@query(f"WITH {PARTS}, {direct('small')} SELECT seq, id, heading, type, stage, round(raw, 6) AS raw, round(greatest(0e0, least(1e0, 1 - raw / 2e2)), 6) AS score FROM m ORDER BY heading DESC, seq DESC LIMIT 8")
+def search_sorted(spark, sf):
+    return S.search(parts(spark, sf), "small", order=[F.desc("heading"), F.desc("seq")])
+
+
+@query(f"WITH {PARTS}, {direct('ring')}, s AS ({top('m')}) SELECT * FROM s WHERE seq % 2 = 0")
+def search_plugins(spark, sf):
+    return S.hooked(parts(spark, sf), "RING please", before=[lambda q: q.split()[0].lower()], after=[lambda rows: rows.where("seq % 2 = 0")])
+
+
+@query("""WITH e AS (SELECT event_type || user_id AS key, max(event_id) AS used FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200)
+SELECT key, used AS value FROM e WHERE starts_with(key, 'cl') ORDER BY used DESC""")
+def recent_completions(spark, sf):
+    e = table(spark, sf, "events").select(F.concat("event_type", F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("value"), F.col("event_id").alias("used"))
+    return S.recent_completions(e, "cl", 200)
