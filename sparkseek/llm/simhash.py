@@ -226,7 +226,8 @@ def deduplicated(docs: DataFrame, reach: int = 3) -> DataFrame:
     stays = saved(stays)
     again = stays.where("n > 1").limit(1).count()
     nameless = saved(found.where("component_id IS NULL"))
-    kept = docs.join(stays.select(F.col("doc_id").alias("doc_id")), "doc_id", "left_semi")
+    # The ids that stay grow with the corpus, so they are never broadcast: the same plan at every size.
+    kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if again:
         kept = kept.dropDuplicates(["doc_id"])
     if nameless.isEmpty():
