@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, dropped, saved, word_chunks
+from .near_copies import near_copies
 
 #: Fingerprints that the top tree is planned from; it only shapes the shards, never the links.
 SAMPLE = 16_384
@@ -215,13 +216,13 @@ def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, reach: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of least ``doc_id``.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_copies`: that of least ``doc_id``.
 
     Rows with a null ``doc_id`` only stay where a component has no other, one for each. Of repeated rows
     with the id that stays, one stays.
     """
-    found = saved(near_duplicates(docs, reach))
+    found = near_copies(docs)
     stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     stays = saved(stays)
     again = stays.where("n > 1").limit(1).count()
@@ -237,7 +238,7 @@ def deduplicated(docs: DataFrame, reach: int = 3) -> DataFrame:
     lone = nameless.select("fingerprint").distinct()
     mark = F.xxhash64(*[f"`{c}`" for c in docs.columns])
     keyed = bare.withColumn("__row", mark)
-    prints = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), reach)
+    prints = near_copies(keyed.select(F.col("__row").alias("doc_id"), "text"))
     first = prints.join(lone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
     rest = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
     return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
