@@ -95,6 +95,11 @@ def slugs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
 
 
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
+def slugs_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT doc_id, substr(text, 1, 1200) AS preview FROM documents")
 def preview(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 1200).alias("preview"))
