@@ -62,6 +62,11 @@ def facets(spark, sf):
     return I.facets(documents(spark, sf).where("seq % 7 < 5"))
 
 
+@query(f"WITH {DOCS}, t AS (SELECT unnest(['section','action','field','link','file','media','structured']) AS type) SELECT t.type, count(d.seq) AS n FROM t LEFT JOIN d ON d.type = t.type GROUP BY t.type")
+def facets_whole(spark, sf):
+    return I.facets(documents(spark, sf))
+
+
 @query(f"""WITH {DOCS} SELECT count(*) AS "all", count(*) FILTER (type IN ('section','structured')) AS pages, count(*) FILTER (type IN ('action','field')) AS actions, count(*) FILTER (type = 'file') AS files, count(*) FILTER (type IN ('link','media')) AS links FROM d""")
 def badges(spark, sf):
     return I.badges(documents(spark, sf))
