@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from collections.abc import Mapping, Sequence
 
@@ -24,26 +26,32 @@ SOUNDEX = {"1": "BFPV", "2": "CGJKQSXZ", "3": "DT", "4": "L", "5": "MN", "6": "R
 SPACES = r"\s+"
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters whose canonical decomposition is a letter and marks, and those letters."""
-    pairs = []
-    for i in range(0xC0, 0x250):
-        d = unicodedata.normalize("NFD", chr(i))
-        if len(d) > 1 and all(unicodedata.combining(c) for c in d[1:]):
-            pairs.append((chr(i), d[0]))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+MARKS = "[\u0300-\u036f]"
 
 
-_FROM, _TO = _accents()
+def _accents() -> dict[str, str]:
+    """Letters whose canonical decomposition is one character and marks, and that character."""
+    pairs = {}
+    for i in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(i)
+        if unicodedata.decomposition(c) and len(d := re.sub(MARKS, "", unicodedata.normalize("NFD", c))) == 1 and d != c:
+            pairs[c] = d
+    return pairs
+
+
+_FOLDED = _accents()
+_FROM, _TO = "".join(_FOLDED), "".join(_FOLDED.values())
+_TABLE = str.maketrans(_FOLDED)
 
 
 def fold(c: Column) -> Column:
-    """Drop the accents of Latin letters; pure ASCII text is passed through untouched."""
-    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, _FROM, _TO))
+    """Drop accents, composed or not; pure ASCII text is passed through untouched."""
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(F.translate(c, _FROM, _TO), MARKS, ""))
 
 
 def fold_text(s: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not 0x300 <= ord(c) <= 0x36F)
+    """The same of a query: what neither side takes apart, such as Hangul, stays alike on both."""
+    return re.sub(MARKS, "", s.translate(_TABLE))
 
 
 def words(c: Column) -> Column:
