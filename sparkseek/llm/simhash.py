@@ -220,17 +220,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_copies`: that of least ``doc_id``.
 
     Rows with a null ``doc_id`` only stay where a component has no other, one for each. Of repeated rows
-    with the id that stays, one stays.
+    with the id that stays, one stays for each component.
     """
     found = near_copies(docs)
-    stays = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    stays = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_hash").alias("__hash"), F.count("*").alias("n"))
     stays = saved(stays)
     again = stays.where("n > 1").limit(1).count()
     nameless = saved(found.where("component_id IS NULL"))
     # The ids that stay grow with the corpus, so they are never broadcast: the same plan at every size.
-    kept = docs.join(stays.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(stays.select("doc_id", "__hash").hint("merge"), ["doc_id", "__hash"], "left_semi")
     if again:
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["doc_id", "__hash"])
+    kept = kept.select(*[f"`{c}`" for c in docs.columns])
     if nameless.isEmpty():
         return kept
     # Components without any id: rare enough to fingerprint their rows once more, with all columns at hand.
@@ -241,4 +243,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     prints = near_copies(keyed.select(F.col("__row").alias("doc_id"), "text"))
     first = prints.join(lone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
     rest = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
-    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(rest)
+    return kept.unionByName(rest)
