@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
 from ._fit import fold, temperature
 
 #: Orders of the n-grams, and hash bits of each.
 ORDERS, BITS = (1, 2, 3), 15
-#: Documents that the model is fitted on, for each language at most.
-PER_LANGUAGE = 768
+#: Documents that the model is fitted on, for each language at most, and the languages learned: those of most documents.
+PER_LANGUAGE, LANGUAGES = 768, 32
+#: Probability under which the stage of the pipeline rejects a document: no language is likelier than all others together.
+UNSURE = 0.5
 SCALE = np.float32(20)
 _letters: list[np.ndarray] = []
 
@@ -105,17 +106,63 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return weights(np.arange(size))
 
 
+def _picked(known: DataFrame) -> DataFrame:
+    """``doc_id, lang`` of at most PER_LANGUAGE documents for each of the LANGUAGES most frequent languages.
+
+    Those of least id hash: a bound on the hash, set by how many ids a language has, leaves a few thousand of
+    each, so nothing but these is ranked, and repeated ids count once.
+    """
+    spark = known.sparkSession
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("ids"))
+    top = counts.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    bounds = [(r.lang, min(2**63 - 1, (4 * PER_LANGUAGE << 63) // max(1, r.ids))) for r in top]
+    bounds = spark.createDataFrame(bounds, "lang string, bound long")
+    h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
+    few = known.join(F.broadcast(bounds), "lang").where(h <= F.col("bound")).select("doc_id", "lang", h.alias("h")).distinct().collect()
+    by: dict[str, list] = {}
+    for r in few:
+        by.setdefault(r.lang, []).append((r.h, r.doc_id))
+    rows = [(d, k) for k, found in by.items() for _, d in sorted(found)[:PER_LANGUAGE]]
+    return spark.createDataFrame(rows, "doc_id long, lang string")
+
+
+def _document_counts(known: DataFrame) -> tuple[int, np.ndarray]:
+    """How many documents have a letter, and how many hold each bucket: sums of each task, then over tasks."""
+    size = len(ORDERS) << BITS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, n = np.zeros(size, np.int64), np.zeros(size, bool), 0
+        for batch in batches:
+            for text in batch.column(0):
+                if (found := grams(text.as_py() or "")) is not None:
+                    seen[:] = False
+                    for i, g in enumerate(found):
+                        seen[g + np.uint32(i << BITS)] = True
+                    total += seen
+                    n += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(total[at], n), pa.int64())], ["at", "n"])
+
+    rows = known.select("text").mapInArrow(counted, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row for each bucket
+    found = dict(zip(rows["at"].to_pylist(), rows["n"].to_pylist(), strict=True))
+    total = found.pop(-1, 0)
+    df = np.zeros(size)
+    df[list(found)] = list(found.values())
+    return total, df
+
+
 def fit(docs: DataFrame) -> Model:
-    """Fit on at most PER_LANGUAGE documents a language, outside the held-out fold (2 of 4).
+    """Fit on at most PER_LANGUAGE documents of each of at most LANGUAGES languages, outside the held-out fold (2 of 4).
 
-    A tenth of them only sets the temperature. Document frequencies are those of the sample.
+    A tenth of them only sets the temperature. Document frequencies are those of all documents outside the fold
+    that have a language. Of rows with the same id and language the least text is learned from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(4) != 2))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    picked = saved(picked.withColumn("i", F.row_number().over(first)).where(F.col("i") <= PER_LANGUAGE).select("doc_id", "lang"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
-    found = rows.mapInArrow(_counted, "doc_id long, lang string, at binary, share binary").toArrow().to_pylist()
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    picked = _picked(known.select("doc_id", "lang"))
+    # At most PER_LANGUAGE * LANGUAGES pairs of an id and a language.
+    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = rows.select("doc_id", "text", "lang").mapInArrow(_counted, "doc_id long, lang string, at binary, share binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in found})
     size = len(ORDERS) << BITS
@@ -123,8 +170,8 @@ def fit(docs: DataFrame) -> Model:
         return Model([], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32), np.zeros(0))
     y = np.array([langs.index(r["lang"]) for r in found])
     at = [np.frombuffer(r["at"], np.int32) for r in found]
-    df = np.bincount(np.concatenate(at), minlength=size)
-    idf = (np.log((1 + len(found)) / (1 + df)) + 1).astype(np.float32)
+    total, df = _document_counts(known)
+    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     data = [(np.append(a, size), np.append(np.frombuffer(r["share"], np.float32) * idf[a] * SCALE, np.float32(1))) for a, r in zip(at, found, strict=True)]
     rest = np.arange(len(y)) % 10 != 9
     w = ftrl([d for d, r in zip(data, rest, strict=True) if r], y[rest], len(langs), size + 1)
@@ -161,15 +208,24 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` with a learned language: null texts, and texts without a letter, go.
+    """The rows of ``docs`` whose language is told, with it in ``lang``, if there is such a column.
 
-    All rows go where there is nothing to learn from.
+    Null texts, texts without a letter, and texts for which no language reaches UNSURE go; all rows go where there
+    is nothing to learn from. What ``lang`` held before is only read to fit. Repeated rows each stay; an empty
+    table gives an empty result; all other columns are kept as they are, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     at = docs.columns.index("text")
+    to = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([sent.value.score(t.as_py() or "") is not None for t in batch.column(at)], pa.bool_()))
+            p = [m.score(t.as_py() or "") for t in batch.column(at)]
+            names = [m.langs[int(x.argmax())] if x is not None and x.max() >= UNSURE else None for x in p]
+            columns = list(batch.columns)
+            if to is not None:
+                columns[to] = pa.array(names, pa.string()).cast(columns[to].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array([n is not None for n in names], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from sparkseek.llm import language
 from sparkseek.llm.language import BITS, SCALE, Model, fit, ftrl, grams, identified, languages
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
@@ -72,3 +73,41 @@ def test_score_is_the_plain_product():
     z = sum(np.mean([model.weight[i][k] for k in g.tolist()], axis=0) for i, g in enumerate(grams(text)))
     p = np.exp(z - z.max())
     assert np.allclose(model.score(text), p / p.sum(), atol=1e-5) and SCALE > 0
+
+
+def test_one_id_in_many_rows_is_learned_once(spark):
+    docs = spark.read.parquet(DATA).select("doc_id", "text", "lang")
+    many = spark.range(1000).select(F.lit(4).cast("long").alias("doc_id"), F.concat(F.lit("wort der und "), F.col("id").cast("string"), F.lit(" a")).alias("text"), F.lit("de").alias("lang"))
+    picked = language._picked(docs.unionByName(many).where("lang IS NOT NULL")).groupBy("doc_id", "lang").count().collect()
+    assert all(r["count"] == 1 for r in picked)
+    model = fit(docs.unionByName(many))
+    assert model.langs == sorted({r.lang for r in docs.where("lang IS NOT NULL").select("lang").distinct().collect()})
+
+
+def test_document_counts_equal_plain_ones(spark):
+    docs = spark.read.parquet(DATA).where("doc_id < 60")
+    n, df = language._document_counts(docs.repartition(5))
+    want, total = np.zeros(len(language.ORDERS) << BITS), 0
+    for r in docs.collect():
+        if (found := grams(r.text or "")) is not None:
+            total += 1
+            for i, g in enumerate(found):
+                want[np.unique(g).astype(int) + (i << BITS)] += 1
+    assert n == total and np.array_equal(df, want)
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    docs = spark.read.parquet(DATA).withColumn("lang", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    assert len(fit(docs).langs) == 2 and not any(k.startswith("x") for k in fit(docs).langs)
+
+
+def test_stage_follows_the_model(spark):
+    docs = spark.createDataFrame([(1, "the and of that with", None), (2, "der die das und mit", "en"), (3, "zzz", "en"), (4, "12", "en"), (5, None, "en")], "doc_id long, text string, lang string")
+    model = fit(spark.read.parquet(DATA))
+    assert {(r.doc_id, r.lang) for r in identified(docs, model).collect() if r.doc_id in (1, 2, 4, 5)} == {(1, "en"), (2, "de")}
+    turned = Model(model.langs, -model.weight, -model.bias)
+    assert {(r.doc_id, r.lang) for r in identified(docs, turned).collect() if r.doc_id < 3} != {(1, "en"), (2, "de")}
+    unsure = Model(model.langs, model.weight * 0, model.bias * 0)
+    assert identified(docs, unsure).collect() == []
+    assert identified(docs, Model([], model.weight[:, :, :0], np.zeros(0))).collect() == []
