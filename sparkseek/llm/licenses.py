@@ -68,12 +68,20 @@ def plan_windows(templates: dict[str, str]) -> dict[str, Windows]:
     return out
 
 
-def anchor(template: str) -> str:
-    """A word that no text may lack that holds SIMILAR of the template: it is in more shingles than may be missing."""
-    grams = [g.split() for g in shingles_of(words_of(template))]
-    spare = len(grams) - math.ceil(SIMILAR * len(grams))
-    fit = {w for g in grams for w in g if sum(w in h for h in grams) > spare}
-    return max(sorted(fit), key=len)
+def anchors(template: str) -> list[str]:
+    """Words of which no text may lack all that holds SIMILAR of the template: together they are in more shingles than may be missing.
+
+    One long word where that does; where no word is in so many shingles, words are added until they are.
+    """
+    left = [set(g.split()) for g in shingles_of(words_of(template))]
+    need, out = len(left) - math.ceil(SIMILAR * len(left)) + 1, []
+    while need > 0:
+        held = {w: sum(w in g for g in left) for g in left for w in g}
+        word = max(sorted(held), key=lambda w: (min(held[w], need), len(w)))
+        out.append(word)
+        need -= held[word]
+        left = [g for g in left if word not in g]
+    return out
 
 
 def _bands(spark: SparkSession, templates: dict[str, str], planned: dict[str, Windows], ids: dict[Windows, int]) -> DataFrame:
@@ -85,13 +93,14 @@ def _bands(spark: SparkSession, templates: dict[str, str], planned: dict[str, Wi
     return table.withColumn("low", low).select("license", "kind", "grams", F.posexplode("low").alias("band", "low"))
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] | None = None, exact: bool = False) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)`` and license found: ``doc_id, license, containment, first_word``.
 
     A license is found where a window of the text holds at least 0.8 of its template's distinct five-word
     shingles; ``containment`` is the greatest share in a window and ``first_word`` the first word of the
-    first such window. Texts without any template's anchor word are skipped, which loses none. Bands bring
+    first such window. Texts without any template's anchor words are skipped, which loses none. Bands bring
     a window and a template together with a chance of at least 0.999; what they bring is verified exactly.
+    With ``exact`` every window is verified against every template of its class instead, which misses none.
     Null texts and texts under five words hold nothing. Repeated rows each come back; a text may hold
     several licenses. An empty table gives an empty result; further columns are not read.
     """
@@ -99,7 +108,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
     planned = plan_windows(templates)
     classes = sorted(set(planned.values()), key=lambda c: c.size)
     ids = {c: i for i, c in enumerate(classes)}
-    hint = "(?iu)" + "|".join(sorted({re.escape(anchor(t)) for t in templates.values()}))
+    hint = "(?iu)" + "|".join(sorted({re.escape(w) for t in templates.values() for w in anchors(t)}))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).where(F.col("text").rlike(hint))
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
@@ -112,20 +121,23 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFr
     rows = rows.select("doc_id", "row", "from", grams.alias("grams"))
     most = max(c.bands for c in classes)
     hashed = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda j: F.transform("grams", lambda h: F.xxhash64(h, j)))
-    rows = rows.withColumn("hashed", hashed)
+    rows = rows if exact else rows.withColumn("hashed", hashed)
     last = F.least(F.lit(SEGMENT), F.size("grams")) - 1
 
     def windows(c: Windows):
         def one(s):
-            lows = F.transform(F.slice("hashed", 1, c.bands), lambda h: F.array_min(F.slice(h, s + 1, c.size)))
-            return F.struct(F.lit(ids[c]).alias("kind"), (F.col("from") + s).alias("at"), F.slice("grams", s + 1, c.size).alias("held"), lows.alias("lows"))
+            cell = F.struct(F.lit(ids[c]).alias("kind"), (F.col("from") + s).alias("at"), F.slice("grams", s + 1, c.size).alias("held"))
+            return cell if exact else cell.withField("lows", F.transform(F.slice("hashed", 1, c.bands), lambda h: F.array_min(F.slice(h, s + 1, c.size))))
 
         return F.transform(F.sequence(F.lit(0), last, F.lit(c.step)), one)
 
     found = rows.select("doc_id", "row", F.explode(F.concat(*[windows(c) for c in classes])).alias("w")).select("doc_id", "row", "w.*")
-    found = found.select("doc_id", "row", "kind", "at", "held", F.posexplode("lows").alias("band", "low"))
     # A row for each template and band: a fixed few.
-    near = found.join(F.broadcast(_bands(docs.sparkSession, templates, planned, ids)), ["kind", "band", "low"])
+    bands = F.broadcast(_bands(docs.sparkSession, templates, planned, ids))
+    if exact:
+        near = found.join(bands.where("band = 0").drop("band", "low"), "kind")
+    else:
+        near = found.select("doc_id", "row", "kind", "at", "held", F.posexplode("lows").alias("band", "low")).join(bands, ["kind", "band", "low"])
     share = F.size(F.array_intersect("held", "grams")) / F.size("grams")
     hit = near.withColumn("containment", share).where(F.col("containment") >= SIMILAR)
     return hit.groupBy("doc_id", "row", "license").agg(F.max("containment").alias("containment"), F.min("at").cast("long").alias("first_word")).drop("row")

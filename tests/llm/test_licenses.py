@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkseek.llm.licenses import SHINGLE, SIMILAR, TEMPLATES, anchor, licenses, plan_windows, shingles_of, words_of
+from sparkseek.llm.licenses import SHINGLE, SIMILAR, TEMPLATES, anchors, licenses, plan_windows, shingles_of, words_of
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
 
@@ -48,7 +48,32 @@ def test_plan():
         held = -(-n * 4 // 5)
         likeness = held / (c.size + n - held)
         assert 1 - (1 - likeness) ** c.bands >= 0.998
-        assert anchor(TEMPLATES[name]) in words_of(TEMPLATES[name])
+        assert set(anchors(TEMPLATES[name])) <= set(words_of(TEMPLATES[name]))
+
+
+def test_no_text_that_holds_a_template_lacks_its_anchors():
+    rng = random.Random(2)
+    for text in (*TEMPLATES.values(), " ".join(f"w{i}" for i in range(40)), " ".join(f"x{rng.randrange(90)}" for _ in range(700))):
+        words, found = words_of(text), set(anchors(text))
+        grams = shingles_of(words)
+        without = [g for g in grams if not found & set(g.split())]
+        assert len(without) < SIMILAR * len(grams) and 0 < len(found) <= len(grams)
+
+
+def test_long_templates_without_repeated_words(spark):
+    rng = random.Random(8)
+    whole = {f"t{n}": " ".join(f"{k}x{rng.randrange(10**6)}" for k in range(n)) for n in (30, 40, 300, 1500)}
+    texts = []
+    for name, t in whole.items():
+        words = t.split()
+        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+            words[at] = "changed"
+        texts += ["filler " * 70 + t + " end", " ".join(words), " ".join(words[: len(words) // 2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (round(r.containment, 9), r.first_word) for r in licenses(docs, whole).collect()}
+    assert {k for k in got if k[0] % 3 == 0} == {(3 * i, k) for i, k in enumerate(whole)}
+    assert all(v[0] == 1.0 for k, v in got.items() if k[0] % 3 == 0) and not any(d % 3 == 2 for d, _ in got)
+    assert got == {(r.doc_id, r.license): (round(r.containment, 9), r.first_word) for r in licenses(docs, whole, exact=True).collect()}
 
 
 def test_no_python_in_the_plan(spark):
