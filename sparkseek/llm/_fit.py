@@ -29,6 +29,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id")
 
 
+def distinct_texts(docs: DataFrame, rows: int) -> DataFrame:
+    """``text, h`` of the at most ``rows`` distinct texts of ``docs(text)`` with the least XXH64.
+
+    A bound on the hash, set by how many distinct texts there are, leaves a few times as many as wanted, and only
+    these are dealt out, so groups of copies count once and nothing but the sample is shuffled.
+    """
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    ids = hashed.agg(F.approx_count_distinct("h")).first()[0] or 0
+    bound = min(2**63 - 1, (4 * rows << 63) // max(1, ids))
+    few = hashed.where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.lit(bound))
+    return few.groupBy("h").agg(F.first("text").alias("text")).orderBy(F.col("h").bitwiseAND(F.lit(2**63 - 1)), "h").limit(rows).select("text", "h")
+
+
 def texts(column: pa.Array) -> Iterator[str]:
     """Texts of an Arrow column, null as empty."""
     return ((x.as_py() or "") for x in column)

@@ -12,11 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
-from ._fit import texts
+from ._fit import distinct_texts, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the field is fitted on, at most, and the tokens such a document may have.
+#: Distinct texts that the field is fitted on, at most, and the candidate tokens that one gives: a longer one gives a stretch of them.
 FIT_ROWS, FIT_TOKENS = 2048, 512
 #: Marginal probability from which a token with similar tokens elsewhere joins the base spans.
 SURE = 0.6
@@ -32,6 +31,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"""[^\s,;:()<>\[\]{}"'|#$&*!?=]+""")
 _DIGITS = re.compile(r"[0-9]+")
+_SHORT = re.compile(r"(@[^.]*)\..*")
+_UNLIKE = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyz", "3456789012cdefghijklmnopqrstuvwxyzab")
 # Words that announce each kind.
 CUES = {"email": ("mail", "correo", "courriel"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "carte", "karte", "tarjeta"), "phone": ("phone", "tel", "call", "fax", "mobil")}
 
@@ -129,7 +130,8 @@ class Graph:
             start, end, me = m.start(), m.start() + len(token), len(self.doc)
             while at < len(base) and base[at][2] <= start:
                 at += 1
-            inside = next((k for s, k, e in base[at : at + 4] if s < end and e > start), -1)
+            held = next(((s, k, e) for s, k, e in base[at : at + 4] if s < end and e > start), None)
+            inside = held[1] if held else -1
             near = last is not None and start - last <= 3
             digits = "".join(_DIGITS.findall(token))
             self.doc.append(doc)
@@ -142,7 +144,9 @@ class Graph:
             last = end
             # The same token, the same long number in other dress, the same name before the @.
             keys = [token.lower()]
-            if len(digits) >= 9:
+            if held and inside >= 2:
+                keys.append("#" + "".join(_DIGITS.findall(text, held[0], held[2])))
+            elif len(digits) >= 9:
                 keys.append("#" + digits)
             if "@" in token and len(name := token.lower().partition("@")[0]) >= 4:
                 keys.append("@" + name)
@@ -172,7 +176,10 @@ class Field:
     skip: np.ndarray
 
     def marginals(self, g: Graph, rounds: int = 12) -> np.ndarray:
-        """Loopy sum-product messages over all links at once; tokens in base spans are held to their kind."""
+        """Loopy sum-product messages over all links at once; tokens in base spans are held to their kind.
+
+        The messages of a document stop once they are stable, whatever the others in the graph do.
+        """
         own = _dense(g.x) @ self.unary
         fixed = np.array(g.fixed)
         own[fixed >= 0] = -30.0
@@ -184,6 +191,8 @@ class Field:
             pot = np.exp(np.concatenate([pot, pot.transpose(0, 2, 1)]))
             back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
             msg = np.zeros((len(src), len(KINDS) + 1))
+            of = np.unique(np.array(g.doc), return_inverse=True)[1][src]  # the document of each message
+            moving = np.ones(of.max() + 1, bool)
             for _ in range(rounds):
                 belief = own.copy()
                 np.add.at(belief, dst, msg)
@@ -191,9 +200,12 @@ class Field:
                 out = np.exp(out - out.max(axis=1, keepdims=True))
                 new = np.log(np.einsum("ea,eab->eb", out, pot) + 1e-300)
                 new -= new.max(axis=1, keepdims=True)
-                done = np.abs(new - msg).max() < 1e-4
-                msg = 0.5 * msg + 0.5 * new if not done else new
-                if done:
+                change = np.zeros(len(moving))
+                np.maximum.at(change, of, np.abs(new - msg).max(axis=1))
+                stable = change < 1e-4
+                msg = np.where((moving & stable)[of, None], new, np.where((moving & ~stable)[of, None], 0.5 * msg + 0.5 * new, msg))
+                moving &= ~stable
+                if not moving.any():
                     break
             np.add.at(own, dst, msg)
         p = np.exp(own - own.max(axis=1, keepdims=True))
@@ -230,22 +242,48 @@ def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, ste
     return field
 
 
+def with_mentions(text: str, base: list[Span], most: int = 8) -> tuple[str, dict[int, int]]:
+    """The text with other mentions of up to ``most`` of its e-mail addresses and phone numbers, and the kind of the token at each start.
+
+    Each is repeated as the patterns can't see it: the digits alone, or the address with the first part of its domain. Beside it stand
+    tokens of the same form with other digits and names, once or twice, which are no personal data. So the form alone
+    tells nothing, and the links must.
+    """
+    out, at, kinds = [text, "\n"], len(text) + 1, {}
+    for s, k, e in [b for b in base if b[1] in (0, 3)][:most]:
+        told = text[s:e]
+        other = "".join(_DIGITS.findall(told)) if k == 3 else _SHORT.sub(r"\1", told)
+        unlike = other.translate(_UNLIKE)
+        for token, kind in ((unlike, -1), (other, k), (unlike[::-1] if k == 3 else "x" + unlike, -1), (unlike, -1)):
+            kinds[at] = kind
+            out += [token, " and then "]
+            at += len(token) + 10
+    return "".join(out), kinds
+
+
+def stretch(g: Graph, h: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and links of a graph, or of one of its stretches of ``most`` tokens, chosen by ``h``."""
+    n = len(g.doc)
+    at = h % -(-n // most) * most if n > most else 0
+    inside = lambda pairs: np.array([(a - at, b - at) for a, b in pairs if at <= a < at + most and at <= b < at + most], np.int32).reshape(-1, 2)
+    return _dense(g.x[at : at + most]).astype(np.int8), np.array(g.fixed[at : at + most], np.int8) + 1, inside(g.chain), inside(g.skip)
+
+
 def fit(docs: DataFrame) -> Field:
-    """Fit on at most FIT_ROWS documents that have a candidate token; the base spans are the labels."""
+    """Fit on at most FIT_ROWS distinct texts that have a candidate token; the labels are the base spans, and those of :func:`with_mentions`."""
     rows = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    picked = saved(rows.withColumn("h", F.xxhash64("text")).select("h").orderBy("h").limit(FIT_ROWS).distinct())
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, t in zip(batch.column(1).to_pylist(), texts(batch.column(0)), strict=True):
-                g = empty_graph()
-                g.add(0, t, base_spans(t))
-                if 0 < len(g.doc) <= FIT_TOKENS:
-                    parts = [_dense(g.x).astype(np.int8), np.array(g.fixed, np.int8) + 1, np.array(g.chain, np.int32).reshape(-1, 2), np.array(g.skip, np.int32).reshape(-1, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array([h]), *(pa.array([p.tobytes()]) for p in parts)], ["h", "x", "y", "chain", "skip"])
-
-    hashed = rows.withColumn("h", F.xxhash64("text")).join(picked, "h").dropDuplicates(["h"]).select("text", "h")
-    found = sorted(hashed.mapInArrow(graphs, "h long, x binary, y binary, chain binary, skip binary").collect())
+                g, (told, kinds) = empty_graph(), with_mentions(t, base_spans(t))
+                g.add(0, told, base_spans(told))
+                g.fixed = [kinds.get(s, f) if f < 0 else f for s, f in zip(g.start, g.fixed, strict=True)]
+                if g.doc:
+                    parts = stretch(g, h, FIT_TOKENS)
+                    yield pa.RecordBatch.from_arrays([pa.array([h]), *(pa.array([np.ascontiguousarray(p).tobytes()]) for p in parts)], ["h", "x", "y", "chain", "skip"])
+
+    found = sorted(distinct_texts(rows, FIT_ROWS).mapInArrow(graphs, "h long, x binary, y binary, chain binary, skip binary").collect())
     k = len(KINDS) + 1
     if not found:
         return Field(np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros((k, k)))
@@ -282,9 +320,9 @@ def joined(found: list[Span]) -> str:
 
 
 def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added``.
+    """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans``.
 
-    Counts and digest are of the base spans; ``spans`` lists base spans and those of the field as
+    Counts and digest are of the base spans, but ``n_added`` counts the others and ``n_spans`` all; ``spans`` lists base spans and those of the field as
     ``kind:start:end`` in code points, by start, then kind. Added spans are tokens with a digit or ``@``
     outside all base spans that resemble another token and that the field is sure of: their features and the labels of neighbours and of
     repeated or similar tokens anywhere in the text decide together. Null texts count as empty and have no
@@ -298,10 +336,11 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
             counts = [pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
             digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
             added = pa.array([len(f) - len(b) for f, b in zip(full, base, strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array(map(joined, full), pa.string()), added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            every = pa.array(map(len, full), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, pa.array(map(joined, full), pa.string()), added, every], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(text: str, found: list[Span]) -> str:
