@@ -14,9 +14,9 @@ from ._common import saved
 from ._vectors import keyed, matrix
 
 #: Vectors that the codebooks are fitted on; components a code covers; rows of a block; queries of a chunk.
-FIT_ROWS, WIDTH, BLOCK, CHUNK = 8192, 2, 8192, 4096
-#: Rows of each block that are reranked for a query; vectors taking part of this cosine or more shape the loss.
-RERANK, NEAR = 160, 0.2
+FIT_ROWS, WIDTH, BLOCK, CHUNK = 8192, 2, 16_384, 32_768
+#: Rows of each block that are reranked for a query, 2 in 100; vectors taking part of this cosine or more shape the loss.
+RERANK, NEAR = 320, 0.2
 _STRIP = 128
 
 
@@ -101,7 +101,7 @@ def tables(book: Codebook, q: np.ndarray) -> np.ndarray:
     return np.stack([(a[:, :, None] + b[:, None, :]).reshape(len(q), 256) for a, b in zip(one[0::2], one[1::2], strict=True)], axis=1).astype(np.float32)
 
 
-def _search(books: dict[int, Codebook], k: int):
+def _search(books: dict[int, Codebook], k: int, rerank: int | None):
     def best(frame: pd.DataFrame) -> pd.DataFrame:
         """The ``k`` nearest rows of a block for each query of a chunk, with exact inner products."""
         asked, rows = frame[frame["query"]], frame[~frame["query"]]
@@ -111,7 +111,7 @@ def _search(books: dict[int, Codebook], k: int):
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
             ids, own = rows["ids"].to_list(), asked["vec_id"].to_numpy(np.int64)
             first = np.array([i[0] for i in ids], np.int64)
-            take = min(RERANK, len(rows))
+            take = len(rows) if rerank is None else min(max(rerank, k + 1), len(rows))
             for i in range(0, len(q), _STRIP):
                 part = q[i : i + _STRIP]
                 lut = tables(books[x.shape[1]], part)
@@ -119,7 +119,8 @@ def _search(books: dict[int, Codebook], k: int):
                 for b in range(codes.shape[1]):
                     score += lut[:, b, :].take(codes[:, b], axis=1)
                 top = np.argpartition(-score, take - 1, axis=1)[:, :take]
-                exact = np.einsum("qd,qkd->qk", part, x[top])
+                exact = part @ x.T if take == len(rows) else np.einsum("qd,qkd->qk", part, x[top])
+                exact = np.take_along_axis(exact, top, axis=1) if take == len(rows) else exact
                 for r in range(len(part)):
                     order = np.lexsort((first[top[r]], -exact[r]))[: k + 1]
                     got = [(s, v) for s, c in zip(exact[r][order].tolist(), top[r][order].tolist(), strict=True) for v in ids[c] if v != own[i + r]]
@@ -131,13 +132,13 @@ def _search(books: dict[int, Codebook], k: int):
     return best
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int | None = RERANK) -> DataFrame:
     """For each row of ``vectors(vec_id, embedding, ...)`` with ``vec_id`` divisible by ``every``: its nearest rows.
 
     Returns ``query_id, rank, vec_id, score``: up to ``k`` other rows of largest inner product, nearest
     first, ties to the smaller id, scores exact on the original vectors. The codebooks are fitted on at most
     FIT_ROWS vectors of each length; every row is encoded, scanned in blocks by table look-ups, and the best
-    RERANK rows of each block are computed exactly. Of copies of a vector only the ``k + 1`` of least id can
+    ``rerank`` rows of each block are computed exactly; with ``rerank=None`` all are, which misses none. Of copies of a vector only the ``k + 1`` of least id can
     be among the nearest of any query, so only those are expanded. Null ids, and vectors that are null, empty,
     zero or hold null or non-finite components, take no part; vectors of other lengths are no candidates.
     Repeated rows count once. An empty table gives an empty result; further columns are not read.
@@ -170,11 +171,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             n = F.when(F.col("dim") == dim, F.lit(-(-count // size))).otherwise(n)
         return n
 
-    index = classes.mapInPandas(encoded, "h1 long, h2 long, embedding array<double>, dim int, ids array<long>, codes binary")
+    kind = classes.schema["embedding"].dataType.simpleString()  # vectors travel as they are stored
+    index = classes.mapInPandas(encoded, f"h1 long, h2 long, embedding {kind}, dim int, ids array<long>, codes binary")
     blocks, chunks = spread(per_dim, BLOCK), spread(asked, CHUNK)
     none = lambda kind: F.lit(None).cast(kind)
     data = index.select("dim", F.pmod("h1", blocks).alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(False).alias("query"), none("long").alias("vec_id"), "h1", "h2", "embedding", "ids", "codes")
-    ask = queries.select("dim", F.explode(F.sequence(F.lit(0), blocks - 1).cast("array<long>")).alias("block"), F.pmod("h2", chunks).cast("int").alias("chunk"), F.lit(True).alias("query"), "vec_id", "h1", "h2", F.col("embedding").cast("array<double>").alias("embedding"), none("array<long>").alias("ids"), none("binary").alias("codes"))
-    found = data.unionByName(ask).groupBy("dim", "block", "chunk").applyInPandas(lambda frame: _search(sent.value, k)(frame), "query_id long, h1 long, h2 long, vec_id long, score double")
+    ask = queries.select("dim", F.explode(F.sequence(F.lit(0), blocks - 1).cast("array<long>")).alias("block"), F.pmod("h2", chunks).cast("int").alias("chunk"), F.lit(True).alias("query"), "vec_id", "h1", "h2", "embedding", none("array<long>").alias("ids"), none("binary").alias("codes"))
+    found = data.unionByName(ask).groupBy("dim", "block", "chunk").applyInPandas(lambda frame: _search(sent.value, k, rerank)(frame), "query_id long, h1 long, h2 long, vec_id long, score double")
     place = Window.partitionBy("query_id", "h1", "h2").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,9 +11,9 @@ from ._common import components, dropped, saved
 from ._vectors import keyed, matrix
 from .simhash import Forest
 
-#: Vectors of a block; a tile holds two blocks.
-BLOCK = 4096
-_STRIP = 512
+#: Vectors of a block; a tile holds two blocks. A vector goes, as it is stored, to as many tiles as its label has blocks.
+BLOCK = 16_384
+_STRIP = 128
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

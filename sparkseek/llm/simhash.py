@@ -18,7 +18,7 @@ from .near_copies import near_copies
 #: Fingerprints that the top tree is planned from; it only shapes the shards, never the links.
 SAMPLE = 16_384
 #: Distinct fingerprints a shard should be home to, and the least number of shards.
-SHARD_ROWS, MIN_SHARDS = 1 << 17, 16
+SHARD_ROWS, MIN_SHARDS = 1 << 20, 16
 _BLOCK = 1 << 21
 
 
@@ -216,31 +216,40 @@ def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of :func:`near_copies`: that of least ``doc_id``.
 
     Rows with a null ``doc_id`` only stay where a component has no other, one for each. Of repeated rows
-    with the id that stays, one stays for each component.
+    with the id that stays, one stays for each component. Null and empty texts are one component; an empty table
+    gives an empty result; all columns are kept as they are, whatever their names.
     """
+    mark, row = _free(docs, "__hash"), _free(docs, "__row")
+    names = [f"`{c}`" for c in docs.columns]
     found = near_copies(docs)
-    stays = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_hash").alias("__hash"), F.count("*").alias("n"))
+    stays = found.where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("text_hash").alias(mark), F.count("*").alias("n"))
     stays = saved(stays)
     again = stays.where("n > 1").limit(1).count()
     nameless = saved(found.where("component_id IS NULL"))
     # The ids that stay grow with the corpus, so they are never broadcast: the same plan at every size.
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    kept = hashed.join(stays.select("doc_id", "__hash").hint("merge"), ["doc_id", "__hash"], "left_semi")
+    hashed = docs.withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    kept = hashed.join(stays.select("doc_id", mark).hint("merge"), ["doc_id", mark], "left_semi")
     if again:
-        kept = kept.dropDuplicates(["doc_id", "__hash"])
-    kept = kept.select(*[f"`{c}`" for c in docs.columns])
+        kept = kept.dropDuplicates(["doc_id", mark])
+    kept = kept.select(*names)
     if nameless.isEmpty():
         return kept
     # Components without any id: rare enough to fingerprint their rows once more, with all columns at hand.
-    bare = docs.where("doc_id IS NULL")
     lone = nameless.select("fingerprint").distinct()
-    mark = F.xxhash64(*[f"`{c}`" for c in docs.columns])
-    keyed = bare.withColumn("__row", mark)
-    prints = near_copies(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    first = prints.join(lone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias("__row")).distinct()
-    rest = keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*[f"`{c}`" for c in docs.columns])
+    keyed = docs.where("doc_id IS NULL").withColumn(row, F.xxhash64(*names))
+    prints = near_copies(keyed.select(F.col(row).alias("doc_id"), "text"))
+    first = prints.join(lone, "fingerprint", "left_semi").where("doc_id = component_id").select(F.col("doc_id").alias(row)).distinct()
+    rest = keyed.join(first, row, "left_semi").dropDuplicates([row]).select(*names)
     return kept.unionByName(rest)

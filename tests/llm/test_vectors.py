@@ -5,7 +5,7 @@ from sparkseek.llm import ann, embed_dedup
 from sparkseek.llm.ann import fit_codebook, nearest, pack, tables
 from sparkseek.llm.embed_dedup import quantise, similar_vectors, tile_links, unit_rows
 
-SF = "/root/testdata/check_s/embeddings.parquet"
+SF = "/root/testdata/{}/embeddings.parquet"
 
 
 def planted(n=300, d=24, seed=0):
@@ -70,26 +70,54 @@ def test_edge_vectors(spark):
     assert [(r.rank, r.vec_id, r.score) for r in sorted(near, key=lambda r: r.rank) if r.query_id == 1] == [(1, 2, 2.0), (2, 3, 1.0), (3, 11, 1.0)]
 
 
-def test_recall_and_exact_scores(spark):
-    rows = spark.read.parquet(SF)
-    got = nearest(rows).collect()
+def recall(rows, got, k=20, every=20):
+    """Checks ids, ranks, scores and order of what was found, and returns its share of the true neighbours."""
     pdf = rows.toPandas().sort_values("vec_id")
     x, ids = np.stack(pdf["embedding"]).astype(float), pdf["vec_id"].to_numpy()
     at = {v: i for i, v in enumerate(ids.tolist())}
     by = {}
     for r in got:
         by.setdefault(r.query_id, []).append(r)
-    assert set(by) == {v for v in ids.tolist() if v % 20 == 0}
+    assert set(by) == {v for v in ids.tolist() if v % every == 0}
     hits = 0
     for q, found in by.items():
         found.sort(key=lambda r: r.rank)
-        assert [r.rank for r in found] == list(range(1, 21)) and q not in {r.vec_id for r in found}
-        assert all(abs(r.score - x[at[q]] @ x[at[r.vec_id]]) < 1e-12 for r in found)
+        assert [r.rank for r in found] == list(range(1, k + 1)) and q not in {r.vec_id for r in found}
+        assert all(abs(r.score - x[at[q]] @ x[at[r.vec_id]]) <= 1e-12 * max(1, abs(r.score)) for r in found)
         assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
         s = x @ x[at[q]]
         s[at[q]] = -np.inf
-        hits += len({r.vec_id for r in found} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
-    assert hits / (20 * len(by)) >= 0.95
+        hits += len({r.vec_id for r in found} & set(ids[np.lexsort((ids, -s))[:k]].tolist()))
+    return hits / (k * len(by))
+
+
+def clustered(n, d, seed, clusters=40):
+    """Vectors about centres, of unequal lengths."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(clusters, d))[rng.integers(0, clusters, n)] + 0.5 * rng.normal(size=(n, d))
+    return (x * rng.uniform(0.7, 1.4, (n, 1))).astype(np.float32)
+
+
+def test_recall_on_the_tables(spark):
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        rows = spark.read.parquet(SF.format(sf))
+        assert recall(rows, nearest(rows).collect()) >= 0.95
+
+
+def test_recall_at_several_sizes_and_blocks(spark, monkeypatch):
+    for n, d, block, rerank in ((2_000, 64, 16_384, 40), (20_000, 64, 16_384, 320), (20_000, 48, 2_048, 40), (12_000, 32, 512, 10)):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        x = clustered(n, d, n)
+        rows = frame(spark, x, np.zeros(n, int)).repartition(8)
+        got = recall(rows, nearest(rows, every=200, rerank=rerank).collect(), every=200)
+        assert got >= 0.95, (n, d, block, got)
+
+
+def test_reranking_all_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    x = clustered(2_000, 24, 5)
+    rows = frame(spark, x, np.zeros(len(x), int))
+    assert recall(rows, nearest(rows, every=50, rerank=None).collect(), every=50) == 1.0
 
 
 def test_copies_tie_to_the_least_ids(spark, monkeypatch):
