@@ -2,72 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import saved, word_count
 
-#: Lengths are binned exactly up to this, and to as many bins an octave beyond, which bounds the histogram.
-FINE = 4096
 #: Rows that one ranking window should hold.
 SLICE_ROWS = 20_000
 
 
-def optimal_bounds(lengths: list[int], counts: list[int], tokens: list[int], buckets: int) -> list[int]:
-    """Bucket bounds, ascending, that minimise the padding of ``counts[i]`` rows of up to ``lengths[i]``.
+def _best_ends(best: np.ndarray, rows: np.ndarray, words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least ``best[i] + lengths[j] * (rows[j] - rows[i]) - (words[j] - words[i])`` over i < j, and its i.
 
-    ``best[k][j] = min over i < j of best[k-1][i] + lengths[j] * (rows in i+1..j) - (tokens in i+1..j)``.
-    For a fixed k the terms in i are lines in ``lengths[j]`` whose slopes fall with i, so a moving lower
-    envelope answers all j in one pass; everything is in whole numbers.
+    The best i does not fall as j grows, so the middle j of every open stretch is settled between the answers
+    at its ends, all stretches of a level at once.
     """
     n = len(lengths)
+    cost, came = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    lo, hi, least, most = np.array([1]), np.array([n]), np.array([0]), np.array([n - 1])
+    while len(lo):
+        mid = (lo + hi) // 2
+        last = np.minimum(most, mid - 1)
+        size = last - least + 1
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        i = np.arange(size.sum()) - np.repeat(start - least, size)
+        j = np.repeat(mid, size)
+        value = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (words[j] - words[i])
+        cost[mid] = np.minimum.reduceat(value, start)
+        hit = np.flatnonzero(value == np.repeat(cost[mid], size))
+        at = i[hit[np.searchsorted(hit, start)]]
+        came[mid] = at
+        left, right = lo < mid, mid < hi
+        lo, hi, least, most = (np.concatenate(x) for x in ((lo[left], mid[right] + 1), (mid[left] - 1, hi[right]), (least[left], at[right]), (at[left], most[right])))
+    return cost, came
+
+
+def optimal_bounds(lengths: Sequence[int], counts: Sequence[int], tokens: Sequence[int], buckets: int) -> list[int]:
+    """Bucket bounds, ascending, that minimise the padding of ``counts[i]`` rows of ``lengths[i]``, with ``tokens[i]`` in all.
+
+    One more bucket at a time, over all lengths at once; everything is in whole numbers of 64 bits, which hold while the
+    greatest length times all rows is under 2^62.
+    """
+    n, lengths = len(lengths), np.asarray(lengths, np.int64)
     if not n:
         return []
-    rows, words = [0], [0]
-    for c, t in zip(counts, tokens, strict=True):
-        rows.append(rows[-1] + c)
-        words.append(words[-1] + t)
-    best: list[int | None] = [0] + [None] * n
-    back: list[list[int]] = []
-    for _ in range(min(buckets, n)):
-        after, came, hull, at = [None] * (n + 1), [0] * (n + 1), [], 0
-        for j in range(1, n + 1):
-            if (b := best[j - 1]) is not None:
-                m, c = -rows[j - 1], b + words[j - 1]
-                while len(hull) >= 2 and (c - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - m):
-                    hull.pop()
-                hull.append((m, c, j - 1))
-                at = min(at, len(hull) - 1)
-            if hull:
-                x = lengths[j - 1]
-                while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
-                    at += 1
-                after[j] = hull[at][0] * x + hull[at][1] + x * rows[j] - words[j]
-                came[j] = hull[at][2]
-        back.append(came)
-        if best[n] is not None and after[n] is not None and after[n] >= best[n]:
-            back.pop()
+    rows, words = (np.concatenate([[0], np.cumsum(np.asarray(x, np.int64))]) for x in (counts, tokens))
+    if int(lengths[-1]) * int(rows[-1]) >= 1 << 62:
+        raise OverflowError("lengths and rows are too many for 64 bits")
+    best = np.full(n + 1, 1 << 62, np.int64)
+    best[0] = 0
+    back: list[np.ndarray] = []
+    for k in range(min(buckets, n)):
+        if k:
+            after, came = _best_ends(best, rows, words, lengths)
+        else:
+            after, came = np.append([0], lengths * rows[1:] - words[1:]), np.zeros(n + 1, np.int64)
+        if k and after[n] >= best[n]:
             break
+        back.append(came)
         best = after
     bounds, j = [], n
     for came in reversed(back):
         if j:
-            bounds.append(lengths[j - 1])
-            j = came[j]
+            bounds.append(int(lengths[j - 1]))
+            j = int(came[j])
     return bounds[::-1]
 
 
-def _bin(n: Column) -> Column:
-    """Bin of a length: itself up to FINE, else rounded up to one of FINE steps of its octave."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(FINE)) / F.lit(FINE))))
-    return F.when(n <= FINE, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, n_tokens, bucket, bucket_len, batch, slot``.
 
     Tokens are white-space words. At most ``buckets`` length bounds minimise the padding over the global
-    histogram. Inside a bucket every row is padded to ``bucket_len`` and rows fill batches of at most
+    histogram, which holds every length that occurs: texts of W words in all have under sqrt(2 W) of them, some
+    millions at 100 TB. Inside a bucket every row is padded to ``bucket_len`` and rows fill batches of at most
     ``budget`` padded tokens by length; every batch of a bucket but its last is full. A row longer than
     the budget is a batch of its own. Null and empty texts have length 0 (bounds may be 0; their batches
     hold ``budget`` rows). Repeated rows are packed each; ties in length go by a row number. An empty
@@ -75,10 +85,12 @@ def packed(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFram
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("n_tokens"))
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
-    hist = rows.groupBy(_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
-    bins = sorted((r.top, r.n, r.tokens) for r in hist.collect())
-    bounds = optimal_bounds([b[0] for b in bins], [b[1] for b in bins], [b[2] for b in bins], buckets) or [0]
-    total = sum(b[1] for b in bins)
+    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    lengths, counts = (hist[c].to_numpy() for c in ("n_tokens", "n"))
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order], counts[order]
+    bounds = optimal_bounds(lengths, counts, lengths * counts, buckets) or [0]
+    total = int(counts.sum())
     bucket = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(bucket)

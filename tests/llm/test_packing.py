@@ -56,3 +56,31 @@ def test_nulls_repeats_long_and_empty(spark):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1), (1, 2), (1, 2), (2, 0), (3, 0), (4, 300_000)]
     check_batches(got, 100)
     assert packed(spark.createDataFrame([], docs.schema)).collect() == []
+
+
+def plain_least_padding(rows, buckets):
+    """Least padding by the plain recurrence over every pair of lengths."""
+    hist = collections.Counter(rows)
+    lengths = sorted(hist)
+    best = [0] + [float("inf")] * len(lengths)
+    for _ in range(buckets):
+        best = [0] + [min(best[j], *(best[i] + sum((lengths[j - 1] - x) * hist[x] for x in lengths[i:j]) for i in range(j))) for j in range(1, len(lengths) + 1)]
+    return best[-1]
+
+
+def test_long_lengths_are_not_binned():
+    rng = random.Random(6)
+    for buckets in (1, 2, 5, 9):
+        rows = [rng.choice([rng.randrange(10), rng.randrange(4000, 60_000), 10**6 + rng.randrange(40)]) for _ in range(60)]
+        hist = collections.Counter(rows)
+        lengths = sorted(hist)
+        got = optimal_bounds(lengths, [hist[x] for x in lengths], [x * hist[x] for x in lengths], buckets)
+        assert len(got) <= buckets and plain_padding(rows, got) == plain_least_padding(rows, buckets)
+
+
+def test_padding_over_a_table_is_the_least(spark):
+    docs = spark.read.parquet(DATA).where("doc_id < 250").unionByName(spark.read.parquet(DATA).where("doc_id < 8").withColumn("text", F.repeat(F.lit("w "), (F.col("doc_id") * 1000 + 4500).cast("int"))))
+    rows = packed(docs, buckets=4).collect()
+    lengths = [r.n_tokens for r in rows]
+    assert max(lengths) == 11_500 and len({r.bucket_len for r in rows}) == 4
+    assert sum(r.bucket_len - r.n_tokens for r in rows) == plain_least_padding(lengths, 4)
