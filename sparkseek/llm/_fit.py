@@ -21,12 +21,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataF
     """At most ``rows`` documents with a label, ``(doc_id, text, y)``, outside the held-out fold (0 of 5).
 
     The rows of least id hash are taken, so the sample is the same on every run; only ids and labels
-    are sorted, and the few that are picked meet the texts in one join.
+    are sorted, and the few that are picked meet the texts in one join. Of rows with the same id the least
+    text counts, so repeated ids don't add rows.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(5) != 0))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
     picked = saved(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most ``rows`` ids
 
 
 def distinct_texts(docs: DataFrame, rows: int) -> DataFrame:

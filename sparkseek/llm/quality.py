@@ -5,6 +5,7 @@ from __future__ import annotations
 import operator
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,20 +69,26 @@ class Vectors:
         return np.append(total / n, [np.log1p(n) / 10, again[0] / n, again[1] / n, 1 - len(set(lines)) / len(lines)]).astype(np.float32)
 
 
-def _vocabulary(sample: DataFrame) -> list[str]:
-    """The words and symbol runs in most documents of the sample, at least in 5."""
+def _vocabulary(docs: DataFrame) -> list[str]:
+    """The words and symbol runs in most of all documents, at least in 5: each task counts its own first."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter[str] = Counter()
         for batch in batches:
             for t in texts(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(list(set(tokens(t))), pa.string())], ["w"])
+                count.update(set(tokens(t)))
+                if len(count) > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["w", "n"])
+                    count = Counter()
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["w", "n"])
 
-    count = sample.select("text").mapInArrow(words, "w string").groupBy("w").count().where("count >= 5")
-    return [r.w for r in count.orderBy(F.desc("count"), "w").limit(VOCABULARY).collect()]
+    count = docs.select("text").mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 5")
+    return [r.w for r in count.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
 
 
-def _vectors(sample: DataFrame) -> Vectors:
-    words = _vocabulary(sample)
+def _vectors(docs: DataFrame) -> Vectors:
+    """Word vectors from the contexts of all documents. Sums are whole numbers, so they agree however rows are dealt."""
+    words = _vocabulary(docs)
     known = ["<?>", *words, *(f"<{k}{n}>" for k in ("9", "#", "X", "x", "Xx") for n in range(1, 13))]
     at = {w: i for i, w in enumerate(known)}
     own = np.stack([random_index(w) for w in known])
@@ -89,10 +96,12 @@ def _vectors(sample: DataFrame) -> Vectors:
 
     place = np.argsort(own == 0, axis=1, kind="stable")[:, :ENTRIES]  # a random index has ENTRIES entries
     sign = np.take_along_axis(own, place, axis=1)
+    dims = [f"d{i}" for i in range(DIM)]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sums of each partition, as one row."""
-        total, kept, n = np.zeros(len(known) * DIM), [], 0
+        """The sums of each task, a row for each word that it met."""
+        ends = np.zeros(REACH, np.int32)  # what stands before, between and after texts
+        total, kept, n = np.zeros(len(known) * DIM), [ends], 0
 
         def flush() -> None:
             x = np.concatenate(kept)
@@ -102,17 +111,21 @@ def _vectors(sample: DataFrame) -> Vectors:
 
         for batch in batches:
             for t in texts(batch.column(0)):
-                kept += [first.ids(tokens(t)), np.zeros(REACH, np.int32)]  # the filler parts two texts
+                kept += [first.ids(tokens(t)), ends]
                 n += len(kept[-2])
                 if n > 100_000:
                     flush()
-                    kept, n = [], 0
-        if kept:
-            flush()
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
-
-    parts = sample.select("text").mapInArrow(contexts, "sums binary").toLocalIterator()
-    total = sum((np.frombuffer(r.sums, np.float32).reshape(len(known), DIM) for r in parts), np.zeros((len(known), DIM), np.float32))
+                    kept, n = [ends], 0
+        flush()
+        total[:DIM] = 0  # the ends have no vector but their own
+        sums = total.reshape(-1, DIM).astype(np.int64)
+        met = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(sums[met, i]) for i in range(DIM))], ["w", *dims])
+
+    parts = docs.select("text").mapInArrow(contexts, f"w int, {', '.join(f'{d} long' for d in dims)}")
+    got = parts.groupBy("w").agg(*[F.sum(d).alias(d) for d in dims]).toArrow()  # a row for each known word
+    total = np.zeros((len(known), DIM), np.float32)
+    total[got["w"].to_numpy()] = np.stack([got[d].to_numpy() for d in dims], axis=1)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     return Vectors(at, (own / np.sqrt(ENTRIES) + total / np.maximum(norm, 1e-9)).astype(np.float32))
 
@@ -179,10 +192,14 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most FIT_ROWS labelled rows, word vectors included; an eighth of them only sets the temperature."""
-    # Few rows, but each is tokenised three times: dealt out over all cores.
-    sample = saved(labelled(docs, labels, "quality", FIT_ROWS)).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    vectors = _vectors(sample)
+    """Fit on at most FIT_ROWS labelled rows, an eighth of which only sets the temperature; word vectors come from all texts."""
+    picked = saved(labelled(docs, labels, "quality", FIT_ROWS))
+    held = {r.y: r.n for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(held) < 2:
+        return Model(None, None, float(next(iter(held))) if held else 0.5)
+    vectors = _vectors(docs.select(F.col("text").cast("string").alias("text")))
+    # Few rows, dealt out over all cores.
+    sample = picked.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +209,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     got = sample.select("text", "y", "doc_id").mapInArrow(pool, "x array<float>, y int, doc_id long").toPandas()
     got = got.sort_values(["doc_id", "y"], kind="stable")
     y = got["y"].to_numpy(int)
-    if not len(y) or y.min() == y.max():
-        return Model(None, None, float(y.mean()) if len(y) else 0.5)
     x = np.stack(got["x"].to_numpy()).astype(float)
     rest = np.arange(len(y)) % 8 == 7
     net = train(x[~rest], y[~rest])

@@ -24,6 +24,7 @@ SECOND_PERSON = frozenset("you your yours yourself ya u du dich dir dein deine d
 
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»¿¡…“”‘’–—"
 _PLAIN = str.maketrans("013457@$!|*", "oieastasil ")
+_LOUD = re.compile(r"(?<!\S)[^a-z\s]{3,}(?!\S)")
 _MIXED = re.compile(r"[^\W\d_]+[0-9@$!|*]+[^\W\d_]")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-]){3,}[^\W\d_](?!\S)")
 FEATURES = ("log_words", "insults", "log_insults", "learned", "log_learned", "starts", "log_starts", "second", "near_second", "capitals", "shouting", "exclaims", "asks", "punctuation", "obfuscated", "hidden")
@@ -49,7 +50,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     count = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
     marks = int(count[33:48].sum() + count[58:65].sum() + count[91:97].sum() + count[123:127].sum())
-    shouting = sum(len(w) > 2 and w.isupper() for w in text.split()) if upper > n else 0
+    shouting = sum(map(str.isupper, _LOUD.findall(text)))
     odd = _MIXED.findall(text) if count[48:58].any() or count[[33, 36, 42, 64, 124]].any() else []
     hidden = sum(w.translate(_PLAIN) in INSULTS for w in words if not w.isalpha()) if odd else 0
     odd_n = len(odd) + len(_SPACED.findall(text))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkseek.llm import quality as Q
 from sparkseek.llm import toxicity as T
-from sparkseek.llm._fit import temperature
+from sparkseek.llm._fit import labelled, temperature
 
 SF = "/root/testdata/sf0.1"
 
@@ -81,3 +81,78 @@ def test_features_of_texts():
     assert f["insults"] > 0 and f["second"] > 0 and f["near_second"] > 0 and f["capitals"] > 0.1
     assert f["obfuscated"] > 0 and f["hidden"] > 0 and f["exclaims"] > 0 and f["asks"] > 0
     assert T.features(" ", T.Lexicon()) == [0.0] * len(T.FEATURES)
+
+
+def test_quality_scores_equal_a_plain_computation(tables):
+    """Whole table: the mean vector word by word, then the network entry by entry."""
+    docs, labels = tables
+    docs = docs.where("doc_id < 400")
+    model = Q.fit(docs, labels)
+    at, table, net = model.vectors.at, model.vectors.table.astype(float), model.network
+    for r in Q.quality(docs, labels, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = Q.tokens(r.text or "")
+        n, x = len(words), [0.0] * Q.INPUTS
+        if n:
+            rows = [table[at[w] if w in at else at.get(Q.shape(w), 0)] for w in words]
+            lines = r.text.split("\n")
+            again = [sum(a == b for a, b in zip(words, words[d:], strict=False)) / n for d in (1, 2)]
+            x = [sum(v[i] for v in rows) / n for i in range(Q.DIM)] + [np.log1p(n) / 10, *again, 1 - len(set(lines)) / len(lines)]
+        x = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale, strict=True)]
+        hidden = [max(0.0, sum(v * net.w1[i, j] for i, v in enumerate(x)) + net.b1[j]) for j in range(len(net.b1))]
+        z = [(sum(h * net.w2[j, k] for j, h in enumerate(hidden)) + net.b2[k]) / net.t for k in range(2)]
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(z[0] - z[1], -700, 700)))) < 1e-3
+
+
+def test_word_vectors_are_of_all_documents(spark):
+    texts = [f"alpha beta{i % 3} gamma {'delta' if i % 2 else 'x'} alpha" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = Q._vectors(docs.repartition(5))
+    count = {}
+    for t in texts:
+        for w in set(Q.tokens(t)):
+            count[w] = count.get(w, 0) + 1
+    assert {w for w in got.at if not w.startswith("<")} == {w for w, n in count.items() if n >= 5}
+    total = {w: np.zeros(Q.DIM) for w in got.at}
+    name = lambda w: w if w in got.at else Q.shape(w)
+    for t in texts:
+        words = ["<?>", "<?>", *(name(w) for w in Q.tokens(t)), "<?>", "<?>"]
+        for i in range(2, len(words) - 2):
+            for j in range(i - Q.REACH, i + Q.REACH + 1):
+                if i != j:
+                    total[words[i]] += Q.random_index(words[j])
+    for w in ("alpha", "gamma", "delta", "beta", "x"):
+        extra = got.table[got.at[w]] - Q.random_index(w) / np.sqrt(Q.ENTRIES)
+        assert np.allclose(extra, total[w] / np.linalg.norm(total[w]), atol=1e-5)
+
+
+def test_toxicity_scores_equal_a_plain_walk(tables):
+    docs, labels = tables
+    docs = docs.where("doc_id < 1500")
+    model = T.fit(docs, labels)
+    xs, ps = model.knots if model.knots else (None, None)
+    for r in T.toxicity(docs, labels, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        x, z = T.features(r.text or "", model.lexicon), model.trees.base
+        for tree in model.trees.trees:
+            while not isinstance(tree, float):
+                tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+            z += tree
+        want = 1 / (1 + np.exp(-z))
+        if xs is not None:
+            k = int(np.searchsorted(xs, z, side="right"))
+            step = ps[0] if k == 0 else ps[-1] if k == len(xs) else ps[k - 1] + (ps[k] - ps[k - 1]) * (z - xs[k - 1]) / (xs[k] - xs[k - 1])
+            want = min(1.0, max(0.0, step * (1 - 1e-6) + 1e-6 * want))
+        assert abs(r.score - want) < 1e-9
+
+
+def test_shouting_counts_in_long_plain_texts():
+    at = T.FEATURES.index("shouting")
+    for text in ("plain words " * 300 + "SHUT UP NOW ÉTÉ A1B OK", "ABC", "ABCd eFG", "quiet", "X- -Y- --- 123 A-B"):
+        words = text.split()
+        assert T.features(text, T.Lexicon())[at] == sum(len(w) > 2 and w.isupper() for w in words) / len(words)
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = labelled(docs, labels, "quality", 100).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "text 0", 1), (2, "other", 0)]
