@@ -93,7 +93,11 @@ def clean_html(c: Column) -> Column:
 
 def length_norm(c: Column) -> Column:
     """Grows with the length of a field towards 1."""
-    return F.lit(1.0) - F.exp(-F.length(c) / F.lit(50.0))
+    return length_share(F.length(c))
+
+
+def length_share(n: Column) -> Column:
+    return F.lit(1.0) - F.exp(-n / F.lit(50.0))
 
 
 def term_count(c: Column, term: str) -> Column:
@@ -121,14 +125,31 @@ def least_distance(tokens: Column, a: str, b: str) -> Column:
     return F.aggregate(tokens, start, step)["best"]
 
 
-def proximity(tokens: Column, terms: Sequence[str]) -> Column:
-    """Mean over the pairs of terms of 2 minus a tenth of their least distance, at least 1."""
+def least_gap(a: Column, b: Column) -> Column:
+    """Least distance between two arrays of places, null if one is empty: one pass over both in order."""
+    none = F.lit(None).cast("int")
+    marks = F.sort_array(F.concat(F.transform(a, lambda p: F.struct(p.alias("p"), F.lit(0).alias("of"))), F.transform(b, lambda p: F.struct(p.alias("p"), F.lit(1).alias("of")))))
+
+    def step(s: Column, x: Column) -> Column:
+        first = x["of"] == 0
+        gap = F.when(first, x["p"] - s["b"]).otherwise(x["p"] - s["a"])
+        return F.struct(F.when(first, x["p"]).otherwise(s["a"]).alias("a"), F.when(first, s["b"]).otherwise(x["p"]).alias("b"), F.least(s["best"], gap).alias("best"))
+
+    return F.aggregate(marks, F.struct(none.alias("a"), none.alias("b"), none.alias("best")), step)["best"]
+
+
+def closeness(distances: Sequence[Column]) -> Column:
+    """Mean of 2 minus a tenth of each distance that is known, each at least 1; 1 if none is."""
     gain = lambda d: F.when(d.isNotNull(), F.greatest(F.lit(1.0), F.lit(2.0) - d * 0.1))
-    gains = [gain(least_distance(tokens, terms[i], terms[j])) for i in range(len(terms)) for j in range(i + 1, len(terms))]
-    known = F.filter(F.array(*gains), lambda g: g.isNotNull())
+    known = F.filter(F.array(*map(gain, distances)), lambda g: g.isNotNull())
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, g: s + g) / F.size(known)).otherwise(F.lit(1.0))
 
 
+def proximity(tokens: Column, terms: Sequence[str]) -> Column:
+    """Closeness of the pairs of terms by their least distance in the tokens."""
+    return closeness([least_distance(tokens, terms[i], terms[j]) for i in range(len(terms)) for j in range(i + 1, len(terms))])
+
+
 def snippet(text: Column, start: Column, end: Column, context: int = 60) -> Column:
     """Excerpt around a 0-based span with the span in ``<mark>``, and dots where text is cut off."""
     n = F.length(text)
@@ -182,15 +203,28 @@ def poly_hash(c: Column) -> Column:
 
 
 def detect_language(c: Column, lists: Mapping[str, Sequence[str]] = LANGUAGE_WORDS) -> Column:
-    """Language with the most distinct stop-words in a text; earlier ones win ties, the first is the default."""
+    """Language with the most distinct stop-words in a text; earlier ones win ties, the first is the default.
+
+    A stop-word stands between ends or other characters than ASCII letters, digits and underscores. The text is
+    split once for all words of such characters; any other word is looked for only where the text contains it.
+    """
     low = F.lower(c)
+    plain = {k: [w for w in ws if re.fullmatch("[a-z0-9_]+", w)] for k, ws in lists.items()}
     edge = lambda w: f"(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)"
-    counts = {k: sum((low.rlike(edge(w)).cast("int") for w in ws), F.lit(0)) for k, ws in lists.items()}
-    best = F.greatest(*counts.values())
-    out = F.lit(next(iter(lists)))
-    for k in reversed(list(lists)):
-        out = F.when((counts[k] == best) & (best > 0), F.lit(k)).otherwise(out)
-    return out
+    rare = {k: [(low.contains(w) & low.rlike(edge(w))).cast("int") for w in ws if w not in plain[k]] for k, ws in lists.items()}
+
+    def best(tokens: Column) -> Column:
+        n = {k: sum(rare[k], F.size(F.array_intersect(F.array(*map(F.lit, ws)), tokens)) if ws else F.lit(0)) for k, ws in plain.items()}
+        top = F.greatest(*n.values()) if len(n) > 1 else next(iter(n.values()))
+        out = F.lit(next(iter(lists)))
+        for k in reversed(list(lists)):
+            out = F.when((n[k] == top) & (top > 0), F.lit(k)).otherwise(out)
+        return out
+
+    every = F.array(*[F.lit(w) for w in dict.fromkeys(w for ws in plain.values() for w in ws)])
+    # Bound once, for each language to meet only the stop-words that the text has.
+    held = F.array_intersect(every, F.split(low, "[^a-z0-9_]+"))
+    return F.when(c.isNotNull(), F.transform(F.array(held), best)[0])
 
 
 def tokenize_language(c: Column, lang: Column) -> Column:

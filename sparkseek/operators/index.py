@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as X
+from sparkseek.sources import scratch
 
 FIELDS = ("heading", "body", "label", "breadcrumb")
 
@@ -34,24 +35,83 @@ def postings(records: DataFrame) -> DataFrame:
     return rows.groupBy("term", "seq").agg(F.count("*").alias("tf"))
 
 
-def save(records: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write the records, and the postings dealt by term hash, so that a look-up reads one folder and few row groups."""
-    records.write.mode("overwrite").parquet(f"{path}/records")
-    rows = postings(records).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "seq").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+def positions(records: DataFrame) -> DataFrame:
+    """A row for each record and word of it: all that a search needs to score the record by that word.
+
+    ``tf`` counts as :func:`postings` does; ``words`` are its occurrences in the body, folded ones included, ``label`` says
+    whether it is the label; ``in_heading`` and ``in_body`` are its places among the words of a field, of any length. All
+    words of a record are in one task, so a partial aggregate leaves one row for each before anything is dealt out.
+    """
+    h, b = X.words(F.col("heading")), X.words(F.col("body"))
+    cell = lambda t, p, f: F.struct(t.alias("term"), p.cast("int").alias("p"), F.lit(f).alias("f"))
+    folded = F.filter(F.transform(b, lambda w: F.when(X.fold(w) != w, X.fold(w))), lambda w: w.isNotNull())
+    none = F.lit(None)
+    cells = F.concat(
+        F.transform(h, lambda w, i: cell(w, i, 0)),
+        F.transform(b, lambda w, i: cell(w, i, 1)),
+        F.transform(folded, lambda w: cell(w, none, 2)),
+        F.when(F.length("label") >= 2, F.array(cell(F.lower("label"), none, 3))).otherwise(F.array().cast("array<struct<term:string,p:int,f:int>>")),
+    )
+    rows = records.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.size(h).alias("heading_words"), F.explode(cells).alias("c")).select("*", "c.*").where("term <> ''")
+    word = F.col("f").isin(1, 2) & (F.length("term") >= 3)
+    at = lambda f: F.sort_array(F.collect_list(F.when(F.col("f") == f, F.col("p"))))
+    sizes = [F.first(c).alias(c) for c in ("heading_length", "body_length", "heading_words")]
+    found = rows.groupBy("term", "seq").agg(F.count_if(word).cast("int").alias("words"), F.max(F.col("f") == 3).alias("label"), at(0).alias("in_heading"), at(1).alias("in_body"), *sizes)
+    return found.withColumn("tf", (F.col("words") + F.col("label").cast("int")).cast("long"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27) -> None:
+    """Write the records by sequence number, and postings, frequencies, headings and statistics for searches.
+
+    Postings and frequencies are dealt by ranges of (bucket, term, seq), so a common term spreads over as many
+    files as it needs, and a look-up reads one folder and the row groups of its term. Buckets and files follow the
+    characters of the corpus: one bucket for 2 GB, one file for ``per_file``.
+    """
     spark = records.sparkSession
-    spark.createDataFrame([(1, buckets)], "version int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    chars = F.coalesce(F.length("body") + F.length("heading"), F.lit(0))
+    known = records.agg(F.count("*").alias("records"), F.avg(F.length("body") + F.length("heading")).alias("mean"), F.sum(chars).alias("chars")).first()
+    buckets = buckets or max(4, min(4096, (known.chars or 0) >> 31))
+    files = max(spark.sparkContext.defaultParallelism, (known.chars or 0) // per_file)
+    records.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{path}/records")
+    rows = load(spark, path)
+    for name, table, keys in (("postings", positions(rows), ["term", "seq"]), ("frequencies", occurrences(rows), ["term", "field"])):
+        dealt = table.withColumn("bucket", _bucket(buckets)).repartitionByRange(max(files, buckets), "bucket", *keys)
+        dealt.sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    h = F.lower("heading")
+    heads = rows.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.explode(F.array_distinct(F.array(h, X.fold(h)))).alias("key"))
+    heads.where("key <> ''").repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/headings")
+    spark.createDataFrame([(2, buckets, known.records, known["mean"])], "version int, buckets int, records long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/records")
 
 
+def meta(spark: SparkSession, path: str) -> dict:
+    """Version, buckets, records and mean length of a saved index."""
+    return spark.read.parquet(f"{path}/meta").first().asDict()
+
+
+def of_terms(spark: SparkSession, path: str, table: str, terms: Sequence[str]) -> DataFrame:
+    """Rows of some terms: their folders are pruned, and the terms are pushed down to the scan."""
+    buckets = meta(spark, path)["buckets"]
+    ids = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(buckets).alias("b")).distinct().collect() if terms else []
+    rows = spark.read.parquet(f"{path}/{table}")
+    return rows.where(F.col("bucket").isin([r.b for r in ids]) & F.col("term").isin(list(terms)))
+
+
 def lookup(spark: SparkSession, path: str, term: str) -> DataFrame:
-    """Postings of one term: the folder is pruned, and the term is pushed down to the scan."""
-    buckets = spark.read.parquet(f"{path}/meta").first()["buckets"]
-    rows = spark.read.parquet(f"{path}/postings")
-    return rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(buckets)).cast("int")) & (F.col("term") == term)).select("term", "seq", "tf")
+    """Postings of one term."""
+    return of_terms(spark, path, "postings", [term]).where("tf > 0").select("term", "seq", "tf")
+
+
+def cleared(spark: SparkSession, path: str) -> bool:
+    """Delete a saved index; whether there was one."""
+    return scratch.delete(spark, path)
 
 
 def facets(records: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,58 +43,71 @@ class Options:
     pool: int = 100
     clicks: DataFrame | None = None  # query, record_id, count
     popularity_boost: float = 1.2
+    stats: Callable[[Sequence[str]], Mapping[str, float]] | None = None  # stored statistics, in place of a pass over the records
 
 
-def _stats(records: DataFrame, terms: Sequence[str]) -> dict[str, float]:
+def _stats(records: DataFrame, terms: Sequence[str], opts: Options) -> Mapping[str, float]:
     """Rows, mean length, and the occurrences of each term by field: one aggregate, one row to the driver."""
+    if opts.stats:
+        return opts.stats(terms)
     aggs = [F.count("*").alias("n"), F.avg(F.length("body") + F.length("heading")).alias("mean")]
     for i, t in enumerate(terms):
         aggs += [F.sum(X.term_count(F.col(c), t) if len(t) >= 2 else F.lit(0)).alias(f"{c}{i}") for c in FIELDS]
     return records.agg(*aggs).first().asDict()
 
 
-def _bm25(df: float, stats: dict, opts: Options) -> Column:
+def _bm25(df: float, size: Column, stats: Mapping, opts: Options) -> Column:
     idf = F.log((F.lit(float(stats["n"])) - df + 0.5) / (df + 0.5) + 1)
-    norm = 1 - opts.b + opts.b * ((F.length("heading") + F.length("body")) / F.lit(stats["mean"] or 50.0))
+    norm = 1 - opts.b + opts.b * (size / F.lit(stats["mean"] or 50.0))
     return idf * ((opts.k1 + 1) / (1 + opts.k1 * norm))
 
 
+def staged(exact: Column, prefix: Column, held: Sequence[Column]) -> tuple[Column, Column]:
+    """Stage (0 exact heading, 1 heading prefix, 2 words, else null) and the place of the first word held in stage 2."""
+    stage, place = F.when(exact, 0).when(prefix, 1), F.lit(0)
+    for i in reversed(range(len(held))):
+        place = F.when(held[i], F.lit(i)).otherwise(place)
+    for h in held:
+        stage = F.coalesce(stage, F.when(h, 2))
+    return stage, F.when(stage == 2, place).otherwise(F.lit(0))
+
+
+def direct_score(heading: Column, body: Column, terms: Sequence[str], opts: Options, stats: Callable[[], Mapping]) -> Column:
+    """Score of a row from its ``stage``, ``word_pos`` and the lengths of its heading and body, before boosts."""
+    w = WEIGHTS | dict(opts.weights)
+    base = F.when(F.col("stage") == 0, 100.0).when(F.col("stage") == 1, 50.0).otherwise(20.0)
+    if opts.scoring == "bm25":
+        known = stats()
+        df = lambda i: float(known[f"body{i}"] or 0) or 1.0
+        score = _bm25(df(0), heading + body, known, opts)
+        for i in range(len(terms)):
+            score = F.when((F.col("stage") == 2) & (F.col("word_pos") == i), _bm25(df(i + 1), heading + body, known, opts)).otherwise(score)
+        return base * score
+    by_heading = base * w["heading"] * (1 + X.length_share(heading))
+    return F.when(F.col("stage") < 2, by_heading).otherwise(base * w["body"] * (1 + X.length_share(body)))
+
+
 def direct(records: DataFrame, query: str, opts: Options) -> DataFrame:
     """Exact heading, heading prefix, then body words; each record counts once, at its best stage."""
     q = X.fold_text(query.strip()).lower()
-    terms, w = q.split(), WEIGHTS | dict(opts.weights)
+    terms = q.split()
     h, b, label = F.lower("heading"), F.lower("body"), F.lower("label")
     hf = X.fold(h)
     exact = (F.length("heading") >= 2) & ((h == q) | (hf == q))
     prefix = (h.startswith(q) | hf.startswith(q)) if len(q) >= 2 else F.lit(False)
-    stage, place = F.when(exact, 0).when(prefix, 1), F.lit(0)
     hit = lambda t: F.array_contains(F.split(b, X.SPACES), t)
     accented = lambda t: (F.length(b) != F.octet_length(b)) & F.array_contains(F.split(X.fold(b), X.SPACES), t)
-    for i in reversed(range(len(terms))):
-        t = terms[i]
-        held = ((b.contains(t) & hit(t)) | accented(t)) if len(t) >= 3 else F.lit(False)
-        held = held | ((label == t) if len(t) >= 2 else F.lit(False))
-        place = F.when(held, F.lit(i)).otherwise(place)
-        stage = stage.when(held, 2) if i == len(terms) - 1 else F.coalesce(stage, F.when(held, 2))
-    base = F.when(F.col("stage") == 0, 100.0).when(F.col("stage") == 1, 50.0).otherwise(20.0)
-    rows = records.withColumn("stage", stage).where("stage IS NOT NULL").withColumn("word_pos", F.when(F.col("stage") == 2, place).otherwise(F.lit(0)))
-    if opts.scoring == "bm25":
-        stats = _stats(records, [q, *terms])
-        df = lambda i: float(stats[f"body{i}"] or 0) or 1.0
-        score = _bm25(df(0), stats, opts)
-        for i in range(len(terms)):
-            score = F.when((F.col("stage") == 2) & (F.col("word_pos") == i), _bm25(df(i + 1), stats, opts)).otherwise(score)
-        raw = base * score
-    else:
-        by_heading = base * w["heading"] * (1 + X.length_norm(F.col("heading")))
-        raw = F.when(F.col("stage") < 2, by_heading).otherwise(base * w["body"] * (1 + X.length_norm(F.col("body"))))
+    word = lambda t: ((b.contains(t) & hit(t)) | accented(t)) if len(t) >= 3 else F.lit(False)
+    stage, place = staged(exact, prefix, [word(t) | ((label == t) if len(t) >= 2 else F.lit(False)) for t in terms])
+    rows = records.withColumns({"stage": stage, "word_pos": place}).where("stage IS NOT NULL")
+    raw = direct_score(F.length("heading"), F.length("body"), terms, opts, lambda: _stats(records, [q, *terms], opts))
     return boosted(rows.withColumn("raw", raw), terms)
 
 
 def bm25f(records: DataFrame, query: str, opts: Options) -> DataFrame:
     """Field-weighted BM25 of all terms; rows without any term drop out."""
     terms, w = X.fold_text(query.strip()).lower().split(), WEIGHTS | dict(opts.weights)
-    stats = _stats(records, terms)
+    stats = _stats(records, terms, opts)
     size = sum((F.coalesce(F.length(c), F.lit(0)) * F.lit(float(w[c])) for c in FIELDS), F.lit(0.0))
     norm = 1 - opts.b + opts.b * (size / F.lit(stats["mean"] or 50.0))
     total = F.lit(0.0)
@@ -112,8 +127,11 @@ def boosted(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
         return rows
     h, b = X.words(F.col("heading")), X.words(F.col("body"))
     every = lambda tokens: F.size(F.array_except(F.array(*map(F.lit, terms)), tokens)) == 0
-    near = F.when(every(h) | every(b), X.proximity(F.concat(h, b), terms)).otherwise(F.lit(1.0))
-    return rows.withColumn("raw", F.col("raw") * F.when(X.has_phrase(h, terms) | X.has_phrase(b, terms), F.lit(1.5)).otherwise(near))
+    return rows.withColumn("raw", F.col("raw") * boost(X.has_phrase(h, terms) | X.has_phrase(b, terms), every(h) | every(b), X.proximity(F.concat(h, b), terms)))
+
+
+def boost(phrase: Column, every: Column, near: Column) -> Column:
+    return F.when(phrase, F.lit(1.5)).otherwise(F.when(every, near).otherwise(F.lit(1.0)))
 
 
 def popular(rows: DataFrame, query: str, opts: Options) -> DataFrame:
@@ -124,11 +142,40 @@ def popular(rows: DataFrame, query: str, opts: Options) -> DataFrame:
     return rows.join(clicks, "id", "left").withColumn("raw", F.col("raw") * boost).drop("clicks")
 
 
+def window_distance(q: str, distance: int):
+    """A pandas UDF: least edit distance between ``q`` and any stretch of its length in a text, null beyond ``distance``.
+
+    The usual table of distances is filled for all stretches of a text at once, so time grows with the length of the text.
+    """
+    asked, n = np.array([ord(c) for c in q], np.uint32), len(q)
+
+    def least(text: str | None) -> int | None:
+        if text is None or n == 0:
+            return None
+        a, best = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), distance + 1
+        for at in range(0, len(a) - n + 1, 1 << 16):
+            part = np.lib.stride_tricks.sliding_window_view(a[at : at + (1 << 16) + n - 1], n)
+            row = [np.full(len(part), j, np.int16) for j in range(n + 1)]
+            for i in range(n):
+                before, row[0] = row[0], np.full(len(part), i + 1, np.int16)
+                for j in range(1, n + 1):
+                    step = np.minimum(np.minimum(row[j], row[j - 1]) + np.int16(1), before + (part[:, i] != asked[j - 1]))
+                    before, row[j] = row[j], step
+            best = min(best, int(row[n].min()))
+        return best if best <= distance else None
+
+    @F.pandas_udf("int")
+    def udf(texts: pd.Series) -> pd.Series:
+        return texts.map(least, na_action="ignore").astype("Int32")
+
+    return udf
+
+
 def fuzzy(records: DataFrame, query: str, distance: int, opts: Options) -> DataFrame:
     """Rows within ``distance`` edits of the query: the heading as a whole, else the best window of the body.
 
     Only rows that own an index key of nearly the query's length are compared. A window within d edits
-    holds one of d + 1 pieces of the query verbatim, which is tested before any distance is computed.
+    holds one of d + 1 pieces of the query verbatim; only bodies that hold one leave the JVM.
     """
     q, w, n = query.strip().lower(), WEIGHTS | dict(opts.weights), len(query.strip())
     low = records.withColumn("h", F.lower("heading")).withColumn("b", F.lower("body"))
@@ -139,14 +186,13 @@ def fuzzy(records: DataFrame, query: str, distance: int, opts: Options) -> DataF
     held = F.lit(False)
     for p in pieces:
         held = held | F.col("b").contains(p)
-    by_heading = F.levenshtein("h", F.lit(q), distance)
+    by_heading = F.levenshtein("h", F.lit(q), distance)  # -1 beyond the bound
     if distance == 1:
         by_heading = F.when(~F.col("h").contains(q), by_heading)
-    windows = F.transform(F.sequence(F.lit(1), F.length("b") - n + 1), lambda i: F.levenshtein(F.substring("b", i, F.lit(n)), F.lit(q), distance))
-    # 3-argument levenshtein is -1 beyond the bound.
-    by_body = F.when(held & (F.length("b") >= n), F.array_min(F.filter(windows, lambda d: d >= 0)))
+    near = F.coalesce(F.col("hd"), F.lit(-1)) >= 0
+    rows = low.where(owner).withColumn("hd", by_heading).where(near | held)
+    rows = rows.withColumn("bd", window_distance(q, distance)(F.when(~near, F.col("b"))))
     top = {1: (60.0, 40.0), 2: (30.0, 20.0)}[distance]
-    rows = low.where(owner).withColumn("hd", by_heading).withColumn("bd", F.when(F.coalesce(F.col("hd"), F.lit(-1)) < 0, by_body))
     close = lambda d, c: 1 - F.col(d) / F.greatest(F.lit(n), F.length(c))
     from_heading = close("hd", "h") * top[0] * w["heading"] * (1 + X.length_norm(F.col("heading")))
     from_body = close("bd", "b") * top[1] * w["body"] * (1 + X.length_norm(F.col("body")))
@@ -229,9 +275,13 @@ def ranked(records: DataFrame, query: str, opts: Options | None = None, **knobs)
 def search(records: DataFrame, query: str, opts: Options | None = None, **knobs) -> DataFrame:
     """The best ``limit`` records: ``seq, id, heading, type, stage, raw, score`` (1 - raw / 200, held to 0 to 1)."""
     opts = replace(opts or Options(), **knobs)
+    return shown(ranked(records, query, opts).limit(opts.limit), opts)
+
+
+def shown(rows: DataFrame, opts: Options) -> DataFrame:
     top = 100.0 if opts.scoring == "bm25" else 200.0
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("raw") / top))
-    return ranked(records, query, opts).limit(opts.limit).select("seq", "id", "heading", "type", "stage", F.round("raw", 6).alias("raw"), F.round(score, 6).alias("score"))
+    return rows.select("seq", "id", "heading", "type", "stage", F.round("raw", 6).alias("raw"), F.round(score, 6).alias("score"))
 
 
 def total(records: DataFrame, query: str, **knobs) -> DataFrame:
@@ -243,10 +293,13 @@ def page(records: DataFrame, query: str, cursor: str | None = None, size: int =
     """A page of the ranking with ``total``, ``next_cursor`` and ``has_more`` on each row."""
     at, size = max(0, int(cursor or 0)), max(1, size)
     rows = ranked(records, query, **knobs)
-    n = rows.count()
+    return paged(rows.offset(at).limit(size), at, size, rows.count())
+
+
+def paged(rows: DataFrame, at: int, size: int, n: int) -> DataFrame:
     more = at + size < n
-    part = rows.offset(at).limit(size).select("seq", "id", F.round("raw", 6).alias("raw"))
-    return part.withColumns({"total": F.lit(n).cast("long"), "has_more": F.lit(more), "next_cursor": F.lit(str(at + size) if more else None).cast("string")})
+    rows = rows.select("seq", "id", F.round("raw", 6).alias("raw"))
+    return rows.withColumns({"total": F.lit(n).cast("long"), "has_more": F.lit(more), "next_cursor": F.lit(str(at + size) if more else None).cast("string")})
 
 
 def category(records: DataFrame, query: str, kinds: Sequence[str], limit: int = 8, pool: int = 100) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sparkseek.operators import extract as E
@@ -13,6 +10,7 @@ from sparkseek.operators import logs as G
 from sparkseek.plans.registry import DOCS, PARTS, query, values
 from sparkseek.sources import corpus as C
 from sparkseek.sources.corpus import documents, parts, table
+from sparkseek.sources.scratch import folder, is_folder
 from sparkseek.streaming import live as V
 
 
@@ -24,19 +22,11 @@ def postings(spark, sf):
 
 @query(f"""WITH {PARTS} SELECT lower(label) AS term, seq, 2 AS tf FROM d WHERE lower(label) = 'brand#11'""")
 def postings_lookup(spark, sf):
-    path = _folder(spark)
+    path = folder(spark)
     I.save(parts(spark, sf), path, buckets=4)
     return I.lookup(spark, path, "brand#11")
 
 
-def _folder(spark) -> str:
-    """A folder of this query in the session's shared one; a temporary one in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkseek-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query(f"WITH {DOCS} SELECT term, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(body), '\\s+')) AS term FROM d) WHERE length(term) >= 2 GROUP BY term")
 def doc_freq(spark, sf):
     return I.frequencies(documents(spark, sf))
@@ -147,7 +137,7 @@ def serialize_roundtrip(spark, sf):
 
 @query(f"WITH {PARTS} SELECT seq, id, heading, type FROM d")
 def save_load(spark, sf):
-    path = _folder(spark)
+    path = folder(spark)
     I.save(parts(spark, sf), path, buckets=4)
     return I.load(spark, path).select("seq", "id", "heading", "type")
 
@@ -306,17 +296,13 @@ def pagination_merge(spark, sf):
 
 
 def _streamed(spark, sf, plan):
-    """Run a streaming plan over the events table as one available-now stream and return its table."""
-    source = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parquet" if _is_folder(spark, f"{sf}/events.parquet") else f"{sf}/events*.parquet")
-    name = f"s_{uuid.uuid4().hex}"
-    run = plan(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    """Run a streaming plan over the events table as one available-now stream into a folder, and read that."""
+    path, to = f"{sf}/events.parquet", folder(spark)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if is_folder(spark, path) else f"{sf}/events*.parquet")
+    out = plan(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    run = out.writeStream.format("parquet").option("path", f"{to}/rows").outputMode("append").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
-
-
-def _is_folder(spark, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+    return spark.read.schema(out.schema).parquet(f"{to}/rows")
 
 
 @query("""WITH w AS (SELECT date_trunc('hour', ts) AS w, event_type AS query FROM events WHERE ts IS NOT NULL), m AS (SELECT max(ts) AS last FROM events)
@@ -339,7 +325,7 @@ def analytics_counts(spark, sf):
 
 @query("SELECT count(*) + 1 AS lines, 1 AS heads FROM part")
 def static_export(spark, sf):
-    path = _folder(spark)
+    path = folder(spark)
     I.static_export(parts(spark, sf).select("seq", "id", "heading"), path, "hugo")
     lines = spark.read.option("wholetext", False).text(path)
     return lines.agg((F.count_if(F.col("value").startswith("{")) + F.count_if(F.col("value") == "search_index: true")).alias("lines"), F.count_if(F.col("value") == "search_index: true").alias("heads"))
@@ -347,7 +333,7 @@ def static_export(spark, sf):
 
 @query("SELECT count(*) AS nodes, count(DISTINCT url) AS urls FROM pages")
 def site_graph_saved(spark, sf):
-    pages, path = table(spark, sf, "pages"), _folder(spark)
+    pages, path = table(spark, sf, "pages"), folder(spark)
     pages.select("url", "page_id").write.parquet(f"{path}/nodes")
     E.graph_edges(E.links(pages), pages).write.parquet(f"{path}/edges")
     return spark.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes"), F.countDistinct("url").alias("urls"))
