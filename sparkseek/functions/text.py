@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,6 +79,22 @@ def tokenize(c: Column, stop: Sequence[str] = STOP_WORDS, stemmed: bool = True)
     return F.transform(tokens, stem) if stemmed else tokens
 
 
+def without(stop: Sequence[str] = STOP_WORDS):
+    """A token filter that drops stop-words."""
+    return lambda t: F.when(~t.isin(*stop), t)
+
+
+def filtered_tokens(c: Column, filters: Sequence[Callable[[Column], Column]], split: str = r"[^\p{L}\p{N}]+") -> Column:
+    """Lower-case tokens through a caller's filters in turn: each maps a token to a token, or to null, which drops it.
+
+    ``without()``, ``fold`` and ``stem`` are the common ones.
+    """
+    tokens = F.filter(F.split(F.lower(c), split), lambda t: t != "")
+    for f in filters:
+        tokens = F.filter(F.transform(tokens, f), lambda t: t.isNotNull() & (t != ""))
+    return tokens
+
+
 def strip_tags(c: Column) -> Column:
     """Drop tags (an unclosed one takes the rest), collapse white space; entities stay."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*(>|$)", ""), SPACES, " "))
@@ -194,8 +210,10 @@ def soundex(c: Column) -> Column:
     return F.when(word == "", F.lit("")).otherwise(F.rpad(F.substring(F.concat(F.substring(word, 1, 1), F.array_join(kept, "")), 1, 4), 4, "0"))
 
 
-def poly_hash(c: Column) -> Column:
-    """Polynomial hash by 31 in wrapping 32 bits, absolute, in base 36."""
+def poly_hash(c: Column, first: int | None = None) -> Column:
+    """Polynomial hash by 31 in wrapping 32 bits, absolute, in base 36, of a whole text, or of its ``first`` characters."""
+    if first is not None:
+        c = F.substring(c, 1, first)
     two32, two31 = F.lit(1 << 32), F.lit(1 << 31)
     step = lambda h, ch: F.pmod(h * 31 + F.ascii(ch) + two31, two32) - two31
     h = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0).cast("long"), step)

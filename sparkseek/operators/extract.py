@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as X
 from sparkseek.functions import urls as U
+from sparkseek.sources.scratch import folder
 
 HEADING = r"(?is)^<h([1-6])([^>]*)>(.*?)</h[1-6]>"
 FILES = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "csv")
@@ -122,39 +124,60 @@ def sitemap_locations(maps: DataFrame) -> DataFrame:
 
 
 def reachable(start: str, edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """``url, depth`` of what can be reached over ``edges(from_url, to_url)``: one recursive query, cycles end it."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_reach_edges")
-    bound = "" if depth is None else f"AND r.depth < {int(depth)}"
-    begin = start.replace("'", "''")
-    return spark.sql(f"""
-        WITH RECURSIVE r(url, depth, seen) AS (
-          SELECT '{begin}', 0, array('{begin}')
-          UNION ALL
-          SELECT e.to_url, r.depth + 1, array_append(r.seen, e.to_url)
-          FROM r JOIN _reach_edges e ON e.from_url = r.url WHERE NOT array_contains(r.seen, e.to_url) {bound})
-        SELECT url, min(depth) AS depth FROM r GROUP BY url""")
-
-
-def frontier(start: DataFrame, edges: DataFrame, most: int = 500, depth: int = 64) -> DataFrame:
-    """Breadth-first crawl order by joins of the newest pages with the links: ``url, depth``, at most ``most`` pages.
-
-    For graphs too large for paths: each level is one join and one anti-join, cut off by a checkpoint when
-    the session has a checkpoint folder.
+    """``url, depth`` of all that can be reached over ``edges(from_url, to_url)`` from one URL."""
+    return frontier(edges.sparkSession.createDataFrame([(start,)], "url string"), edges, None, depth)
+
+
+def frontier(start: DataFrame, edges: DataFrame, most: int | None = 500, depth: int | None = None) -> DataFrame:
+    """Breadth-first crawl order: ``url, depth``, at most ``most`` pages, by depth, then URL."""
+    return levels(start.select(F.lit("").alias("seed"), "url"), edges, most, depth).select("url", "depth").orderBy("depth", "url")
+
+
+def levels(seeds: DataFrame, edges: DataFrame, most: int | None = 500, depth: int | None = None) -> DataFrame:
+    """``seed, url, depth`` of what each of ``seeds(seed, url)`` reaches over ``edges(from_url, to_url)``, level by level.
+
+    A level is one join and one anti-join over written tables, so neither plans nor paths grow, and cycles end.
+    With ``most``, each seed keeps that many pages, by depth, then URL, and goes no deeper once it has them.
     """
-    seen = start.select("url", F.lit(0).alias("depth")).distinct()
-    newest = seen
-    for level in range(1, depth + 1):
-        found = newest.join(edges, F.col("url") == F.col("from_url")).select(F.col("to_url").alias("url")).distinct()
-        newest = found.join(seen, "url", "left_anti").withColumn("depth", F.lit(level))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            newest = newest.checkpoint()
-        if newest.limit(1).isEmpty():
-            break
-        seen = seen.unionByName(newest)
-        if seen.count() >= most:
+    spark, path = edges.sparkSession, folder(edges.sparkSession)
+    links = edges.select("from_url", "to_url").distinct()
+    links.write.parquet(f"{path}/links")
+    links = spark.read.parquet(f"{path}/links")
+    seeds.select("seed", "url", F.lit(0).alias("depth")).distinct().write.parquet(f"{path}/levels/n=0")
+    kept = "seed string, url string, depth int"
+    level = 0
+    while depth is None or level < depth:
+        seen = spark.read.schema(kept).parquet(*[f"{path}/levels/n={i}" for i in range(level + 1)])
+        newest = spark.read.schema(kept).parquet(f"{path}/levels/n={level}")
+        found = newest.join(links, F.col("url") == F.col("from_url")).select("seed", F.col("to_url").alias("url")).distinct()
+        found = found.join(seen, ["seed", "url"], "left_anti")
+        if most is not None:
+            held = seen.groupBy("seed").agg(F.count("*").alias("held")).where(F.col("held") < most)
+            found = found.join(held.select("seed"), "seed", "left_semi")
+        level += 1
+        found.select("seed", "url", F.lit(level).alias("depth")).write.parquet(f"{path}/levels/n={level}")
+        if spark.read.schema(kept).parquet(f"{path}/levels/n={level}").isEmpty():
             break
-    return seen.orderBy("depth", "url").limit(most)
+    out = spark.read.schema(kept).parquet(*[f"{path}/levels/n={i}" for i in range(level + 1)])
+    if most is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "url"))  # a level more than ``most`` rows a seed
+    return out.withColumn("_i", place).where(F.col("_i") <= most).drop("_i")
+
+
+def crawl(seeds: DataFrame, pages: DataFrame, closed: DataFrame | None = None, most: int | None = 500, depth: int | None = None) -> DataFrame:
+    """``seed, url, depth``: the same-origin crawl from each of ``seeds(url)`` over the links of ``pages(page_id, url, html)``.
+
+    URLs are normalised; pages of another origin and paths that ``closed(origin, path)`` disallows are not visited.
+    """
+    steps = links(pages).where("type = 'section'").join(pages.select("page_id", "url"), "page_id")
+    steps = steps.select(U.normalize(F.col("url")).alias("from_url"), U.normalize(F.col("target")).alias("to_url"))
+    steps = steps.where(U.origin(F.col("from_url")) == U.origin(F.col("to_url")))
+    start = seeds.select(U.normalize(F.col("url")).alias("url"))
+    if closed is not None:
+        steps = allowed(steps.withColumn("url", F.col("to_url")), closed).drop("url")
+        start = allowed(start, closed)
+    return levels(start.select(F.col("url").alias("seed"), "url"), steps, most, depth)
 
 
 def sitemap_children(maps: DataFrame) -> DataFrame:
@@ -185,10 +208,27 @@ def allowed(urls: DataFrame, closed: DataFrame) -> DataFrame:
     return rows.join(closed, hit, "left_anti").select(*urls.columns)
 
 
-def graph_edges(links_of: DataFrame, pages: DataFrame) -> DataFrame:
-    """Edges of the site graph: links to the same origin, by page."""
-    rows = links_of.where("type = 'section'").join(pages.select("page_id", "url"), "page_id")
-    return rows.select(F.col("url").alias("from_url"), F.col("text").alias("action"), F.col("target").alias("to_url"))
+def graph_edges(pages: DataFrame) -> DataFrame:
+    """``from_url, action, to_url, effect, destructive``: the site graph of ``pages(page_id, url, html)``.
+
+    Headings lead to their part of the page, links to pages of the same origin. Actions and form fields lead nowhere:
+    their ``effect`` is dom-action or field-input, and actions say whether they are destructive.
+    """
+    none, here = F.lit(None).cast("string"), pages.select("page_id", "url")
+    parts = sections(pages).join(here, "page_id").select(F.col("url").alias("from_url"), F.col("heading").alias("action"), F.col("id").alias("to_url"))
+    steps = links(pages).join(here, "page_id").where(F.startswith("target", U.origin(F.col("url"))))
+    steps = steps.select(F.col("url").alias("from_url"), F.col("text").alias("action"), F.col("target").alias("to_url"))
+    moves = parts.unionByName(steps).select("*", none.alias("effect"), F.lit(None).cast("boolean").alias("destructive"))
+    acts = dom_records(pages).where(F.col("type").isin("action", "field")).join(here, "page_id")
+    effect = F.when(F.col("type") == "field", "field-input").otherwise("dom-action")
+    danger = F.when(F.col("type") == "action", X.is_destructive(F.col("heading")))
+    return moves.unionByName(acts.select(F.col("url").alias("from_url"), F.col("heading").alias("action"), none.alias("to_url"), effect.alias("effect"), danger.alias("destructive")))
+
+
+def sitemap_candidates(base: Column, configured: str = "sitemap.xml") -> Column:
+    """Distinct URLs at which the sitemap of a page may be."""
+    other = ["./sitemap.xml"] if not configured.startswith("/") else ["sitemap.xml"] if configured == "/sitemap.xml" else []
+    return F.array_distinct(F.array(*[U.resolve(F.lit(v), base) for v in (configured, *other)]))
 
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -276,8 +316,21 @@ def _selectors(dom: _Dom, node: list) -> list[str]:
     return list(dict.fromkeys([*out, _path(node), f"xpath=//{node[0]}[{place}]"]))
 
 
-def _is_action(n: list) -> bool:
-    return n[0] in ("button", "summary") or n[1].get("role") == "button" or n[0] == "input" and n[1].get("type") in ("button", "submit") or "data-action" in n[1]
+#: The attribute by which pages mark further elements as actions.
+MARKED = "data-action"
+
+
+def _is_action(n: list, marked: str) -> bool:
+    return n[0] in ("button", "summary") or n[1].get("role") == "button" or n[0] == "input" and n[1].get("type") in ("button", "submit") or marked in n[1]
+
+
+_FOCUSABLE = frozenset("a button input textarea select summary".split())
+_ROLES = frozenset("button link tab menuitem checkbox radio combobox option".split())
+
+
+def _is_focusable(n: list, marked: str) -> bool:
+    tab = n[1].get("tabindex", "").strip()
+    return n[0] in _FOCUSABLE or n[1].get("role") in _ROLES or "contenteditable" in n[1] or bool(re.fullmatch(r"\+?\d+", tab)) or marked in n[1]
 
 
 def _field_label(dom: _Dom, node: list) -> str:
@@ -304,11 +357,11 @@ _FORM, _AREA = frozenset(["form"]), frozenset("h1 h2 h3 h4 h5 h6 article section
 _FIGURE = frozenset(["figure"])
 
 
-def dom_rows(html: str) -> list[tuple]:
+def dom_rows(html: str, marked: str = MARKED) -> list[tuple]:
     """``type, heading, breadcrumb, body, selectors, value, transcript`` of actions, fields and media, in that order."""
     dom, out = _Dom(html), []
     for n in dom.all:
-        if _is_action(n) and (name := _name(dom, n)):
+        if _is_action(n, marked) and (name := _name(dom, n)):
             out.append(("action", name, "", name, _selectors(dom, n), None, None))
     for n in dom.all:
         if n[0] in ("input", "textarea", "select") and n[1].get("type") not in ("hidden", "button", "submit", "reset") and (form := _above(n, _FORM)):
@@ -331,7 +384,17 @@ def dom_rows(html: str) -> list[tuple]:
 DOM_SCHEMA = "page_id long, type string, pos int, heading string, breadcrumb string, body string, selectors array<string>, value string, transcript string"
 
 
-def dom_records(pages: DataFrame) -> DataFrame:
+def focusable_rows(html: str, marked: str = MARKED) -> list[tuple]:
+    """The same columns for every named element that can take the focus: the static part of an accessibility tree."""
+    dom, out = _Dom(html), []
+    for n in dom.all:
+        if _is_focusable(n, marked) and (name := _name(dom, n)):
+            field = n[0] in ("input", "textarea", "select") or "contenteditable" in n[1]
+            out.append(("field" if field else "action", name, "", name, _selectors(dom, n), None, None))
+    return out
+
+
+def dom_records(pages: DataFrame, marked: str = MARKED, rows_of: Callable[[str, str], list[tuple]] = dom_rows) -> DataFrame:
     """Actions, form fields and media of ``pages``, numbered within page and type."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,7 +402,7 @@ def dom_records(pages: DataFrame) -> DataFrame:
             out = []
             for page, html in zip(frame["page_id"], frame["html"], strict=True):
                 seen: dict[str, int] = {}
-                for kind, *rest in dom_rows(html or ""):
+                for kind, *rest in rows_of(html or "", marked):
                     out.append((page, kind, seen.setdefault(kind, 0), *rest))
                     seen[kind] += 1
             yield pd.DataFrame(out, columns=[c.split()[0] for c in DOM_SCHEMA.split(", ")])
@@ -347,5 +410,50 @@ def dom_records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(rows, DOM_SCHEMA)
 
 
+def accessible(pages: DataFrame, marked: str = MARKED) -> DataFrame:
+    """Named elements of ``pages`` that can take the focus, with ``destructive``; shadow roots and frames need a browser."""
+    return with_destructive(dom_records(pages, marked, focusable_rows), F.col("heading"))
+
+
+def page_records(pages: DataFrame, marked: str = MARKED) -> DataFrame:
+    """Everything that ``pages`` hold, as ``page_id, seq, type, heading, selector, url, destructive``: headings, actions, fields, media,
+    links, files, structured data, and what can take the focus, in this order within a page."""
+    here = pages.select("page_id", F.col("url").alias("page_url"))
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    cols = lambda rows, place, kind, url, selector=none, danger=no, name="heading": rows.select("page_id", F.lit(place).alias("place"), F.col("pos").alias("pos"), kind.alias("type"), F.col(name).alias("heading"), selector.alias("selector"), url.alias("url"), danger.alias("destructive"))
+    first = F.element_at("selectors", 1)
+    dom, focus = dom_records(pages, marked), accessible(pages, marked)
+    parts = [
+        cols(sections(pages), 0, F.lit("section"), F.col("id"), F.col("selector")),
+        cols(dom.where("type = 'action'"), 1, F.col("type"), none, first, X.is_destructive(F.col("heading"))),
+        cols(dom.where("type = 'field'"), 2, F.col("type"), none, first),
+        cols(links(pages), 3, F.col("type"), F.col("target"), name="text"),
+        cols(files(pages), 4, F.lit("file"), F.col("target")),
+        cols(dom.where("type = 'media'"), 5, F.col("type"), none, first),
+        cols(faqs(pages).withColumn("pos", F.col("script") * 1000 + F.col("pos")), 6, F.lit("structured"), none, name="question"),
+        cols(things(pages).withColumn("pos", F.col("script")), 7, F.lit("structured"), none, name="name"),
+        cols(focus, 8, F.col("type"), none, first, F.col("destructive")),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    order = F.struct("place", "pos")
+    return every.join(here, "page_id").select("page_id", order.alias("seq"), "type", "heading", "selector", F.coalesce("url", "page_url").alias("url"), "destructive")
+
+
+def image_texts(pages: DataFrame, ocr: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """``page_id, pos, src, text`` of the images: their alternative, else what ``ocr`` reads at their source, if given; those without text go."""
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<img\s[^>]*>"), F.lit(0))).alias("pos", "img"))
+    get = lambda name: F.trim(F.regexp_extract("img", rf"""(?is)\s{name}=["']([^"']*)["']""", 1))
+    rows = rows.select("page_id", "pos", get("src").alias("src"), get("alt").alias("alt"))
+    read = F.pandas_udf(ocr, "string")(F.when((F.col("alt") == "") & (F.col("src") != ""), F.col("src"))) if ocr else F.lit(None).cast("string")
+    return rows.withColumn("read", read).select("page_id", "pos", "src", alternative(F.col("alt"), F.col("read")).alias("text")).where("text <> ''")
+
+
+def alternative(alt: Column, read: Column) -> Column:
+    """The alternative text of an image, else the text read from it."""
+    return F.coalesce(F.nullif(F.trim(alt), F.lit("")), F.trim(read))
+
+
 def with_destructive(records: DataFrame, label: Column) -> DataFrame:
     return records.withColumn("destructive", X.is_destructive(label))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,12 +64,12 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27) -> None:
+def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27, on_index: Sequence[Callable[[DataFrame], object]] = ()) -> None:
     """Write the records by sequence number, and postings, frequencies, headings and statistics for searches.
 
     Postings and frequencies are dealt by ranges of (bucket, term, seq), so a common term spreads over as many
     files as it needs, and a look-up reads one folder and the row groups of its term. Buckets and files follow the
-    characters of the corpus: one bucket for 2 GB, one file for ``per_file``.
+    characters of the corpus: one bucket for 2 GB, one file for ``per_file``. Plug-ins ``on_index`` get the saved records.
     """
     spark = records.sparkSession
     chars = F.coalesce(F.length("body") + F.length("heading"), F.lit(0))
@@ -78,6 +78,8 @@ def save(records: DataFrame, path: str, buckets: int | None = None, per_file: in
     files = max(spark.sparkContext.defaultParallelism, (known.chars or 0) // per_file)
     records.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{path}/records")
     rows = load(spark, path)
+    for hook in on_index:
+        hook(rows)
     for name, table, keys in (("postings", positions(rows), ["term", "seq"]), ("frequencies", occurrences(rows), ["term", "field"])):
         dealt = table.withColumn("bucket", _bucket(buckets)).repartitionByRange(max(files, buckets), "bucket", *keys)
         dealt.sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
@@ -157,12 +159,21 @@ def removed(records: DataFrame, ids: DataFrame) -> DataFrame:
 def updated(records: DataFrame, changes: DataFrame) -> DataFrame:
     """Changed rows go to the end: they get the sequence numbers after the last, in their own order."""
     last = records.agg(F.max("seq")).first()[0]
-    start = -1 if last is None else last
-    order = Window.orderBy("seq")  # over the changes of one batch
-    new = changes.withColumn("seq", F.row_number().over(order) + F.lit(start))
+    start = 0 if last is None else last + 1
+    new = ranked(changes).withColumn("seq", F.col("rank") + F.lit(start))
     return records.join(changes.select("id"), "id", "left_anti").unionByName(new.select(*records.columns))
 
 
+def ranked(rows: DataFrame, width: int = 65_536) -> DataFrame:
+    """Adds ``rank``, the 0-based place of each row by ``seq``: within spans of numbers, and spans by their counts, so that no task ranks all."""
+    rows = rows.withColumn("_span", F.floor(F.col("seq") / width))
+    counts = rows.groupBy("_span").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    counts = counts.select("_span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_span").orderBy("seq")) - 1
+    return rows.withColumn("_place", place).join(counts, "_span").withColumn("rank", F.col("_place") + F.col("_offset")).drop("_span", "_place", "_offset")
+
+
 def added(records: DataFrame, more: DataFrame) -> DataFrame:
     """Append rows; ids may repeat, as nothing enforces them."""
     last = records.agg(F.max("seq")).first()[0]
@@ -212,15 +223,6 @@ def static_export(records: DataFrame, path: str, form: str = "json") -> None:
 
 
 def shards(records: DataFrame, n: int, width: int = 65_536) -> DataFrame:
-    """``seq, shard``: contiguous shards of equal, rounded-up size.
-
-    Rows are ranked within spans of ``width`` sequence numbers, and spans by their counts, so no task
-    ranks the whole table.
-    """
-    rows = records.select("seq", F.floor(F.col("seq") / width).alias("span"))
-    counts = rows.groupBy("span").agg(F.count("*").alias("n"))
-    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
-    counts = counts.select("span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    """``seq, shard``: contiguous shards of equal, rounded-up size."""
     size = F.ceil(F.lit(records.count()) / F.lit(n))
-    rank = F.row_number().over(Window.partitionBy("span").orderBy("seq")) - 1
-    return rows.withColumn("rank", rank).join(counts, "span").select("seq", F.floor((F.col("rank") + F.col("offset")) / size).cast("int").alias("shard"))
+    return ranked(records.select("seq"), width).select("seq", F.floor(F.col("rank") / size).cast("int").alias("shard"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections import deque
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkseek.functions import text as X
 
@@ -41,11 +47,33 @@ def debounced(events: DataFrame, gap: str = "1 hour", key: str = "user_id") -> D
     return events.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("event_type")).alias("kinds")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", F.array_join("kinds", ",").alias("kinds"))
 
 
-def rate_limited(events: DataFrame, most: int, seconds: int, key: str = "user_id") -> DataFrame:
-    """Events that are among the first ``most`` of the ``seconds`` up to them, by key."""
+def rate_limited(events: DataFrame, most: int, seconds: int, key: str = "user_id", order: Sequence[str] = ("ts",)) -> DataFrame:
+    """Events that are admitted at no more than ``most`` in any ``seconds``, by key, with ``recent``, how many of these were.
+
+    Events that are refused do not count against later ones, so each key is walked in order of time; a task keeps
+    the last ``most`` admitted times of one key and no more. The events of one key are in one task.
+    """
     ms = F.unix_millis("ts")
-    frame = Window.partitionBy(key).orderBy(ms).rangeBetween(-(seconds * 1000 - 1), 0)
-    return events.withColumn("recent", F.count("*").over(frame)).where(F.col("recent") <= most)
+    dealt = events.withColumn("_ms", ms).repartition(F.col(key)).sortWithinPartitions(key, "_ms", *order)
+    width = seconds * 1000
+
+    def admitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, times = object(), deque()
+        for frame in frames:
+            recent = np.zeros(len(frame), np.int64)
+            for i, (k, t) in enumerate(zip(frame[key].tolist(), frame["_ms"].tolist(), strict=True)):
+                if k != current:
+                    current, times = k, deque()
+                while times and times[0] <= t - width:
+                    times.popleft()
+                if len(times) < most:
+                    times.append(t)
+                    recent[i] = len(times)
+            out = frame[recent > 0].drop(columns="_ms")
+            yield out.assign(recent=recent[recent > 0])
+
+    schema = T.StructType([*events.schema.fields, T.StructField("recent", T.LongType())])
+    return dealt.mapInPandas(admitted, schema)
 
 
 def latest_by(rows: DataFrame, keys: list[str], order: list[str], place: list[str] | None = None) -> DataFrame:
@@ -54,13 +82,32 @@ def latest_by(rows: DataFrame, keys: list[str], order: list[str], place: list[st
     return rows.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.max_by(row, F.struct(*order)).alias("r"), F.min(F.struct(*(place or order))).alias("place")).select("r.*", "place")
 
 
-def manifest(records: DataFrame, sensitive: str = r"(?i)password|card|ssn|social-security|cc-", navigate_only: bool = False) -> DataFrame:
-    """Records without sensitive fields, once for each type, heading and selector (the last, at the first's place)."""
-    kept = records.where(~(F.coalesce("selector", F.lit("")).rlike(sensitive)))
+def manifest(records: DataFrame, sensitive: str = r"(?i)password|card|ssn|social-security|cc-", navigate_only: bool = False, exclude: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Records without sensitive or excluded selectors, once for each type, heading and selector (the last, at the first's place), within ``by``."""
+    selector = F.coalesce("selector", F.lit(""))
+    kept = records.where(~selector.rlike(sensitive))
+    for part in exclude:
+        kept = kept.where(~selector.contains(part))
     if navigate_only:
         kept = kept.withColumn("destructive", (F.col("type") == "action") | F.coalesce("destructive", F.lit(False)))
     kept = kept.withColumn("target", F.coalesce(F.nullif("selector", F.lit("")), "url"))
-    return latest_by(kept, ["type", "heading", "target"], ["seq"]).drop("target")
+    return latest_by(kept, [*by, "type", "heading", "target"], ["seq"]).drop("target")
+
+
+def manifest_counts(records: DataFrame, page: str = "url", **knobs) -> DataFrame:
+    """``page, records, kept, excluded`` of the manifest of each page; repeats count as excluded."""
+    kept = manifest(records, by=[page], **knobs).groupBy(page).agg(F.count("*").alias("kept"))
+    every = records.groupBy(page).agg(F.count("*").alias("records"))
+    n = F.coalesce("kept", F.lit(0))
+    return every.join(kept, page, "left").select(F.col(page).alias("page"), "records", n.alias("kept"), (F.col("records") - n).alias("excluded"))
+
+
+def reweighted(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Scores of ``rows(type, score)`` times the weight of their type, none below 0; 1 where there is no weight."""
+    w = F.lit(1.0)
+    for kind, v in weights.items():
+        w = F.when(F.col("type") == kind, F.lit(max(0.0, float(v)))).otherwise(w)
+    return rows.withColumn("score", F.col("score") * w)
 
 
 def gate(requests: DataFrame, records: DataFrame, execute: bool = False) -> DataFrame:
@@ -132,6 +179,38 @@ TOOLS = {
     "waitForStable": "Wait for the DOM to become quiet.",
     "back": "Go back one history entry.",
 }
+# The arguments of the tools, each with its type; those of REQUIRED may not lack.
+ARGUMENTS = {"click": {"selector": "string"}, "type": {"selector": "string", "value": "string"}, "navigate": {"url": "string"}, "extractText": {"selector": "string"}, "waitForStable": {"quietMs": "number", "timeout": "number"}}
+REQUIRED = {"click": ("selector",), "type": ("selector", "value"), "navigate": ("url",), "extractText": ("selector",)}
+
+
+def tools(spark: SparkSession) -> DataFrame:
+    """``name, description, input_schema`` (JSON schema) of the tools."""
+
+    def schema(name: str) -> str:
+        out = {"type": "object", "properties": {k: {"type": t} for k, t in ARGUMENTS.get(name, {}).items()}}
+        return json.dumps(out | ({"required": list(REQUIRED[name])} if name in REQUIRED else {}))
+
+    return spark.createDataFrame([(n, d, schema(n)) for n, d in TOOLS.items()], "name string, description string, input_schema string")
+
+
+def tool_errors(calls: DataFrame) -> DataFrame:
+    """``id, error`` for ``calls(id, tool, arguments map)``: an unknown tool, a required argument that lacks, one that is not a number."""
+    known = F.col("tool").isin(*TOOLS)
+    checks = [F.when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown tool: "), F.coalesce("tool", F.lit(""))))]
+    for tool, types in ARGUMENTS.items():
+        for name, kind in types.items():
+            value = F.try_element_at(F.col("arguments"), F.lit(name))
+            bad = value.isNull() & F.lit(name in REQUIRED.get(tool, ()))
+            checks.append(F.when((F.col("tool") == tool) & bad, F.lit(f"{tool}: missing {name}")))
+            if kind == "number":
+                checks.append(F.when((F.col("tool") == tool) & value.isNotNull() & value.try_cast("double").isNull(), F.lit(f"{tool}: {name} is no number")))
+    return calls.select("id", F.explode(F.filter(F.array(*checks), lambda e: e.isNotNull())).alias("error"))
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """``name, steps``: the workflow templates and how many steps each has."""
+    return spark.createDataFrame([(n, len(t)) for n, t in TEMPLATES.items()], "name string, steps int")
 
 
 def filled_template(spark: SparkSession, name: str, values: dict[str, str]) -> DataFrame:
@@ -149,3 +228,31 @@ def repeated(steps: DataFrame, times: int) -> DataFrame:
     n = max(0, times)
     rounds = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
     return steps.select("*", F.explode(rounds).alias("round")).orderBy("round", "step")
+
+
+def composed(*parts: DataFrame) -> DataFrame:
+    """Lists of steps one after another: ``part`` is the list, ``step`` its own order."""
+    out = None
+    for i, p in enumerate(parts):
+        rows = p.withColumn("part", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out.orderBy("part", "step")
+
+
+def conditional(contexts: DataFrame, condition: Column, then: DataFrame, otherwise: DataFrame | None = None) -> DataFrame:
+    """The steps of ``then`` for each context that meets the condition, else those of ``otherwise``, if given.
+
+    The lists of steps are short, so they are sent to the contexts.
+    """
+    yes = F.coalesce(condition, F.lit(False))
+    steps = then.withColumn("_yes", F.lit(True))
+    if otherwise is not None:
+        steps = steps.unionByName(otherwise.withColumn("_yes", F.lit(False)), allowMissingColumns=True)
+    return contexts.withColumn("_yes", yes).join(F.broadcast(steps), "_yes").drop("_yes")
+
+
+def exported(steps: DataFrame, by: str = "workflow") -> DataFrame:
+    """``by, json``: each workflow as a JSON document ``{"version": 1, "steps": [...]}`` in order of its steps."""
+    names = [c for c in steps.columns if c not in (by, "step")]
+    rows = steps.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("step", F.struct(*names).alias("s")))).alias("l"))
+    return rows.select(by, F.to_json(F.struct(F.lit(1).alias("version"), F.transform("l", lambda x: x["s"]).alias("steps"))).alias("json"))

@@ -345,6 +345,18 @@ def semantic(vectors: DataFrame, query: Sequence[float], limit: int = 10) -> Dat
     return vectors.select("vec_id", X.cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), "vec_id").limit(limit)
 
 
+def semantic_records(records: DataFrame, query: str, embedder: Callable[[pd.Series], pd.Series], limit: int = 10) -> DataFrame:
+    """The records of greatest cosine with a query, ``seq, id, score``, by a caller's embedder of series of texts to series of vectors.
+
+    A record is embedded by its heading and body, in Arrow batches; the query once, on the driver.
+    """
+    q = [float(x) for x in embedder(pd.Series([query])).iloc[0]]
+    text = F.concat_ws(" ", F.coalesce("heading", F.lit("")), F.coalesce("body", F.lit("")))
+    rows = records.select("seq", "id", F.pandas_udf(embedder, "array<double>")(text).alias("v"))
+    score = X.cosine(F.col("v"), F.array(*map(F.lit, q)))
+    return rows.select("seq", "id", score.alias("score")).orderBy(F.desc("score"), "seq").limit(limit)
+
+
 def recent_completions(entries: DataFrame, prefix: str, most: int = 10_000) -> DataFrame:
     """Values of ``entries(key, value, used)`` whose key starts with a prefix, last used first.
 

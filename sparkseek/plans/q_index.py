@@ -10,6 +10,7 @@ from sparkseek.operators import logs as G
 from sparkseek.plans.registry import DOCS, PARTS, query, values
 from sparkseek.sources import corpus as C
 from sparkseek.sources.corpus import documents, parts, table
+from sparkseek.sources.files import file_documents
 from sparkseek.sources.scratch import folder, is_folder
 from sparkseek.streaming import live as V
 
@@ -47,13 +48,8 @@ def index_inspect(spark, sf):
     return I.inspect(parts(spark, sf))
 
 
-@query(f"WITH {DOCS}, t AS (SELECT unnest(['section','action','field','link','file','media','structured']) AS type) SELECT t.type, count(d.seq) AS n FROM t LEFT JOIN d ON d.type = t.type AND d.seq % 7 < 5 GROUP BY t.type")
-def facets(spark, sf):
-    return I.facets(documents(spark, sf).where("seq % 7 < 5"))
-
-
 @query(f"WITH {DOCS}, t AS (SELECT unnest(['section','action','field','link','file','media','structured']) AS type) SELECT t.type, count(d.seq) AS n FROM t LEFT JOIN d ON d.type = t.type GROUP BY t.type")
-def facets_whole(spark, sf):
+def facets(spark, sf):
     return I.facets(documents(spark, sf))
 
 
@@ -210,9 +206,16 @@ def _utc(events):
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("""SELECT event_id, recent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 86399999 PRECEDING AND CURRENT ROW) AS recent FROM events) WHERE recent <= 2""")
+#: Events of a user in order, each with the admitted times before it that still count.
+_ADMITTED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, event_id, ms, [ms] AS times, true AS ok FROM e WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, ms, CASE WHEN len(kept) < 2 THEN kept || [ms] ELSE kept END, len(kept) < 2
+  FROM (SELECT e.*, list_filter(r.times, lambda t: t > e.ms - 86400000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))"""
+
+
+@query(_ADMITTED + " SELECT event_id, len(times) AS recent FROM r WHERE ok")
 def rescan_rate_limit(spark, sf):
-    return G.rate_limited(_utc(table(spark, sf, "events")), 2, 86_400).select("event_id", "recent")
+    return G.rate_limited(_utc(table(spark, sf, "events")), 2, 86_400, order=["event_id"]).select("event_id", "recent")
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation UNION SELECT n_nationkey, (n_nationkey * 5 + 11) % 25 FROM nation WHERE n_nationkey % 4 = 0),
@@ -224,12 +227,6 @@ def graph_reachable(spark, sf):
     return E.frontier(spark.createDataFrame([("1",)], "url string"), edges)
 
 
-@query(None)
-def graph_edges(spark, sf):
-    pages = table(spark, sf, "pages")
-    return E.graph_edges(E.links(pages), pages)
-
-
 _STEPS = [("w", 1, "click", None, None, None, None, None), ("w", 2, "type", "#a", None, None, None, None), ("w", 3, "navigate", None, None, None, None, None), ("w", 4, "wait", None, None, None, None, None), ("w", 5, None, None, None, None, None, None), ("v", 1, "wait", None, None, None, None, 0), ("v", 2, "submit", None, "r1", None, None, None), ("v", 3, "type", None, None, None, None, None)]
 _ERRORS = [("w", 1, 'Step 1 (click): missing "selector" or "recordId"'), ("w", 2, 'Step 2 (type): missing "value"'), ("w", 3, 'Step 3 (navigate): missing "url"'), ("w", 4, 'Step 4 (wait): missing "timeout"'), ("w", 5, 'Step 5: missing "action"'), ("v", 3, 'Step 3 (type): missing "selector" or "recordId"'), ("v", 3, 'Step 3 (type): missing "value"')]
 
@@ -273,9 +270,19 @@ def find_actionable(spark, sf):
     return G.actionable(documents(spark, sf), "TH").select("seq", "id")
 
 
-@query(f"SELECT name, description FROM ({values(list(G.TOOLS.items()))}) t(name, description)")
-def tool_table(spark, sf):
-    return spark.createDataFrame(list(G.TOOLS.items()), "name string, description string")
+_TOOLS = [*G.TOOLS, "jump"]
+_CALLS = f"""c AS (SELECT doc_id AS id, ({_TOOLS})[doc_id % 8 + 1] AS tool, doc_id % 2 = 0 AS has_selector, doc_id % 3 = 0 AS has_value, doc_id % 5 = 0 AS has_url, CASE WHEN doc_id % 14 = 0 THEN 'soon' WHEN doc_id % 7 = 0 THEN '5' END AS quiet FROM documents)"""
+
+
+@query(f"""WITH {_CALLS} SELECT id, 'unknown tool: jump' AS error FROM c WHERE tool = 'jump' UNION ALL SELECT id, tool || ': missing selector' FROM c WHERE tool IN ('click', 'type', 'extractText') AND NOT has_selector
+UNION ALL SELECT id, 'type: missing value' FROM c WHERE tool = 'type' AND NOT has_value UNION ALL SELECT id, 'navigate: missing url' FROM c WHERE tool = 'navigate' AND NOT has_url
+UNION ALL SELECT id, 'waitForStable: quietMs is no number' FROM c WHERE tool = 'waitForStable' AND quiet = 'soon'""")
+def tool_call_errors(spark, sf):
+    k = F.col("doc_id")
+    given = [("selector", k % 2 == 0, "#a"), ("value", k % 3 == 0, "v"), ("url", k % 5 == 0, "/u"), ("quietMs", k % 14 == 0, "soon"), ("quietMs", (k % 14 != 0) & (k % 7 == 0), "5")]
+    pairs = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("k"), F.lit(v).alias("v"))) for n, c, v in given]), lambda p: p.isNotNull())
+    calls = table(spark, sf, "documents").select(k.alias("id"), F.element_at(F.array(*map(F.lit, _TOOLS)), (k % 8 + 1).cast("int")).alias("tool"), F.map_from_entries(pairs).alias("arguments"))
+    return G.tool_errors(calls)
 
 
 _MANIFEST = "SELECT seq, type, heading, CASE WHEN p_size > 45 THEN 'input[name=\"card\"]' WHEN p_size > 25 THEN '#s' || p_size END AS selector, url FROM (SELECT d.*, p_size FROM d JOIN part ON p_partkey = seq)"
@@ -312,7 +319,7 @@ def stream_query_counts(spark, sf):
     return out.select(F.col("start").cast("string").alias("start"), "query", "n")
 
 
-@query(None)
+@query(_ADMITTED + " SELECT user_id::VARCHAR AS url, ms FROM r WHERE ok")
 def stream_rescans(spark, sf):
     return _streamed(spark, sf, lambda s: V.rescans(s.select(F.col("user_id").cast("string").alias("url"), "ts"), 2, 86_400))
 
@@ -331,9 +338,45 @@ def static_export(spark, sf):
     return lines.agg((F.count_if(F.col("value").startswith("{")) + F.count_if(F.col("value") == "search_index: true")).alias("lines"), F.count_if(F.col("value") == "search_index: true").alias("heads"))
 
 
-@query("SELECT count(*) AS nodes, count(DISTINCT url) AS urls FROM pages")
-def site_graph_saved(spark, sf):
-    pages, path = table(spark, sf, "pages"), folder(spark)
-    pages.select("url", "page_id").write.parquet(f"{path}/nodes")
-    E.graph_edges(E.links(pages), pages).write.parquet(f"{path}/edges")
-    return spark.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes"), F.countDistinct("url").alias("urls"))
+@query(f"""WITH {PARTS}, r AS (SELECT *, label AS page FROM ({_MANIFEST.replace('seq, type', 'seq, label, type')})), k AS (SELECT DISTINCT page, type, heading, coalesce(nullif(selector, ''), url) AS target FROM r WHERE NOT regexp_matches(coalesce(selector, ''), '(?i)password|card|ssn|social-security|cc-') AND NOT contains(coalesce(selector, ''), 's30'))
+SELECT page, count(*) AS records, (SELECT count(*) FROM k WHERE k.page = r.page) AS kept, count(*) - (SELECT count(*) FROM k WHERE k.page = r.page) AS excluded FROM r GROUP BY page""")
+def manifest_counts(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("seq"), "p_size")
+    rows = parts(spark, sf).join(p, "seq").withColumn("selector", F.when(F.col("p_size") > 45, 'input[name="card"]').when(F.col("p_size") > 25, F.concat(F.lit("#s"), F.col("p_size").cast("string"))))
+    return G.manifest_counts(rows.select("seq", "type", "heading", "selector", "url", "label"), "label", exclude=["s30"])
+
+
+@query("SELECT seq, type, score * CASE type WHEN 'file' THEN 0.5::DOUBLE WHEN 'media' THEN 0 ELSE 1 END AS score FROM (SELECT doc_id AS seq, (['section','action','field','link','file','media','structured'])[doc_id % 7 + 1] AS type, n_chars / 1000e0 AS score FROM documents)")
+def relevance_weights(spark, sf):
+    sizes = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), (F.col("n_chars") / 1000).alias("score"))
+    return G.reweighted(documents(spark, sf).join(sizes, "seq").select("seq", "type", "score"), {"file": 0.5, "media": -1.0})
+
+
+@query("SELECT p_brand AS workflow, '{\"version\":1,\"steps\":[' || string_agg('{\"action\":\"' || p_type || '\",\"selector\":\"#' || p_size || '\"}', ',' ORDER BY p_partkey) || ']}' AS json FROM part GROUP BY p_brand")
+def workflow_exported(spark, sf):
+    steps = table(spark, sf, "part").select(F.col("p_brand").alias("workflow"), F.col("p_partkey").alias("step"), F.col("p_type").alias("action"), F.concat(F.lit("#"), F.col("p_size").cast("string")).alias("selector"))
+    return G.exported(steps)
+
+
+@query("SELECT p_partkey AS id, unnest(CASE WHEN p_size > 25 THEN ['type', 'submit'] ELSE ['wait'] END) AS action, unnest(CASE WHEN p_size > 25 THEN [1, 2] ELSE [1] END) AS step FROM part")
+def workflow_conditional(spark, sf):
+    then = spark.createDataFrame([(1, "type"), (2, "submit")], "step int, action string")
+    return G.conditional(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_size"), F.col("p_size") > 25, then, spark.createDataFrame([(1, "wait")], "step int, action string")).select("id", "action", "step")
+
+
+@query("SELECT part, step, action FROM (SELECT 0 AS part, n_nationkey AS step, n_name AS action FROM nation UNION ALL SELECT 1, r_regionkey, r_name FROM region)")
+def workflow_composed(spark, sf):
+    steps = lambda t, k, v: table(spark, sf, t).select(F.col(k).alias("step"), F.col(v).alias("action"))
+    return G.composed(steps("nation", "n_nationkey", "n_name"), steps("region", "r_regionkey", "r_name"))
+
+
+@query("SELECT * FROM (VALUES ('login', 3), ('search', 2), ('form-filling', 2)) t(name, steps)")
+def workflow_templates(spark, sf):
+    return G.templates(spark)
+
+
+@query("SELECT 'txt' AS type, string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region")
+def document_files(spark, sf):
+    path = folder(spark)
+    table(spark, sf, "region").orderBy("r_regionkey").coalesce(1).select(F.col("r_name").alias("value")).write.text(path)
+    return file_documents(spark, path).select("type", "text")

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from sparkseek.functions import text as X
 from sparkseek.functions import urls as U
 from sparkseek.operators import extract as E
+from sparkseek.operators import logs as G
+from sparkseek.operators import search as S
 from sparkseek.plans.registry import query, values
+from sparkseek.plans import querylang as L
 from sparkseek.sources.corpus import documents, table
+from sparkseek.sources.files import is_document
+from sparkseek.sources.scratch import folder
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOKENS = f"list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '' AND NOT list_contains([{_STOP}], t))"
@@ -60,10 +65,13 @@ _WORDS = [("Robert",), ("Ashcraft",), ("Tymczak",), ("Pfister",), ("o'Hara",), (
 _CODES = " ".join(f"WHEN contains('{g}', ch) THEN '{d}'" for d, g in X.SOUNDEX.items())
 
 
-@query(f"""WITH w(word) AS ({values(_WORDS)} UNION ALL SELECT DISTINCT p_name FROM part), u AS (SELECT word, regexp_replace(upper(word), '[^A-Z]', '', 'g') AS u FROM w),
+_SOUNDEX = f"""w(word) AS ({values(_WORDS)} UNION ALL SELECT DISTINCT p_name FROM part), u AS (SELECT word, regexp_replace(upper(word), '[^A-Z]', '', 'g') AS u FROM w),
 c AS (SELECT word, u, list_transform(string_split(u, ''), lambda ch: CASE {_CODES} ELSE '' END) AS c FROM u),
-k AS (SELECT word, u, array_to_string(list_transform(range(2, len(c) + 1), lambda i: CASE WHEN c[i] <> '' AND c[i] <> c[i - 1] THEN c[i] ELSE '' END), '') AS k FROM c)
-SELECT word, CASE WHEN u = '' THEN '' ELSE rpad(substr(u[1] || k, 1, 4), 4, '0') END AS code FROM k""")
+k AS (SELECT word, u, array_to_string(list_transform(range(2, len(c) + 1), lambda i: CASE WHEN c[i] <> '' AND c[i] <> c[i - 1] THEN c[i] ELSE '' END), '') AS k FROM c),
+s AS (SELECT word, CASE WHEN u = '' THEN '' ELSE rpad(substr(u[1] || k, 1, 4), 4, '0') END AS code FROM k)"""
+
+
+@query(f"WITH {_SOUNDEX} SELECT * FROM s")
 def soundex(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_name").alias("word")).distinct()
     return spark.createDataFrame(_WORDS, "word string").unionByName(names).select("word", X.soundex(F.col("word")).alias("code"))
@@ -90,14 +98,23 @@ def type_labels(spark, sf):
     return documents(spark, sf).select(F.col("seq").alias("doc_id"), X.type_label(F.col("type")).alias("shown"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(substr(text, 1, 80)), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
 def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
-def slugs_whole(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
+@query("""WITH h AS (SELECT doc_id, abs(list_reduce(list_transform(string_split(text, ''), lambda ch: ascii(ch)::BIGINT), lambda h, x: (((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648, 0::BIGINT)) AS h FROM documents)
+SELECT doc_id, h AS decimal_hash FROM h""")
+def content_hash(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.conv(X.poly_hash(F.col("text")), 36, 10).cast("long").alias("decimal_hash"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND NOT list_contains([{_STOP}], t)) AS t FROM documents),
+f AS (SELECT doc_id, list_transform(t, lambda w: strip_accents(w)) AS t FROM t)
+SELECT doc_id, array_to_string(list_filter(list_transform(t, lambda t: {_STEM}), lambda w: w <> ''), ' ') AS tokens FROM f""")
+def token_pipeline(spark, sf):
+    tokens = X.filtered_tokens(F.col("text"), [X.without(), X.fold, X.stem])
+    return table(spark, sf, "documents").select("doc_id", F.array_join(tokens, " ").alias("tokens"))
 
 
 @query("SELECT doc_id, substr(text, 1, 1200) AS preview FROM documents")
@@ -276,7 +293,7 @@ _DOCS = [("a.pdf",), ("b.DOCX?x=1",), ("c.html",), ("d.xls",), ("e.pptx#p",), ("
 
 @query(f"WITH d(url) AS ({values(_DOCS)}) SELECT url, regexp_matches(lower(url), '\\.(pdf|docx?|xlsx?|pptx?)($|\\?)') AS is_document FROM d")
 def document_url(spark, sf):
-    return spark.createDataFrame(_DOCS, "url string").select("url", F.lower("url").rlike(r"\.(pdf|docx?|xlsx?|pptx?)($|\?)").alias("is_document"))
+    return spark.createDataFrame(_DOCS, "url string").select("url", is_document(F.col("url")).alias("is_document"))
 
 
 _ALT = [(" Cat ", "read"), ("", " seen "), (None, "x"), ("  ", None)]
@@ -284,4 +301,116 @@ _ALT = [(" Cat ", "read"), ("", " seen "), (None, "x"), ("  ", None)]
 
 @query(f"WITH a(alt, ocr) AS ({values(_ALT)}) SELECT alt, ocr, coalesce(nullif(trim(alt), ''), trim(ocr)) AS text FROM a")
 def alt_text(spark, sf):
-    return spark.createDataFrame(_ALT, "alt string, ocr string").select("alt", "ocr", F.coalesce(F.nullif(F.trim("alt"), F.lit("")), F.trim("ocr")).alias("text"))
+    return spark.createDataFrame(_ALT, "alt string, ocr string").select("alt", "ocr", E.alternative(F.col("alt"), F.col("ocr")).alias("text"))
+
+
+@query(f"WITH {_SOUNDEX} SELECT word AS term, unnest([word, code]) AS alternative FROM s WHERE code <> ''")
+def phonetic_alternatives(spark, sf):
+    names = table(spark, sf, "part").select(F.col("p_name").alias("term")).distinct()
+    return L.phonetic_alternatives(spark.createDataFrame(_WORDS, "term string").unionByName(names))
+
+
+_ORIGIN = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*')"
+_KEY = "CASE WHEN given <> '' THEN given ELSE regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g') END"
+#: Links of the pages; all of them are absolute paths.
+_LINKS = f"""{_ANCHORS}, k AS (SELECT page_id, url, pos, href, text, CASE WHEN starts_with(href, '/') THEN {_ORIGIN} || href ELSE href END AS target FROM h
+  WHERE href <> '' AND href <> '#' AND NOT starts_with(href, 'javascript:') AND text <> '' AND NOT regexp_matches(lower(attrs), 'rel=["''][^"'']*nofollow'))"""
+_EDGES = f"""{_SECTIONS}, {_LINKS}, edges AS (SELECT url AS from_url, heading AS action, url || '#' || {_KEY} AS to_url, NULL::VARCHAR AS effect, NULL::BOOLEAN AS destructive FROM s
+  UNION ALL SELECT url, text, target, NULL, NULL FROM k WHERE starts_with(target, {_ORIGIN}))"""
+
+
+@query(f"WITH {_SECTIONS} SELECT page_id, pos, heading, array_to_string(names[1:pos + 1], ' › ') AS breadcrumb FROM s")
+def breadcrumbs(spark, sf):
+    return E.sections(table(spark, sf, "pages")).select("page_id", "pos", "heading", "breadcrumb")
+
+
+@query(f"""WITH {_SECTIONS}, x AS (SELECT page_id, pos, given, substr(after, 1, 500) AS a FROM s)
+SELECT page_id, pos, '#' || CASE WHEN given <> '' THEN given ELSE coalesce(nullif(regexp_extract(a, '(?is)<section[^>]*id="([^"]+)"', 1), ''), nullif(regexp_extract(a, '(?is)<article[^>]*id="([^"]+)"', 1), '')) END AS selector FROM x""")
+def section_selectors(spark, sf):
+    return E.sections(table(spark, sf, "pages")).select("page_id", "pos", "selector")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, target, CASE WHEN starts_with(target, {_ORIGIN}) THEN 'section' ELSE 'link' END AS type FROM k")
+def link_targets(spark, sf):
+    return E.links(table(spark, sf, "pages")).select("page_id", "pos", "target", "type")
+
+
+@query(f"""WITH {_ANCHORS} SELECT page_id, pos, CASE WHEN text <> '' THEN text ELSE string_split(href, '/')[-1] END AS heading, CASE WHEN starts_with(href, '/') THEN {_ORIGIN} || href ELSE href END AS target
+FROM h WHERE regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|csv)[?#]?$')""")
+def page_files(spark, sf):
+    return E.files(table(spark, sf, "pages"))
+
+
+@query("""WITH i AS (SELECT page_id, k - 1 AS pos, l[k] AS img FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\s[^>]*>') AS l FROM pages)))
+SELECT * FROM (SELECT page_id, pos, trim(regexp_extract(img, '(?is)\\salt=["'']([^"'']*)["'']', 1)) AS heading FROM i) WHERE heading <> ''""")
+def page_images(spark, sf):
+    return E.images(table(spark, sf, "pages"))
+
+
+@query(f"""WITH {_BLOCKS.split('s AS', 1)[1].join(('s AS', ''))}, e AS (SELECT page_id, script, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS d FROM v)
+SELECT count(*) FILTER (d->>'$."@type"' = 'FAQPage') AS faqs, count(*) FILTER (d->>'$."@type"' <> 'FAQPage') AS things FROM e""")
+def page_structured(spark, sf):
+    pages = table(spark, sf, "pages")
+    return E.faqs(pages).agg(F.count("*").alias("faqs")).join(E.things(pages).agg(F.count("*").alias("things")))  # two single rows
+
+
+@query(f"WITH {_ANCHORS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, text AS heading, 'action' AS type, regexp_matches(lower(text), 'delete|remove|cancel subscription|unsubscribe|pay|checkout|submit order|confirm') AS destructive FROM b WHERE text <> ''")
+def accessibility(spark, sf):
+    return E.accessible(table(spark, sf, "pages")).select("page_id", "pos", "heading", "type", "destructive")
+
+
+@query(f"""WITH {_EDGES}, f AS (SELECT page_id, count(*) AS n FROM b WHERE text <> '' GROUP BY page_id),
+rec AS (SELECT page_id, 'section' AS type, heading, '#' || given AS target FROM s WHERE given <> '' UNION ALL SELECT page_id, 'section', heading, url || '#' || {_KEY} FROM s WHERE given = '' UNION ALL SELECT page_id, 'section', text, target FROM k),
+n AS (SELECT page_id, count(*) AS n, count(DISTINCT (type, heading, target)) AS kept FROM rec GROUP BY page_id)
+SELECT page_id AS page, coalesce(n.n, 0) + coalesce(f.n, 0) AS records, coalesce(kept, 0) + coalesce(f.n, 0) AS kept, coalesce(n.n, 0) - coalesce(kept, 0) AS excluded FROM n FULL JOIN f USING (page_id)""")
+def page_manifest_counts(spark, sf):
+    return G.manifest_counts(E.page_records(table(spark, sf, "pages")), "page_id")
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
+def graph_edges(spark, sf):
+    return E.graph_edges(table(spark, sf, "pages"))
+
+
+@query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM pages) AS nodes, count(*) AS edges, count(DISTINCT from_url) AS sources, count(DISTINCT to_url) AS targets FROM edges")
+def site_graph_saved(spark, sf):
+    pages, path = table(spark, sf, "pages"), folder(spark)
+    pages.select("url", "page_id").write.parquet(f"{path}/nodes")
+    E.graph_edges(pages).write.parquet(f"{path}/edges")
+    nodes = spark.read.parquet(f"{path}/nodes").agg(F.count("*").alias("nodes"))
+    return nodes.join(spark.read.parquet(f"{path}/edges").agg(F.count("*").alias("edges"), F.countDistinct("from_url").alias("sources"), F.countDistinct("to_url").alias("targets")))
+
+
+@query(f"""SELECT page_id, unnest(list_distinct([CASE WHEN regexp_matches(url, '^[^?#]*://[^/?#]*$') THEN url || '/' ELSE regexp_extract(regexp_extract(url, '^[^?#]*'), '^(.*/)') END || 'sitemap.xml', {_ORIGIN} || '/sitemap.xml'])) AS candidate FROM pages""")
+def sitemap_candidates(spark, sf):
+    both = F.array_distinct(F.concat(E.sitemap_candidates(F.col("url")), E.sitemap_candidates(F.col("url"), "/sitemap.xml")))
+    return table(spark, sf, "pages").select("page_id", F.explode(both).alias("candidate"))
+
+
+def _normal(u: str) -> str:
+    """The normal form of a URL, as ``url_normalize`` has it."""
+    u = f"regexp_replace({u}, '/$', '')"
+    p = f"regexp_extract({u}, '^[^?#]*')"
+    q = f"list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^({_DROP})(=|$)') AND NOT regexp_matches(x, '^[^=]*=?$'))"
+    return f"((CASE WHEN regexp_matches({p}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$') THEN {p} || '/' ELSE {p} END) || (CASE WHEN len({q}) > 0 THEN '?' || array_to_string({q}, '&') ELSE '' END) || regexp_extract({u}, '#.*$'))"
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, x AS (SELECT DISTINCT {_normal('url')} AS a, {_normal('target')} AS b FROM k WHERE starts_with(target, {_ORIGIN})),
+y AS (SELECT a, b FROM x WHERE NOT starts_with(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/th')),
+z AS (SELECT {_normal('url')} AS u FROM pages),
+r AS (SELECT u AS seed, u AS url, 0 AS depth FROM z WHERE NOT starts_with(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/th') UNION SELECT seed, b, depth + 1 FROM r JOIN y ON a = url WHERE depth < 6)
+SELECT seed, url, min(depth) AS depth FROM r GROUP BY seed, url""")
+def crawl_pages(spark, sf):
+    pages = table(spark, sf, "pages")
+    closed = pages.select(U.origin(F.col("url")).alias("origin"), F.lit("/th").alias("path")).distinct()
+    return E.crawl(pages.select("url"), pages, closed, depth=6)
+
+
+@query(f"""WITH v AS (SELECT doc_id AS seq, 'doc-' || doc_id AS id, lower(array_to_string(string_split_regex(text, '\\s+')[1:4], ' ') || ' ' || text) AS t FROM documents),
+w AS (SELECT seq, id, [{", ".join(f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE" for c in "aeiou")}] AS a, [{", ".join(f"{'where are the notes on ring stations'.count(c)}e0" for c in "aeiou")}] AS b FROM v)
+SELECT seq, id, round(CASE WHEN list_dot_product(a, a) > 0 THEN list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) ELSE 0 END, 6) AS score FROM w ORDER BY CASE WHEN list_dot_product(a, a) > 0 THEN list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) ELSE 0 END DESC, seq LIMIT 10""")
+def semantic_records(spark, sf):
+    """An embedder of vowel counts stands for a model."""
+    embed = lambda texts: texts.str.lower().map(lambda t: [float(t.count(c)) for c in "aeiou"])
+    found = S.semantic_records(documents(spark, sf), "Where are the notes on ring stations", embed)
+    return found.select("seq", "id", F.round("score", 6).alias("score"))

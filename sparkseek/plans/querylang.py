@@ -117,3 +117,9 @@ def expanded(queries: DataFrame, synonyms: DataFrame, history: DataFrame) -> Dat
     # A past query is matched against each query by containment: both lists are short.
     past = q.join(history, F.contains(F.lower("past"), F.lower("query")) & (F.col("past") != F.col("query"))).select("query", F.col("past").alias("alternative"))
     return q.select("query", F.col("query").alias("alternative")).unionByName(swapped).unionByName(past).distinct()
+
+
+def phonetic_alternatives(terms: DataFrame) -> DataFrame:
+    """``term, alternative`` for ``terms(term)``: itself and its phonetic code; nothing for a term without a letter A to Z."""
+    rows = terms.select("term", X.soundex(F.col("term")).alias("code")).where("code <> ''")
+    return rows.select("term", F.explode(F.array("term", "code")).alias("alternative"))

@@ -22,10 +22,17 @@ def quiet_bursts(changes: DataFrame, gap: str = "150 milliseconds", late: str =
     return rows.agg(F.count("*").alias("changes")).select("url", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes")
 
 
-def rescans(changes: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
-    """Changes of a stream ``(url, ts)`` that may start a rescan: at most ``most`` in any ``seconds`` for each page."""
+def rescans(changes: DataFrame, most: int = 30, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """Changes of a stream ``(url, ts)`` that may start a rescan: at most ``most`` in any ``seconds`` for each page.
+
+    Refused changes do not count. The state of a page is its last admitted times, and goes once the watermark has
+    passed them by ``seconds``.
+    """
 
     def admit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         out = []
         for ms in sorted(t for f in frames for t in f["ms"].tolist()):
@@ -34,10 +41,11 @@ def rescans(changes: DataFrame, most: int = 30, seconds: int = 60) -> DataFrame:
                 times.append(ms)
                 out.append(ms)
         state.update((times,))
+        state.setTimeoutTimestamp(max((times[-1] if times else 0) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"url": [key[0]] * len(out), "ms": out})
 
-    rows = changes.select("url", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("url").applyInPandasWithState(admit, "url string, ms long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = changes.withWatermark("ts", late).select("url", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("url").applyInPandasWithState(admit, "url string, ms long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def reindexed(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

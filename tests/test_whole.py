@@ -14,14 +14,14 @@ from sparkseek.sources.corpus import mock
 SF = "/root/testdata/sf0.001"
 
 
-def test_slugs_whole_goes_past_80_characters(spark):
-    rows = queries()["slugs_whole"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
+def test_slugs_go_past_80_characters(spark):
+    rows = queries()["slugs"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").collect()
     assert any(len(r.text) > 1000 for r in rows)
     assert all(r.slug[-1:] == ("-" if not r.text.lower()[-1:].isascii() or not r.text.lower()[-1:].isalnum() else r.text.lower()[-1]) for r in rows if r.text)
 
 
-def test_facets_whole_counts_every_record(spark):
-    got = {r.type: r.n for r in queries()["facets_whole"](spark, SF).collect()}
+def test_facets_count_every_record(spark):
+    got = {r.type: r.n for r in queries()["facets"](spark, SF).collect()}
     assert sum(got.values()) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert got["media"] > 0 and got["structured"] > 0
 
