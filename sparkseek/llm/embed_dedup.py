@@ -108,3 +108,18 @@ def similar_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     joined = light.where("ok").join(named, ["h1", "h2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = light.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+#: The same links and components in DuckDB, over all pairs of a label, for tables of unique ids.
+SIMILAR_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS n FROM e
+      WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.98::DOUBLE),
+r AS (SELECT a AS node, a AS low FROM l UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(low) AS low FROM r GROUP BY node),
+d AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(d.links, 0)::BIGINT AS n_links, coalesce(c.low, e.vec_id) AS component_id, coalesce(c.low, e.vec_id) = e.vec_id AS kept
+FROM e LEFT JOIN c ON c.node = e.vec_id LEFT JOIN d ON d.a = e.vec_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
-from .embed_dedup import similar_vectors
+from .embed_dedup import SIMILAR_SQL, similar_vectors
 from .language import languages
 from .licenses import licenses, licenses_sql
 from .mixing import MIXTURE_SQL, mixture
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql()}
+    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql(), "op8_embedding_tiles": SIMILAR_SQL}
