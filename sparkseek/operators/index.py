@@ -213,6 +213,21 @@ def deserialized(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
+def serialized_index(spark: SparkSession, path: str) -> DataFrame:
+    """``part, json``: every row of a saved index as a JSON document, by the table that it is of."""
+    out = None
+    for part in ("meta", "records", "postings", "frequencies", "headings"):
+        rows = spark.read.parquet(f"{path}/{part}")
+        rows = rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*rows.columns)).alias("json"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def restored_index(rows: DataFrame, part: str, schema: str) -> DataFrame:
+    """One table of a serialised index."""
+    return deserialized(rows.where(F.col("part") == part), schema)
+
+
 def static_export(records: DataFrame, path: str, form: str = "json") -> None:
     """Write JSON lines; for site generators with a front-matter line that marks the index."""
     rows = serialized(records).select(F.col("json").alias("value"))

@@ -15,8 +15,11 @@ from sparkseek.sources.scratch import folder, is_folder
 from sparkseek.streaming import live as V
 
 
-@query(f"""WITH {PARTS}, w AS (SELECT seq, unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d), f AS (SELECT seq, strip_accents(term) AS term FROM w WHERE strip_accents(term) <> term)
-SELECT term, seq, count(*) AS tf FROM (SELECT * FROM w UNION ALL BY NAME SELECT * FROM f UNION ALL BY NAME SELECT seq, lower(label) AS term FROM d WHERE length(label) >= 2) GROUP BY term, seq""")
+_POSTINGS = f"""WITH {PARTS}, w AS (SELECT seq, unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d), f AS (SELECT seq, strip_accents(term) AS term FROM w WHERE strip_accents(term) <> term)
+SELECT term, seq, count(*) AS tf FROM (SELECT * FROM w UNION ALL BY NAME SELECT * FROM f UNION ALL BY NAME SELECT seq, lower(label) AS term FROM d WHERE length(label) >= 2) GROUP BY term, seq"""
+
+
+@query(_POSTINGS)
 def postings(spark, sf):
     return I.postings(parts(spark, sf))
 
@@ -380,3 +383,18 @@ def document_files(spark, sf):
     path = folder(spark)
     table(spark, sf, "region").orderBy("r_regionkey").coalesce(1).select(F.col("r_name").alias("value")).write.text(path)
     return file_documents(spark, path).select("type", "text")
+
+
+@query(_POSTINGS)
+def serialize_index(spark, sf):
+    path = folder(spark)
+    I.save(parts(spark, sf), path, buckets=4)
+    rows = I.restored_index(I.serialized_index(spark, path), "postings", "term string, seq long, tf long, words int, label boolean")
+    return rows.where("tf > 0").select("term", "seq", "tf")
+
+
+@query(f"WITH {PARTS} SELECT seq, id, heading FROM d")
+def static_export_rows(spark, sf):
+    path = folder(spark)
+    I.static_export(parts(spark, sf).select("seq", "id", "heading"), path, "jekyll")
+    return I.deserialized(spark.read.text(path).where(F.col("value").startswith("{")).withColumnRenamed("value", "json"), "seq long, id string, heading string")
