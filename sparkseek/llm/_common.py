@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _local_roots: list[str] = []
+_written: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,16 +41,30 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files that :func:`saved` wrote for these tables, once nothing reads them any more."""
     for df in tables:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _deleted(df.sparkSession, df.written_at)
+
+
+def swept(spark: SparkSession) -> int:
+    """Delete all that :func:`saved` has written and nothing has dropped; how many tables. For when the results that read them are written."""
+    paths = list(_written)
+    for path in paths:
+        _deleted(spark, path)
+    return len(paths)
 
 
 def word_count(text: Column) -> Column:

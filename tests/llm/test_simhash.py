@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkseek.llm._common import components
+from sparkseek.llm._common import components, swept
 from sparkseek.llm.simhash import deduplicated, link_shard, near_duplicates, plan_tree, route, simhash64
 
 DATA = "/root/testdata/sf0.01/documents.parquet"
@@ -97,3 +97,9 @@ def test_one_row_stays_of_each_group(spark):
     assert out.columns == docs.columns
     assert sorted((str(r.doc_id), r.source) for r in out.collect()) == [("1", "x"), ("3", "z"), ("7", "v"), ("None", "n")]
     assert deduplicated(docs.limit(0)).collect() == []
+
+
+def test_sweeping_deletes_what_results_no_longer_need(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d")], "doc_id long, text string")
+    out = near_duplicates(docs)
+    assert out.count() == 2 and swept(spark) > 0 and swept(spark) == 0
