@@ -11,6 +11,8 @@ from sparkseek.functions import text as X
 from sparkseek.sources import scratch
 
 FIELDS = ("heading", "body", "label", "breadcrumb")
+#: What a posting knows of its record.
+SIZES = ("heading_length", "body_length", "label_length", "breadcrumb_length", "heading_words")
 
 
 def occurrences(records: DataFrame) -> DataFrame:
@@ -39,24 +41,29 @@ def positions(records: DataFrame) -> DataFrame:
     """A row for each record and word of it: all that a search needs to score the record by that word.
 
     ``tf`` counts as :func:`postings` does; ``words`` are its occurrences in the body, folded ones included, ``label`` says
-    whether it is the label; ``in_heading`` and ``in_body`` are its places among the words of a field, of any length. All
-    words of a record are in one task, so a partial aggregate leaves one row for each before anything is dealt out.
+    whether it is the label; ``in_heading`` and ``in_body`` are its places among the words of a field, of any length, and
+    ``in_label`` and ``in_breadcrumb`` how often it is one of theirs. All words of a record are in one task, so a partial
+    aggregate leaves one row for each before anything is dealt out.
     """
     h, b = X.words(F.col("heading")), X.words(F.col("body"))
     cell = lambda t, p, f: F.struct(t.alias("term"), p.cast("int").alias("p"), F.lit(f).alias("f"))
     folded = F.filter(F.transform(b, lambda w: F.when(X.fold(w) != w, X.fold(w))), lambda w: w.isNotNull())
-    none = F.lit(None)
+    none, empty = F.lit(None), F.array().cast("array<struct<term:string,p:int,f:int>>")
     cells = F.concat(
-        F.transform(h, lambda w, i: cell(w, i, 0)),
-        F.transform(b, lambda w, i: cell(w, i, 1)),
-        F.transform(folded, lambda w: cell(w, none, 2)),
-        F.when(F.length("label") >= 2, F.array(cell(F.lower("label"), none, 3))).otherwise(F.array().cast("array<struct<term:string,p:int,f:int>>")),
+        F.coalesce(F.transform(h, lambda w, i: cell(w, i, 0)), empty),
+        F.coalesce(F.transform(b, lambda w, i: cell(w, i, 1)), empty),
+        F.coalesce(F.transform(folded, lambda w: cell(w, none, 2)), empty),
+        F.when(F.length("label") >= 2, F.array(cell(F.lower("label"), none, 3))).otherwise(empty),
+        F.coalesce(F.transform(X.words(F.col("label")), lambda w: cell(w, none, 4)), empty),
+        F.coalesce(F.transform(X.words(F.col("breadcrumb")), lambda w: cell(w, none, 5)), empty),
     )
-    rows = records.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.size(h).alias("heading_words"), F.explode(cells).alias("c")).select("*", "c.*").where("term <> ''")
+    lengths = [F.coalesce(F.length(c), F.lit(0)).alias(f"{c}_length") for c in ("label", "breadcrumb")]
+    rows = records.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), *lengths, F.size(h).alias("heading_words"), F.explode(cells).alias("c")).select("*", "c.*").where("term <> ''")
     word = F.col("f").isin(1, 2) & (F.length("term") >= 3)
     at = lambda f: F.sort_array(F.collect_list(F.when(F.col("f") == f, F.col("p"))))
-    sizes = [F.first(c).alias(c) for c in ("heading_length", "body_length", "heading_words")]
-    found = rows.groupBy("term", "seq").agg(F.count_if(word).cast("int").alias("words"), F.max(F.col("f") == 3).alias("label"), at(0).alias("in_heading"), at(1).alias("in_body"), *sizes)
+    sizes = [F.first(c).alias(c) for c in SIZES]
+    count = lambda f: F.count_if(F.col("f") == f).cast("int")
+    found = rows.groupBy("term", "seq").agg(F.count_if(word).cast("int").alias("words"), F.max(F.col("f") == 3).alias("label"), at(0).alias("in_heading"), at(1).alias("in_body"), count(4).alias("in_label"), count(5).alias("in_breadcrumb"), *sizes)
     return found.withColumn("tf", (F.col("words") + F.col("label").cast("int")).cast("long"))
 
 
@@ -86,7 +93,7 @@ def save(records: DataFrame, path: str, buckets: int | None = None, per_file: in
     h = F.lower("heading")
     heads = rows.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.explode(F.array_distinct(F.array(h, X.fold(h)))).alias("key"))
     heads.where("key <> ''").repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/headings")
-    spark.createDataFrame([(2, buckets, known.records, known["mean"])], "version int, buckets int, records long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(3, buckets, known.records, known["mean"])], "version int, buckets int, records long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:

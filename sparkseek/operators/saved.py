@@ -33,40 +33,63 @@ def _run(places: Sequence[Column]) -> Column:
     return F.exists(places[0], follows)
 
 
-def matched(spark: SparkSession, path: str, query: str, opts: S.Options) -> DataFrame:
-    """``seq, stage, word_pos, raw`` of what :func:`search.direct` finds, without reading a record."""
-    q = X.fold_text(query.strip()).lower()
-    terms = q.split()
+def _words(spark: SparkSession, path: str, terms: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``seq``, the sizes and a cell for each distinct term, of the records that hold any; and the cell of each term."""
     names = {t: f"t{i}" for i, t in enumerate(dict.fromkeys(terms))}
     found = I.of_terms(spark, path, "postings", sorted(names))
-    cell = F.struct("words", "label", "in_heading", "in_body")
-    sizes = ("heading_length", "body_length", "heading_words")
+    cell = F.struct("words", "label", "in_heading", "in_body", "in_label", "in_breadcrumb")
     if len(names) == 1:
-        rows = found.select("seq", *sizes, cell.alias("t0"))
+        rows = found.select("seq", *I.SIZES, cell.alias("t0"))
     else:
-        rows = found.groupBy("seq").agg(*[F.first(c).alias(c) for c in sizes], *[F.first(F.when(F.col("term") == t, cell), True).alias(n) for t, n in names.items()])
+        rows = found.groupBy("seq").agg(*[F.first(c).alias(c) for c in I.SIZES], *[F.first(F.when(F.col("term") == t, cell), True).alias(n) for t, n in names.items()])
+    return rows, {t: F.col(n) for t, n in names.items()}
+
+
+def _boost(terms: Sequence[str], cells: Mapping[str, Column]) -> Column:
+    """The boost of :func:`search.boosted`, from the places of the terms."""
+    if len(terms) < 2:
+        return F.lit(1.0)
+    of = lambda t, c: F.coalesce(cells[t][c], F.array().cast("array<int>"))
+    h, b = [of(t, "in_heading") for t in terms], [of(t, "in_body") for t in terms]
+    filled = lambda cs: F.greatest(*[F.when(F.size(c) == 0, 1).otherwise(0) for c in cs]) == 0
+    both = [F.concat(x, F.transform(y, lambda p: p + F.col("heading_words"))) for x, y in zip(h, b, strict=True)]
+    gaps = [F.when(F.size(both[i]) > 0, F.lit(0)) if terms[i] == terms[j] else X.least_gap(both[i], both[j]) for i in range(len(terms)) for j in range(i + 1, len(terms))]
+    return S.boost(_run(h) | _run(b), filled(h) | filled(b), X.closeness(gaps))
+
+
+def matched(spark: SparkSession, path: str, query: str, opts: S.Options) -> DataFrame:
+    """``seq, stage, word_pos, raw`` of what :func:`search.direct` finds, without reading a record."""
+    q = X.fold_text(query.strip()).lower()
+    terms = q.split()
+    rows, cells = _words(spark, path, terms)
     # A heading that starts with the query holds it as a key of the sorted table of headings: a pushed range.
     key = F.col("key")
     heads = spark.read.parquet(f"{path}/headings").where(key.startswith(q) if len(q) >= 2 else key == q)
     heads = heads.groupBy("seq").agg(F.max((key == q) & (F.col("heading_length") >= 2)).alias("exact"), F.first("heading_length").alias("hl"), F.first("body_length").alias("bl"))
     rows = rows.join(heads, "seq", "full")
     heading, body = F.coalesce("heading_length", "hl"), F.coalesce("body_length", "bl")
-    of = lambda t, c: F.coalesce(F.col(names[t])[c], F.array().cast("array<int>"))
-    held = [(F.coalesce(F.col(names[t])["words"], F.lit(0)) > 0 if len(t) >= 3 else F.lit(False)) | (F.coalesce(F.col(names[t])["label"], F.lit(False)) if len(t) >= 2 else F.lit(False)) for t in terms]
-    stage, place = S.staged(F.coalesce("exact", F.lit(False)), F.col("exact").isNotNull() & F.lit(len(q) >= 2), held)
+    word = lambda t: F.coalesce(cells[t]["words"], F.lit(0)) > 0 if len(t) >= 3 else F.lit(False)
+    label = lambda t: F.coalesce(cells[t]["label"], F.lit(False)) if len(t) >= 2 else F.lit(False)
+    stage, place = S.staged(F.coalesce("exact", F.lit(False)), F.col("exact").isNotNull() & F.lit(len(q) >= 2), [word(t) | label(t) for t in terms])
     rows = rows.withColumns({"stage": stage, "word_pos": place}).where("stage IS NOT NULL")
     raw = S.direct_score(heading, body, terms, opts, lambda: statistics(spark, path, [q, *terms]))
-    if len(terms) > 1:
-        h, b = [of(t, "in_heading") for t in terms], [of(t, "in_body") for t in terms]
-        filled = lambda cs: F.greatest(*[F.when(F.size(c) == 0, 1).otherwise(0) for c in cs]) == 0
-        both = [F.concat(x, F.transform(y, lambda p: p + F.col("heading_words"))) for x, y in zip(h, b, strict=True)]
-        gaps = [F.when(F.size(both[i]) > 0, F.lit(0)) if terms[i] == terms[j] else X.least_gap(both[i], both[j]) for i in range(len(terms)) for j in range(i + 1, len(terms))]
-        raw = raw * S.boost(_run(h) | _run(b), filled(h) | filled(b), X.closeness(gaps))
-    return rows.select("seq", "stage", "word_pos", raw.alias("raw"))
+    return rows.select("seq", "stage", "word_pos", (raw * _boost(terms, cells)).alias("raw"))
+
+
+def weighted(spark: SparkSession, path: str, query: str, opts: S.Options) -> DataFrame:
+    """``seq, stage, word_pos, raw`` of what :func:`search.bm25f` finds, without reading a record."""
+    terms = X.fold_text(query.strip()).lower().split()
+    rows, cells = _words(spark, path, terms)
+    lengths = {c: F.coalesce(f"{c}_length", F.lit(0)) for c in S.FIELDS}
+    places = lambda t, c: F.coalesce(F.size(cells[t][c]), F.lit(0))
+    times = lambda t, c: F.coalesce(cells[t][c], F.lit(0))
+    counts = [{"heading": places(t, "in_heading"), "body": places(t, "in_body"), "label": times(t, "in_label"), "breadcrumb": times(t, "in_breadcrumb")} for t in terms]
+    raw = S.bm25f_score(lengths, counts, statistics(spark, path, terms), opts)
+    return rows.withColumn("raw", raw).where("raw > 0").select("seq", F.lit(3).alias("stage"), F.lit(0).alias("word_pos"), (F.col("raw") * _boost(terms, cells)).alias("raw"))
 
 
 def _plain(opts: S.Options) -> bool:
-    return opts.scoring in ("classic", "bm25") and opts.filter is None and not (opts.order or opts.type_weights or opts.diversify or opts.extended or opts.clicks is not None)
+    return opts.filter is None and not (opts.order or opts.type_weights or opts.diversify or opts.clicks is not None)
 
 
 def _fetched(spark: SparkSession, path: str, top: list) -> DataFrame:
@@ -79,13 +102,16 @@ def search(spark: SparkSession, path: str, query: str, opts: S.Options | None =
     """The same rows as :func:`search.search` over the saved records.
 
     Plain searches take the best ``limit`` rows of the postings and read only their records. Those that filter, boost or
-    order by columns score the records that match. What the postings can't answer (no direct match, extended
-    syntax, BM25F) reads the records, with the stored statistics.
+    order by columns score the records that match. What the postings can't answer (extended syntax, fuzzy matches)
+    reads the records, with the stored statistics.
     """
     opts = replace(opts or S.Options(), **knobs)
     opts = replace(opts, stats=lambda terms: statistics(spark, path, terms))
-    if query.strip() and opts.scoring in ("classic", "bm25") and not opts.extended:
-        found = matched(spark, path, query, opts)
+    stages = [matched]
+    if opts.scoring == "bm25f":
+        stages = [weighted, matched] if opts.bm25f_always else [matched, weighted]
+    for stage in stages if query.strip() and not opts.extended else ():
+        found = stage(spark, path, query, opts)
         if _plain(opts):
             if top := found.orderBy(*S._order()).limit(opts.limit).collect():  # at most ``limit`` rows
                 return S.shown(_fetched(spark, path, top).orderBy(*S._order()), opts)

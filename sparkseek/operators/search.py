@@ -104,20 +104,28 @@ def direct(records: DataFrame, query: str, opts: Options) -> DataFrame:
     return boosted(rows.withColumn("raw", raw), terms)
 
 
-def bm25f(records: DataFrame, query: str, opts: Options) -> DataFrame:
-    """Field-weighted BM25 of all terms; rows without any term drop out."""
-    terms, w = X.fold_text(query.strip()).lower().split(), WEIGHTS | dict(opts.weights)
-    stats = _stats(records, terms, opts)
-    size = sum((F.coalesce(F.length(c), F.lit(0)) * F.lit(float(w[c])) for c in FIELDS), F.lit(0.0))
+def bm25f_score(lengths: Mapping[str, Column], counts: Sequence[Mapping[str, Column]], stats: Mapping, opts: Options) -> Column:
+    """Field-weighted BM25 from the length of each field (0 for none) and how often each term is in it."""
+    w = WEIGHTS | dict(opts.weights)
+    size = sum((lengths[c] * F.lit(float(w[c])) for c in FIELDS), F.lit(0.0))
     norm = 1 - opts.b + opts.b * (size / F.lit(stats["mean"] or 50.0))
     total = F.lit(0.0)
-    for i, t in enumerate(terms):
+    for i, n in enumerate(counts):
         df = [float(stats[f"{c}{i}"] or 0) or 1.0 for c in FIELDS]
-        known = F.greatest(F.lit(max(df[:2])), *[F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.lit(d)) for c, d in zip(FIELDS[2:], df[2:], strict=True)])
-        tf = sum((F.coalesce(X.term_count(F.col(c), t), F.lit(0)) * F.lit(float(w[c])) for c in FIELDS), F.lit(0.0))
+        known = F.greatest(F.lit(max(df[:2])), *[F.when(lengths[c] > 0, F.lit(d)) for c, d in zip(FIELDS[2:], df[2:], strict=True)])
+        tf = sum((n[c] * F.lit(float(w[c])) for c in FIELDS), F.lit(0.0))
         idf = F.log((F.lit(float(stats["n"])) - known + 0.5) / (known + 0.5) + 1)
         total = total + F.when(tf > 0, idf * (tf * (opts.k1 + 1) / (tf + opts.k1 * norm))).otherwise(F.lit(0.0))
-    rows = records.withColumn("raw", total * 100).where("raw > 0")
+    return total * 100
+
+
+def bm25f(records: DataFrame, query: str, opts: Options) -> DataFrame:
+    """Field-weighted BM25 of all terms; rows without any term drop out."""
+    terms = X.fold_text(query.strip()).lower().split()
+    stats = _stats(records, terms, opts)
+    lengths = {c: F.coalesce(F.length(c), F.lit(0)) for c in FIELDS}
+    counts = [{c: F.coalesce(X.term_count(F.col(c), t), F.lit(0)) for c in FIELDS} for t in terms]
+    rows = records.withColumn("raw", bm25f_score(lengths, counts, stats, opts)).where("raw > 0")
     return boosted(rows.withColumn("stage", F.lit(3)).withColumn("word_pos", F.lit(0)), terms)
 
 

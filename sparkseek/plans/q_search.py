@@ -76,7 +76,8 @@ def search_saved_filter(spark, sf):
 
 @query(f"""WITH {DOCS}, w AS (SELECT seq, lower(unnest(list_filter(string_split_regex(heading, '\\s+') || string_split_regex(body, '\\s+'), lambda t: t <> ''))) AS term FROM d),
 f AS (SELECT seq, strip_accents(term) AS term FROM (SELECT seq, lower(unnest(string_split_regex(body, '\\s+'))) AS term FROM d) WHERE strip_accents(term) <> term),
-p AS (SELECT DISTINCT term, seq FROM (SELECT * FROM w UNION ALL SELECT * FROM f UNION ALL SELECT seq, lower(label) AS term FROM d WHERE length(label) >= 2) WHERE term <> '')
+t AS (SELECT seq, lower(unnest(string_split_regex(coalesce(label, ''), '\\s+') || string_split_regex(coalesce(breadcrumb, ''), '\\s+'))) AS term FROM d),
+p AS (SELECT DISTINCT term, seq FROM (SELECT * FROM w UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t UNION ALL SELECT seq, lower(label) AS term FROM d WHERE length(label) >= 2) WHERE term <> '')
 SELECT (SELECT count(*) FROM d) AS records, (SELECT count(*) FROM p) AS postings, (SELECT count(DISTINCT term) FROM p) AS terms""")
 def index_build(spark, sf):
     """Writes a new index and counts what it holds."""
@@ -127,12 +128,22 @@ n1 AS (SELECT * FROM m WHERE raw > 0), {boost(q, 'n1')} {top(limit=limit)}"""
 
 @query(_bm25f_sql(PARTS, "copper ring"))
 def search_bm25f(spark, sf):
+    return D.search(spark, indexed(spark, sf, parts, "part"), "copper ring", scoring="bm25f", bm25f_always=True)
+
+
+@query(_bm25f_sql(PARTS, "copper ring"))
+def search_bm25f_unindexed(spark, sf):
     return S.search(parts(spark, sf), "copper ring", scoring="bm25f", bm25f_always=True)
 
 
+@query(_bm25f_sql(DOCS, "thanedble inea", limit=30))
+def search_bm25f_documents(spark, sf):
+    return D.search(spark, indexed(spark, sf), "thanedble inea", scoring="bm25f", bm25f_always=True, limit=30)
+
+
 @query(_bm25f_sql(DOCS, "is of nd"))
 def search_bm25f_gated(spark, sf):
-    return S.search(documents(spark, sf), "is of nd", scoring="bm25f")
+    return D.search(spark, indexed(spark, sf), "is of nd", scoring="bm25f")
 
 
 @query(f"WITH {PARTS}, {direct('red ring', heading=0.5, body=5)}, {boost('red ring')} {top(limit=12)}")

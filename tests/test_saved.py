@@ -20,7 +20,7 @@ WORDS = ["the", "and", "on", "a", "café", "cafe", "résumé", "ring", "small",
 def corpus(spark):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(n)))
-    rows = [{"seq": i, "id": f"r{i}", "heading": say(4), "body": say(14), "label": rng.choice([None, "ring", "Café", "x"]), "type": rng.choice(["file", "link"])} for i in range(300)]
+    rows = [{"seq": i, "id": f"r{i}", "heading": say(4), "body": say(14), "label": rng.choice([None, "ring", "Café", "x", "Ring of"]), "breadcrumb": rng.choice([None, "", "on the", "small"]), "type": rng.choice(["file", "link"])} for i in range(300)]
     rows += [{"seq": 300, "id": "n", "heading": None, "body": None}, {"seq": 301, "id": "e", "heading": "  Ring  ", "body": "\n small\t ring "}]
     records, path = mock(spark, rows), folder(spark)
     I.save(records, path, buckets=4)
@@ -28,10 +28,10 @@ def corpus(spark):
 
 
 QUERIES = ["the", "ring", "small ring", "cafe", "café", "résumé on", "on", "a", "ring ring", "the and on", "x", "x1 naive", "sm", "absent", "strasse", "straße", "r", "  "]
-KNOBS = [{"scoring": "bm25"}, {"filter": "type = 'file'"}, {"weights": {"body": 4.0}}, {"scoring": "bm25f"}, {"type_weights": {"file": 3.0}}]
+KNOBS = [{"scoring": "bm25"}, {"filter": "type = 'file'"}, {"weights": {"body": 4.0}}, {"scoring": "bm25f"}, {"scoring": "bm25f", "bm25f_always": True}, {"type_weights": {"file": 3.0}}]
 
 
-@pytest.mark.parametrize(("query", "knobs"), [(q, {}) for q in QUERIES] + [(q, k) for q in ("small ring", "résumé on", "absent") for k in KNOBS])
+@pytest.mark.parametrize(("query", "knobs"), [(q, {}) for q in QUERIES] + [(q, k) for q in ("small ring", "résumé on", "of", "absent") for k in KNOBS])
 def test_saved_search_equals_the_scan(spark, corpus, query, knobs):
     records, path = corpus
     want = [tuple(r) for r in S.search(records, query, limit=40, **knobs).collect()]
