@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,34 +40,54 @@ def postings(records: DataFrame) -> DataFrame:
     return rows.groupBy("term", "seq").agg(F.count("*").alias("tf"))
 
 
+POSTING = "term string, seq long, words int, label boolean, in_heading array<int>, in_body array<int>, in_label int, in_breadcrumb int, tf long, " + ", ".join(f"{c} int" for c in SIZES)
+
+
+def _lists(found: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([p for f in found for p in f], pa.int32()))
+
+
+def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each record by place: one pass over its words, and one row for each distinct one."""
+    none: list[int] = []
+    for batch in batches:
+        columns = batch.to_pydict()
+        out: list[tuple] = []
+        sizes: list[tuple] = []
+        for seq, h, b, folded, label, l, c, *known in zip(*columns.values(), strict=True):
+            heading, body, more = {}, {}, Counter(folded or ())
+            for to, words in ((heading, h), (body, b)):
+                for i, w in enumerate(words or ()):
+                    to.setdefault(w, []).append(i)
+            in_label, in_breadcrumb = Counter(l or ()), Counter(c or ())
+            for t in {**heading, **body, **more, **in_label, **in_breadcrumb, **({label: 1} if label else {})}:
+                at, whole = body.get(t, none), t == label
+                n = len(at) + more[t] if len(t) >= 3 else 0
+                out.append((t, seq, n, whole, heading.get(t, none), at, in_label[t], in_breadcrumb[t], n + whole))
+                sizes.append(known)
+        cells = list(zip(*out, strict=True)) or [()] * 9
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), None, None, pa.int32(), pa.int32(), pa.int64()]
+        arrays = [_lists(list(v)) if k is None else pa.array(v, k) for v, k in zip(cells, kinds, strict=True)]
+        arrays += [pa.array(v, pa.int32()) for v in (zip(*sizes, strict=True) if sizes else [()] * len(SIZES))]
+        yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in POSTING.split(", ")])
+
+
 def positions(records: DataFrame) -> DataFrame:
     """A row for each record and word of it: all that a search needs to score the record by that word.
 
     ``tf`` counts as :func:`postings` does; ``words`` are its occurrences in the body, folded ones included, ``label`` says
     whether it is the label; ``in_heading`` and ``in_body`` are its places among the words of a field, of any length, and
-    ``in_label`` and ``in_breadcrumb`` how often it is one of theirs. All words of a record are in one task, so a partial
-    aggregate leaves one row for each before anything is dealt out.
+    ``in_label`` and ``in_breadcrumb`` how often it is one of theirs. The words are split in the JVM and gathered in Arrow
+    batches, record by record, so nothing is shuffled.
     """
     h, b = X.words(F.col("heading")), X.words(F.col("body"))
-    cell = lambda t, p, f: F.struct(t.alias("term"), p.cast("int").alias("p"), F.lit(f).alias("f"))
-    folded = F.filter(F.transform(b, lambda w: F.when(X.fold(w) != w, X.fold(w))), lambda w: w.isNotNull())
-    none, empty = F.lit(None), F.array().cast("array<struct<term:string,p:int,f:int>>")
-    cells = F.concat(
-        F.coalesce(F.transform(h, lambda w, i: cell(w, i, 0)), empty),
-        F.coalesce(F.transform(b, lambda w, i: cell(w, i, 1)), empty),
-        F.coalesce(F.transform(folded, lambda w: cell(w, none, 2)), empty),
-        F.when(F.length("label") >= 2, F.array(cell(F.lower("label"), none, 3))).otherwise(empty),
-        F.coalesce(F.transform(X.words(F.col("label")), lambda w: cell(w, none, 4)), empty),
-        F.coalesce(F.transform(X.words(F.col("breadcrumb")), lambda w: cell(w, none, 5)), empty),
-    )
-    lengths = [F.coalesce(F.length(c), F.lit(0)).alias(f"{c}_length") for c in ("label", "breadcrumb")]
-    rows = records.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), *lengths, F.size(h).alias("heading_words"), F.explode(cells).alias("c")).select("*", "c.*").where("term <> ''")
-    word = F.col("f").isin(1, 2) & (F.length("term") >= 3)
-    at = lambda f: F.sort_array(F.collect_list(F.when(F.col("f") == f, F.col("p"))))
-    sizes = [F.first(c).alias(c) for c in SIZES]
-    count = lambda f: F.count_if(F.col("f") == f).cast("int")
-    found = rows.groupBy("term", "seq").agg(F.count_if(word).cast("int").alias("words"), F.max(F.col("f") == 3).alias("label"), at(0).alias("in_heading"), at(1).alias("in_body"), count(4).alias("in_label"), count(5).alias("in_breadcrumb"), *sizes)
-    return found.withColumn("tf", (F.col("words") + F.col("label").cast("int")).cast("long"))
+    strange = F.filter(b, lambda w: F.length(w) != F.octet_length(w))
+    folded = F.filter(F.transform(strange, lambda w: F.when(X.fold(w) != w, X.fold(w))), lambda w: w.isNotNull() & (w != ""))
+    label = F.when(F.length("label") >= 2, F.lower("label"))
+    lengths = [F.length("heading"), F.length("body"), F.coalesce(F.length("label"), F.lit(0)), F.coalesce(F.length("breadcrumb"), F.lit(0)), F.size(h)]
+    cells = [h.alias("h"), b.alias("b"), folded.alias("folded"), label.alias("label"), X.words(F.col("label")).alias("l"), X.words(F.col("breadcrumb")).alias("c")]
+    return records.select("seq", *cells, *[n.alias(c) for n, c in zip(lengths, SIZES, strict=True)]).mapInArrow(_postings_of, POSTING)
 
 
 def _bucket(buckets: int) -> Column:
@@ -74,8 +97,8 @@ def _bucket(buckets: int) -> Column:
 def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27, on_index: Sequence[Callable[[DataFrame], object]] = ()) -> None:
     """Write the records by sequence number, and postings, frequencies, headings and statistics for searches.
 
-    Postings and frequencies are dealt by ranges of (bucket, term, seq), so a common term spreads over as many
-    files as it needs, and a look-up reads one folder and the row groups of its term. Buckets and files follow the
+    Postings are dealt by bucket and a slot of the sequence number, and sorted by term, so a common term spreads over
+    all files of its bucket, and a look-up reads one folder and the row groups of its term. Buckets and files follow the
     characters of the corpus: one bucket for 2 GB, one file for ``per_file``. Plug-ins ``on_index`` get the saved records.
     """
     spark = records.sparkSession
@@ -87,9 +110,16 @@ def save(records: DataFrame, path: str, buckets: int | None = None, per_file: in
     rows = load(spark, path)
     for hook in on_index:
         hook(rows)
-    for name, table, keys in (("postings", positions(rows), ["term", "seq"]), ("frequencies", occurrences(rows), ["term", "field"])):
-        dealt = table.withColumn("bucket", _bucket(buckets)).repartitionByRange(max(files, buckets), "bucket", *keys)
-        dealt.sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    slots = max(1, files // buckets)
+    place = F.col("bucket") * F.lit(slots) + F.pmod(F.xxhash64("seq"), F.lit(slots)).cast("int")
+    dealt = positions(rows).withColumn("bucket", _bucket(buckets)).repartitionById(buckets * slots, place)
+    dealt.sortWithinPartitions("bucket", "term", "seq").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    known_terms = spark.read.parquet(f"{path}/postings")
+    n = {"heading": F.size("in_heading"), "body": F.size("in_body"), "label": F.col("in_label"), "breadcrumb": F.col("in_breadcrumb")}
+    counts = known_terms.where(F.length("term") >= 2).groupBy("bucket", "term").agg(*[F.sum(v).alias(k) for k, v in n.items()])
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("n")) for k in n])
+    counts = counts.select("bucket", "term", F.explode(F.filter(cells, lambda c: c["n"] > 0)).alias("c")).select("bucket", "term", "c.*")
+    counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/frequencies")
     h = F.lower("heading")
     heads = rows.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.explode(F.array_distinct(F.array(h, X.fold(h)))).alias("key"))
     heads.where("key <> ''").repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/headings")
