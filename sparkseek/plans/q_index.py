@@ -15,15 +15,20 @@ from sparkseek.sources.scratch import folder, is_folder
 from sparkseek.streaming import live as V
 
 
-_POSTINGS = f"""WITH {PARTS}, w AS (SELECT seq, unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d), f AS (SELECT seq, strip_accents(term) AS term FROM w WHERE strip_accents(term) <> term)
+_POSTINGS = """WITH {corpus}, w AS (SELECT seq, unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d), f AS (SELECT seq, strip_accents(term) AS term FROM w WHERE strip_accents(term) <> term)
 SELECT term, seq, count(*) AS tf FROM (SELECT * FROM w UNION ALL BY NAME SELECT * FROM f UNION ALL BY NAME SELECT seq, lower(label) AS term FROM d WHERE length(label) >= 2) GROUP BY term, seq"""
 
 
-@query(_POSTINGS)
+@query(_POSTINGS.format(corpus=PARTS))
 def postings(spark, sf):
     return I.postings(parts(spark, sf))
 
 
+@query(_POSTINGS.format(corpus=DOCS))
+def postings_documents(spark, sf):
+    return I.postings(documents(spark, sf))
+
+
 @query(f"""WITH {PARTS} SELECT lower(label) AS term, seq, 2 AS tf FROM d WHERE lower(label) = 'brand#11'""")
 def postings_lookup(spark, sf):
     path = folder(spark)
@@ -44,13 +49,22 @@ def field_doc_freq(spark, sf):
     return I.occurrences(parts(spark, sf))
 
 
-@query(f"""WITH {PARTS}, p AS (SELECT DISTINCT substr(h, 1, i) AS p FROM (SELECT h, unnest(range(1, length(h) + 1)) AS i FROM (SELECT lower(heading) AS h FROM d UNION SELECT strip_accents(lower(heading)) FROM d))),
-k AS (SELECT DISTINCT term FROM (SELECT unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d UNION ALL SELECT lower(label) FROM d))
-SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM k) + (SELECT count(*) FROM p WHERE length(p) >= 2) AS terms, (SELECT count(*) FROM p) + 1 AS trie_nodes, 1 AS version""")
+_INSPECT = """WITH {corpus}, p AS (SELECT DISTINCT substr(h, 1, i) AS p FROM (SELECT h, unnest(range(1, length(h) + 1)) AS i FROM (SELECT lower(heading) AS h FROM d UNION SELECT strip_accents(lower(heading)) FROM d))),
+w AS (SELECT unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda t: length(t) >= 3)) AS term FROM d),
+k AS (SELECT DISTINCT term FROM (SELECT term FROM w UNION ALL SELECT strip_accents(term) FROM w UNION ALL SELECT lower(label) FROM d WHERE length(label) >= 2))
+SELECT (SELECT count(*) FROM d) AS documents, (SELECT count(*) FROM k) + (SELECT count(*) FROM p WHERE length(p) >= 2) AS terms, (SELECT count(*) FROM p) + 1 AS trie_nodes, 1 AS version"""
+
+
+@query(_INSPECT.format(corpus=PARTS))
 def index_inspect(spark, sf):
     return I.inspect(parts(spark, sf))
 
 
+@query(_INSPECT.format(corpus=DOCS))
+def index_inspect_documents(spark, sf):
+    return I.inspect(documents(spark, sf))
+
+
 @query(f"WITH {DOCS}, t AS (SELECT unnest(['section','action','field','link','file','media','structured']) AS type) SELECT t.type, count(d.seq) AS n FROM t LEFT JOIN d ON d.type = t.type GROUP BY t.type")
 def facets(spark, sf):
     return I.facets(documents(spark, sf))
@@ -385,7 +399,7 @@ def document_files(spark, sf):
     return file_documents(spark, path).select("type", "text")
 
 
-@query(_POSTINGS)
+@query(_POSTINGS.format(corpus=PARTS))
 def serialize_index(spark, sf):
     path = folder(spark)
     I.save(parts(spark, sf), path, buckets=4)

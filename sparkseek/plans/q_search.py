@@ -161,15 +161,24 @@ def search_type_weights(spark, sf):
     return S.search(documents(spark, sf), "the", type_weights={"action": 2.0, "file": 0.5})
 
 
-@query(f"""WITH {PARTS}, {direct('ring')}, p AS (SELECT * FROM m ORDER BY round(raw, 9) DESC, stage, word_pos, seq LIMIT 40),
+def _mmr_sql(corpus: str, q: str) -> str:
+    return f"""WITH {corpus}, {direct(q)}, p AS (SELECT * FROM m ORDER BY round(raw, 9) DESC, stage, word_pos, seq LIMIT 40),
 k AS (SELECT *, row_number() OVER (ORDER BY round(raw, 9) DESC, stage, word_pos, seq) AS rk, list_distinct(list_filter(string_split_regex(lower(heading || ' ' || body), '\\s+'), lambda w: length(w) > 2)) AS t FROM p),
 j AS (SELECT a.rk, max(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0e0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t))::DOUBLE END) AS likeness FROM k a JOIN k b ON b.rk < a.rk GROUP BY a.rk),
 r AS (SELECT k.* REPLACE (CASE WHEN k.rk = 1 THEN raw ELSE 0.5::DOUBLE * raw + 0.5::DOUBLE * (1 - coalesce(likeness, 0)) END AS raw) FROM k LEFT JOIN j USING (rk))
-SELECT seq, id, heading, type, stage, round(raw, 6) AS raw, round(greatest(0e0, least(1e0, 1 - raw / 2e2)), 6) AS score FROM r ORDER BY round(raw, 9) DESC, rk LIMIT 10""")
+SELECT seq, id, heading, type, stage, round(raw, 6) AS raw, round(greatest(0e0, least(1e0, 1 - raw / 2e2)), 6) AS score FROM r ORDER BY round(raw, 9) DESC, rk LIMIT 10"""
+
+
+@query(_mmr_sql(PARTS, "ring"))
 def search_mmr(spark, sf):
     return S.search(parts(spark, sf), "ring", limit=10, diversify=True, pool=40)
 
 
+@query(_mmr_sql(DOCS, "inea"))
+def search_mmr_documents(spark, sf):
+    return D.search(spark, indexed(spark, sf), "inea", limit=10, diversify=True, pool=40)
+
+
 @query(f"""WITH {PARTS}, {direct('ring')}, c AS (SELECT 'part-' || user_id AS id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY user_id),
 b AS (SELECT m.* REPLACE (raw * CASE WHEN clicks IS NULL THEN 1e0 ELSE (1 + (clicks - 1) * 0.1::DOUBLE) * 1.2::DOUBLE END AS raw) FROM m LEFT JOIN c USING (id)) {top()}""")
 def search_popularity(spark, sf):
@@ -291,19 +300,37 @@ def _shown(rows, limit):
     return rows.orderBy(F.round("raw", 9).desc(), "stage", "word_pos", "seq").limit(limit).select("seq", "id", "heading", "type", "stage", F.round("raw", 6).alias("raw"), score.alias("score"))
 
 
-@query(f"""WITH {PARTS}, k AS (SELECT 0 AS tier, seq, 0 AS pos, lower(heading) AS key FROM d WHERE length(heading) >= 2
+def _closest_sql(corpus: str, word: str) -> str:
+    return f"""WITH {corpus}, k AS (SELECT 0 AS tier, seq, 0 AS pos, lower(heading) AS key FROM d WHERE length(heading) >= 2
 UNION ALL SELECT 1, seq, i - 1, w[i] FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, string_split_regex(lower(body), '\\s+') AS w FROM d)) WHERE length(w[i]) >= 3)
-SELECT key, levenshtein(key, 'standart')::INT AS distance FROM k WHERE levenshtein(key, 'standart') <= 2 ORDER BY 2, tier, seq, pos LIMIT 1""")
+SELECT key, levenshtein(key, '{word}')::INT AS distance FROM k WHERE levenshtein(key, '{word}') <= 2 ORDER BY 2, tier, seq, pos LIMIT 1"""
+
+
+@query(_closest_sql(PARTS, "standart"))
 def closest_word(spark, sf):
     return S.closest_word(parts(spark, sf), "standart")
 
 
-@query(f"""WITH {PARTS}, t AS (SELECT heading, seq, CASE WHEN starts_with(lower(heading), 'ri') THEN 0 WHEN contains(lower(heading), 'ri') THEN 1 END AS tier FROM d)
-SELECT heading, min((tier, seq))[1] AS tier, min((tier, seq))[2] AS seq FROM t WHERE tier IS NOT NULL GROUP BY heading ORDER BY min((tier, seq)) LIMIT 10""")
+@query(_closest_sql(DOCS, "thanedbel"))
+def closest_word_documents(spark, sf):
+    return S.closest_word(documents(spark, sf), "thanedbel")
+
+
+def _suggest_sql(corpus: str, q: str) -> str:
+    return f"""WITH {corpus}, t AS (SELECT heading, seq, CASE WHEN starts_with(lower(heading), '{q}') THEN 0 WHEN contains(lower(heading), '{q}') THEN 1 END AS tier FROM d)
+SELECT heading, min((tier, seq))[1] AS tier, min((tier, seq))[2] AS seq FROM t WHERE tier IS NOT NULL GROUP BY heading ORDER BY min((tier, seq)) LIMIT 10"""
+
+
+@query(_suggest_sql(PARTS, "ri"))
 def suggest(spark, sf):
     return S.suggest(parts(spark, sf), "ri")
 
 
+@query(_suggest_sql(DOCS, "that"))
+def suggest_documents(spark, sf):
+    return S.suggest(documents(spark, sf), "that")
+
+
 def _ext(where: str) -> str:
     return f"WITH {DOCS}, m AS (SELECT *, 6 AS stage, 0 AS word_pos, 1e2 * {NORM} AS raw FROM d WHERE {where}) {top('m', 20)}"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -55,3 +55,25 @@ def reindexed(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], path:
         extract(rows).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def tracked(log: DataFrame, path: str, checkpoint: str, ring: int = 100):
+    """Keep the last ``ring`` entries of a stream ``(at, query)``: each batch writes a folder of them, from the one before and its own.
+
+    ``latest`` reads the newest, from which ``logs.popular_queries`` counts. A batch that is run again writes the same folder.
+    """
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows = rows.where(F.trim("query") != "").select("at", "query")
+        if epoch:
+            rows = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/n={epoch - 1}"))
+        rows.orderBy(F.desc("at")).limit(ring).write.mode("overwrite").parquet(f"{path}/n={epoch}")
+
+    return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the newest batch of :func:`tracked`."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("n")).first()[0]
+    return rows.where(F.col("n") == newest).drop("n")

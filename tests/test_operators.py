@@ -187,3 +187,22 @@ def test_cms_answers_as_a_stream(spark, tmp_path):
     out = stream(spark, rows, "payload string", C.cms, tmp_path)
     out.select("id", "heading").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b"]
+
+
+def test_tracked_queries_are_the_last_ones(spark, tmp_path):
+    rows = [[(i, "old" if i < 4 else "a") for i in range(8)], [(i, "b" if i % 2 else " ") for i in range(8, 14)]]
+    plan = lambda s: V.tracked(s, f"{tmp_path}/out", f"{tmp_path}/state", 5)
+    stream(spark, rows, "at long, query string", plan, tmp_path).trigger(availableNow=True).start().awaitTermination()
+    last = V.latest(spark, f"{tmp_path}/out")
+    assert sorted((r.at, r.query) for r in last.collect()) == [(6, "a"), (7, "a"), (9, "b"), (11, "b"), (13, "b")]
+    assert [(r.query, r.n) for r in G.popular_queries(last, 5).collect()] == [("b", 3), ("a", 2)]
+
+
+def test_selectors_from_the_most_meaningful(spark):
+    html = '<main id="m"><div role="tab" data-testid="go" aria-label="Go">x</div><div class="a b"><button>One</button><button>Two</button></div></main>'
+    rows = E.accessible(spark.createDataFrame([(1, "/", html)], "page_id long, url string, html string")).orderBy("pos").collect()
+    assert [r.selectors for r in rows] == [
+        ['[data-testid="go"]', '[aria-label="Go"]', '[role="tab"][aria-label="Go"]', '[role="tab"]', "main#m > div", "xpath=//div[1]"],
+        ["main#m > div.a.b:nth-child(2) > button", "xpath=//button[1]"],
+        ["main#m > div.a.b:nth-child(2) > button:nth-child(2)", "xpath=//button[2]"],
+    ]
