@@ -94,3 +94,10 @@ def test_crowded_cells_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FEW", 2)
     monkeypatch.setattr(mixing, "BUCKETS", 8)
     assert {(r.doc_id, r.taken) for r in mixture(docs).collect()} == whole
+
+
+def test_no_python_in_the_plans(spark):
+    docs = spark.read.parquet(DATA)
+    for rows in (mixture(docs), mixed(docs)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "ExistingRDD" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
