@@ -188,9 +188,10 @@ _JSON = [
     (2, "/b", _LD.format('[{"@type":"FAQPage","mainEntity":[{"name":"Q","acceptedAnswer":{"text":"A"}}]}]') + _LD.format('{"@type":"Article","headline":"News","description":"of the day"}')),
     (3, "/c", _LD.format("{broken") + _LD.format('{"@type":"Product","name":"Thing"}') + _LD.format('{"@graph":[]}')),
 ]
-_BLOCKS = f"""pages(page_id, url, html) AS ({values(_JSON)}), s AS (SELECT page_id, i - 1 AS script, l[i] AS j FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM
-  (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS l FROM pages))),
+_SCRIPTS = r"""s AS (SELECT page_id, i - 1 AS script, l[i] AS j FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM
+  (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1) AS l FROM pages))),
 v AS (SELECT page_id, script, j::JSON AS j FROM s WHERE json_valid(j))"""
+_BLOCKS = f"pages(page_id, url, html) AS ({values(_JSON)}), {_SCRIPTS}"
 
 
 @query(f"""WITH {_BLOCKS}, e AS (SELECT page_id, script, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS d FROM v),
@@ -347,7 +348,7 @@ def page_images(spark, sf):
     return E.images(table(spark, sf, "pages"))
 
 
-@query(f"""WITH {_BLOCKS.split('s AS', 1)[1].join(('s AS', ''))}, e AS (SELECT page_id, script, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS d FROM v)
+@query(f"""WITH {_SCRIPTS}, e AS (SELECT page_id, script, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS d FROM v)
 SELECT count(*) FILTER (d->>'$."@type"' = 'FAQPage') AS faqs, count(*) FILTER (d->>'$."@type"' <> 'FAQPage') AS things FROM e""")
 def page_structured(spark, sf):
     pages = table(spark, sf, "pages")
