@@ -16,8 +16,8 @@ from ._fit import fold, temperature
 ORDERS, BITS = (1, 2, 3), 15
 #: Documents that the model is fitted on, for each language at most, and the languages learned: those of most documents.
 PER_LANGUAGE, LANGUAGES = 768, 32
-#: Probability under which the stage of the pipeline rejects a document: no language is likelier than all others together.
-UNSURE = 0.5
+#: The stage of the pipeline rejects a document whose likeliest of k languages is under 1 / k and this share of the rest: the model is undecided.
+UNSURE = 0.05
 SCALE = np.float32(20)
 _letters: list[np.ndarray] = []
 
@@ -210,7 +210,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is told, with it in ``lang``, if there is such a column.
 
-    Null texts, texts without a letter, and texts for which no language reaches UNSURE go; all rows go where there
+    Null texts, texts without a letter, and texts for which the languages are as good as even (UNSURE) go; all rows go where there
     is nothing to learn from. What ``lang`` held before is only read to fit. Repeated rows each stay; an empty
     table gives an empty result; all other columns are kept as they are, whatever their names.
     """
@@ -222,7 +222,8 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
         m = sent.value
         for batch in batches:
             p = [m.score(t.as_py() or "") for t in batch.column(at)]
-            names = [m.langs[int(x.argmax())] if x is not None and x.max() >= UNSURE else None for x in p]
+            least = 1 / len(m.langs) + UNSURE * (1 - 1 / len(m.langs)) if m.langs else 1
+            names = [m.langs[int(x.argmax())] if x is not None and x.max() >= least - 1e-6 else None for x in p]
             columns = list(batch.columns)
             if to is not None:
                 columns[to] = pa.array(names, pa.string()).cast(columns[to].type)

@@ -111,3 +111,12 @@ def test_stage_follows_the_model(spark):
     unsure = Model(model.langs, model.weight * 0, model.bias * 0)
     assert identified(docs, unsure).collect() == []
     assert identified(docs, Model([], model.weight[:, :, :0], np.zeros(0))).collect() == []
+
+
+def test_stage_keeps_every_clean_document(spark):
+    docs = spark.read.parquet(DATA.replace("sf0.01", "sf0.1"))
+    model = fit(docs)
+    want = languages(docs, model).where("lang_pred <> 'und'").count()
+    assert identified(docs, model).count() == want
+    one = Model(["en"], model.weight[:, :, :1], model.bias[:1])
+    assert {r.lang for r in identified(docs.limit(50), one).select("lang").collect()} == {"en"}
