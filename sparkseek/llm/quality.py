@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import dropped, saved
 from ._fit import fold, labelled, temperature, texts
 
 #: Labelled rows for the fit, words of the vocabulary, dimensions, and entries of a word's random index.
@@ -42,35 +42,67 @@ def random_index(word: str) -> np.ndarray:
     return v
 
 
-@dataclass
-class Vectors:
-    """Vector of each word or shape: its own index plus the normalised sum of its neighbours' indexes."""
+class Rows(dict):
+    """Row of each token in the table of vectors: its own, or that of its shape. Remembers tokens up to a bound."""
 
-    at: dict[str, int]
-    table: np.ndarray
+    MOST = 1 << 20
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        get = self.at.get
-        return np.fromiter((i if (i := get(w)) is not None else get(shape(w), 0) for w in words), np.int32, len(words))
+    def __init__(self, at: dict[str, int]):
+        super().__init__(at)
+        self.at = at
 
-    def pooled(self, text: str) -> np.ndarray:
-        """Mean vector of all tokens, the log of their number, and how many repeat the one before, or a line.
+    def __missing__(self, token: str) -> int:
+        if len(self) > self.MOST:
+            self.clear()
+            self.update(self.at)
+        row = self[token] = self.at.get(shape(token), 0)
+        return row
 
-        All zeros for a text without tokens. Long texts go in pieces.
-        """
+    def coded(self, text: str) -> tuple[np.ndarray, list[float]]:
+        """Rows of the tokens of a text in order; the log of their number, and how many repeat the one before, the one before that, or a line."""
         words = tokens(text)
-        ids = self.ids(words)
-        n = len(ids)
+        n = len(words)
         if not n:
-            return np.zeros(INPUTS, np.float32)
-        total = sum(self.table[ids[i : i + 8192]].sum(axis=0, dtype=np.float64) for i in range(0, n, 8192))
+            return np.zeros(0, np.uint16), [0.0] * (INPUTS - DIM)
         lines = text.split("\n")
         again = sum(map(operator.eq, words[1:], words)), sum(map(operator.eq, words[2:], words))
-        return np.append(total / n, [np.log1p(n) / 10, again[0] / n, again[1] / n, 1 - len(set(lines)) / len(lines)]).astype(np.float32)
+        return np.fromiter(map(self.__getitem__, words), np.uint16, n), [np.log1p(n) / 10, again[0] / n, again[1] / n, 1 - len(set(lines)) / len(lines)]
+
+
+CODED = "doc_id long, held_out boolean, rows binary, more array<float>"
+
+
+def coded(docs: DataFrame, at: dict[str, int]) -> DataFrame:
+    """``doc_id, held_out, rows, more``: the texts of ``docs(doc_id, held_out, text)`` as rows of the table of vectors, two bytes a token."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(at)
+        for batch in batches:
+            got = [rows.coded(t) for t in texts(batch.column(2))]
+            cells = [pa.array([r.tobytes() for r, _ in got], pa.binary()), pa.array([m for _, m in got], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], ["doc_id", "held_out", "rows", "more"])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(code, CODED)
+
+
+@dataclass
+class Vectors:
+    """Vector of each word or shape: its own index plus the normalised sum of its neighbours' indexes."""
+
+    at: dict[str, int]
+    table: np.ndarray
+
+    def pooled(self, rows: np.ndarray, more: list[float]) -> np.ndarray:
+        """Mean vector of all tokens, and the other inputs; all zeros for a text without tokens. Long texts go in pieces."""
+        total = sum((self.table[rows[i : i + 8192]].sum(axis=0, dtype=np.float64) for i in range(0, len(rows), 8192)), np.zeros(DIM))
+        return np.append(total / max(1, len(rows)), more).astype(np.float32)
 
 
-def _vocabulary(docs: DataFrame) -> list[str]:
-    """The words and symbol runs in most of all documents, at least in 5: each task counts its own first."""
+def _vocabulary(docs: DataFrame) -> dict[str, int]:
+    """Row of the words and symbol runs in most of all documents, at least in 5, and of the shapes: each task counts its own first.
+
+    How many words have each count says which counts can be among the most frequent, and only those words are collected.
+    """
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
@@ -82,49 +114,56 @@ def _vocabulary(docs: DataFrame) -> list[str]:
                     count = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["w", "n"])
 
-    count = docs.select("text").mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 5")
-    return [r.w for r in count.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()]
-
-
-def _vectors(docs: DataFrame) -> Vectors:
-    """Word vectors from the contexts of all documents. Sums are whole numbers, so they agree however rows are dealt."""
-    words = _vocabulary(docs)
-    known = ["<?>", *words, *(f"<{k}{n}>" for k in ("9", "#", "X", "x", "Xx") for n in range(1, 13))]
-    at = {w: i for i, w in enumerate(known)}
-    own = np.stack([random_index(w) for w in known])
-    first = Vectors(at, own)
-
-    place = np.argsort(own == 0, axis=1, kind="stable")[:, :ENTRIES]  # a random index has ENTRIES entries
-    sign = np.take_along_axis(own, place, axis=1)
+    count = saved(docs.select("text").mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 5"))
+    have, least = 0, 5
+    for n, of_n in sorted(((r.n, r.of_n) for r in count.groupBy("n").agg(F.count("*").alias("of_n")).collect()), reverse=True):
+        have, least = have + of_n, n
+        if have >= VOCABULARY:
+            break
+    found = sorted((-r.n, r.w) for r in count.where(F.col("n") > least).collect())
+    found += sorted((-r.n, r.w) for r in count.where(F.col("n") == least).orderBy("w").limit(max(0, VOCABULARY - len(found))).collect())
+    dropped(count)
+    known = ["<?>", *(w for _, w in found), *(f"<{k}{n}>" for k in ("9", "#", "X", "x", "Xx") for n in range(1, 13))]
+    return {w: i for i, w in enumerate(known)}
+
+
+def _vectors(at: dict[str, int], codes: DataFrame) -> Vectors:
+    """Word vectors from the contexts of all documents, ``codes(rows)``. Sums are whole numbers, so they agree however rows are dealt."""
+    own = np.stack([random_index(w) for w in at])
+    # A random index has as many entries of 1 as of -1: the places of each.
+    ones = [np.stack([np.flatnonzero(v == s) for v in own]).astype(np.int32) for s in (1, -1)]
     dims = [f"d{i}" for i in range(DIM)]
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sums of each task, a row for each word that it met."""
-        ends = np.zeros(REACH, np.int32)  # what stands before, between and after texts
-        total, kept, n = np.zeros(len(known) * DIM), [ends], 0
+        ends = np.zeros(REACH, np.uint16)  # what stands before, between and after texts
+        total, kept, n = np.zeros(len(at) * DIM, np.int64), [ends], 0
 
         def flush() -> None:
             x = np.concatenate(kept)
-            for d in range(1, REACH + 1):
-                for to, of in ((x[:-d], x[d:]), (x[d:], x[:-d])):
-                    total[:] += np.bincount((to[:, None] * DIM + place[of]).ravel(), sign[of].ravel(), len(total))
+            base = x.astype(np.int32) * DIM
+            for sign, places in zip((1, -1), ones, strict=True):
+                p = places[x]
+                for d in range(1, REACH + 1):
+                    for to, of in ((base[:-d], p[d:]), (base[d:], p[:-d])):
+                        total[:] += sign * np.bincount((to[:, None] + of).ravel(), minlength=len(total))
 
         for batch in batches:
-            for t in texts(batch.column(0)):
-                kept += [first.ids(tokens(t)), ends]
+            for r in batch.column(0):
+                kept += [np.frombuffer(r.as_py(), np.uint16), ends]
                 n += len(kept[-2])
                 if n > 100_000:
                     flush()
                     kept, n = [ends], 0
         flush()
         total[:DIM] = 0  # the ends have no vector but their own
-        sums = total.reshape(-1, DIM).astype(np.int64)
+        sums = total.reshape(-1, DIM)
         met = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *(pa.array(sums[met, i]) for i in range(DIM))], ["w", *dims])
 
-    parts = docs.select("text").mapInArrow(contexts, f"w int, {', '.join(f'{d} long' for d in dims)}")
+    parts = codes.select("rows").mapInArrow(contexts, f"w int, {', '.join(f'{d} long' for d in dims)}")
     got = parts.groupBy("w").agg(*[F.sum(d).alias(d) for d in dims]).toArrow()  # a row for each known word
-    total = np.zeros((len(known), DIM), np.float32)
+    total = np.zeros((len(at), DIM), np.float32)
     total[got["w"].to_numpy()] = np.stack([got[d].to_numpy() for d in dims], axis=1)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
     return Vectors(at, (own / np.sqrt(ENTRIES) + total / np.maximum(norm, 1e-9)).astype(np.float32))
@@ -184,30 +223,33 @@ class Model:
     network: Network | None
     prior: float = 0.5
 
-    def scores(self, rows: Iterator[str]) -> np.ndarray:
-        if self.network is None:
-            return np.array([self.prior for _ in rows])
-        x = [self.vectors.pooled(t) for t in rows]
-        return self.network.probability(np.array(x).reshape(len(x), INPUTS))
+    def scores(self, rows: list[np.ndarray], more: list[list[float]]) -> np.ndarray:
+        x = np.array([self.vectors.pooled(r, m) for r, m in zip(rows, more, strict=True)])
+        return self.network.probability(x.reshape(len(rows), INPUTS))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most FIT_ROWS labelled rows, an eighth of which only sets the temperature; word vectors come from all texts."""
-    picked = saved(labelled(docs, labels, "quality", FIT_ROWS))
-    held = {r.y: r.n for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(held) < 2:
-        return Model(None, None, float(next(iter(held))) if held else 0.5)
-    vectors = _vectors(docs.select(F.col("text").cast("string").alias("text")))
-    # Few rows, dealt out over all cores.
-    sample = picked.repartition(docs.sparkSession.sparkContext.defaultParallelism)
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return saved(labelled(docs, labels, "quality", FIT_ROWS))
+
+
+def _prior(picked: DataFrame) -> float | None:
+    """The only label, or one half without labels; null if there are both."""
+    held = [r.y for r in picked.select("y").distinct().collect()]
+    return None if len(held) > 1 else float(held[0]) if held else 0.5
+
+
+def _fitted(picked: DataFrame, vectors: Vectors) -> Model:
+    """Train on the labelled rows, an eighth of which only sets the temperature."""
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(vectors.at)
         for batch in batches:
-            rows = [vectors.pooled(t).tolist() for t in texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float32())), *batch.columns[1:]], ["x", "y", "doc_id"])
+            x = [vectors.pooled(*rows.coded(t)).tolist() for t in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), *batch.columns[1:]], ["x", "y", "doc_id"])
 
-    got = sample.select("text", "y", "doc_id").mapInArrow(pool, "x array<float>, y int, doc_id long").toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
+    # Few rows, dealt out over all cores.
+    sample = picked.select("text", "y", "doc_id").repartition(picked.sparkSession.sparkContext.defaultParallelism)
+    got = sample.mapInArrow(pool, "x array<float>, y int, doc_id long").toPandas().sort_values(["doc_id", "y"], kind="stable")
     y = got["y"].to_numpy(int)
     x = np.stack(got["x"].to_numpy()).astype(float)
     rest = np.arange(len(y)) % 8 == 7
@@ -217,6 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(vectors, net)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on at most FIT_ROWS labelled rows; word vectors come from all texts."""
+    picked, rows = _labelled(docs, labels), _rows(docs)
+    if (prior := _prior(picked)) is not None:
+        return Model(None, None, prior)
+    at = _vocabulary(rows)
+    return _fitted(picked, _vectors(at, coded(rows, at)))
+
+
 def quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: ``doc_id, held_out, score, predicted``.
 
@@ -224,15 +280,28 @@ def quality(docs: DataFrame, labels: DataFrame, model: Model | None = None, thre
     network's value for no tokens. ``labels(doc_id, quality)`` is only read outside the fold (CRC-32 of
     the id modulo 5 is 0); null labels are left out; with no or one-sided labels every score is the share
     of ones (one half without labels). A null ``doc_id`` is not held out. Repeated rows each come back;
-    an empty table gives an empty result; further columns are not read.
+    an empty table gives an empty result; further columns are not read. Without a model given, texts are
+    taken apart once, and written as the numbers of their tokens, which fit and scores both read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels))
+    rows = _rows(docs)
+    if model:
+        codes = coded(rows, model.vectors.at) if model.vectors else None
+    else:
+        picked = _labelled(docs, labels)
+        if (prior := _prior(picked)) is not None:
+            model = Model(None, None, prior)
+        else:
+            at = _vocabulary(rows)
+            codes = saved(coded(rows, at))
+            model = _fitted(picked, _vectors(at, codes))
+        dropped(picked)
+    if model.network is None:
+        return rows.select("doc_id", "held_out", F.lit(model.prior).alias("score"), F.lit(int(model.prior >= threshold)).alias("predicted"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = sent.value.scores(texts(batch.column(2)))
+            s = sent.value.scores([np.frombuffer(r.as_py(), np.uint16) for r in batch.column(2)], batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    held = F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return codes.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")

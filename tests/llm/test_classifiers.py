@@ -105,8 +105,9 @@ def test_quality_scores_equal_a_plain_computation(tables):
 
 def test_word_vectors_are_of_all_documents(spark):
     texts = [f"alpha beta{i % 3} gamma {'delta' if i % 2 else 'x'} alpha" for i in range(40)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    got = Q._vectors(docs.repartition(5))
+    docs = Q._rows(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).repartition(5)
+    at = Q._vocabulary(docs)
+    got = Q._vectors(at, Q.coded(docs, at))
     count = {}
     for t in texts:
         for w in set(Q.tokens(t)):
@@ -156,3 +157,18 @@ def test_repeated_ids_do_not_enlarge_the_sample(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     got = labelled(docs, labels, "quality", 100).collect()
     assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "text 0", 1), (2, "other", 0)]
+
+
+def test_most_frequent_words_are_known(spark, monkeypatch):
+    monkeypatch.setattr(Q, "VOCABULARY", 4)
+    texts = ["a b c d e"] * 6 + ["a b"] * 3 + ["f a"] * 5 + ["g"] * 4
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert list(Q._vocabulary(docs))[1:5] == ["a", "b", "c", "d"]  # e ties with c and d, f has 5, g has too few
+
+
+def test_scores_with_a_model_equal_those_of_the_fit(tables):
+    docs, labels = tables
+    docs = docs.where("doc_id < 300")
+    model = Q.fit(docs, labels)
+    both = [{r.doc_id: round(r.score, 9) for r in Q.quality(docs, labels, m).collect()} for m in (model, None)]
+    assert both[0] == both[1]
