@@ -140,16 +140,15 @@ def levels(seeds: DataFrame, edges: DataFrame, most: int | None = 500, depth: in
     With ``most``, each seed keeps that many pages, by depth, then URL, and goes no deeper once it has them.
     """
     spark, path = edges.sparkSession, folder(edges.sparkSession)
-    links = edges.select("from_url", "to_url").distinct()
-    links.write.parquet(f"{path}/links")
-    links = spark.read.parquet(f"{path}/links")
+    edges.select("from_url", "to_url").distinct().write.parquet(f"{path}/steps")
+    steps = spark.read.parquet(f"{path}/steps")
     seeds.select("seed", "url", F.lit(0).alias("depth")).distinct().write.parquet(f"{path}/levels/n=0")
     kept = "seed string, url string, depth int"
     level = 0
     while depth is None or level < depth:
         seen = spark.read.schema(kept).parquet(*[f"{path}/levels/n={i}" for i in range(level + 1)])
         newest = spark.read.schema(kept).parquet(f"{path}/levels/n={level}")
-        found = newest.join(links, F.col("url") == F.col("from_url")).select("seed", F.col("to_url").alias("url")).distinct()
+        found = newest.join(steps, F.col("url") == F.col("from_url")).select("seed", F.col("to_url").alias("url")).distinct()
         found = found.join(seen, ["seed", "url"], "left_anti")
         if most is not None:
             held = seen.groupBy("seed").agg(F.count("*").alias("held")).where(F.col("held") < most)
