@@ -150,31 +150,52 @@ def popular(rows: DataFrame, query: str, opts: Options) -> DataFrame:
     return rows.join(clicks, "id", "left").withColumn("raw", F.col("raw") * boost).drop("clicks")
 
 
+def _least_distances(texts: list[str], q: str) -> np.ndarray:
+    """Least edit distance between ``q`` and any stretch of its length in each text; more than that length for shorter texts.
+
+    The usual table of distances is filled for all stretches of all texts at once.
+    """
+    asked, n = [ord(c) for c in q], len(q)
+    kind = np.uint8 if n < 200 else np.uint32
+    none = np.iinfo(kind).max
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    found = np.full(max(0, len(a) - n + 1) + 1, none, kind)
+    for at in range(0, len(found) - 1, 1 << 15):
+        part = np.lib.stride_tricks.sliding_window_view(a[at : at + (1 << 15) + n - 1], n)
+        row = [np.full(len(part), j, kind) for j in range(n + 1)]
+        for i in range(n):
+            before, row[0] = row[0], np.full(len(part), i + 1, kind)
+            for j in range(1, n + 1):
+                step = np.minimum(np.minimum(row[j], row[j - 1]) + kind(1), before + (part[:, i] != asked[j - 1]))
+                before, row[j] = row[j], step
+        found[at : at + len(part)] = row[n]
+    out, start = np.full(len(texts), none, kind), np.cumsum(size) - size
+    long = np.flatnonzero(size >= n)
+    if len(long):
+        ends = np.stack([start[long], start[long] + size[long] - n + 1], axis=1).ravel()  # stretches within a text
+        out[long] = np.minimum.reduceat(found, ends)[::2]
+    return out
+
+
 def window_distance(q: str, distance: int):
     """A pandas UDF: least edit distance between ``q`` and any stretch of its length in a text, null beyond ``distance``.
 
-    The usual table of distances is filled for all stretches of a text at once, so time grows with the length of the text.
+    Time grows with the length of the texts, which are taken some millions of characters at a time.
     """
-    asked, n = np.array([ord(c) for c in q], np.uint32), len(q)
-
-    def least(text: str | None) -> int | None:
-        if text is None or n == 0:
-            return None
-        a, best = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), distance + 1
-        for at in range(0, len(a) - n + 1, 1 << 16):
-            part = np.lib.stride_tricks.sliding_window_view(a[at : at + (1 << 16) + n - 1], n)
-            row = [np.full(len(part), j, np.int16) for j in range(n + 1)]
-            for i in range(n):
-                before, row[0] = row[0], np.full(len(part), i + 1, np.int16)
-                for j in range(1, n + 1):
-                    step = np.minimum(np.minimum(row[j], row[j - 1]) + np.int16(1), before + (part[:, i] != asked[j - 1]))
-                    before, row[j] = row[j], step
-            best = min(best, int(row[n].min()))
-        return best if best <= distance else None
-
     @F.pandas_udf("int")
     def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(least, na_action="ignore").astype("Int32")
+        out, kept, held = [], [], 0
+        for t in [t if isinstance(t, str) else "" for t in texts]:
+            kept.append(t)
+            held += len(t)
+            if held > 1 << 22:
+                out.append(_least_distances(kept, q))
+                kept, held = [], 0
+        if kept:
+            out.append(_least_distances(kept, q))
+        got = pd.Series(np.concatenate(out).astype(np.int64) if out else [], dtype="Int64")
+        return got.where(got <= distance).astype("Int32")
 
     return udf
 
@@ -186,6 +207,8 @@ def fuzzy(records: DataFrame, query: str, distance: int, opts: Options) -> DataF
     holds one of d + 1 pieces of the query verbatim; only bodies that hold one leave the JVM.
     """
     q, w, n = query.strip().lower(), WEIGHTS | dict(opts.weights), len(query.strip())
+    if not n:
+        return records.where(F.lit(False)).withColumns({"raw": F.lit(0.0), "stage": F.lit(3 + distance), "word_pos": F.lit(0)})
     low = records.withColumn("h", F.lower("heading")).withColumn("b", F.lower("body"))
     band = lambda c: F.abs(F.length(c) - n) <= distance
     owner = ((F.length("h") >= 2) & band(F.col("h"))) | F.exists(F.split("b", X.SPACES), lambda t: (F.length(t) >= 3) & band(t)) | ((F.length("label") >= 2) & band(F.col("label")))

@@ -80,6 +80,12 @@ def test_window_distance_equals_brute_force(spark):
             assert r.d == (best if best is not None and best <= d else None)
 
 
+def test_long_queries_are_fuzzy_too(spark):
+    q = " ".join(f"w{i}" for i in range(80))
+    rows = mock(spark, [{"id": "a", "heading": "h", "body": "x " + q.replace("w40", "w41") + " end " + "word " * 9, "label": "l" * len(q)}, {"id": "b", "heading": q[:-1], "body": ""}])
+    assert len(q) > 255 and sorted(r.id for r in S.fuzzy(rows, q, 1, S.Options()).collect()) == ["a", "b"]
+
+
 def test_fuzzy_takes_long_texts_in_stride(spark):
     rows = mock(spark, [{"id": "long", "heading": "h", "body": "lorem ipsum dolor sit amet " * 40_000 + " hotplote"}])
     assert [r.id for r in S.fuzzy(rows, "hotplate", 1, S.Options()).collect()] == ["long"]
