@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .embed_dedup import SIMILAR_SQL, similar_vectors
 from .language import languages
+from .lexical import SEARCH_SQL, ranked_search
 from .licenses import licenses, licenses_sql
 from .mixing import MIXTURE_SQL, mixture
 from .packing import packed
@@ -62,9 +63,13 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql(), "op8_embedding_tiles": SIMILAR_SQL}
+    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql(), "op8_embedding_tiles": SIMILAR_SQL, "op13_inverted_treaps": SEARCH_SQL}
