@@ -15,8 +15,10 @@ from .mixing import MIXTURE_SQL, mixture
 from .packing import packed
 from .pii import personal_data
 from .quality import quality
+from .secrets import secrets, secrets_sql
 from .simhash import near_duplicates
 from .toxicity import toxicity
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,14 @@ def op10_language_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op11_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_block_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql(), "op8_embedding_tiles": SIMILAR_SQL, "op13_inverted_treaps": SEARCH_SQL}
+    return {"op2_weighted_mixture": MIXTURE_SQL, "op6_license_minhash": licenses_sql(), "op8_embedding_tiles": SIMILAR_SQL, "op11_trigram_secrets": secrets_sql(), "op13_inverted_treaps": SEARCH_SQL}
