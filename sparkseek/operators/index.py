@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import json
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as X
+from sparkseek.operators import keys as K
+from sparkseek.operators import segments as S
 from sparkseek.sources import scratch
 
 FIELDS = ("heading", "body", "label", "breadcrumb")
@@ -43,33 +47,52 @@ def postings(records: DataFrame) -> DataFrame:
 POSTING = "term string, seq long, words int, label boolean, in_heading array<int>, in_body array<int>, in_label int, in_breadcrumb int, tf long, " + ", ".join(f"{c} int" for c in SIZES)
 
 
-def _lists(found: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array([p for f in found for p in f], pa.int32()))
+#: Words that are taken apart at a time.
+PART_WORDS = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about PART_WORDS words, a record at least."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns[1:]:
+        if pa.types.is_list(c.type):
+            size += c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + PART_WORDS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def _postings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each record by place: one pass over its words, and one row for each distinct one."""
-    none: list[int] = []
-    for batch in batches:
-        columns = batch.to_pydict()
-        out: list[tuple] = []
-        sizes: list[tuple] = []
-        for seq, h, b, folded, label, l, c, *known in zip(*columns.values(), strict=True):
-            heading, body, more = {}, {}, Counter(folded or ())
-            for to, words in ((heading, h), (body, b)):
-                for i, w in enumerate(words or ()):
-                    to.setdefault(w, []).append(i)
-            in_label, in_breadcrumb = Counter(l or ()), Counter(c or ())
-            for t in {**heading, **body, **more, **in_label, **in_breadcrumb, **({label: 1} if label else {})}:
-                at, whole = body.get(t, none), t == label
-                n = len(at) + more[t] if len(t) >= 3 else 0
-                out.append((t, seq, n, whole, heading.get(t, none), at, in_label[t], in_breadcrumb[t], n + whole))
-                sizes.append(known)
-        cells = list(zip(*out, strict=True)) or [()] * 9
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), None, None, pa.int32(), pa.int32(), pa.int64()]
-        arrays = [_lists(list(v)) if k is None else pa.array(v, k) for v, k in zip(cells, kinds, strict=True)]
-        arrays += [pa.array(v, pa.int32()) for v in (zip(*sizes, strict=True) if sizes else [()] * len(SIZES))]
+    """The words of each record by place, in arrays: words get numbers, and one stable sort brings those of a record together."""
+    for part in (p for b in batches for p in _parts(b)):
+        n = part.num_rows
+        values, record, place, kind = [], [], [], []
+        for k, c in enumerate(part.columns[i] for i in (1, 2, 3, 5, 6)):  # heading, body, folded, label, breadcrumb
+            size = c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values.append(c.flatten())
+            record.append(np.repeat(np.arange(n), size))
+            place.append(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+            kind.append(np.full(size.sum(), k))
+        label = np.flatnonzero(part.column(4).is_valid().to_numpy(zero_copy_only=False))
+        values.append(part.column(4).drop_null())
+        record, place, kind = np.concatenate([*record, label]), np.concatenate([*place, np.zeros(len(label), np.int64)]), np.concatenate([*kind, np.full(len(label), 5)])
+        coded = pa.concat_arrays(values).dictionary_encode()
+        words, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        key = record * max(1, len(words)) + code
+        order = np.argsort(key, kind="stable")
+        key, kind, place = key[order], kind[order], place[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        times = np.bincount(group * 6 + kind, minlength=6 * len(first)).reshape(-1, 6).astype(np.int32)
+        held, of = code[order][first], record[order][first]
+        long = pc.utf8_length(words).to_numpy()[held] >= 3 if len(held) else np.zeros(0, bool)
+        count, whole = np.where(long, times[:, 1] + times[:, 2], 0).astype(np.int32), times[:, 5] > 0
+        places = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times[:, k])]).astype(np.int32)), pa.array(place[kind == k])) for k in (0, 1)]
+        arrays = [words.take(pa.array(held)), part.column(0).take(pa.array(of)), pa.array(count), pa.array(whole), *places, pa.array(times[:, 3]), pa.array(times[:, 4]), pa.array(count.astype(np.int64) + whole)]
+        arrays += [c.take(pa.array(of)) for c in part.columns[7:]]
         yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in POSTING.split(", ")])
 
 
@@ -90,62 +113,198 @@ def positions(records: DataFrame) -> DataFrame:
     return records.select("seq", *cells, *[n.alias(c) for n, c in zip(lengths, SIZES, strict=True)]).mapInArrow(_postings_of, POSTING)
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+def _written(rows: DataFrame, path: str, name: str, segment: str, by_bucket: bool = False) -> str:
+    """Write a table of a segment; its name if it is dealt by bucket and has no row, so that nothing reads it."""
+    at = f"{path}/{name}/segment={segment}"
+    if not by_bucket:
+        rows.write.parquet(at)
+        return ""
+    rows.write.partitionBy("bucket").parquet(at)
+    return "" if any(n.startswith("bucket=") for n in scratch.names(rows.sparkSession, at)) else name
+
+
+def _sizes(records: DataFrame):
+    """Records, those of known length, their characters, all characters, and the first and last number."""
+    both = F.length("body") + F.length("heading")
+    return records.agg(F.count("*").alias("records"), F.count(both).alias("sized"), F.coalesce(F.sum(both), F.lit(0)).alias("chars"), F.max("seq").alias("last")).first()
+
+
+def _heads(records: DataFrame) -> DataFrame:
+    """``seq, heading, heading_length, body_length, key`` for the heading in lower case and without accents."""
+    h = F.lower("heading")
+    heads = records.select("seq", "heading", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.explode(F.array_distinct(F.array(h, X.fold(h)))).alias("key"))
+    return heads.where("key <> ''")
 
 
-def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27, on_index: Sequence[Callable[[DataFrame], object]] = ()) -> None:
-    """Write the records by sequence number, and postings, frequencies, headings and statistics for searches.
+def _segment(spark: SparkSession, path: str, postings: DataFrame, heads: DataFrame, segment: S.Segment, files: int) -> S.Segment:
+    """Write all tables of a segment but its records.
 
     Postings are dealt by bucket and a slot of the sequence number, and sorted by term, so a common term spreads over
-    all files of its bucket, and a look-up reads one folder and the row groups of its term. Buckets and files follow the
-    characters of the corpus: one bucket for 2 GB, one file for ``per_file``. Plug-ins ``on_index`` get the saved records.
+    all files of its bucket, and a look-up reads one folder and the row groups of its term. What completes, corrects
+    and holds a word is made of the distinct terms and headings.
     """
-    spark = records.sparkSession
-    chars = F.coalesce(F.length("body") + F.length("heading"), F.lit(0))
-    known = records.agg(F.count("*").alias("records"), F.avg(F.length("body") + F.length("heading")).alias("mean"), F.sum(chars).alias("chars")).first()
-    buckets = buckets or max(4, min(4096, (known.chars or 0) >> 31))
-    files = max(spark.sparkContext.defaultParallelism, (known.chars or 0) // per_file)
-    records.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(f"{path}/records")
-    rows = load(spark, path)
-    for hook in on_index:
-        hook(rows)
+    buckets, seg = segment.buckets, segment.id
     slots = max(1, files // buckets)
     place = F.col("bucket") * F.lit(slots) + F.pmod(F.xxhash64("seq"), F.lit(slots)).cast("int")
-    dealt = positions(rows).withColumn("bucket", _bucket(buckets)).repartitionById(buckets * slots, place)
-    dealt.sortWithinPartitions("bucket", "term", "seq").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    known_terms = spark.read.parquet(f"{path}/postings")
+    dealt = postings.withColumn("bucket", S.bucket(F.col("term"), buckets)).repartitionById(buckets * slots, place)
+    empty = [_written(dealt.sortWithinPartitions("bucket", "term", "seq"), path, "postings", seg, True)]
+    if empty[0]:
+        spark.createDataFrame([], S.SCHEMAS["postings"]).write.mode("overwrite").parquet(f"{path}/postings/segment={seg}")
+    _written(heads.repartitionByRange(files, "key").sortWithinPartitions("key"), path, "headings", seg)
     n = {"heading": F.size("in_heading"), "body": F.size("in_body"), "label": F.col("in_label"), "breadcrumb": F.col("in_breadcrumb")}
-    counts = known_terms.where(F.length("term") >= 2).groupBy("bucket", "term").agg(*[F.sum(v).alias(k) for k, v in n.items()])
+    spot = F.struct(F.col("seq").alias("seq"), F.element_at("in_body", 1).alias("pos"))
+    held = spark.read.parquet(f"{path}/postings/segment={seg}")
+    held = held if "bucket" in held.columns else held.withColumn("bucket", F.lit(0))
+    counts = held.groupBy("bucket", "term").agg(*[F.sum(v).alias(k) for k, v in n.items()], F.min(F.when(F.size("in_body") > 0, spot)).alias("first"))
+    empty.append(_written(counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), path, "terms", seg, True))
+    terms = counts if empty[0] else spark.read.parquet(f"{path}/terms/segment={seg}")
+    heads = spark.read.parquet(f"{path}/headings/segment={seg}")
     cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("n")) for k in n])
-    counts = counts.select("bucket", "term", F.explode(F.filter(cells, lambda c: c["n"] > 0)).alias("c")).select("bucket", "term", "c.*")
-    counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/frequencies")
-    h = F.lower("heading")
-    heads = rows.select("seq", F.length("heading").alias("heading_length"), F.length("body").alias("body_length"), F.explode(F.array_distinct(F.array(h, X.fold(h)))).alias("key"))
-    heads.where("key <> ''").repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/headings")
-    spark.createDataFrame([(3, buckets, known.records, known["mean"])], "version int, buckets int, records long, mean double").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    counts = terms.where(F.length("term") >= 2).select("bucket", "term", F.explode(F.filter(cells, lambda c: c["n"] > 0)).alias("c")).select("bucket", "term", "c.*", F.lit(seg).alias("of"))
+    empty.append(_written(counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), path, "frequencies", seg, True))
+    empty.append(_written(_by_bucket(K.term_grams(terms), "gram", buckets), path, "grams", seg, True))
+    empty.append(_written(_by_bucket(K.neighbours(terms, heads), "variant", buckets), path, "neighbours", seg, True))
+    empty.append(_written(_by_bucket(K.completions(heads), "prefix", buckets), path, "completions", seg, True))
+    return replace(segment, empty=tuple(filter(None, empty)))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/records")
+def _by_bucket(rows: DataFrame, column: str, buckets: int) -> DataFrame:
+    rows = rows.withColumn("bucket", S.bucket(F.col(column), buckets))
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", column)
 
 
-def meta(spark: SparkSession, path: str) -> dict:
-    """Version, buckets, records and mean length of a saved index."""
-    return spark.read.parquet(f"{path}/meta").first().asDict()
+def _layout(spark: SparkSession, chars: int, buckets: int | None, per_file: int) -> tuple[int, int]:
+    """Buckets, one for 2 GB, and files, one for ``per_file`` characters, and more where there are cores for them."""
+    return buckets or max(4, min(4096, chars >> 31)), max(min(spark.sparkContext.defaultParallelism, 1 + (chars >> 20)), chars // per_file)
 
 
-def of_terms(spark: SparkSession, path: str, table: str, terms: Sequence[str]) -> DataFrame:
-    """Rows of some terms: their folders are pruned, and the terms are pushed down to the scan."""
-    buckets = meta(spark, path)["buckets"]
-    ids = spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(buckets).alias("b")).distinct().collect() if terms else []
-    rows = spark.read.parquet(f"{path}/{table}")
-    return rows.where(F.col("bucket").isin([r.b for r in ids]) & F.col("term").isin(list(terms)))
+def _new(spark: SparkSession, path: str, records: DataFrame, buckets: int | None, per_file: int, on_index: Sequence[Callable[[DataFrame], object]]):
+    """Write a segment of records, unseen until a manifest names it; the segment and what is known of its records."""
+    known = _sizes(records)
+    buckets, files = _layout(spark, known.chars, buckets, per_file)
+    segment = S.Segment(S.new_id(), buckets, known.records)
+    _written(records.repartitionByRange(files, "seq").sortWithinPartitions("seq"), path, "records", segment.id)
+    rows = spark.read.parquet(f"{path}/records/segment={segment.id}")
+    for hook in on_index:
+        hook(rows)
+    return _segment(spark, path, positions(rows), _heads(rows), segment, files), known
+
+
+def save(records: DataFrame, path: str, buckets: int | None = None, per_file: int = 1 << 27, on_index: Sequence[Callable[[DataFrame], object]] = ()) -> S.Snapshot:
+    """Write an index of the records as the next version under ``path``; what was there stays readable as the version before.
+
+    It holds the records by sequence number, and beside them postings, terms, frequencies, headings, and tables for completion
+    and correction. Buckets and files follow the characters of the corpus. Plug-ins ``on_index`` get the saved records.
+    """
+    spark = records.sparkSession
+    segment, known = _new(spark, path, records, buckets, per_file, on_index)
+    before = S.read(spark, path)
+    manifest = S.Manifest(before.version if before else 0, 0, (segment,), 0 if known.last is None else known.last + 1, known.records, known.sized, known.chars)
+    return S.Snapshot(spark, path, S.commit(spark, path, manifest))
 
 
-def lookup(spark: SparkSession, path: str, term: str) -> DataFrame:
+def add(spark: SparkSession, path: str, more: DataFrame, buckets: int | None = None, per_file: int = 1 << 27, on_index: Sequence[Callable[[DataFrame], object]] = ()) -> S.Snapshot:
+    """Append records to a saved index as a segment of their own: they get the numbers after the last, in their own order.
+
+    Ids may repeat, as nothing enforces them. Only files of the new records are written.
+    """
+    return _changed(spark, path, None, more, buckets, per_file, on_index)
+
+
+def remove(spark: SparkSession, path: str, ids: DataFrame) -> S.Snapshot:
+    """Delete the records of ``ids(id)`` from a saved index: a bit for each, and what they take from the frequencies. Other ids do nothing."""
+    return _changed(spark, path, ids, None)
+
+
+def update(spark: SparkSession, path: str, changes: DataFrame, **layout) -> S.Snapshot:
+    """Replace the records whose id ``changes`` have, and append those that are new, in one version."""
+    return _changed(spark, path, changes.select("id"), changes, **layout)
+
+
+def _changed(spark, path, ids, more, buckets=None, per_file=1 << 27, on_index=()) -> S.Snapshot:
+    at = S.opened(spark, path)
+    if at is None:
+        raise ValueError(f"no index in {path}")
+    m = at.manifest
+    if ids is not None:
+        delta = S.Segment(S.new_id(), max([4, *(s.buckets for s in at.segments)]), 0, True)
+        old = at.live(at.table("records")).join(ids.select("id").distinct(), "id", "left_semi")
+        # What is deleted is written, as three sums read it.
+        held = scratch.folder(spark)
+        old.select("segment", "seq", *FIELDS).write.parquet(held)
+        old = spark.read.parquet(held)
+        gone = _sizes(old)
+        if gone.records:
+            bit = F.expr("shiftleft(1L, cast(seq & 63 AS int))")
+            bits = old.groupBy(F.col("segment").alias("of"), F.shiftright("seq", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+            _written(bits, path, "deletions", delta.id)
+            less = old.select("segment", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])).alias("c"))
+            less = less.select(F.col("segment").alias("of"), "c.field", F.explode(F.split(F.lower("c.text"), X.SPACES)).alias("term")).where(F.length("term") >= 2)
+            less = less.groupBy("of", "field", "term").agg((-F.count("*")).alias("n"))
+            empty = _written(_by_bucket(less.select("term", "field", "n", "of"), "term", delta.buckets), path, "frequencies", delta.id, True)
+            delta = replace(delta, empty=(empty,) if empty else ())
+            m = replace(m, segments=(*m.segments, delta), records=m.records - gone.records, sized=m.sized - gone.sized, chars=m.chars - gone.chars)
+        scratch.delete(spark, held)
+    if more is not None:
+        columns = [c for c in at.table("records").columns if c != "segment"]
+        new = ranked(more).withColumn("seq", F.col("rank") + F.lit(m.next_seq)).select(*columns)
+        segment, known = _new(spark, path, new, buckets, per_file, on_index)
+        m = replace(m, segments=(*m.segments, segment), next_seq=m.next_seq if known.last is None else known.last + 1, records=m.records + known.records, sized=m.sized + known.sized, chars=m.chars + known.chars)
+    return S.Snapshot(spark, path, S.commit(spark, path, m))
+
+
+def compact(spark: SparkSession, path: str, fan: int | None = 4, per_file: int = 1 << 27) -> S.Snapshot:
+    """Merge segments of like size, ``fan`` or more of a tier, into one, without what is deleted; nothing if no tier has so many.
+
+    Without ``fan`` all segments are merged. Postings and headings are carried over, not made again; records keep their numbers.
+    """
+    at = S.opened(spark, path)
+    tiers: dict[int, list[S.Segment]] = {}
+    for s in at.segments:
+        tiers.setdefault(s.records.bit_length() // 2, []).append(s)
+    group = next((g for _, g in sorted(tiers.items()) if len(g) >= fan), None) if fan else at.segments
+    if group is None:
+        return at
+    rows = at.live(at.table("records", group)).drop("segment")
+    known = _sizes(rows)
+    buckets, files = _layout(spark, known.chars, max(s.buckets for s in group), per_file)
+    merged = S.Segment(S.new_id(), buckets, known.records)
+    _written(rows.repartitionByRange(files, "seq").sortWithinPartitions("seq"), path, "records", merged.id)
+    merged = _segment(spark, path, at.live(at.table("postings", group)).drop("segment", "bucket"), at.live(at.table("headings", group)).drop("segment"), merged, files)
+    left = tuple(s for s in at.manifest.segments if s not in group)
+    if all(s.delta for s in left):
+        left = ()  # what deltas take is gone from the only segment
+    return S.Snapshot(spark, path, S.commit(spark, path, replace(at.manifest, segments=(*left, merged))))
+
+
+def load(spark: SparkSession, path: str | S.Snapshot) -> DataFrame:
+    """Live records of a saved index."""
+    at = S.opened(spark, path)
+    return at.live(at.table("records")).drop("segment")
+
+
+def meta(spark: SparkSession, path: str | S.Snapshot) -> dict:
+    """Version, segments, records and mean length of a saved index."""
+    m = S.opened(spark, path).manifest
+    return {"version": m.version, "built": m.built, "segments": len(m.segments), "records": m.records, "mean": m.mean}
+
+
+def of_terms(spark: SparkSession, path: str | S.Snapshot, terms: Sequence[str]) -> DataFrame:
+    """Postings of some terms in live records."""
+    at = S.opened(spark, path)
+    return at.live(at.pruned("postings", "term", terms))
+
+
+def counts_of(spark: SparkSession, path: str | S.Snapshot, terms: Sequence[str]) -> DataFrame:
+    """``field, term, n`` of some terms over live records: what segments hold less what deltas take from them."""
+    at = S.opened(spark, path)
+    rows = at.pruned("frequencies", "term", terms, at.manifest.segments)
+    return rows.where(F.col("of").isin([s.id for s in at.segments])).groupBy("field", "term").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def lookup(spark: SparkSession, path: str | S.Snapshot, term: str) -> DataFrame:
     """Postings of one term."""
-    return of_terms(spark, path, "postings", [term]).where("tf > 0").select("term", "seq", "tf")
+    return of_terms(spark, path, [term]).where("tf > 0").select("term", "seq", "tf")
 
 
 def cleared(spark: SparkSession, path: str) -> bool:
@@ -250,16 +409,30 @@ def deserialized(rows: DataFrame, schema: str) -> DataFrame:
     return rows.select(F.from_json("json", schema).alias("r")).select("r.*")
 
 
-def serialized_index(spark: SparkSession, path: str) -> DataFrame:
-    """``part, json``: every row of a saved index as a JSON document, by the table that it is of."""
-    out = None
-    for part in ("meta", "records", "postings", "frequencies", "headings"):
-        rows = spark.read.parquet(f"{path}/{part}")
-        rows = rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*rows.columns)).alias("json"))
-        out = rows if out is None else out.unionByName(rows)
+def serialized_index(spark: SparkSession, path: str | S.Snapshot) -> DataFrame:
+    """``part, json``: the manifest, and every live row of a saved index, as a JSON document by the table that it is of."""
+    at = S.opened(spark, path)
+    out = spark.createDataFrame([("manifest", json.dumps(asdict(at.manifest)))], "part string, json string")
+    for part in ("records", "postings", "headings"):
+        rows = at.live(at.table(part))
+        out = out.unionByName(rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*[c for c in rows.columns if c not in ("segment", "bucket")])).alias("json")))
     return out
 
 
+def restored(rows: DataFrame, path: str, schema: str, per_file: int = 1 << 27) -> S.Snapshot:
+    """A saved index again from :func:`serialized_index`, whose records have this schema: one segment, made of the stored postings."""
+    spark = rows.sparkSession
+    records = restored_index(rows, "records", schema)
+    known = _sizes(records)
+    buckets, files = _layout(spark, known.chars, None, per_file)
+    segment = S.Segment(S.new_id(), buckets, known.records)
+    _written(records.repartitionByRange(files, "seq").sortWithinPartitions("seq"), path, "records", segment.id)
+    heads = restored_index(rows, "headings", "seq long, heading string, heading_length int, body_length int, key string")
+    segment = _segment(spark, path, restored_index(rows, "postings", POSTING), heads, segment, files)
+    manifest = S.Manifest(0, 0, (segment,), 0 if known.last is None else known.last + 1, known.records, known.sized, known.chars)
+    return S.Snapshot(spark, path, S.commit(spark, path, manifest))
+
+
 def restored_index(rows: DataFrame, part: str, schema: str) -> DataFrame:
     """One table of a serialised index."""
     return deserialized(rows.where(F.col("part") == part), schema)

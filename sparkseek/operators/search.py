@@ -150,12 +150,12 @@ def popular(rows: DataFrame, query: str, opts: Options) -> DataFrame:
     return rows.join(clicks, "id", "left").withColumn("raw", F.col("raw") * boost).drop("clicks")
 
 
-def _least_distances(texts: list[str], q: str) -> np.ndarray:
+def least_distances(texts: list[str], q: str, joker: str | None = None) -> np.ndarray:
     """Least edit distance between ``q`` and any stretch of its length in each text; more than that length for shorter texts.
 
-    The usual table of distances is filled for all stretches of all texts at once.
+    The usual table of distances is filled for all stretches of all texts at once. A ``joker`` in a text equals every character.
     """
-    asked, n = [ord(c) for c in q], len(q)
+    asked, n, any_of = [ord(c) for c in q], len(q), ord(joker) if joker else -1
     kind = np.uint8 if n < 200 else np.uint32
     none = np.iinfo(kind).max
     a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -167,7 +167,7 @@ def _least_distances(texts: list[str], q: str) -> np.ndarray:
         for i in range(n):
             before, row[0] = row[0], np.full(len(part), i + 1, kind)
             for j in range(1, n + 1):
-                step = np.minimum(np.minimum(row[j], row[j - 1]) + kind(1), before + (part[:, i] != asked[j - 1]))
+                step = np.minimum(np.minimum(row[j], row[j - 1]) + kind(1), before + ((part[:, i] != asked[j - 1]) & (part[:, i] != any_of)))
                 before, row[j] = row[j], step
         found[at : at + len(part)] = row[n]
     out, start = np.full(len(texts), none, kind), np.cumsum(size) - size
@@ -178,6 +178,12 @@ def _least_distances(texts: list[str], q: str) -> np.ndarray:
     return out
 
 
+def pieces_of(q: str, distance: int) -> list[str]:
+    """A word in one piece more than it may have edits: what is so close to it holds one of them verbatim."""
+    cuts = [len(q) * i // (distance + 1) for i in range(distance + 2)]
+    return [q[a:z] for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
+
+
 def window_distance(q: str, distance: int):
     """A pandas UDF: least edit distance between ``q`` and any stretch of its length in a text, null beyond ``distance``.
 
@@ -190,10 +196,10 @@ def window_distance(q: str, distance: int):
             kept.append(t)
             held += len(t)
             if held > 1 << 22:
-                out.append(_least_distances(kept, q))
+                out.append(least_distances(kept, q))
                 kept, held = [], 0
         if kept:
-            out.append(_least_distances(kept, q))
+            out.append(least_distances(kept, q))
         got = pd.Series(np.concatenate(out).astype(np.int64) if out else [], dtype="Int64")
         return got.where(got <= distance).astype("Int32")
 
@@ -212,10 +218,8 @@ def fuzzy(records: DataFrame, query: str, distance: int, opts: Options) -> DataF
     low = records.withColumn("h", F.lower("heading")).withColumn("b", F.lower("body"))
     band = lambda c: F.abs(F.length(c) - n) <= distance
     owner = ((F.length("h") >= 2) & band(F.col("h"))) | F.exists(F.split("b", X.SPACES), lambda t: (F.length(t) >= 3) & band(t)) | ((F.length("label") >= 2) & band(F.col("label")))
-    cuts = [n * i // (distance + 1) for i in range(distance + 2)]
-    pieces = [q[a:z] for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
     held = F.lit(False)
-    for p in pieces:
+    for p in pieces_of(q, distance):
         held = held | F.col("b").contains(p)
     by_heading = F.levenshtein("h", F.lit(q), distance)  # -1 beyond the bound
     if distance == 1:
@@ -290,7 +294,11 @@ def ranked(records: DataFrame, query: str, opts: Options | None = None, **knobs)
     if not query.strip():
         rows = records.withColumns({"raw": F.lit(0.0), "stage": F.lit(0), "word_pos": F.lit(0)})
         return rows.orderBy("seq")
-    rows = scored(records, query, opts)
+    return finished(scored(records, query, opts), opts)
+
+
+def finished(rows: DataFrame, opts: Options) -> DataFrame:
+    """Scored rows filtered, boosted by type, diversified and in order."""
     if opts.filter is not None:
         rows = rows.where(opts.filter)
     if opts.type_weights:

@@ -8,6 +8,7 @@ from sparkseek.functions import text as X
 from sparkseek.operators import index as I
 from sparkseek.operators import saved as D
 from sparkseek.operators import search as S
+from sparkseek.operators.segments import opened, vacuumed
 from sparkseek.plans import querylang as L
 from sparkseek.plans.registry import DOCS, PARTS, boost, direct, query, top, toks, values
 from sparkseek.sources.corpus import documents, parts, table
@@ -83,7 +84,7 @@ def index_build(spark, sf):
     """Writes a new index and counts what it holds."""
     path = folder(spark)
     I.save(documents(spark, sf), path)
-    found = spark.read.parquet(f"{path}/postings").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")).first()
+    found = opened(spark, path).table("postings").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")).first()
     out = spark.createDataFrame([(I.meta(spark, path)["records"], found.postings, found.terms)], "records long, postings long, terms long")
     I.cleared(spark, path)
     return out
@@ -287,12 +288,18 @@ b AS (SELECT *, {3 + d} AS stage, 0 AS word_pos, CASE WHEN hd IS NOT NULL THEN (
 
 @query(_fuzzy_documents_sql("thintimt", 1, 6e1, 4e1))
 def fuzzy_documents(spark, sf):
-    return S.fuzzy(documents(spark, sf), "thintimt", 1, S.Options()).transform(_shown, 20)
+    return D.fuzzy(spark, indexed(spark, sf), "thintimt", 1, S.Options()).transform(_shown, 20)
 
 
 @query(_fuzzy_documents_sql("thimtimt", 2, 3e1, 2e1))
 def fuzzy_documents_two(spark, sf):
-    return S.fuzzy(documents(spark, sf), "thimtimt", 2, S.Options()).transform(_shown, 20)
+    return D.fuzzy(spark, indexed(spark, sf), "thimtimt", 2, S.Options()).transform(_shown, 20)
+
+
+@query(_fuzzy_documents_sql("thintimt", 1, 6e1, 4e1))
+def fuzzy_documents_unindexed(spark, sf):
+    """The same as ``fuzzy_documents``, by one pass over the records."""
+    return S.fuzzy(documents(spark, sf), "thintimt", 1, S.Options()).transform(_shown, 20)
 
 
 def _shown(rows, limit):
@@ -300,6 +307,74 @@ def _shown(rows, limit):
     return rows.orderBy(F.round("raw", 9).desc(), "stage", "word_pos", "seq").limit(limit).select("seq", "id", "heading", "type", "stage", F.round("raw", 6).alias("raw"), score.alias("score"))
 
 
+# The same changes in SQL: parts are written in three steps, some deleted, and some given other names, which moves them to the end.
+_CHANGED = f"""{PARTS.replace('d AS', 'o_ AS', 1)}, s_ AS (SELECT * REPLACE (row_number() OVER (ORDER BY seq % 3 = 2, seq) - 1 AS seq) FROM o_),
+l_ AS (SELECT * FROM s_ WHERE id <> 'part-1' AND seq % 7 <> 3), k_ AS (SELECT (SELECT count(*) FROM o_) + row_number() OVER (ORDER BY seq) - 1 AS seq, * EXCLUDE seq FROM l_ WHERE seq % 11 = 5),
+d AS (SELECT * FROM l_ WHERE seq % 11 <> 5 UNION ALL SELECT * REPLACE ('ring small ' || heading AS heading) FROM k_)"""
+
+
+def _changed(spark, sf) -> str:
+    """Path of an index that was written, added to, deleted from and updated; it is built once a session."""
+    key = (spark.sparkContext.applicationId, sf, "changed", stamp(spark, f"{sf}/part.parquet"))
+    if key not in _BUILT:
+        path, rows = folder(spark), parts(spark, sf)
+        old, new = rows.where("seq % 3 <> 2"), rows.where("seq % 3 = 2")
+        I.save(I.ranked(old).withColumn("seq", F.col("rank")).select(*rows.columns), path, buckets=4)
+        I.add(spark, path, new)
+        I.remove(spark, path, I.load(spark, path).where("seq % 7 = 3 OR id = 'part-1'").select("id"))
+        I.update(spark, path, I.load(spark, path).where("seq % 11 = 5").withColumn("heading", F.concat(F.lit("ring small "), "heading")))
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+@query(f"WITH {_CHANGED} SELECT seq, id, heading, body, label FROM d")
+def index_segments(spark, sf):
+    return I.load(spark, _changed(spark, sf)).select("seq", "id", "heading", "body", "label")
+
+
+@query(f"WITH {_CHANGED}, {direct('small ring')}, {boost('small ring')} {top(limit=40)}")
+def index_segments_search(spark, sf):
+    return D.search(spark, _changed(spark, sf), "small ring", limit=40)
+
+
+@query(_bm25f_sql(PARTS, "copper ring", 20).replace(PARTS, _CHANGED))
+def index_segments_bm25f(spark, sf):
+    """Frequencies are those of live records, by what deletions took."""
+    return D.search(spark, _changed(spark, sf), "copper ring", scoring="bm25f", bm25f_always=True, limit=20)
+
+
+@query(_fuzzy_sql(PARTS, "hotplate", 1, 6e1, 4e1).replace(PARTS, _CHANGED))
+def index_segments_fuzzy(spark, sf):
+    return D.search(spark, _changed(spark, sf), "hotplate", fuzzy=True, limit=20)
+
+
+@query(f"WITH {_CHANGED}, n AS (SELECT field, term, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{f}' AS field, unnest(string_split_regex(lower({f}), '\s+')) AS term FROM d" for f in I.FIELDS)}) GROUP BY ALL) SELECT field, term, n FROM n WHERE term IN ('ring', 'small', 'copper', 'brand#11', 'hot')")
+def index_segments_frequencies(spark, sf):
+    return I.counts_of(spark, _changed(spark, sf), ["ring", "small", "copper", "brand#11", "hot"])
+
+
+@query(f"""WITH {_CHANGED} SELECT 1 AS version, count(*) FILTER (seq % 3 <> 2) AS records FROM o_ UNION ALL SELECT 2, count(*) FROM o_ UNION ALL SELECT 3, count(*) FROM l_ UNION ALL SELECT 4, count(*) FROM d""")
+def index_snapshots(spark, sf):
+    """Live records of every version of an index, each read as it was."""
+    path = _changed(spark, sf)
+    out = None
+    for v in (1, 2, 3, 4):
+        rows = I.load(spark, opened(spark, path, v)).agg(F.lit(v).alias("version"), F.count("*").alias("records"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query(f"WITH {_CHANGED}, {direct('small ring')}, {boost('small ring')} {top(limit=40)}")
+def index_compacted(spark, sf):
+    """The same index, merged into one segment in a folder of its own, with the other versions deleted."""
+    path = folder(spark)
+    I.save(I.load(spark, _changed(spark, sf)), path)
+    I.add(spark, path, I.load(spark, path).where("seq < 0"))
+    I.compact(spark, path, fan=None)
+    vacuumed(spark, path)
+    return D.search(spark, path, "small ring", limit=40)
+
+
 def _closest_sql(corpus: str, word: str) -> str:
     return f"""WITH {corpus}, k AS (SELECT 0 AS tier, seq, 0 AS pos, lower(heading) AS key FROM d WHERE length(heading) >= 2
 UNION ALL SELECT 1, seq, i - 1, w[i] FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, string_split_regex(lower(body), '\\s+') AS w FROM d)) WHERE length(w[i]) >= 3)
@@ -313,6 +388,11 @@ def closest_word(spark, sf):
 
 @query(_closest_sql(DOCS, "thanedbel"))
 def closest_word_documents(spark, sf):
+    return D.closest_word(spark, indexed(spark, sf), "thanedbel")
+
+
+@query(_closest_sql(DOCS, "thanedbel"))
+def closest_word_unindexed(spark, sf):
     return S.closest_word(documents(spark, sf), "thanedbel")
 
 
@@ -328,7 +408,13 @@ def suggest(spark, sf):
 
 @query(_suggest_sql(DOCS, "that"))
 def suggest_documents(spark, sf):
-    return S.suggest(documents(spark, sf), "that")
+    return D.suggest(spark, indexed(spark, sf), "that")
+
+
+@query(_suggest_sql(DOCS, "nd"))
+def suggest_holding(spark, sf):
+    """Headings that start with the query are few, so those that hold it follow."""
+    return D.suggest(spark, indexed(spark, sf), "nd")
 
 
 def _ext(where: str) -> str:
@@ -336,7 +422,7 @@ def _ext(where: str) -> str:
 
 
 def _ext_query(q: str):
-    return lambda spark, sf: S.extended(documents(spark, sf), q, S.Options()).transform(_shown, 20)
+    return lambda spark, sf: D.extended(spark, indexed(spark, sf), q, S.Options()).transform(_shown, 20)
 
 
 _ANY = lambda t: f"(contains(lower(heading), '{t}') OR contains(lower(body), '{t}') OR contains(lower(coalesce(label, '')), '{t}') OR contains(lower(coalesce(breadcrumb, '')), '{t}'))"
