@@ -223,6 +223,16 @@ def filled_template(spark: SparkSession, name: str, values: dict[str, str]) -> D
     return out
 
 
+def filled(contexts: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
+    """The steps of a template for each context, with the values of some of its columns in place of their ``{{names}}``."""
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(a).alias("action"), F.lit(s).alias("selector"), F.lit(v).cast("string").alias("value")) for i, (a, s, v) in enumerate(TEMPLATES[name], 1)])
+    out = contexts.select("*", F.explode(steps).alias("_s")).select(*contexts.columns, "_s.*")
+    for k in columns:
+        for c in ("selector", "value"):
+            out = out.withColumn(c, F.replace(c, F.lit("{{" + k + "}}"), F.col(k)))
+    return out
+
+
 def repeated(steps: DataFrame, times: int) -> DataFrame:
     """The steps, in order, ``times`` over."""
     n = max(0, times)

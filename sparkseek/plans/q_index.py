@@ -160,17 +160,21 @@ def shard_array(spark, sf):
     return I.shards(parts(spark, sf), 7)
 
 
-_CMS = [('[{"id":"a","heading":"A"},{"id":"b","heading":"B"}]',), ('{"records":[{"id":"c","heading":"C"}]}',), ('{"other":1}',), ("[]",)]
+#: Answers of a content system, one for each supplier: an array, an object with records, another object, an empty array.
+_ENTRY = """concat('{"id":"', cast(s_suppkey AS string), '","url":"/s","heading":"', s_name, '"}')"""
+_PAYLOAD = f"""CASE s_suppkey % 4 WHEN 0 THEN concat('[', {_ENTRY}, ',', {_ENTRY}, ']') WHEN 1 THEN concat('{{"records":[', {_ENTRY}, ']}}') WHEN 2 THEN '{{"other":1}}' ELSE '[]' END"""
 
 
-@query("SELECT * FROM (VALUES ('a', 'A'), ('b', 'B'), ('c', 'C')) t(id, heading)")
+@query("SELECT s_suppkey::VARCHAR AS id, s_name AS heading FROM supplier WHERE s_suppkey % 4 IN (0, 1) UNION ALL SELECT s_suppkey::VARCHAR, s_name FROM supplier WHERE s_suppkey % 4 = 0")
 def cms_source(spark, sf):
-    return C.cms(spark.createDataFrame(_CMS, "payload string")).select("id", "heading")
+    return C.cms(table(spark, sf, "supplier").selectExpr(f"{_PAYLOAD} AS payload")).select("id", "heading")
 
 
-@query("SELECT * FROM (VALUES (0, 'mock-0', '/', '', 'section'), (1, 'x', '/', 'H', 'action')) t(seq, id, url, heading, type)")
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS seq, CASE WHEN n_nationkey % 2 = 0 THEN 'n' || n_nationkey ELSE 'mock-' || (row_number() OVER (ORDER BY n_nationkey) - 1) END AS id, '/' AS url, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE '' END AS heading, 'section' AS type FROM nation")
 def mock_records(spark, sf):
-    return C.mock(spark, [{}, {"id": "x", "heading": "H", "type": "action"}]).select("seq", "id", "url", "heading", "type")
+    """Records of the nations, every second one with defaults alone."""
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").collect()
+    return C.mock(spark, [{} if r.n_nationkey % 2 else {"id": f"n{r.n_nationkey}", "heading": r.n_name} for r in rows]).select("seq", "id", "url", "heading", "type")
 
 
 _A = "SELECT p_partkey AS id, round(p_retailprice / 1000, 4) AS score FROM part WHERE p_partkey % 2 = 0"
@@ -244,23 +248,33 @@ def graph_reachable(spark, sf):
     return E.frontier(spark.createDataFrame([("1",)], "url string"), edges)
 
 
-_STEPS = [("w", 1, "click", None, None, None, None, None), ("w", 2, "type", "#a", None, None, None, None), ("w", 3, "navigate", None, None, None, None, None), ("w", 4, "wait", None, None, None, None, None), ("w", 5, None, None, None, None, None, None), ("v", 1, "wait", None, None, None, None, 0), ("v", 2, "submit", None, "r1", None, None, None), ("v", 3, "type", None, None, None, None, None)]
-_ERRORS = [("w", 1, 'Step 1 (click): missing "selector" or "recordId"'), ("w", 2, 'Step 2 (type): missing "value"'), ("w", 3, 'Step 3 (navigate): missing "url"'), ("w", 4, 'Step 4 (wait): missing "timeout"'), ("w", 5, 'Step 5: missing "action"'), ("v", 3, 'Step 3 (type): missing "selector" or "recordId"'), ("v", 3, 'Step 3 (type): missing "value"')]
+#: A step for each part; some lack what their action needs.
+_STEPS = """p_brand AS workflow, p_partkey AS step, CASE p_size % 6 WHEN 0 THEN 'click' WHEN 1 THEN 'type' WHEN 2 THEN 'navigate' WHEN 3 THEN 'wait' WHEN 4 THEN 'submit' END AS action|CASE WHEN p_partkey % 2 = 0 THEN '#a' END AS selector|
+CASE WHEN p_partkey % 5 = 0 THEN 'r1' END AS record_id|CASE WHEN p_partkey % 3 = 0 THEN p_name END AS value|CASE WHEN p_partkey % 7 < 3 THEN '/u' END AS url|CASE WHEN p_partkey % 4 = 0 THEN 0 END AS timeout"""
+_SAID = "'Step ' || step || ' (' || action || '): missing '"
 
 
-@query(f"SELECT * FROM ({values(_ERRORS)}) t(workflow, step, error)")
+@query(f"""WITH t AS (SELECT {_STEPS.replace('|', ', ')} FROM part)
+SELECT workflow, step, 'Step ' || step || ': missing "action"' AS error FROM t WHERE action IS NULL
+UNION ALL SELECT workflow, step, {_SAID} || '"selector" or "recordId"' FROM t WHERE action IN ('click', 'type', 'submit') AND selector IS NULL AND record_id IS NULL
+UNION ALL SELECT workflow, step, {_SAID} || '"value"' FROM t WHERE action = 'type' AND value IS NULL
+UNION ALL SELECT workflow, step, {_SAID} || '"url"' FROM t WHERE action = 'navigate' AND url IS NULL
+UNION ALL SELECT workflow, step, {_SAID} || '"timeout"' FROM t WHERE action = 'wait' AND timeout IS NULL""")
 def workflow_validate(spark, sf):
-    return G.workflow_errors(spark.createDataFrame(_STEPS, f"workflow string, step int, {G.STEP}"))
+    head, *rest = _STEPS.split("|")
+    return G.workflow_errors(table(spark, sf, "part").selectExpr(*head.split(", ", 2), *rest))
 
 
-@query("""SELECT * FROM (VALUES (1, 'type', '[name="username"]', 'ann'), (2, 'type', '[name="password"]', '{{password}}'), (3, 'submit', 'form', NULL)) t(step, action, selector, value)""")
+@query("""SELECT c_custkey, step, action, selector, CASE step WHEN 1 THEN c_name WHEN 2 THEN '{{password}}' END AS value
+FROM customer, (VALUES (1, 'type', '[name="username"]'), (2, 'type', '[name="password"]'), (3, 'submit', 'form')) t(step, action, selector)""")
 def workflow_template(spark, sf):
-    return G.filled_template(spark, "login", {"username": "ann"})
+    """The login of every customer."""
+    return G.filled(table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("username")), "login", ["username"]).drop("username")
 
 
-@query("SELECT s AS step, 'a' || s AS action, r AS round FROM (SELECT unnest(range(1, 4)) AS s), (SELECT unnest(range(1, 4)) AS r)")
+@query("SELECT n_nationkey AS step, n_name AS action, r AS round FROM nation, (SELECT unnest(range(1, 4)) AS r)")
 def workflow_repeat(spark, sf):
-    return G.repeated(spark.createDataFrame([(i, f"a{i}") for i in (1, 2, 3)], "step int, action string"), 3)
+    return G.repeated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("step"), F.col("n_name").alias("action")), 3)
 
 
 _RECORD = "SELECT seq, id, url, heading, body, type, label, CASE WHEN seq % 5 = 0 THEN '#s' || seq END AS selector, seq % 14 = 1 AS destructive FROM d"
@@ -387,9 +401,15 @@ def workflow_composed(spark, sf):
     return G.composed(steps("nation", "n_nationkey", "n_name"), steps("region", "r_regionkey", "r_name"))
 
 
-@query("SELECT * FROM (VALUES ('login', 3), ('search', 2), ('form-filling', 2)) t(name, steps)")
+@query("SELECT s_suppkey, name, steps FROM supplier, (VALUES ('login', 3), ('search', 2), ('form-filling', 2)) t(name, steps)")
 def workflow_templates(spark, sf):
-    return G.templates(spark)
+    """How many steps each template takes for each supplier."""
+    out = None
+    for name in G.TEMPLATES:
+        rows = G.filled(table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("query")), name, ["query"])
+        rows = rows.groupBy("s_suppkey").agg(F.count("*").cast("int").alias("steps")).withColumn("name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT 'txt' AS type, string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS text FROM region")

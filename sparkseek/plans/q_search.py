@@ -453,18 +453,19 @@ def field_boost(spark, sf):
     return S.ranked(parts(spark, sf), "small").select("seq", F.round(F.col("raw") * factor, 6).alias("raw"))
 
 
-_SYN = [("setup", "install"), ("setup", "configure"), ("ring", "band")]
-_PAST = [("big setup guide",), ("Setup",), ("other",), ("small ring box",)]
-_ASKED = [("setup",), ("small ring",)]
+#: Queries are the names of parts; brands are synonyms of their first words, and types are what was asked before.
+_NAMES, _TYPES = "SELECT DISTINCT p_name AS query FROM part", "SELECT DISTINCT concat(upper(p_name), ' ', p_type) AS past FROM part"
 
 
-@query(f"""WITH q(query) AS ({values(_ASKED)}), s(term, synonym) AS ({values(_SYN)}), h(past) AS ({values(_PAST)}),
+@query(f"""WITH q AS ({_NAMES}), s AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS term, p_brand AS synonym FROM part), h AS ({_TYPES}),
 w AS (SELECT query, string_split(query, ' ') AS ws FROM q)
 SELECT query, query AS alternative FROM q UNION
 SELECT query, array_to_string(list_filter(ws, lambda t: lower(t) <> term) || [synonym], ' ') FROM w JOIN s ON list_contains(ws, term) UNION
 SELECT query, past FROM q JOIN h ON contains(lower(past), lower(query)) AND past <> query""")
 def query_expand(spark, sf):
-    return L.expanded(spark.createDataFrame(_ASKED, "query string"), spark.createDataFrame(_SYN, "term string, synonym string"), spark.createDataFrame(_PAST, "past string"))
+    p = table(spark, sf, "part")
+    brands = p.select(F.lower(F.element_at(F.split("p_name", " "), 1)).alias("term"), F.col("p_brand").alias("synonym")).distinct()
+    return L.expanded(p.select(F.col("p_name").alias("query")).distinct(), brands, p.select(F.concat(F.upper("p_name"), F.lit(" "), "p_type").alias("past")).distinct())
 
 
 @query(f"SELECT doc_id, {_PHRASE('the and attion').replace('heading', 'text').replace('body', 'text')} AS hit FROM documents")

@@ -85,41 +85,12 @@ def version_hash(spark, sf):
     return rows.select("p_partkey", F.conv("b36", 36, 10).cast("long").alias("decimal_hash"))
 
 
-_LABELS = [("Delete Account",), ("REMOVE item",), ("Pay now",), ("Save",), ("Cancel",), ("Cancel Subscription",), ("Confirm",), ("",)]
+_LABEL = "CASE p_size % 6 WHEN 0 THEN concat('DELETE ', p_name) WHEN 1 THEN 'Pay now' WHEN 2 THEN concat('Cancel ', p_name) WHEN 3 THEN 'Cancel Subscription' WHEN 4 THEN '' ELSE p_type END"
 
 
-@query(f"WITH l(label) AS ({values(_LABELS)}) SELECT label, regexp_matches(lower(label), 'delete|remove|cancel subscription|unsubscribe|pay|checkout|submit order|confirm') AS destructive FROM l")
+@query(f"SELECT p_partkey, label, regexp_matches(lower(label), 'delete|remove|cancel subscription|unsubscribe|pay|checkout|submit order|confirm') AS destructive FROM (SELECT p_partkey, {_LABEL} AS label FROM part)")
 def destructive(spark, sf):
-    return E.with_destructive(spark.createDataFrame(_LABELS, "label string"), F.col("label"))
-
-
-@query("SELECT doc_id, CASE doc_id % 7 WHEN 6 THEN 'Answer' ELSE (['Section','Action','Field','Link','File','Media'])[doc_id % 7 + 1] END AS shown FROM documents")
-def type_labels(spark, sf):
-    return documents(spark, sf).select(F.col("seq").alias("doc_id"), X.type_label(F.col("type")).alias("shown"))
-
-
-@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS slug FROM documents")
-def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slug(F.col("text")).alias("slug"))
-
-
-@query("""WITH h AS (SELECT doc_id, abs(list_reduce(list_transform(string_split(text, ''), lambda ch: ascii(ch)::BIGINT), lambda h, x: (((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296) - 2147483648, 0::BIGINT)) AS h FROM documents)
-SELECT doc_id, h AS decimal_hash FROM h""")
-def content_hash(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.conv(X.poly_hash(F.col("text")), 36, 10).cast("long").alias("decimal_hash"))
-
-
-@query(f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '' AND NOT list_contains([{_STOP}], t)) AS t FROM documents),
-f AS (SELECT doc_id, list_transform(t, lambda w: strip_accents(w)) AS t FROM t)
-SELECT doc_id, array_to_string(list_filter(list_transform(t, lambda t: {_STEM}), lambda w: w <> ''), ' ') AS tokens FROM f""")
-def token_pipeline(spark, sf):
-    tokens = X.filtered_tokens(F.col("text"), [X.without(), X.fold, X.stem])
-    return table(spark, sf, "documents").select("doc_id", F.array_join(tokens, " ").alias("tokens"))
-
-
-@query("SELECT doc_id, substr(text, 1, 1200) AS preview FROM documents")
-def preview(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 1200).alias("preview"))
+    return E.with_destructive(table(spark, sf, "part").selectExpr("p_partkey", f"{_LABEL} AS label"), F.col("label"))
 
 
 _CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
@@ -137,20 +108,24 @@ def sections(spark, sf):
     return E.sections(table(spark, sf, "pages")).select("page_id", "pos", "heading", "heading_id", "body")
 
 
-_HTML = [
-    (1, "https://a.example/x/", "<h1>Getting <em>Started</em></h1><p>First &amp; best</p><h2 id='conf'>Configuration</h2><p>Set it</p><h3>Deep</h3>tail<script>secret()</script>"),
-    (2, "https://a.example/y", "<p>no headings</p>"),
-    (3, "https://a.example/z", "<section><h2>One</h2>a<section><h2>Two</h2>b</section></section><!-- <h1>not</h1> --><h4>Three</h4>"),
-]
+#: A page for each part, in expressions that both engines read alike: headings, files, images and structured data.
+_PART_URL = "concat('https://parts.example/docs/', cast(p_size AS string), '/', cast(p_partkey AS string), '.html')"
+_PART_HTML = """concat('<h1>', p_name, ' <em>part</em></h1><p>First &amp; ', p_type, '</p><h2 id=''spec''>Size ', cast(p_size AS string), '</h2><p>of ', p_brand, '</p><section><h3>', p_type, '</h3>a<section><h4>Deep</h4>b</section></section><!-- <h1>not</h1> -->',
+'<a href=''/files/', cast(p_partkey AS string), '.PDF''>Sheet of ', p_name, '</a><a href="b', cast(p_size AS string), '.zip?"></a><a href=''c.html''>page</a><a rel=''nofollow'' href=''d.csv#''>data</a><a href=''https://other.example/deck.pptx''><b>Deck</b></a>',
+'<img src=x alt='' ', p_name, ' ''><img alt=''''><img src=''y''><IMG ALT="', p_type, '"><script>secret()</script>',
+CASE p_partkey % 3 WHEN 0 THEN concat('<script type="application/ld+json">{"@type":"FAQPage","mainEntity":[{"name":"Why ', p_name, '?","acceptedAnswer":{"text":"', p_type, '"}},{"name":"No answer"},{"name":"Whose?","suggestedAnswer":{"text":"', p_brand, '"}}]}</script>')
+WHEN 1 THEN concat('<script type="application/ld+json">[{"@type":"FAQPage","mainEntity":[{"name":"Size?","acceptedAnswer":{"text":"', cast(p_size AS string), '"}}]}]</script><script type="application/ld+json">{"@type":"Article","headline":"', p_name, '","description":"', p_type, '"}</script>')
+ELSE concat('<script type="application/ld+json">{broken</script><script type="application/ld+json">{"@type":"Product","name":"', p_name, '"}</script><script type="application/ld+json">{"@graph":[]}</script>') END)"""
+_PART_PAGES = f"pages AS (SELECT p_partkey AS page_id, {_PART_URL} AS url, {_PART_HTML} AS html FROM part)"
 
 
-def _pages(spark, rows=_HTML):
-    return spark.createDataFrame(rows, "page_id long, url string, html string")
+def _pages(spark, sf):
+    return table(spark, sf, "part").selectExpr("p_partkey AS page_id", f"{_PART_URL} AS url", f"{_PART_HTML} AS html")
 
 
-@query(f"""WITH pages(page_id, url, html) AS ({values(_HTML)}), {_SECTIONS} SELECT page_id, pos, heading, array_to_string(names[1:pos + 1], ' › ') AS breadcrumb, {_PLAIN.format('after')} AS body FROM s""")
+@query(f"""WITH {_PART_PAGES}, {_SECTIONS} SELECT page_id, pos, heading, array_to_string(names[1:pos + 1], ' › ') AS breadcrumb, {_PLAIN.format('after')} AS body FROM s""")
 def breadcrumb(spark, sf):
-    return E.sections(_pages(spark)).select("page_id", "pos", "heading", "breadcrumb", "body")
+    return E.sections(_pages(spark, sf)).select("page_id", "pos", "heading", "breadcrumb", "body")
 
 
 _ANCHORS = f"""a AS (SELECT page_id, url, i - 1 AS pos, l[i] AS a FROM (SELECT page_id, url, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS l FROM pages))),
@@ -163,64 +138,62 @@ def links(spark, sf):
     return E.links(table(spark, sf, "pages")).select("page_id", "pos", "href", "text")
 
 
-_MARKUP = [
-    (1, "https://a.example/docs/index.html", "<a href='/files/a.PDF'>Report</a><a href=\"b.zip?\"></a><a href='c.html'>page</a><a rel='nofollow' href='d.csv#'>data</a><img src=x alt=' Cat '><img alt=''><img src='y'>"),
-    (2, "https://b.example", "<a href='https://other.example/deck.pptx'><b>Deck</b></a><IMG ALT=\"Dog\">"),
-]
-
-
-@query(f"""WITH pages(page_id, url, html) AS ({values(_MARKUP)}), {_ANCHORS}
-SELECT page_id, pos, CASE WHEN text <> '' THEN text ELSE string_split(href, '/')[-1] END AS heading, CASE href WHEN '/files/a.PDF' THEN 'https://a.example/files/a.PDF' WHEN 'b.zip?' THEN 'https://a.example/docs/b.zip?' WHEN 'd.csv#' THEN 'https://a.example/docs/d.csv#' ELSE href END AS target
+@query(f"""WITH {_PART_PAGES}, {_ANCHORS}
+SELECT page_id, pos, CASE WHEN text <> '' THEN text ELSE string_split(href, '/')[-1] END AS heading, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '/') THEN 'https://parts.example' || href ELSE regexp_extract(url, '^.*/') || href END AS target
 FROM h WHERE regexp_matches(lower(href), '\\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|csv)[?#]?$')""")
 def files(spark, sf):
-    return E.files(_pages(spark, _MARKUP))
+    return E.files(_pages(spark, sf))
 
 
-@query(f"""WITH pages(page_id, url, html) AS ({values(_MARKUP)}), i AS (SELECT page_id, k - 1 AS pos, l[k] AS img FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\s[^>]*>') AS l FROM pages)))
+@query(f"""WITH {_PART_PAGES}, i AS (SELECT page_id, k - 1 AS pos, l[k] AS img FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\s[^>]*>') AS l FROM pages)))
 SELECT * FROM (SELECT page_id, pos, trim(regexp_extract(img, '(?is)\\salt=["'']([^"'']*)["'']', 1)) AS heading FROM i) WHERE heading <> ''""")
 def media_alt(spark, sf):
-    return E.images(_pages(spark, _MARKUP))
+    return E.images(_pages(spark, sf))
 
 
-_LD = '<script type="application/ld+json">{}</script>'
-_JSON = [
-    (1, "/a", _LD.format('{"@type":"FAQPage","mainEntity":[{"name":"Why?","acceptedAnswer":{"text":"So."}},{"name":"No answer"},{"name":"How?","suggestedAnswer":{"text":"Thus."}}]}')),
-    (2, "/b", _LD.format('[{"@type":"FAQPage","mainEntity":[{"name":"Q","acceptedAnswer":{"text":"A"}}]}]') + _LD.format('{"@type":"Article","headline":"News","description":"of the day"}')),
-    (3, "/c", _LD.format("{broken") + _LD.format('{"@type":"Product","name":"Thing"}') + _LD.format('{"@graph":[]}')),
-]
 _SCRIPTS = r"""s AS (SELECT page_id, i - 1 AS script, l[i] AS j FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS i FROM
   (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\+json["''][^>]*>(.*?)</script>', 1) AS l FROM pages))),
 v AS (SELECT page_id, script, j::JSON AS j FROM s WHERE json_valid(j))"""
-_BLOCKS = f"pages(page_id, url, html) AS ({values(_JSON)}), {_SCRIPTS}"
+_BLOCKS = f"{_PART_PAGES}, {_SCRIPTS}"
 
 
 @query(f"""WITH {_BLOCKS}, e AS (SELECT page_id, script, unnest(CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS d FROM v),
 q AS (SELECT page_id, script, n - 1 AS pos, l[n] AS q FROM (SELECT page_id, script, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT page_id, script, json_extract(d, '$.mainEntity[*]') AS l FROM e WHERE d->>'$."@type"' = 'FAQPage')))
 SELECT page_id, script, pos, q->>'$.name' AS question, coalesce(q->>'$.acceptedAnswer.text', q->>'$.suggestedAnswer.text') AS answer FROM q WHERE coalesce(q->>'$.acceptedAnswer.text', q->>'$.suggestedAnswer.text') IS NOT NULL""")
 def jsonld_faq(spark, sf):
-    return E.faqs(_pages(spark, _JSON))
+    return E.faqs(_pages(spark, sf))
 
 
 @query(f"""WITH {_BLOCKS} SELECT page_id, script, j->>'$."@type"' AS kind, coalesce(j->>'$.name', j->>'$.headline', '') AS name, coalesce(j->>'$.description', '') AS description,
 trim(coalesce(j->>'$.name', j->>'$.headline', '') || ' ' || coalesce(j->>'$.description', '')) AS body FROM v WHERE json_type(j) = 'OBJECT' AND j->>'$."@type"' NOT IN ('FAQPage')""")
 def jsonld_typed(spark, sf):
-    return E.things(_pages(spark, _JSON))
+    return E.things(_pages(spark, sf))
 
 
+#: Two pages for each customer, one with a form and one with media, and the records that they hold; @ stands for the name, ~ for the segment.
 _FORMS = [
-    (1, "/f", '<main>Area<form><label for="u">User</label><input id="u" name="user" value="me"><label>Mail <input type="email"></label><input type="hidden" name="h"><input placeholder="Phone"><textarea aria-label="Note">hi</textarea></form></main><button class="big red">Delete all</button><button aria-label="Close" title="x">×</button><div role="button" data-testid="go">Go</div><input type="submit" aria-label="Send">'),
-    (2, "/g", '<figure><img alt="Cat"><figcaption>Sleeps</figcaption></figure><video title="Talk"><track kind="captions" src="t.vtt"></video><details><summary>More</summary></details>'),
+    (0, '<main>Area<form><label for="u">@</label><input id="u" name="user" value="me"><label>Mail <input type="email"></label><input type="hidden" name="h"><input placeholder="Phone"><textarea aria-label="Note">hi</textarea></form></main><button class="big red">Delete ~</button><button aria-label="Close" title="x">×</button><div role="button" data-testid="go">Go</div><input type="submit" aria-label="Send">'),
+    (1, '<figure><img alt="@"><figcaption>Sleeps</figcaption></figure><video title="~"><track kind="captions" src="t.vtt"></video><details><summary>More</summary></details>'),
 ]
 _DOM = [
-    (1, "action", 0, "Delete all", "", "Delete all", "button.big.red"), (1, "action", 1, "Close", "", "Close", '[aria-label="Close"]'), (1, "action", 2, "Go", "", "Go", '[data-testid="go"]'), (1, "action", 3, "Send", "", "Send", '[aria-label="Send"]'),
-    (1, "field", 0, "User", "AreaUserMail hi", "User", "#u"), (1, "field", 1, "Mail", "AreaUserMail hi", "Mail", "main > form > label:nth-child(2) > input"), (1, "field", 2, "Phone", "AreaUserMail hi", "Phone", "main > form > input:nth-child(3)"), (1, "field", 3, "Note", "AreaUserMail hi", "Note", '[aria-label="Note"]'),
-    (2, "action", 0, "More", "", "More", "details > summary"), (2, "media", 0, "Cat", "", "Cat Sleeps", "figure > img"), (2, "media", 1, "Talk", "", "Talk [Transcript available: t.vtt]", "video"),
+    (0, "action", 0, "Delete ~", "", "Delete ~", "button.big.red"), (0, "action", 1, "Close", "", "Close", '[aria-label="Close"]'), (0, "action", 2, "Go", "", "Go", '[data-testid="go"]'), (0, "action", 3, "Send", "", "Send", '[aria-label="Send"]'),
+    (0, "field", 0, "@", "Area@Mail hi", "@", "#u"), (0, "field", 1, "Mail", "Area@Mail hi", "Mail", "main > form > label:nth-child(2) > input"), (0, "field", 2, "Phone", "Area@Mail hi", "Phone", "main > form > input:nth-child(3)"), (0, "field", 3, "Note", "Area@Mail hi", "Note", '[aria-label="Note"]'),
+    (1, "action", 0, "More", "", "More", "details > summary"), (1, "media", 0, "@", "", "@ Sleeps", "figure > img"), (1, "media", 1, "~", "", "~ [Transcript available: t.vtt]", "video"),
 ]
 
 
-@query(f"SELECT * FROM ({values(_DOM)}) t(page_id, type, pos, heading, breadcrumb, body, selector)")
+def _filled(c: str) -> str:
+    return f"replace(replace({c}, '@', c_name), '~', c_mktsegment)"
+
+
+@query(f"SELECT c_custkey * 2 + side AS page_id, type, pos, {_filled('heading')} AS heading, {_filled('breadcrumb')} AS breadcrumb, {_filled('body')} AS body, selector FROM ({values(_DOM)}) t(side, type, pos, heading, breadcrumb, body, selector), customer")
 def dom_extract(spark, sf):
-    rows = E.dom_records(_pages(spark, _FORMS))
+    pages = None
+    for side, html in _FORMS:
+        page = table(spark, sf, "customer").select((F.col("c_custkey") * 2 + side).alias("page_id"), F.concat(F.lit("/c"), F.col("c_custkey").cast("string")).alias("url"), F.lit(html).alias("html"), "c_name", "c_mktsegment")
+        page = page.withColumn("html", F.expr(_filled("html"))).drop("c_name", "c_mktsegment")
+        pages = page if pages is None else pages.union(page)
+    rows = E.dom_records(pages)
     return rows.select("page_id", "type", "pos", "heading", "breadcrumb", "body", F.element_at("selectors", 1).alias("selector"))
 
 
@@ -233,54 +206,58 @@ def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.normalize(F.col("url")).alias("normal"))
 
 
-_BASE = "https://example.com/fixture/index.html"
-_URLS = [
-    ("sitemap.xml", _BASE, "https://example.com/fixture/sitemap.xml"), ("/docs/guide", _BASE, "https://example.com/docs/guide"), ("https://other.com/page", _BASE, "https://other.com/page"),
-    ("//cdn.example.com/script.js", "https://example.com", "https://cdn.example.com/script.js"), ("", _BASE, _BASE), (None, _BASE, _BASE), ("../up/./x?q=1#f", _BASE, "https://example.com/up/x?q=1#f"), ("?page=2", _BASE, _BASE + "?page=2"),
-    ("#top", _BASE + "?a=1#old", _BASE + "?a=1#top"), ("mailto:a@b.cd", _BASE, "mailto:a@b.cd"), ("a b", "https://example.com", "https://example.com/a b"), ("..", "https://example.com/a/b/c", "https://example.com/a/"),
-]
+#: References that a page may hold, by its number.
+_REFERENCE = "CASE page_id % 9 WHEN 0 THEN 'sitemap.xml' WHEN 1 THEN '/docs/guide' WHEN 2 THEN 'https://other.com/page' WHEN 3 THEN '//cdn.example.com/script.js' WHEN 4 THEN '' WHEN 5 THEN '../up/./x?q=1#f' WHEN 6 THEN '?page=2' WHEN 7 THEN 'mailto:a@b.cd' END"
 
 
-@query(f"SELECT * FROM ({values(_URLS)}) t(value, base, resolved)")
+@query(f"""WITH r AS (SELECT page_id, url, {_REFERENCE} AS value, regexp_extract(url, '^[^?#]*') AS bare FROM pages),
+b AS (SELECT *, regexp_extract(bare, '^[A-Za-z]+:') AS scheme, regexp_extract(bare, '^[^/]*//[^/]*') AS origin FROM r),
+d AS (SELECT *, CASE WHEN bare = origin THEN '/' ELSE regexp_extract(substr(bare, length(origin) + 1), '^.*/') END AS dir FROM b)
+SELECT page_id, value, CASE page_id % 9 WHEN 0 THEN origin || dir || value WHEN 1 THEN origin || value WHEN 3 THEN scheme || value WHEN 5 THEN origin || regexp_replace(dir, '[^/]+/$', '') || 'up/x?q=1#f' WHEN 6 THEN (CASE WHEN bare = origin THEN bare || '/' ELSE bare END) || value WHEN 2 THEN value WHEN 7 THEN value ELSE url END AS resolved FROM d""")
 def url_resolve(spark, sf):
-    rows = spark.createDataFrame([u[:2] for u in _URLS], "value string, base string")
-    return rows.select("value", "base", U.resolve(F.col("value"), F.col("base")).alias("resolved"))
+    rows = table(spark, sf, "pages").selectExpr("page_id", "url", f"{_REFERENCE} AS value")
+    return rows.select("page_id", "value", U.resolve(F.col("value"), F.col("url")).alias("resolved"))
 
 
-_MAPS = [
-    ("https://s.example/map.xml", "<sitemapindex><sitemap><loc>https://s.example/a.xml</loc><lastmod>2020</lastmod></sitemap><sitemap><loc>b.xml</loc></sitemap></sitemapindex>"),
-    ("https://s.example/a.xml", "<urlset><url><loc> https://s.example/1 </loc></url><url><loc>/2</loc></url><url><loc>/2</loc></url></urlset>"),
-    ("https://s.example/b.xml", "<sitemapindex><sitemap><loc>c.xml</loc></sitemap><sitemap><loc>map.xml</loc></sitemap></sitemapindex>"),
-    ("https://s.example/c.xml", "<urlset><url><loc>/3</loc></url></urlset>"),
-    ("https://s.example/orphan.xml", "<urlset><url><loc>/4</loc></url></urlset>"),
-]
+#: Sitemaps of the origins of the pages: one index that names another, which names three maps and the first again.
+_SITES = """o AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS origin, page_id % 3 AS k FROM pages),
+p AS (SELECT *, row_number() OVER (PARTITION BY origin, k ORDER BY page_id) - 1 AS pos FROM o)"""
 
 
-def _maps(spark):
-    return spark.createDataFrame(_MAPS, "url string, xml string")
+def _maps(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url", F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0).alias("origin"), (F.col("page_id") % 3).alias("k"))
+    at = lambda name: F.concat("origin", F.lit(f"/{name}.xml"))
+    index = lambda *names: F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>"), n, F.lit("</loc><lastmod>2020</lastmod></sitemap>")) for n in names], F.lit("</sitemapindex>"))
+    origins = p.select("origin").distinct()
+    tops = origins.select(at("map").alias("url"), index(F.lit("parts.xml")).alias("xml")).union(origins.select(at("parts").alias("url"), index(F.lit("s0.xml"), at("s1"), F.lit("/s2.xml"), F.lit("map.xml")).alias("xml")))
+    locs = p.groupBy("origin", "k").agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("l"))
+    body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("<url><loc> "), x["url"], F.lit(" </loc></url>"))), "")
+    return tops.union(locs.select(F.concat("origin", F.lit("/s"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), F.concat(F.lit("<urlset>"), body, F.lit("</urlset>")).alias("xml")))
 
 
-@query(f"""WITH m(url, xml) AS ({values(_MAPS)}), l AS (SELECT url, i - 1 AS pos, trim(x[i]) AS loc FROM (SELECT url, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT url, regexp_extract_all(xml, '<loc>(.*?)</loc>', 1) AS x FROM m WHERE NOT contains(xml, '<sitemapindex'))))
-SELECT CASE WHEN starts_with(loc, '/') THEN 'https://s.example' || loc ELSE loc END AS loc, min(url) AS sitemap, min(pos) AS pos FROM l GROUP BY 1""")
+@query(f"WITH {_SITES}, m AS (SELECT url, min((origin || '/s' || k || '.xml', pos::INT)) AS spot FROM p GROUP BY url) SELECT url AS loc, spot[1] AS sitemap, spot[2] AS pos FROM m")
 def sitemap_locs(spark, sf):
-    return E.sitemap_locations(_maps(spark))
+    return E.sitemap_locations(_maps(spark, sf))
 
 
-@query(f"""WITH RECURSIVE m(url, xml) AS ({values(_MAPS)}),
-e AS (SELECT url, CASE WHEN contains(c, '://') THEN c ELSE 'https://s.example/' || c END AS child FROM (SELECT url, unnest(regexp_extract_all(xml, '(?s)<sitemap>.*?<loc>(.*?)</loc>', 1)) AS c FROM m WHERE contains(xml, '<sitemapindex'))),
-r AS (SELECT 'https://s.example/map.xml' AS url, 0 AS depth UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.url = r.url WHERE r.depth < 5)
-SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+@query(f"WITH {_SITES}, f AS (SELECT min(origin) AS origin FROM o) SELECT origin || n AS url, depth FROM f, (VALUES ('/map.xml', 0), ('/parts.xml', 1), ('/s0.xml', 2), ('/s1.xml', 2), ('/s2.xml', 2)) t(n, depth)")
 def sitemap_recursive(spark, sf):
-    return E.reachable("https://s.example/map.xml", E.sitemap_children(_maps(spark)))
+    maps = _maps(spark, sf)
+    first = table(spark, sf, "pages").select(F.min(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0))).first()[0]
+    return E.reachable(f"{first}/map.xml", E.sitemap_children(maps))
 
 
-_ROBOTS = [("https://a.example", "User-agent: bot\nDisallow: /all\nUser-agent: *\r\nDisallow: /private\n# note\nDisallow:\nDISALLOW: /tmp/ \nUser-agent: x\nDisallow: /"), ("https://b.example", "")]
-_ASK = [("https://a.example/private/1",), ("https://a.example/pub",), ("https://a.example/tmp",), ("https://a.example/tmp/x?y",), ("https://b.example/private",), ("https://a.example",)]
+_ROBOTS = "User-agent: bot\nDisallow: /all\nUser-agent: *\r\nDisallow: /en\n# note\nDisallow:\nDISALLOW: /th \nUser-agent: x\nDisallow: /"
 
 
-@query(f"WITH u(url) AS ({values(_ASK)}) SELECT url FROM u WHERE NOT starts_with(url, 'https://a.example/private') AND NOT starts_with(url, 'https://a.example/tmp/')")
+@query("""WITH u AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS origin, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, url FROM u WHERE length(origin) % 2 = 1 OR NOT (starts_with(path, '/en') OR starts_with(path, '/th'))""")
 def robots_filter(spark, sf):
-    return E.allowed(spark.createDataFrame(_ASK, "url string"), E.disallowed(spark.createDataFrame(_ROBOTS, "origin string, text string")))
+    """Every second origin has rules."""
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    origin = U.origin(F.col("url"))
+    robots = pages.select(origin.alias("origin")).distinct().withColumn("text", F.when(F.length("origin") % 2 == 0, _ROBOTS).otherwise(""))
+    return E.allowed(pages, E.disallowed(robots))
 
 
 @query("""WITH s AS (SELECT doc_id AS seq, text AS body, unnest(CASE WHEN length(text) <= 500 THEN [0] ELSE range(0, length(text), 400) END) AS s FROM documents)
@@ -289,20 +266,21 @@ def chunk_body(spark, sf):
     return E.chunks(documents(spark, sf), 500)
 
 
-_DOCS = [("a.pdf",), ("b.DOCX?x=1",), ("c.html",), ("d.xls",), ("e.pptx#p",), ("pdf",)]
+_ENDING = "concat(url, CASE page_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.DOCX?x=1' WHEN 2 THEN '.html' WHEN 3 THEN '.xls' WHEN 4 THEN '.pptx#p' ELSE 'pdf' END)"
 
 
-@query(f"WITH d(url) AS ({values(_DOCS)}) SELECT url, regexp_matches(lower(url), '\\.(pdf|docx?|xlsx?|pptx?)($|\\?)') AS is_document FROM d")
+@query(f"SELECT page_id, url, regexp_matches(lower(url), '\\.(pdf|docx?|xlsx?|pptx?)($|\\?)') AS is_document FROM (SELECT page_id, {_ENDING} AS url FROM pages)")
 def document_url(spark, sf):
-    return spark.createDataFrame(_DOCS, "url string").select("url", is_document(F.col("url")).alias("is_document"))
+    return table(spark, sf, "pages").selectExpr("page_id", f"{_ENDING} AS url").select("page_id", "url", is_document(F.col("url")).alias("is_document"))
 
 
-_ALT = [(" Cat ", "read"), ("", " seen "), (None, "x"), ("  ", None)]
+_ALT = "CASE p_size % 4 WHEN 0 THEN concat(' ', p_name, ' ') WHEN 1 THEN '' WHEN 2 THEN '  ' END AS alt, CASE WHEN p_size % 3 > 0 THEN concat(' ', p_type) END AS ocr"
 
 
-@query(f"WITH a(alt, ocr) AS ({values(_ALT)}) SELECT alt, ocr, coalesce(nullif(trim(alt), ''), trim(ocr)) AS text FROM a")
+@query(f"SELECT p_partkey, alt, ocr, coalesce(nullif(trim(alt), ''), trim(ocr)) AS text FROM (SELECT p_partkey, {_ALT} FROM part)")
 def alt_text(spark, sf):
-    return spark.createDataFrame(_ALT, "alt string, ocr string").select("alt", "ocr", E.alternative(F.col("alt"), F.col("ocr")).alias("text"))
+    rows = table(spark, sf, "part").selectExpr("p_partkey", *_ALT.split(", CASE")[:1], "CASE" + _ALT.split(", CASE")[1])
+    return rows.select("p_partkey", "alt", "ocr", E.alternative(F.col("alt"), F.col("ocr")).alias("text"))
 
 
 @query(f"WITH {_SOUNDEX} SELECT word AS term, unnest([word, code]) AS alternative FROM s WHERE code <> ''")
@@ -399,12 +377,12 @@ def _normal(u: str) -> str:
 @query(f"""WITH RECURSIVE {_LINKS}, x AS (SELECT DISTINCT {_normal('url')} AS a, {_normal('target')} AS b FROM k WHERE starts_with(target, {_ORIGIN})),
 y AS (SELECT a, b FROM x WHERE NOT starts_with(regexp_extract(b, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/th')),
 z AS (SELECT {_normal('url')} AS u FROM pages),
-r AS (SELECT u AS seed, u AS url, 0 AS depth FROM z WHERE NOT starts_with(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/th') UNION SELECT seed, b, depth + 1 FROM r JOIN y ON a = url WHERE depth < 6)
+r AS (SELECT u AS seed, u AS url, 0 AS depth FROM z WHERE NOT starts_with(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/th') UNION SELECT seed, b, depth + 1 FROM r JOIN y ON a = url WHERE depth < 12)
 SELECT seed, url, min(depth) AS depth FROM r GROUP BY seed, url""")
 def crawl_pages(spark, sf):
     pages = table(spark, sf, "pages")
     closed = pages.select(U.origin(F.col("url")).alias("origin"), F.lit("/th").alias("path")).distinct()
-    return E.crawl(pages.select("url"), pages, closed, depth=6)
+    return E.crawl(pages.select("url"), pages, closed)
 
 
 @query(f"""WITH v AS (SELECT doc_id AS seq, 'doc-' || doc_id AS id, lower(array_to_string(string_split_regex(text, '\\s+')[1:4], ' ') || ' ' || text) AS t FROM documents),
