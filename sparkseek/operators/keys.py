@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters at the start of a key from which deletions are made, and how many at most; corrections go as far.
-STEM, EDITS = 6, 2
+#: Edits that corrections go to, at most: a key has one part more.
+EDITS = 2
 #: Longest prefix with stored completions, and how many it stores.
 PREFIX, STORED = 8, 40
 
@@ -21,34 +21,31 @@ def term_grams(terms: DataFrame) -> DataFrame:
     return terms.where(F.length("term") >= 3).select("term", F.explode(F.array_distinct(at)).alias("gram"))
 
 
-def _shorter(c: Column) -> Column:
-    """A word without each of its characters in turn."""
-    n = F.length(c)
-    cut = lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, n))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), cut)).otherwise(F.array().cast("array<string>"))
-
-
-def variants(word: str) -> list[str]:
-    """The same on the driver: what is left of the start of a word after up to EDITS deletions."""
-    found = {word[:STEM]}
-    for _ in range(EDITS):
-        found |= {w[:i] + w[i + 1 :] for w in found for i in range(len(w))}
-    return sorted(found)
+def variants(word: str, distance: int = EDITS) -> list[str]:
+    """Parts that a key within some edits of a word may share with it: for each length that it may have, each of its parts where the word may hold it."""
+    out = set()
+    for n in range(max(0, len(word) - distance), len(word) + distance + 1):
+        for i in range(EDITS + 1):
+            start, stop = n * i // (EDITS + 1), n * (i + 1) // (EDITS + 1)
+            for at in range(max(0, start - distance), start + distance + 1):
+                if at + stop - start <= len(word):
+                    out.add(f"{n}:{i}:{word[at : at + stop - start]}")
+    return sorted(out)
 
 
 def neighbours(terms: DataFrame, heads: DataFrame) -> DataFrame:
-    """``variant, key, tier, seq, pos``: headings (tier 0) and body words (tier 1) under what deletions leave of their start, with their first place.
+    """``variant, key, tier, seq, pos``: headings (tier 0) and body words (tier 1) under each of their parts, with their first place.
 
-    Two words within some edits of each other have a variant in common: as many deletions from each make them alike, and
-    so their starts too.
+    A key is cut into one part more than edits count, so of two words that are so close one part of the one is in the other,
+    moved by no more places than there are edits. A part is named with the length of its key and its number.
     """
     h = heads.where((F.col("key") == F.lower("heading")) & (F.length("key") >= 1)).groupBy("key").agg(F.min("seq").alias("seq"))
     words = terms.where(F.col("first").isNotNull() & (F.length("term") >= 3)).select(F.col("term").alias("key"), F.lit(1).alias("tier"), "first.seq", "first.pos")
     keys = h.select("key", F.lit(0).alias("tier"), "seq", F.lit(0).alias("pos")).unionByName(words)
-    one = _shorter(F.col("stem"))
-    keys = keys.withColumn("stem", F.substring("key", 1, STEM)).withColumn("one", one)
-    two = F.flatten(F.transform("one", _shorter))
-    return keys.select(F.explode(F.array_distinct(F.concat(F.array("stem"), "one", two))).alias("variant"), "key", "tier", "seq", "pos")
+    n = F.length("key")
+    bound = lambda i: F.floor(n * i / (EDITS + 1)).cast("int")
+    parts = [F.concat(n.cast("string"), F.lit(f":{i}:"), F.substring("key", bound(i) + 1, bound(i + 1) - bound(i))) for i in range(EDITS + 1)]
+    return keys.select(F.explode(F.array(*parts)).alias("variant"), "key", "tier", "seq", "pos")
 
 
 def completions(heads: DataFrame) -> DataFrame:

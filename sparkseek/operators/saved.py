@@ -260,12 +260,12 @@ def fuzzy(spark: SparkSession, path: str | Snapshot, query: str, distance: int,
 
 def neighbours(at: Snapshot, word: str, distance: int = K.EDITS) -> DataFrame:
     """``key, tier, seq, pos, segment, distance`` of headings and body words within some edits of a word, at most K.EDITS."""
-    rows = at.pruned("neighbours", "variant", K.variants(word)).withColumn("distance", F.levenshtein("key", F.lit(word), distance))
+    rows = at.pruned("neighbours", "variant", K.variants(word, distance)).withColumn("distance", F.levenshtein("key", F.lit(word), distance))
     return rows.where(F.col("distance").between(0, distance)).select("key", "tier", "seq", "pos", "segment", "distance").distinct()
 
 
 def closest_word(spark: SparkSession, path: str | Snapshot, word: str, distance: int = K.EDITS) -> DataFrame:
-    """The same as :func:`search.closest_word`, from the table of words by what deletions leave of them.
+    """The same as :func:`search.closest_word`, from the table of words by their parts.
 
     Where records were deleted, the first places of the nearest keys are those of live postings.
     """

@@ -142,15 +142,15 @@ def test_empty_indexes_and_rows_without_words(spark, tmp_path):
 def test_variants_of_near_words_meet(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcé") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
-    assert K.variants("abc") == sorted(["", "a", "b", "c", "ab", "ac", "bc", "abc"][1:])
+    assert {"3:0:a", "3:2:c", "4:1:b", "5:2:bc", "1:0:", "2:1:a"} <= set(K.variants("abc"))
     rows = spark.createDataFrame([(w,) for w in set(words)], "term string").select("term", F.struct(F.lit(0).alias("seq"), F.lit(0).alias("pos")).alias("first"))
     heads = spark.createDataFrame([], "seq long, heading string, key string")
     made = {}
     for r in K.neighbours(rows, heads).collect():
         made.setdefault(r.key, set()).add(r.variant)
-    assert made == {w: set(K.variants(w)) for w in set(words) if len(w) >= 3}
+    assert set(made) == {w for w in words if len(w) >= 3} and all(len(v) == 3 for v in made.values())
     near = spark.createDataFrame([(a, b) for a in made for b in made], "a string, b string").where("levenshtein(a, b) <= 2").collect()
-    assert len(near) > len(made) and all(made[r.a] & made[r.b] for r in near)
+    assert len(near) > len(made) and all(made[r.a] & set(K.variants(r.b)) for r in near)
 
 
 def test_plans_read_no_bodies(spark, grown):
