@@ -106,15 +106,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     return weights(np.arange(size))
 
 
-def _picked(known: DataFrame) -> DataFrame:
-    """``doc_id, lang`` of at most PER_LANGUAGE documents for each of the LANGUAGES most frequent languages.
+def _picked(known: DataFrame, most: int | None = LANGUAGES) -> DataFrame:
+    """``doc_id, lang`` of at most PER_LANGUAGE documents for each of the ``most`` most frequent languages, or of all.
 
     Those of least id hash: a bound on the hash, set by how many ids a language has, leaves a few thousand of
     each, so nothing but these is ranked, and repeated ids count once.
     """
     spark = known.sparkSession
     counts = known.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct("doc_id").alias("ids"))
-    top = counts.orderBy(F.desc("rows"), "lang").limit(LANGUAGES).collect()
+    top = counts.orderBy(F.desc("rows"), "lang")
+    top = (top if most is None else top.limit(most)).collect()
     bounds = [(r.lang, min(2**63 - 1, (4 * PER_LANGUAGE << 63) // max(1, r.ids))) for r in top]
     bounds = spark.createDataFrame(bounds, "lang string, bound long")
     h = F.xxhash64("doc_id").bitwiseAND(F.lit(2**63 - 1))
@@ -151,16 +152,18 @@ def _document_counts(known: DataFrame) -> tuple[int, np.ndarray]:
     return total, df
 
 
-def fit(docs: DataFrame) -> Model:
-    """Fit on at most PER_LANGUAGE documents of each of at most LANGUAGES languages, outside the held-out fold (2 of 4).
+def fit(docs: DataFrame, most: int | None = LANGUAGES) -> Model:
+    """Fit on at most PER_LANGUAGE documents of each of the ``most`` most frequent languages, or of all, outside the held-out fold (2 of 4).
+
+    The weights take 400 kB for each language.
 
     A tenth of them only sets the temperature. Document frequencies are those of all documents outside the fold
     that have a language. Of rows with the same id and language the least text is learned from.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(4) != 2))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    picked = _picked(known.select("doc_id", "lang"))
-    # At most PER_LANGUAGE * LANGUAGES pairs of an id and a language.
+    picked = _picked(known.select("doc_id", "lang"), most)
+    # At most PER_LANGUAGE pairs of an id and a language for each language.
     rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = rows.select("doc_id", "text", "lang").mapInArrow(_counted, "doc_id long, lang string, at binary, share binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["lang"], r["at"]))
@@ -181,16 +184,16 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, weight, w[size] / t)
 
 
-def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def languages(docs: DataFrame, model: Model | None = None, most: int | None = LANGUAGES) -> DataFrame:
     """One row per row of ``docs(doc_id, text, lang, ...)``: ``doc_id, held_out, lang_pred, score``.
 
-    ``lang_pred`` is the likeliest learned language and ``score`` its calibrated probability, from the
+    Without a model, ``most`` languages are learned, the most frequent ones, or with None all. ``lang_pred`` is the likeliest learned language and ``score`` its calibrated probability, from the
     whole text; ties go to the first language by code point. ``und`` with score 0 is for null texts and
     texts without a letter, and for all if there is nothing to learn from. ``lang`` is only read to fit,
     ``doc_id`` only for the fold; a null id is not held out. Repeated rows each come back; an empty
     table gives an empty result; further columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, most))
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -208,7 +211,7 @@ def languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is told, with it in ``lang``, if there is such a column.
+    """The rows of ``docs`` whose language is told, with it in ``lang``, if there is such a column of strings.
 
     Null texts, texts without a letter, and texts for which the languages are as good as even (UNSURE) go; all rows go where there
     is nothing to learn from. What ``lang`` held before is only read to fit. Repeated rows each stay; an empty
@@ -216,7 +219,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     at = docs.columns.index("text")
-    to = docs.columns.index("lang") if "lang" in docs.columns else None
+    to = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

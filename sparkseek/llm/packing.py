@@ -21,7 +21,7 @@ def _best_ends(best: np.ndarray, rows: np.ndarray, words: np.ndarray, lengths: n
     at its ends, all stretches of a level at once.
     """
     n = len(lengths)
-    cost, came = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+    cost, came = np.zeros(n + 1, best.dtype), np.zeros(n + 1, np.int64)
     lo, hi, least, most = np.array([1]), np.array([n]), np.array([0]), np.array([n - 1])
     while len(lo):
         mid = (lo + hi) // 2
@@ -43,23 +43,23 @@ def _best_ends(best: np.ndarray, rows: np.ndarray, words: np.ndarray, lengths: n
 def optimal_bounds(lengths: Sequence[int], counts: Sequence[int], tokens: Sequence[int], buckets: int) -> list[int]:
     """Bucket bounds, ascending, that minimise the padding of ``counts[i]`` rows of ``lengths[i]``, with ``tokens[i]`` in all.
 
-    One more bucket at a time, over all lengths at once; everything is in whole numbers of 64 bits, which hold while the
-    greatest length times all rows is under 2^62.
+    One more bucket at a time, over all lengths at once, in whole numbers of 64 bits. Where the greatest length times all rows
+    has no place in them, sums are extended floats: exact too, as long as the best padding and its tokens are under 2^64.
     """
     n, lengths = len(lengths), np.asarray(lengths, np.int64)
     if not n:
         return []
     rows, words = (np.concatenate([[0], np.cumsum(np.asarray(x, np.int64))]) for x in (counts, tokens))
-    if int(lengths[-1]) * int(rows[-1]) >= 1 << 62:
-        raise OverflowError("lengths and rows are too many for 64 bits")
-    best = np.full(n + 1, 1 << 62, np.int64)
+    kind = np.int64 if int(lengths[-1]) * int(rows[-1]) < 1 << 62 else np.longdouble
+    lengths, rows, words = (x.astype(kind) for x in (lengths, rows, words))
+    best = np.full(n + 1, 1 << 62 if kind is np.int64 else np.inf, kind)
     best[0] = 0
     back: list[np.ndarray] = []
     for k in range(min(buckets, n)):
         if k:
             after, came = _best_ends(best, rows, words, lengths)
         else:
-            after, came = np.append([0], lengths * rows[1:] - words[1:]), np.zeros(n + 1, np.int64)
+            after, came = np.append(np.zeros(1, kind), lengths * rows[1:] - words[1:]), np.zeros(n + 1, np.int64)
         if k and after[n] >= best[n]:
             break
         back.append(came)

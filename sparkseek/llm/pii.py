@@ -355,10 +355,14 @@ def redact(text: str, found: list[Span]) -> str:
 
 
 def redacted(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` with the spans replaced in ``text`` and ``n_chars``, if there, set to the new length where text changed."""
+    """``docs`` with the spans replaced in ``text`` and ``n_chars``, if it is there in whole numbers, set to the new length where text changed.
+
+    Null and empty texts stay as they are, and long texts are read whole. Repeated rows each stay, an empty table stays empty,
+    and all other columns are kept, whatever their names and types.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field or fit(docs))
     at = docs.columns.index("text")
-    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    size = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("tinyint", "smallint", "int", "bigint") else None
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

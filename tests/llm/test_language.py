@@ -120,3 +120,12 @@ def test_stage_keeps_every_clean_document(spark):
     assert identified(docs, model).count() == want
     one = Model(["en"], model.weight[:, :, :1], model.bias[:1])
     assert {r.lang for r in identified(docs.limit(50), one).select("lang").collect()} == {"en"}
+
+
+def test_languages_by_number_and_without_a_limit(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèàçñõåø"
+    rows = [(i, " ".join([letters[k] * 5, letters[k] * 7, letters[k] * 4]), f"l{k:02}") for i in range(76) for k in [i % 38]]
+    docs = spark.createDataFrame(rows * 1, "doc_id long, text string, lang string").withColumn("doc_id", F.col("doc_id") * 1000 + F.crc32(F.col("text")) % 7)
+    assert len(language.fit(docs, None).langs) > language.LANGUAGES >= len(language.fit(docs).langs) and len(language.fit(docs, 3).langs) == 3
+    numbers = docs.withColumn("lang", F.col("doc_id") % 3)
+    assert dict(language.identified(numbers).dtypes)["lang"] == "bigint" and language.identified(numbers).where("lang > 2").count() == 0

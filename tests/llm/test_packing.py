@@ -84,3 +84,13 @@ def test_padding_over_a_table_is_the_least(spark):
     lengths = [r.n_tokens for r in rows]
     assert max(lengths) == 11_500 and len({r.bucket_len for r in rows}) == 4
     assert sum(r.bucket_len - r.n_tokens for r in rows) == plain_least_padding(lengths, 4)
+
+
+def test_bounds_of_counts_beyond_64_bits():
+    assert optimal_bounds([1, 10**8], [5 * 10**10, 1], [5 * 10**10, 10**8], 2) == [1, 10**8]
+    # Every count a great many times over has the same bounds.
+    lengths, counts = [1, 2, 3, 7, 8, 9, 30, 31, 100], [5, 1, 4, 2, 2, 9, 1, 1, 1]
+    for k in (1, 2, 3, 4):
+        want = optimal_bounds(lengths, counts, [a * b for a, b in zip(lengths, counts, strict=True)], k)
+        many = [c * 10**16 for c in counts]
+        assert optimal_bounds(lengths, many, [a * b for a, b in zip(lengths, many, strict=True)], k) == want

@@ -173,3 +173,10 @@ def test_copies_and_long_texts_are_one_text_of_the_fit(spark):
     x, y, chain, skip = stretch(g, 12345, 512)
     assert len(x) == len(y) == 512 and chain.size == 0 or chain.max() < 512
     assert fit(docs).unary.any()
+
+
+def test_redaction_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@c.de", "13"), (2, None, None), (3, "", "x"), (1, "mail a.b@c.de", "13")], "doc_id long, text string, n_chars string").withColumn("lang", F.lit(4))
+    got = sorted((tuple(r) for r in redacted(docs).collect()), key=str)
+    assert got == [(1, "mail [EMAIL]", "13", 4), (1, "mail [EMAIL]", "13", 4), (2, None, None, 4), (3, "", "x", 4)]
+    assert redacted(docs.where("false")).collect() == []
