@@ -348,7 +348,10 @@ def index_segments_fuzzy(spark, sf):
     return D.search(spark, _changed(spark, sf), "hotplate", fuzzy=True, limit=20)
 
 
-@query(f"WITH {_CHANGED}, n AS (SELECT field, term, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT '{f}' AS field, unnest(string_split_regex(lower({f}), '\s+')) AS term FROM d" for f in I.FIELDS)}) GROUP BY ALL) SELECT field, term, n FROM n WHERE term IN ('ring', 'small', 'copper', 'brand#11', 'hot')")
+_CELLS = " UNION ALL ".join(f"SELECT '{f}' AS field, unnest(string_split_regex(lower({f}), '\\s+')) AS term FROM d" for f in I.FIELDS)
+
+
+@query(f"WITH {_CHANGED}, n AS (SELECT field, term, count(*) AS n FROM ({_CELLS}) GROUP BY ALL) SELECT field, term, n FROM n WHERE term IN ('ring', 'small', 'copper', 'brand#11', 'hot')")
 def index_segments_frequencies(spark, sf):
     return I.counts_of(spark, _changed(spark, sf), ["ring", "small", "copper", "brand#11", "hot"])
 
