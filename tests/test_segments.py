@@ -22,7 +22,7 @@ def rows_of(rng, n, at=0):
     return [{"seq": at + i, "id": f"r{at + i}", "heading": say(4), "body": rng.choice(["", " "]) + say(12), "label": rng.choice([None, "ring", "x", "Ring of"]), "breadcrumb": rng.choice([None, "", "on the", "small"]), "type": rng.choice(["file", "link"])} for i in range(n)]
 
 
-def same(spark, path, searches=("small ring", "the", "café thin"), every=True):
+def same(spark, path, searches=("small ring",), every=True):
     """Whether the index answers as a scan of its records does."""
     records = I.load(spark, path)
     for q in searches:
@@ -69,7 +69,7 @@ def test_changes_are_what_the_records_say(spark, grown):
     sums = {(r.field, r.term): r.n for r in I.counts_of(spark, path, [w.lower() for w in WORDS]).collect()}
     every = {(r.field, r.term): r.n for r in I.occurrences(I.load(spark, path)).collect() if r.term in {w.lower() for w in WORDS}}
     assert sums == every
-    same(spark, path)
+    same(spark, path, ("small ring", "the", "café thin"))
 
 
 def test_old_versions_stay_and_only_new_files_are_written(spark, grown):
