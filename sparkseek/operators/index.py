@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as X
+from sparkseek.operators import blocks as B
 from sparkseek.operators import keys as K
 from sparkseek.operators import segments as S
 from sparkseek.sources import scratch
@@ -155,9 +156,12 @@ def _segment(spark: SparkSession, path: str, postings: DataFrame, heads: DataFra
     spot = F.struct(F.col("seq").alias("seq"), F.element_at("in_body", 1).alias("pos"))
     held = spark.read.parquet(f"{path}/postings/segment={seg}")
     held = held if "bucket" in held.columns else held.withColumn("bucket", F.lit(0))
-    counts = held.groupBy("bucket", "term").agg(*[F.sum(v).alias(k) for k, v in n.items()], F.min(F.when(F.size("in_body") > 0, spot)).alias("first"))
+    counts = held.groupBy("bucket", "term").agg(*[F.sum(v).alias(k) for k, v in n.items()], F.min(F.when(F.size("in_body") > 0, spot)).alias("first"), B.dense(F.count("*"), segment.records).alias("dense"))
     empty.append(_written(counts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term"), path, "terms", seg, True))
     terms = counts if empty[0] else spark.read.parquet(f"{path}/terms/segment={seg}")
+    # Dense terms are few: DENSE of WIDTH records have each, so they are no more than 32 times the distinct words of a record.
+    common = held.join(terms.where("dense").select("bucket", "term"), ["bucket", "term"], "left_semi")
+    empty.append(_written(B.summed(common, "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block"), path, "blocks", seg, True))
     heads = spark.read.parquet(f"{path}/headings/segment={seg}")
     cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("n")) for k in n])
     counts = terms.where(F.length("term") >= 2).select("bucket", "term", F.explode(F.filter(cells, lambda c: c["n"] > 0)).alias("c")).select("bucket", "term", "c.*", F.lit(seg).alias("of"))

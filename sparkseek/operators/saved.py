@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkseek.functions import text as X
+from sparkseek.operators import blocks as B
 from sparkseek.operators import index as I
 from sparkseek.operators import keys as K
 from sparkseek.operators import search as S
@@ -41,10 +42,14 @@ def _run(places: Sequence[Column]) -> Column:
     return F.exists(places[0], follows)
 
 
-def _words(spark: SparkSession, path: str | Snapshot, terms: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+def _all(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _words(spark: SparkSession, path: str | Snapshot, terms: Sequence[str], only: Callable[[DataFrame], DataFrame] = _all) -> tuple[DataFrame, dict[str, Column]]:
     """``seq``, the sizes and a cell for each distinct term, of the records that hold any; and the cell of each term."""
     names = {t: f"t{i}" for i, t in enumerate(dict.fromkeys(terms))}
-    found = I.of_terms(spark, path, sorted(names))
+    found = only(I.of_terms(spark, path, sorted(names)))
     cell = F.struct("words", "label", "in_heading", "in_body", "in_label", "in_breadcrumb")
     if len(names) == 1:
         rows = found.select("seq", *I.SIZES, cell.alias("t0"))
@@ -65,16 +70,20 @@ def _boost(terms: Sequence[str], cells: Mapping[str, Column]) -> Column:
     return S.boost(_run(h) | _run(b), filled(h) | filled(b), X.closeness(gaps))
 
 
-def matched(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Options) -> DataFrame:
-    """``seq, stage, word_pos, raw`` of what :func:`search.direct` finds, without reading a record."""
+def _heads(at: Snapshot, q: str) -> DataFrame:
+    """``seq, exact, hl, bl`` of headings that start with the query, a row for each key: a pushed range of the sorted table of headings."""
+    key = F.col("key")
+    heads = at.live(at.table("headings").where(key.startswith(q) if len(q) >= 2 else key == q))
+    return heads.select("seq", ((key == q) & (F.col("heading_length") >= 2)).alias("exact"), F.col("heading_length").alias("hl"), F.col("body_length").alias("bl"))
+
+
+def matched(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Options, only: Callable[[DataFrame], DataFrame] = _all) -> DataFrame:
+    """``seq, stage, word_pos, raw`` of what :func:`search.direct` finds among the rows that ``only`` leaves, without reading a record."""
     q = X.fold_text(query.strip()).lower()
     terms = q.split()
-    rows, cells = _words(spark, path, terms)
-    # A heading that starts with the query holds it as a key of the sorted table of headings: a pushed range.
-    key, at = F.col("key"), opened(spark, path)
-    heads = at.live(at.table("headings").where(key.startswith(q) if len(q) >= 2 else key == q))
-    heads = heads.groupBy("seq").agg(F.max((key == q) & (F.col("heading_length") >= 2)).alias("exact"), F.first("heading_length").alias("hl"), F.first("body_length").alias("bl"))
-    rows = rows.join(heads, "seq", "full")
+    rows, cells = _words(spark, path, terms, only)
+    heads = only(_heads(opened(spark, path), q))
+    rows = rows.join(heads.groupBy("seq").agg(F.max("exact").alias("exact"), F.first("hl").alias("hl"), F.first("bl").alias("bl")), "seq", "full")
     heading, body = F.coalesce("heading_length", "hl"), F.coalesce("body_length", "bl")
     word = lambda t: F.coalesce(cells[t]["words"], F.lit(0)) > 0 if len(t) >= 3 else F.lit(False)
     label = lambda t: F.coalesce(cells[t]["label"], F.lit(False)) if len(t) >= 2 else F.lit(False)
@@ -84,10 +93,10 @@ def matched(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Optio
     return rows.select("seq", "stage", "word_pos", (raw * _boost(terms, cells)).alias("raw"))
 
 
-def weighted(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Options) -> DataFrame:
-    """``seq, stage, word_pos, raw`` of what :func:`search.bm25f` finds, without reading a record."""
+def weighted(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Options, only: Callable[[DataFrame], DataFrame] = _all) -> DataFrame:
+    """``seq, stage, word_pos, raw`` of what :func:`search.bm25f` finds among the rows that ``only`` leaves, without reading a record."""
     terms = X.fold_text(query.strip()).lower().split()
-    rows, cells = _words(spark, path, terms)
+    rows, cells = _words(spark, path, terms, only)
     lengths = {c: F.coalesce(f"{c}_length", F.lit(0)) for c in S.FIELDS}
     places = lambda t, c: F.coalesce(F.size(cells[t][c]), F.lit(0))
     times = lambda t, c: F.coalesce(cells[t][c], F.lit(0))
@@ -96,13 +105,46 @@ def weighted(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Opti
     return rows.withColumn("raw", raw).where("raw > 0").select("seq", F.lit(3).alias("stage"), F.lit(0).alias("word_pos"), (F.col("raw") * _boost(terms, cells)).alias("raw"))
 
 
+def best(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Options, by: Callable[..., DataFrame] = matched, after: Sequence | None = None) -> B.Best:
+    """The first rows of :func:`matched` or :func:`weighted`, after a place in the ranking if one is given.
+
+    Where a word is common, only blocks of records are read whose bound may reach the last of these rows.
+    """
+    at, q = opened(spark, path), X.fold_text(query.strip()).lower()
+    terms, bounds = q.split(), None
+    names = list(dict.fromkeys(terms))
+    if names and len(names) <= B.TERMS and B.safe(opts):
+        rows = B.blocks(at, names)
+        if rows is not None and by is matched:
+            # As live headings are joined to find their deletions, they are only those of the query.
+            bounds = B.direct_bounds(rows, _heads(at, q), terms, opts, lambda: statistics(spark, at, [q, *terms]))
+        elif rows is not None:
+            bounds = B.weighted_bounds(rows, terms, opts, statistics(spark, at, terms))
+    if bounds is not None:
+        return B.best(bounds, lambda only: by(spark, at, query, opts, only), opts.limit, after)
+    return B.Best(B.first(by(spark, at, query, opts), opts.limit, after), 0, 0)
+
+
+def following(spark: SparkSession, path: str | Snapshot, query: str, cursor: Sequence | None = None, size: int = 20, **knobs) -> tuple[DataFrame, tuple | None]:
+    """A page of direct matches after the last row of the page before, and the cursor of the next one; none at the end.
+
+    A cursor is the place of a row in the ranking, ``(score, stage, word_pos, seq)``, so a page costs the same however deep it is. Pages
+    fit together if they are read from one snapshot.
+    """
+    opts, at = replace(S.Options(), limit=size + 1, **knobs), opened(spark, path)
+    found = best(spark, at, query, opts, matched, cursor).rows
+    top = found[:size]
+    more = tuple(top[-1][c] for c in B.KEY) if len(found) > size else None
+    return _fetched(spark, at, top).orderBy(*S._order()).select("seq", "id", F.round("raw", 6).alias("raw")), more
+
+
 def _plain(opts: S.Options) -> bool:
     return opts.filter is None and not (opts.order or opts.type_weights or opts.diversify or opts.clicks is not None)
 
 
 def _fetched(spark: SparkSession, path: str | Snapshot, top: list) -> DataFrame:
     """The records of a few scored rows: their sequence numbers prune the sorted table."""
-    rows = spark.createDataFrame([tuple(r) for r in top], "seq long, stage int, word_pos int, raw double")
+    rows = spark.createDataFrame([(r.seq, r.stage, r.word_pos, r.raw) for r in top], "seq long, stage int, word_pos int, raw double")
     return I.load(spark, path).where(F.col("seq").isin([r.seq for r in top])).join(F.broadcast(rows), "seq")
 
 
@@ -125,11 +167,10 @@ def search(spark: SparkSession, path: str | Snapshot, query: str, opts: S.Option
     if opts.scoring == "bm25f":
         stages = [weighted, matched] if opts.bm25f_always else [matched, weighted]
     for stage in stages:
-        found = stage(spark, at, query, opts)
         if _plain(opts):
-            if top := found.orderBy(*S._order()).limit(opts.limit).collect():  # at most ``limit`` rows
+            if top := best(spark, at, query, opts, stage).rows:
                 return S.shown(_fetched(spark, at, top).orderBy(*S._order()), opts)
-        elif not found.limit(1).isEmpty():
+        elif not (found := stage(spark, at, query, opts)).limit(1).isEmpty():
             direct = replace(opts, fuzzy=False, extended=False)
             return S.search(I.load(spark, at).join(found.select("seq"), "seq", "left_semi"), query, direct)
     after: list[Callable[[], DataFrame]] = []

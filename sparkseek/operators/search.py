@@ -72,19 +72,20 @@ def staged(exact: Column, prefix: Column, held: Sequence[Column]) -> tuple[Colum
     return stage, F.when(stage == 2, place).otherwise(F.lit(0))
 
 
-def direct_score(heading: Column, body: Column, terms: Sequence[str], opts: Options, stats: Callable[[], Mapping]) -> Column:
-    """Score of a row from its ``stage``, ``word_pos`` and the lengths of its heading and body, before boosts."""
+def direct_score(heading: Column, body: Column, terms: Sequence[str], opts: Options, stats: Callable[[], Mapping], stage: Column | None = None, place: Column | None = None) -> Column:
+    """Score of a row from its ``stage``, ``word_pos`` (or other columns) and the lengths of its heading and body, before boosts."""
     w = WEIGHTS | dict(opts.weights)
-    base = F.when(F.col("stage") == 0, 100.0).when(F.col("stage") == 1, 50.0).otherwise(20.0)
+    stage, place = F.col("stage") if stage is None else stage, F.col("word_pos") if place is None else place
+    base = F.when(stage == 0, 100.0).when(stage == 1, 50.0).otherwise(20.0)
     if opts.scoring == "bm25":
         known = stats()
         df = lambda i: float(known[f"body{i}"] or 0) or 1.0
         score = _bm25(df(0), heading + body, known, opts)
         for i in range(len(terms)):
-            score = F.when((F.col("stage") == 2) & (F.col("word_pos") == i), _bm25(df(i + 1), heading + body, known, opts)).otherwise(score)
+            score = F.when((stage == 2) & (place == i), _bm25(df(i + 1), heading + body, known, opts)).otherwise(score)
         return base * score
     by_heading = base * w["heading"] * (1 + X.length_share(heading))
-    return F.when(F.col("stage") < 2, by_heading).otherwise(base * w["body"] * (1 + X.length_share(body)))
+    return F.when(stage < 2, by_heading).otherwise(base * w["body"] * (1 + X.length_share(body)))
 
 
 def direct(records: DataFrame, query: str, opts: Options) -> DataFrame:

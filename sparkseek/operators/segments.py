@@ -22,14 +22,16 @@ from sparkseek.sources import scratch
 
 #: Columns of the tables by bucket, for versions that have no row of one.
 SCHEMAS = {
-    "terms": "term string, heading long, body long, label long, breadcrumb long, first struct<seq:long,pos:int>",
+    "terms": "term string, heading long, body long, label long, breadcrumb long, first struct<seq:long,pos:int>, dense boolean",
+    "blocks": "term string, block long, heading int, body int, words boolean, whole boolean, hi_heading int, hi_body int, lo_heading int, lo_body int, "
+    + ", ".join(f"least{i} double" for i in range(8)),
     "frequencies": "term string, field string, n long, of string",
     "grams": "term string, gram string",
     "neighbours": "variant string, key string, tier int, seq long, pos int",
     "completions": "prefix string, rank int, heading string, seq long",
     "postings": "term string, seq long, words int, label boolean, in_heading array<int>, in_body array<int>, in_label int, in_breadcrumb int, tf long, heading_length int, body_length int, label_length int, breadcrumb_length int, heading_words int",
 }
-TABLES = ("records", "postings", "terms", "frequencies", "headings", "grams", "neighbours", "completions", "deletions")
+TABLES = ("records", "postings", "blocks", "terms", "frequencies", "headings", "grams", "neighbours", "completions", "deletions")
 
 
 @dataclass(frozen=True)

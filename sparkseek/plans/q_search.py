@@ -59,6 +59,15 @@ def search_multiword_proximity(spark, sf):
     return D.search(spark, indexed(spark, sf), "the and attion", limit=25)
 
 
+@query(f"WITH {DOCS}, {direct('the')}, {boost('the')} SELECT seq, id, round(raw, 6) AS raw FROM b ORDER BY round(raw, 9) DESC, stage, word_pos, seq LIMIT 10 OFFSET 20")
+def search_following(spark, sf):
+    """The third page of ten, each read after the cursor of the one before."""
+    at, cursor = opened(spark, indexed(spark, sf)), None
+    for _ in range(3):
+        page, cursor = D.following(spark, at, "the", cursor, 10)
+    return page
+
+
 @query(classic(DOCS, "the and"))
 def search_unindexed(spark, sf):
     """The same as ``search_classic``, by one pass over the records."""
