@@ -21,6 +21,8 @@ FIT_ROWS, FIT_TOKENS = 2048, 512
 SURE = 0.6
 #: Log potential that linked similar tokens agree on a kind, where the sample has nothing to say.
 AGREE = 4.0
+#: Last digits by which two long numbers are similar.
+TAIL = 8
 
 # A match must start where its first run does: the run is taken whole or not at all, so searching inside it is futile.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -31,6 +33,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"""[^\s,;:()<>\[\]{}"'|#$&*!?=]+""")
 _DIGITS = re.compile(r"[0-9]+")
+_MARKS = re.compile(r"[._%+-]+")
 _SHORT = re.compile(r"(@[^.]*)\..*")
 _UNLIKE = str.maketrans("0123456789abcdefghijklmnopqrstuvwxyz", "3456789012cdefghijklmnopqrstuvwxyzab")
 # Words that announce each kind.
@@ -143,16 +146,26 @@ class Graph:
                 self.chain.append((me - 1, me))
             last = end
             # The same token, the same long number in other dress, the same name before the @.
-            keys = [token.lower()]
+            keys, number = [token.lower()], ""
             if held and inside >= 2:
-                keys.append("#" + "".join(_DIGITS.findall(text, held[0], held[2])))
+                number = "".join(_DIGITS.findall(text, held[0], held[2]))
+                keys.append("#" + number)
             elif len(digits) >= 9:
-                keys.append("#" + digits)
+                number = digits
+                keys.append("#" + number)
             if "@" in token and len(name := token.lower().partition("@")[0]) >= 4:
                 keys.append("@" + name)
+                keys.append("." + _MARKS.sub("", name))
+            # Similar, not equal: a number that ends alike but starts otherwise, as with a country's code or without it, and a
+            # name without its dots. They only tie tokens that nothing closer ties already.
+            if len(number) >= 9:
+                keys.append("~" + number[-TAIL:])
+            tied = set()
             for k in keys:
-                if k in seen and seen[k] != me:
-                    self.skip.append((seen[k], me))  # a chain of repeats, never all pairs
+                other = seen.get(k, me)
+                if other != me and not (k[0] in "~." and other in tied):
+                    self.skip.append((other, me))  # a chain of repeats, never all pairs
+                    tied.add(other)
                 seen[k] = me
 
 
