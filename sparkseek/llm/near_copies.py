@@ -1,8 +1,8 @@
-"""Near copies by the Jaccard likeness of five-word shingles, found by MinHash bands and checked exactly."""
+"""Near copies by the Jaccard likeness of five-word shingles, found by SimHash fingerprints in vantage-point trees and checked exactly."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,21 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, dropped, saved, word_chunks
+from .vptree import Node, balls, plan_tree, route
 
 SHINGLE = 5
 #: Two sets are linked from 4/5 on; kept as whole numbers so that the test is exact.
 LIKE, OF = 4, 5
-#: A pair at 0.8 shares none of 24 bands of 4 with a chance of (1 - 0.8^4)^24 = 3.2e-6.
-BANDS, ROWS = 24, 4
-#: Least number of equal minima for an exact check in the last round; a pair at 0.8 has fewer with a chance under 5e-6.
-AGREE = 58
+#: Bits of a set's SimHash. At 0.8 two sets differ in 15 % of them, and sets of any size but 5 against 4 in at most 16.2 %.
+BITS = 1024
+#: Each table has a fingerprint of 64 of these bits. Its tree is over the first TREE of them and searched to REACH; the others
+#: may differ in REST. A pair at 0.8 is found by none of the tables with a chance of 3e-6, one of other texts by one with 4e-9.
+TREE, REACH, REST, TABLES = 20, 1, 10, 104
+#: Sets of 4 and 5 shingles with 4 in common differ in 18.8 %: up to this size a set is in more tables (chance of a miss 6e-5).
+SMALL, SMALL_TABLES = 5, 208
+#: Tables of the first round, which links each set to one of its fingerprint.
+STARS = 8
+#: Most of the BITS that may differ for an exact check; a pair at 0.8 has more with a chance under 1e-6.
+APART, SMALL_APART = 224, 256
+#: Sets a shard of a table should be home to, the least number of its shards, and the sets that its tree is planned from.
+SHARD_ROWS, MIN_SHARDS, SAMPLE = 1 << 20, 2, 16_384
 #: Shingles that one side of a comparison within a bucket should hold; larger buckets are cut into parts.
 PART = 1 << 17
-_N = BANDS * ROWS
 _RNG = np.random.default_rng(42)
-_MUL = _RNG.integers(0, 1 << 63, (_N, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _RNG.integers(0, 1 << 63, (_N, 1), dtype=np.uint64) * np.uint64(2)
-_SALT = _RNG.integers(0, 1 << 63, (1, BANDS), dtype=np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, (1, BITS // 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 63, (1, BITS // 64), dtype=np.uint64) * np.uint64(2)
+_PLACES = np.array([_RNG.permutation(BITS)[:64] for _ in range(SMALL_TABLES)])
+_KEY = np.uint64((1 << TREE) - 1)
+_BLOCK = 1 << 20
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,12 +68,28 @@ def shingle_set(data: bytes) -> np.ndarray:
     return np.unique(np.concatenate(found).view(np.int64)).view(np.uint64) if found else tail
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least value of a set under each of the hash functions."""
-    out = np.full(_N, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 1 << 14):
-        out = np.minimum(out, ((h[None, i : i + (1 << 14)] ^ _XOR) * _MUL).min(axis=1))
-    return out
+def sketch(h: np.ndarray) -> bytes:
+    """SimHash of a set: the bits that over half of its members' hashes have."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(h), 255):
+        x = _mix((h[i : i + 255, None] ^ _XOR) * _MUL)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def _unpacked(bits: Iterable[bytes]) -> np.ndarray:
+    """The bits of sketches, a row each."""
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+
+
+def _prints(x: np.ndarray, tables: slice) -> np.ndarray:
+    """Fingerprints of unpacked sketches, a column a table."""
+    return np.packbits(np.take(x, _PLACES[tables], axis=1), axis=2, bitorder="little").view(np.uint64)[:, :, 0]
+
+
+def _meets(x: np.ndarray) -> np.ndarray:
+    """Whether fingerprints that differ by ``x`` find each other."""
+    return (np.bitwise_count(x & _KEY) <= REACH) & (np.bitwise_count(x >> np.uint64(TREE)) <= REST)
 
 
 def _class(h: np.ndarray) -> int:
@@ -73,23 +100,131 @@ def _class(h: np.ndarray) -> int:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingle_set(t.as_py() or b"") for t in batch.column(1).cast(pa.binary())]
-        lows = np.array([minima(h) for h in sets], np.uint64).reshape(-1, _N)
-        parts = lows.reshape(-1, BANDS, ROWS)
-        keys = _mix(_joined([parts[:, :, i] for i in range(ROWS)]) ^ _SALT).view(np.int64)
-        bands = [k if len(h) else [] for k, h in zip(keys, sets, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(np.array([_class(h) for h in sets], np.uint64).view(np.int64)),
                 pa.array([len(h) for h in sets], pa.int32()),
-                pa.array(bands, pa.list_(pa.int64())),
-                pa.array([x.tobytes() for x in lows.astype(np.uint16)], pa.binary()),
+                pa.array([sketch(h) for h in sets], pa.binary()),
                 batch.column(2),
             ],
-            ["doc_id", "cls", "size", "bands", "low", "text_hash"],
+            ["doc_id", "cls", "size", "bits", "text_hash"],
         )
 
 
+def _shards(classes: DataFrame, tables: int) -> DataFrame:
+    """``t, leaf, home, prints, names, roots``: the fingerprints of ``classes(cls, size, bits, root)`` in all tables, dealt by the
+    tree of each to the shards that their balls meet. A row holds those of one batch, as arrays in binary; no roots: their own."""
+    spark = classes.sparkSession
+    picked = _unpacked(bytes(r.bits) for r in classes.select("bits", "cls").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect())
+    leaves = max(MIN_SHARDS, -(-classes.count() // SHARD_ROWS))
+    trees = [plan_tree((_prints(picked, slice(t, t + 1))[:, 0] & _KEY).astype(np.uint32), leaves, REACH) for t in range(tables)]
+    sent = spark.sparkContext.broadcast(trees)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Node] = sent.value
+        for batch in batches:
+            cls, size, root = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            x = _unpacked(b.as_py() for b in batch.column(2))
+            for t, tree in enumerate(held):
+                own = np.arange(len(cls)) if t < TABLES else np.flatnonzero(size <= SMALL)
+                fps, rows = _prints(x[own], slice(t, t + 1))[:, 0], []
+                for leaf, at, home in route(tree, (fps & _KEY).astype(np.uint32), REACH):
+                    for mine in (True, False):
+                        for alone in (True, False):
+                            i = at[(home == mine) & ((root == cls)[own[at]] == alone)]
+                            if len(i):
+                                rows.append((t, leaf, mine, fps[i].tobytes(), cls[own[i]].tobytes(), b"" if alone else root[own[i]].tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SHARD.types, strict=True)], schema=_SHARD)
+
+    return classes.select("cls", "size", "bits", "root").mapInArrow(dealt, "t int, leaf int, home boolean, prints binary, names binary, roots binary")
+
+
+_SHARD = pa.schema([("t", pa.int32()), ("leaf", pa.int32()), ("home", pa.bool_()), ("prints", pa.binary()), ("names", pa.binary()), ("roots", pa.binary())])
+
+
+def _opened(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, names, roots and home marks of a shard."""
+    fps, cls = (np.frombuffer(b"".join(frame[c]), k) for c, k in (("prints", np.uint64), ("names", np.int64)))
+    root = np.frombuffer(b"".join(r or n for r, n in zip(frame["roots"], frame["names"], strict=True)), np.int64)
+    return fps, cls, root, np.repeat(frame["home"].to_numpy(bool), [len(n) // 8 for n in frame["names"]])
+
+
+def _near_keys(keys: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of distinct sorted keys, the larger at home, within reach of each other: each pair in one shard only."""
+    found = [(q[q < d], d[q < d]) for q, d in balls(keys, home, REACH, 1 << 16)]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+
+
+def _stars(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links to be checked: each set at home to the first of its key, and the first ones of near keys to each other."""
+    fps, cls, _, home = _opened(frame)
+    keys = (fps & _KEY).astype(np.uint32)
+    order = np.lexsort((_mix(cls.view(np.uint64)), keys))
+    fps, cls, keys, home = fps[order], cls[order], keys[order], home[order]
+    uniq, start, which = np.unique(keys, return_index=True, return_inverse=True)
+    q, d = _near_keys(uniq, home[start])
+    i, j = np.concatenate([np.flatnonzero(home), start[q]]), np.concatenate([start[which[home]], start[d]])
+    hit = (cls[i] != cls[j]) & _meets(fps[i] ^ fps[j])
+    a, b = cls[i[hit]], cls[j[hit]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _products(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places ``x, i, j`` of all pairs of ranges: those of range x are ``a[x] + r, b[x] + s`` for r < na[x], s < nb[x]. In blocks."""
+    n = na * nb
+    for x in np.flatnonzero(n > _BLOCK).tolist():
+        step = max(1, _BLOCK // int(nb[x]))
+        for r in range(0, int(na[x]), step):
+            i = np.arange(r, min(r + step, int(na[x]))) + a[x]
+            yield np.full(len(i) * nb[x], x), np.repeat(i, nb[x]), np.tile(b[x] + np.arange(nb[x]), len(i))
+    small = np.flatnonzero((n > 0) & (n <= _BLOCK))
+    part = np.cumsum(n[small]) // _BLOCK
+    for at in np.split(small, np.flatnonzero(np.diff(part)) + 1) if len(small) else []:
+        x = np.repeat(at, n[at])
+        off = np.arange(len(x)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+        yield x, a[x] + off // nb[x], b[x] + off % nb[x]
+
+
+def _members(frame: pd.DataFrame) -> pd.DataFrame:
+    """The buckets of a shard, one for each key at home: the sets there, and within reach of it below, of which some
+    fingerprints meet and no other way joins the two. The largest component of a key is not compared within itself."""
+    fps, cls, root, home = _opened(frame)
+    keys = (fps & _KEY).astype(np.uint32)
+    order = np.lexsort((root, keys))
+    change = (np.diff(keys[order].astype(np.int64)) != 0) | (np.diff(root[order]) != 0)
+    run = np.concatenate([[0], np.cumsum(change)])
+    length = np.bincount(run)[run]
+    largest_last = np.lexsort((run, length, keys[order]))
+    order, length = order[largest_last], length[largest_last]
+    fps, cls, root, keys, home = fps[order], cls[order], root[order], keys[order], home[order]
+    uniq, start, count = np.unique(keys, return_index=True, return_counts=True)
+    last = start + count - 1
+    top, others = root[last], count - length[last]
+    q, d = _near_keys(uniq, home[start])
+    own = np.flatnonzero(home[start])
+    same = top[q] == top[d]
+    rest = count - others
+    ranges = [
+        (own, start[own], others[own], start[own], count[own]),
+        (d, start[q], np.where(same, others[q], count[q]), start[d], count[d]),
+        (d[same], (start + others)[q[same]], rest[q[same]], start[d[same]], others[d[same]]),
+    ]
+    center, a, na, b, nb = (np.concatenate(c) for c in zip(*ranges, strict=True))
+    held = [np.zeros(0, np.int64)]
+    for x, i, j in _products(a, na, b, nb):
+        hit = (root[i] != root[j]) & ((i < j) | (keys[i] != keys[j]))
+        x, i, j = x[hit], i[hit], j[hit]
+        hit = _meets(fps[i] ^ fps[j])
+        held.append(np.unique(np.concatenate([center[x[hit]] * len(fps) + y[hit] for y in (i, j)])))
+    at = np.unique(np.concatenate(held))
+    c, i = at // len(fps), at % len(fps)
+    t = int(frame["t"].iloc[0])
+    return pd.DataFrame({"band": (t << TREE) + uniq[c].astype(np.int64), "cls": cls[i], "root": root[i]})
+
+
 #: Bits of the filter of texts whose sets are wanted, 8 MB whatever the corpus; a fuller filter lets more texts through.
 FILTER = 1 << 26
 
@@ -135,19 +270,52 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return saved(sets.join(wanted.select("cls").hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set")))
 
 
+def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of parts of buckets, of those asked and the others, that may reach the likeness, that no other way
+    joins, and that no table finds before; the bucket is the one of the larger key."""
+    size, root, cls, top, band = (frame[c].to_numpy(np.int64) for c in ("size", "root", "cls", "top", "band"))
+    part, ask, asked, x = frame["part"].to_numpy(), frame["ask"].to_numpy(), frame["asked"].to_numpy(bool), _unpacked(frame["bits"])
+    words, found = np.packbits(x, axis=1, bitorder="little").view(np.uint64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    order = np.lexsort((asked, ask, part, band))
+    change = (np.diff(band[order]) != 0) | (np.diff(part[order]) != 0) | (np.diff(ask[order]) != 0)
+    for rows in np.split(order, np.flatnonzero(change) + 1) if len(order) else []:
+        t, center = int(band[rows[0]]) >> TREE, np.uint64(band[rows[0]]) & _KEY
+        key, n = _prints(x[rows], slice(t, t + 1))[:, 0] & _KEY, int((~asked[rows]).sum())
+        others = rows[:n]
+        for at, i in enumerate(rows[n:].tolist(), n):
+            near = others[(root[others] != root[i]) & ((root[others] == top[i]) | (cls[i] < cls[others])) & (np.maximum(key[:n], key[at]) == center)]
+            near = near[LIKE * np.maximum(size[near], size[i]) <= OF * np.minimum(size[near], size[i])]
+            apart = np.bitwise_count(words[near] ^ words[i]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= np.where(np.maximum(size[near], size[i]) <= SMALL, SMALL_APART, APART)]
+            for k in range(0, len(near), 1024):
+                some = near[k : k + 1024]
+                met = _meets(_prints(x[some] ^ x[i], slice(0, t + 1)))
+                some = some[met[:, t] & ~met[:, :t].any(axis=1)]
+                found.append((np.full(len(some), i), some))
+    i, j = (np.concatenate(y) for y in zip(*found, strict=True))
+    return i, j
+
+
+def _narrowed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows that are in pairs."""
+    return frame.iloc[np.unique(np.concatenate(_pairs(frame)))].drop(columns="bits")
+
+
+def _bundled(parts: DataFrame) -> DataFrame:
+    """With a column ``bundle``, so that small parts of buckets share a call: about 4,096 rows each, whole parts."""
+    n = 1 + parts.count() // 4096
+    return parts.withColumn("bundle", F.pmod(F.xxhash64("band", "part", "ask"), F.lit(n)))
+
+
 def _rivals(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links between the members asked and the others of a part of a bucket: exact checks of the pairs that no other way
-    joins, may reach the likeness, share no earlier band and were not tested against the bucket's first. Pairs never leave the part."""
-    size, root = frame["size"].to_numpy(np.int64), frame["root"].to_numpy(np.int64, copy=True)
-    cls, first, k = frame["cls"].to_numpy(np.int64), frame["first"].to_numpy(np.int64), int(frame["k"].iloc[0])
-    low = np.frombuffer(b"".join(frame["low"]), np.uint16).reshape(-1, _N)
-    sets, asked = frame["set"].to_numpy(), frame["asked"].to_numpy(bool)
-    links = []
-    for i in np.flatnonzero(asked).tolist():
-        near = np.flatnonzero(~asked & (root != root[i]) & (LIKE * np.maximum(size, size[i]) <= OF * np.minimum(size, size[i])) & (cls != first[i]) & (cls[i] != first))
-        same = low[near] == low[i]
-        before = same[:, : k * ROWS].reshape(len(near), k, ROWS).all(axis=2).any(axis=1)
-        near = near[(same.sum(axis=1) >= AGREE) & ~before]
+    """Spanning links of parts of buckets, by exact checks of their pairs. Pairs never leave the part."""
+    size, root, cls = frame["size"].to_numpy(np.int64), frame["root"].to_numpy(np.int64, copy=True), frame["cls"].to_numpy(np.int64)
+    sets, links = frame["set"].to_numpy(), []
+    first, second = _pairs(frame)
+    for near in np.split(np.arange(len(first)), np.flatnonzero(np.diff(first)) + 1) if len(first) else []:
+        i = int(first[near[0]])
+        near = second[near]
+        near = near[root[near] != root[i]]
         for at in range(0, len(near), 4096):
             some = near[at : at + 4096]
             ends = np.cumsum(size[some])
@@ -161,24 +329,26 @@ def _rivals(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _dealt(named: DataFrame, low: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, in parts of about PART shingles a side.
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets, in parts of about PART shingles a side.
 
     The largest component of a bucket is not compared within itself: members outside it are asked against all. Each
     member is in one part, copied for each part of those asked, and those asked go to each part of the members.
     """
+    named = saved(members.join(classes.select("cls", "size").hint("merge"), "cls"))
     held = named.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    largest = F.max(F.struct("n", "root", "words"))
-    held = held.groupBy("band").agg(largest.alias("top"), F.sum("words").alias("words"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1 AND n > 2")
+    held = held.groupBy("band").agg(F.max(F.struct("n", "root", "words")).alias("top"), F.sum("words").alias("words"))
     parts = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(PART))).cast("int")
     held = held.select("band", F.col("top.root").alias("top"), parts(F.col("words")).alias("parts"), parts(F.col("words") - F.col("top.words")).alias("asks"))
     rows = named.join(held.hint("merge"), "band")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    kept = ["band", "k", "cls", "size", "first", "root"]
+    kept = ["band", "cls", "size", "root", "top"]
     data = rows.select(*kept, F.lit(False).alias("asked"), own(F.col("parts")).alias("part"), every(F.col("asks")).alias("ask"))
     asked = rows.where("root <> top").select(*kept, F.lit(True).alias("asked"), every(F.col("parts")).alias("part"), own(F.col("asks")).alias("ask"))
-    return data.unionByName(asked).join(low.hint("merge"), "cls").join(sets.hint("merge"), "cls")
+    out = saved(data.unionByName(asked))
+    dropped(named)
+    return out
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,32 +367,38 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ``fingerprint`` names it; null and word-less texts share the empty set. ``root`` names the component, which
     ``component_id`` does not where ids repeat, and ``text_hash`` is the XXH64 of the text.
 
-    Classes that share a band of minima are compared, first each with one of its bucket. Only buckets that
-    still hold several components are then compared across them, within a task that returns links and no pairs, so a large group of near copies
-    costs little more than its rows.
+    Every set has SimHash fingerprints in many tables. Vantage-point trees deal each table to shards and find the
+    fingerprints near each other. First each set is compared with one of its fingerprint. Only what still is in several
+    components is then compared across them, within a task that returns links and no pairs, so a large group of near
+    copies costs little more than its rows.
     """
     text = F.col("text").cast("string").alias("text")
-    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(_sketches, "doc_id long, cls long, size int, bands array<long>, low binary, text_hash long"))
-    known = saved(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "bands", "low")]))
+    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(_sketches, "doc_id long, cls long, size int, bits binary, text_hash long"))
+    classes = saved(rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "bits")]))
     light = saved(rows.select("doc_id", "cls", "text_hash"))
     dropped(rows)
-    placed = known.select("cls", "size", F.posexplode("bands").alias("k", "band"))
-    lead = F.min_by(F.struct("cls", "size"), F.xxhash64("cls", "band"))
-    buckets = saved(placed.groupBy("band").agg(F.count("*").alias("n"), lead.alias("lead")).where("n > 1").select("band", F.col("lead.cls").alias("first"), F.col("lead.size").alias("first_size")))
-    members = saved(placed.join(buckets.hint("merge"), "band"))
-    classes = saved(known.drop("bands"))
-    dropped(known, buckets)
-    wanted = saved(classes.join(members.select("cls").distinct().hint("merge"), "cls", "left_semi").select("cls", "text_hash"))
+    bits, hashes = classes.select("cls", "bits").hint("merge"), classes.select("cls", "text_hash")
+    sized = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size")).hint("merge")
+    alone = classes.where("size > 0").withColumn("root", F.col("cls"))
+    stars = _shards(alone, STARS).groupBy("t", "leaf").applyInPandas(_stars, "a long, b long").distinct()
+    stars = stars.join(sized("a"), "a").join(sized("b"), "b").where(F.greatest("a_size", "b_size") * LIKE <= F.least("a_size", "b_size") * OF)
+    stars = saved(stars.select("a", "b"))
+    wanted = saved(stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct().join(hashes.hint("merge"), "cls"))
     sets = _sets(docs, wanted)
-    fits = F.greatest("size", "first_size") * LIKE <= F.least("size", "first_size") * OF
-    stars = members.where(F.col("cls") != F.col("first")).where(fits).select(F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b"))
-    linked = _checked(stars.distinct(), sets)
+    linked = _checked(stars, sets)
+    dropped(stars, sets, wanted)
     roots = saved(components(linked).withColumnRenamed("node", "cls"))
-    named = saved(members.select("band", "k", "cls", "size", "first").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    dropped(members)
-    open_ = _dealt(named, classes.select("cls", "low"), sets)
-    more = saved(open_.groupBy("band", "part", "ask").applyInPandas(_rivals, "a long, b long").distinct())
-    dropped(named, sets, wanted)
+    placed = saved(classes.where("size > 0").join(roots, "cls", "left").select("cls", "size", "bits", F.coalesce("root", "cls").alias("root")))
+    members = saved(_shards(placed, SMALL_TABLES).groupBy("t", "leaf").applyInPandas(_members, "band long, cls long, root long"))
+    parts = _dealt(members, classes)
+    rows = _bundled(parts).join(bits, "cls")
+    near = saved(rows.groupBy("bundle").applyInPandas(_narrowed, rows.drop("bits").schema).drop("bundle"))
+    dropped(roots, placed, members, parts)
+    wanted = saved(near.select("cls").distinct().join(hashes.hint("merge"), "cls"))
+    sets = _sets(docs, wanted)
+    more = _bundled(near).join(bits, "cls").join(sets.hint("merge"), "cls").groupBy("bundle").applyInPandas(_rivals, "a long, b long")
+    more = saved(more.distinct())
+    dropped(near, sets, wanted)
     roots = saved(components(linked.union(more)).withColumnRenamed("node", "cls"))
     whole = saved(classes.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
     least = saved(whole.groupBy("root").agg(F.min("least").alias("component_id")))

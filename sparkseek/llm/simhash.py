@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,12 +13,12 @@ from pyspark.sql import functions as F
 
 from ._common import components, dropped, saved, word_chunks
 from .near_copies import near_copies
+from .vptree import balls, plan_tree, route
 
 #: Fingerprints that the top tree is planned from; it only shapes the shards, never the links.
 SAMPLE = 16_384
 #: Distinct fingerprints a shard should be home to, and the least number of shards.
 SHARD_ROWS, MIN_SHARDS = 1 << 20, 16
-_BLOCK = 1 << 21
 
 
 def simhash64(data: bytes, shingle: int = 3) -> int:
@@ -47,62 +46,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
 
-@dataclass
-class Node:
-    """Inside (distance to ``point`` at most ``radius``) and outside, or a leaf."""
-
-    leaf: int = -1
-    point: np.uint64 = np.uint64(0)
-    radius: int = 0
-    inside: Node | None = None
-    outside: Node | None = None
-
-
-def _split(fps: np.ndarray, reach: int, tries: int = 12) -> tuple[np.uint64, int] | None:
-    """Vantage point and radius that put the fewest fingerprints near the boundary of a fair split."""
-    best = None
-    for v in fps[:: max(1, len(fps) // tries)][:tries]:
-        count = np.bincount(np.bitwise_count(fps ^ v), minlength=65)
-        below = np.cumsum(count)
-        for r in range(64):
-            if 0.2 * len(fps) <= below[r] <= 0.8 * len(fps):
-                both = below[min(64, r + reach)] - (below[r - reach] if r >= reach else 0)
-                cost = both + abs(2 * below[r] - len(fps)) / 2
-                if best is None or cost < best[0]:
-                    best = (cost, v, r)
-    return best and best[1:]
-
-
-def plan_tree(sample: np.ndarray, leaves: int, reach: int) -> Node:
-    """Vantage-point tree with about ``leaves`` leaves, split where most of the sample is."""
-    made = 0
-
-    def grow(fps: np.ndarray, most: float) -> Node:
-        nonlocal made
-        if len(fps) > most and len(fps) >= 8 and (cut := _split(fps, reach)):
-            near = np.bitwise_count(fps ^ cut[0]) <= cut[1]
-            return Node(-1, cut[0], cut[1], grow(fps[near], most), grow(fps[~near], most))
-        made += 1
-        return Node(made - 1)
-
-    return grow(sample, len(sample) / leaves)
-
-
-def route(tree: Node, fps: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per leaf: the fingerprints whose ball of radius ``reach`` meets it, and which of them live there."""
-    todo = [(tree, np.arange(len(fps)), np.ones(len(fps), bool))]
-    while todo:
-        node, at, home = todo.pop()
-        if not len(at):
-            continue
-        if node.leaf >= 0:
-            yield node.leaf, at, home
-            continue
-        d = np.bitwise_count(fps[at] ^ node.point).astype(np.int16)
-        near, i, o = d <= node.radius, d - reach <= node.radius, d + reach > node.radius
-        todo += [(node.inside, at[i], (home & near)[i]), (node.outside, at[o], (home & ~near)[o])]
-
-
 class Forest:
     """Labels of ``n`` nodes under links that come in arrays."""
 
@@ -145,28 +88,10 @@ class Forest:
 
 
 def link_shard(fps: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
-    """Labels of a shard's fingerprints after linking each to all at home within ``reach`` bits.
-
-    A local vantage-point tree is walked with whole arrays: data fall on one side of each boundary,
-    queries on every side that their ball meets.
-    """
+    """Labels of a shard's fingerprints after linking each to all at home within ``reach`` bits."""
     forest = Forest(len(fps))
-    todo = [(np.flatnonzero(home), np.arange(len(fps)))]
-    while todo:
-        data, asked = todo.pop()
-        if not len(data) or not len(asked):
-            continue
-        cut = _split(fps[data][: 1 << 14], reach, 6) if len(data) > 128 and len(data) * len(asked) > _BLOCK else None
-        if cut:
-            d, q = (np.bitwise_count(fps[x] ^ cut[0]).astype(np.int16) for x in (data, asked))
-            todo += [(data[d <= cut[1]], asked[q - reach <= cut[1]]), (data[d > cut[1]], asked[q + reach > cut[1]])]
-            continue
-        step = max(1, _BLOCK // len(data))
-        for i in range(0, len(asked), step):
-            some = asked[i : i + step]
-            q, d = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[data][None, :]) <= reach)
-            if len(q) > len(some) or (some[q] != data[d]).any():
-                forest.link(some[q], data[d])
+    for asked, data in balls(fps, home, reach):
+        forest.link(asked, data)
     return forest.settle()
 
 
