@@ -28,8 +28,10 @@ SMALL, SMALL_TABLES = 5, 208
 STARS = 8
 #: Most of the BITS that may differ for an exact check; a pair at 0.8 has more with a chance under 1e-6.
 APART, SMALL_APART = 224, 256
-#: Sets a shard of a table should be home to, the least number of its shards, and the sets that its tree is planned from.
-SHARD_ROWS, MIN_SHARDS, SAMPLE = 1 << 20, 2, 16_384
+#: Tables that are asked first for sets that meet others; the rest is asked for further sets only.
+EARLY = 16
+#: Sets a shard of a table should be home to, fewer where whole sketches travel, the least number of shards, and the sets that a tree is planned from.
+SHARD_ROWS, WHOLE_ROWS, MIN_SHARDS, SAMPLE = 1 << 20, 1 << 17, 2, 16_384
 #: Shingles that one side of a comparison within a bucket should hold; larger buckets are cut into parts.
 PART = 1 << 17
 _RNG = np.random.default_rng(42)
@@ -112,43 +114,47 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shards(classes: DataFrame, tables: int) -> DataFrame:
-    """``t, leaf, home, prints, names, roots``: the fingerprints of ``classes(cls, size, bits, root)`` in all tables, dealt by the
-    tree of each to the shards that their balls meet. A row holds those of one batch, as arrays in binary; no roots: their own."""
+def _shards(classes: DataFrame, tables: range, whole: bool = False) -> DataFrame:
+    """``t, leaf, home, fresh, prints, names, roots, more``: the fingerprints of ``classes(cls, size, bits, root, fresh)`` in the
+    tables, dealt by the tree of each to the shards that their balls meet. A row holds those of one batch, as arrays in binary; no
+    roots: their own. ``more`` has sketch, size and ``classes.shared`` of each, if ``whole``."""
     spark = classes.sparkSession
     picked = _unpacked(bytes(r.bits) for r in classes.select("bits", "cls").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).collect())
-    leaves = max(MIN_SHARDS, -(-classes.count() // SHARD_ROWS))
-    trees = [plan_tree((_prints(picked, slice(t, t + 1))[:, 0] & _KEY).astype(np.uint32), leaves, REACH) for t in range(tables)]
+    leaves = max(MIN_SHARDS, -(-classes.count() // (WHOLE_ROWS if whole else SHARD_ROWS)))
+    trees = [plan_tree((_prints(picked, slice(t, t + 1))[:, 0] & _KEY).astype(np.uint32), leaves, REACH) for t in tables]
     sent = spark.sparkContext.broadcast(trees)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Node] = sent.value
         for batch in batches:
-            cls, size, root = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            cls, size, root, fresh, shared = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5))
             x = _unpacked(b.as_py() for b in batch.column(2))
-            for t, tree in enumerate(held):
+            more = np.zeros(len(cls), _MORE)
+            more["words"], more["size"], more["shared"] = np.packbits(x, axis=1, bitorder="little").view(np.uint64), size, shared
+            for t, tree in zip(tables, held, strict=True):
                 own = np.arange(len(cls)) if t < TABLES else np.flatnonzero(size <= SMALL)
                 fps, rows = _prints(x[own], slice(t, t + 1))[:, 0], []
                 for leaf, at, home in route(tree, (fps & _KEY).astype(np.uint32), REACH):
-                    for mine in (True, False):
-                        for alone in (True, False):
-                            i = at[(home == mine) & ((root == cls)[own[at]] == alone)]
-                            if len(i):
-                                rows.append((t, leaf, mine, fps[i].tobytes(), cls[own[i]].tobytes(), b"" if alone else root[own[i]].tobytes()))
+                    kind = home * 4 + (root == cls)[own[at]] * 2 + fresh[own[at]]
+                    for k in np.unique(kind).tolist():
+                        i = at[kind == k]
+                        rows.append((t, leaf, k >= 4, k % 2 == 1, fps[i].tobytes(), cls[own[i]].tobytes(), b"" if k & 2 else root[own[i]].tobytes(), more[own[i]].tobytes() if whole else b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _SHARD.types, strict=True)], schema=_SHARD)
 
-    return classes.select("cls", "size", "bits", "root").mapInArrow(dealt, "t int, leaf int, home boolean, prints binary, names binary, roots binary")
+    columns = [F.lit(0).alias("shared") if c == "shared" and not whole else F.col(c) for c in ("cls", "size", "bits", "root", "fresh", "shared")]
+    return classes.select(*columns).mapInArrow(dealt, "t int, leaf int, home boolean, fresh boolean, prints binary, names binary, roots binary, more binary")
 
 
-_SHARD = pa.schema([("t", pa.int32()), ("leaf", pa.int32()), ("home", pa.bool_()), ("prints", pa.binary()), ("names", pa.binary()), ("roots", pa.binary())])
+_SHARD = pa.schema([("t", pa.int32()), ("leaf", pa.int32()), ("home", pa.bool_()), ("fresh", pa.bool_()), *[(c, pa.binary()) for c in ("prints", "names", "roots", "more")]])
+_MORE = np.dtype([("words", np.uint64, BITS // 64), ("size", np.int32), ("shared", np.int32)])
 
 
-def _opened(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, names, roots and home marks of a shard."""
+def _opened(frame: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Fingerprints, names, roots, home and fresh marks of a shard."""
     fps, cls = (np.frombuffer(b"".join(frame[c]), k) for c, k in (("prints", np.uint64), ("names", np.int64)))
     root = np.frombuffer(b"".join(r or n for r, n in zip(frame["roots"], frame["names"], strict=True)), np.int64)
-    return fps, cls, root, np.repeat(frame["home"].to_numpy(bool), [len(n) // 8 for n in frame["names"]])
+    return fps, cls, root, *(np.repeat(frame[c].to_numpy(bool), [len(n) // 8 for n in frame["names"]]) for c in ("home", "fresh"))
 
 
 def _near_keys(keys: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +166,7 @@ def _near_keys(keys: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _stars(frame: pd.DataFrame) -> pd.DataFrame:
     """Links to be checked: each set at home to the first of its key, and the first ones of near keys to each other."""
-    fps, cls, _, home = _opened(frame)
+    fps, cls, _, home, _ = _opened(frame)
     keys = (fps & _KEY).astype(np.uint32)
     order = np.lexsort((_mix(cls.view(np.uint64)), keys))
     fps, cls, keys, home = fps[order], cls[order], keys[order], home[order]
@@ -188,10 +194,9 @@ def _products(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> I
         yield x, a[x] + off // nb[x], b[x] + off % nb[x]
 
 
-def _members(frame: pd.DataFrame) -> pd.DataFrame:
-    """The buckets of a shard, one for each key at home: the sets there, and within reach of it below, of which some
-    fingerprints meet and no other way joins the two. The largest component of a key is not compared within itself."""
-    fps, cls, root, home = _opened(frame)
+def _meetings(fps: np.ndarray, root: np.ndarray, home: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Key and places of the pairs of a shard whose fingerprints meet and which no other way joins, at least one of them fresh: those
+    of a key at home, and those with a key below within reach of it. The largest component of a key is not compared within itself."""
     keys = (fps & _KEY).astype(np.uint32)
     order = np.lexsort((root, keys))
     change = (np.diff(keys[order].astype(np.int64)) != 0) | (np.diff(root[order]) != 0)
@@ -199,7 +204,7 @@ def _members(frame: pd.DataFrame) -> pd.DataFrame:
     length = np.bincount(run)[run]
     largest_last = np.lexsort((run, length, keys[order]))
     order, length = order[largest_last], length[largest_last]
-    fps, cls, root, keys, home = fps[order], cls[order], root[order], keys[order], home[order]
+    fps, root, keys, home, fresh = fps[order], root[order], keys[order], home[order], fresh[order]
     uniq, start, count = np.unique(keys, return_index=True, return_counts=True)
     last = start + count - 1
     top, others = root[last], count - length[last]
@@ -213,16 +218,58 @@ def _members(frame: pd.DataFrame) -> pd.DataFrame:
         (d[same], (start + others)[q[same]], rest[q[same]], start[d[same]], others[d[same]]),
     ]
     center, a, na, b, nb = (np.concatenate(c) for c in zip(*ranges, strict=True))
-    held = [np.zeros(0, np.int64)]
     for x, i, j in _products(a, na, b, nb):
-        hit = (root[i] != root[j]) & ((i < j) | (keys[i] != keys[j]))
+        hit = (root[i] != root[j]) & (fresh[i] | fresh[j]) & ((i < j) | (keys[i] != keys[j]))
         x, i, j = x[hit], i[hit], j[hit]
         hit = _meets(fps[i] ^ fps[j])
-        held.append(np.unique(np.concatenate([center[x[hit]] * len(fps) + y[hit] for y in (i, j)])))
+        yield uniq[center[x[hit]]].astype(np.int64), order[i[hit]], order[j[hit]]
+
+
+def _met(frame: pd.DataFrame) -> pd.DataFrame:
+    """The fresh sets of a shard that meet one of another component."""
+    fps, cls, root, home, fresh = _opened(frame)
+    seen = np.zeros(len(fps), bool)
+    for _, i, j in _meetings(fps, root, home, fresh):
+        seen[i] = seen[j] = True
+    return pd.DataFrame({"cls": np.unique(cls[seen & fresh])})
+
+
+def _may_reach(a_shared: np.ndarray, a_size: np.ndarray, b_shared: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether sets can have as many common shingles as the likeness takes, of those that are in other sets at all."""
+    return np.minimum(a_shared, b_shared) * (LIKE + OF) >= (a_size + b_size) * LIKE
+
+
+def _apart(words: np.ndarray, others: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether few enough bits of sketches differ; ``size`` is that of the larger set."""
+    return np.bitwise_count(words ^ others).sum(axis=1, dtype=np.int64) <= np.where(size <= SMALL, SMALL_APART, APART)
+
+
+def _first_in(x: np.ndarray, t: int) -> np.ndarray:
+    """Places of the pairs that no table before ``t`` finds, by the bits in which they differ."""
+    left = np.arange(len(x))
+    for before in range(0, t, 8):
+        left = left[~_meets(_prints(x[left], slice(before, min(before + 8, t)))).any(axis=1)]
+    return left
+
+
+def _members(frame: pd.DataFrame) -> pd.DataFrame:
+    """The buckets of a shard, one for each key at home: the sets there, and within reach of it below, that are in pairs which
+    may reach the likeness, that no other way joins, and that no table finds before."""
+    fps, cls, root, home, fresh = _opened(frame)
+    more, t = np.frombuffer(b"".join(frame["more"]), _MORE), int(frame["t"].iloc[0])
+    words, size, shared = more["words"], more["size"].astype(np.int64), more["shared"].astype(np.int64)
+    held = [np.zeros(0, np.int64)]
+    for center, i, j in _meetings(fps, root, home, fresh):
+        hit = _may_reach(shared[i], size[i], shared[j], size[j])
+        center, i, j = center[hit], i[hit], j[hit]
+        for at in range(0, len(i), 4096):
+            c, a, b = (y[at : at + 4096] for y in (center, i, j))
+            hit = np.flatnonzero(_apart(words[a], words[b], np.maximum(size[a], size[b])))
+            hit = hit[_first_in(_unpacked([(words[a[hit]] ^ words[b[hit]]).tobytes()]), t)]
+            held.append(np.unique(np.concatenate([c[hit] * len(fps) + y[hit] for y in (a, b)])))
     at = np.unique(np.concatenate(held))
     c, i = at // len(fps), at % len(fps)
-    t = int(frame["t"].iloc[0])
-    return pd.DataFrame({"band": (t << TREE) + uniq[c].astype(np.int64), "cls": cls[i], "root": root[i]})
+    return pd.DataFrame({"band": (t << TREE) + c, "cls": cls[i], "size": size[i], "shared": shared[i], "root": root[i]})
 
 
 #: Bits of the filter of texts whose sets are wanted, 8 MB whatever the corpus; a fuller filter lets more texts through.
@@ -270,37 +317,39 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return saved(sets.join(wanted.select("cls").hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("set").alias("set")))
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """``cls, shared``: how many shingles of each set at least one other of ``sets(cls, set)`` has."""
+    once = sets.select("cls", F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.first("cls").alias("cls")).where("n = 1")
+    lone = once.groupBy("cls").agg(F.count("*").alias("lone"))
+    return sets.select("cls", F.size("set").alias("size")).join(lone.hint("merge"), "cls", "left").select("cls", (F.col("size") - F.coalesce("lone", F.lit(0))).cast("int").alias("shared"))
+
+
 def _pairs(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Places of the pairs of parts of buckets, of those asked and the others, that may reach the likeness, that no other way
     joins, and that no table finds before; the bucket is the one of the larger key."""
-    size, root, cls, top, band = (frame[c].to_numpy(np.int64) for c in ("size", "root", "cls", "top", "band"))
-    part, ask, asked, x = frame["part"].to_numpy(), frame["ask"].to_numpy(), frame["asked"].to_numpy(bool), _unpacked(frame["bits"])
+    size, shared, root, cls, top, band = (frame[c].to_numpy(np.int64) for c in ("size", "shared", "root", "cls", "top", "band"))
+    part, ask, asked, data, x = frame["part"].to_numpy(), frame["ask"].to_numpy(), frame["asked"].to_numpy(bool), frame["data"].to_numpy(bool), _unpacked(frame["bits"])
     words, found = np.packbits(x, axis=1, bitorder="little").view(np.uint64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    order = np.lexsort((asked, ask, part, band))
+    order = np.lexsort((ask, part, band))
     change = (np.diff(band[order]) != 0) | (np.diff(part[order]) != 0) | (np.diff(ask[order]) != 0)
     for rows in np.split(order, np.flatnonzero(change) + 1) if len(order) else []:
         t, center = int(band[rows[0]]) >> TREE, np.uint64(band[rows[0]]) & _KEY
-        key, n = _prints(x[rows], slice(t, t + 1))[:, 0] & _KEY, int((~asked[rows]).sum())
-        others = rows[:n]
-        for at, i in enumerate(rows[n:].tolist(), n):
-            near = others[(root[others] != root[i]) & ((root[others] == top[i]) | (cls[i] < cls[others])) & (np.maximum(key[:n], key[at]) == center)]
-            near = near[LIKE * np.maximum(size[near], size[i]) <= OF * np.minimum(size[near], size[i])]
-            apart = np.bitwise_count(words[near] ^ words[i]).sum(axis=1, dtype=np.int64)
-            near = near[apart <= np.where(np.maximum(size[near], size[i]) <= SMALL, SMALL_APART, APART)]
+        key = _prints(x[rows], slice(t, t + 1))[:, 0] & _KEY
+        others, other_key = rows[data[rows]], key[data[rows]]
+        for at in np.flatnonzero(asked[rows]).tolist():
+            i = int(rows[at])
+            near = others[(root[others] != root[i]) & ((root[others] == top[i]) | (cls[i] < cls[others])) & (np.maximum(other_key, key[at]) == center)]
+            near = near[_may_reach(shared[near], size[near], shared[i], size[i])]
+            near = near[_apart(words[near], words[i], np.maximum(size[near], size[i]))]
             for k in range(0, len(near), 1024):
                 some = near[k : k + 1024]
-                met = _meets(_prints(x[some] ^ x[i], slice(0, t + 1)))
-                some = some[met[:, t] & ~met[:, :t].any(axis=1)]
+                some = some[_meets(_prints(x[some] ^ x[i], slice(t, t + 1)))[:, 0]]
+                some = some[_first_in(x[some] ^ x[i], t)]
                 found.append((np.full(len(some), i), some))
     i, j = (np.concatenate(y) for y in zip(*found, strict=True))
     return i, j
 
 
-def _narrowed(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows that are in pairs."""
-    return frame.iloc[np.unique(np.concatenate(_pairs(frame)))].drop(columns="bits")
-
-
 def _bundled(parts: DataFrame) -> DataFrame:
     """With a column ``bundle``, so that small parts of buckets share a call: about 4,096 rows each, whole parts."""
     n = 1 + parts.count() // 4096
@@ -329,26 +378,24 @@ def _rivals(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
-def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame) -> DataFrame:
     """The members of buckets, in parts of about PART shingles a side.
 
     The largest component of a bucket is not compared within itself: members outside it are asked against all. Each
-    member is in one part, copied for each part of those asked, and those asked go to each part of the members.
+    member is in one part, copied for each part of those asked, and those asked go to each part of the members; where
+    a member is both, one row says so.
     """
-    named = saved(members.join(classes.select("cls", "size").hint("merge"), "cls"))
-    held = named.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    held = members.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     held = held.groupBy("band").agg(F.max(F.struct("n", "root", "words")).alias("top"), F.sum("words").alias("words"))
     parts = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(PART))).cast("int")
     held = held.select("band", F.col("top.root").alias("top"), parts(F.col("words")).alias("parts"), parts(F.col("words") - F.col("top.words")).alias("asks"))
-    rows = named.join(held.hint("merge"), "band")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
     own = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
-    kept = ["band", "cls", "size", "root", "top"]
-    data = rows.select(*kept, F.lit(False).alias("asked"), own(F.col("parts")).alias("part"), every(F.col("asks")).alias("ask"))
-    asked = rows.where("root <> top").select(*kept, F.lit(True).alias("asked"), every(F.col("parts")).alias("part"), own(F.col("asks")).alias("ask"))
-    out = saved(data.unionByName(asked))
-    dropped(named)
-    return out
+    rows = members.join(held.hint("merge"), "band").withColumn("mine", own(F.col("parts"))).withColumn("my_ask", own(F.col("asks")))
+    outside = F.col("root") != F.col("top")
+    cells = F.transform(every(F.col("asks")), lambda k: F.struct(F.col("mine").alias("part"), k.alias("ask"), F.lit(True).alias("data"), (outside & (k == F.col("my_ask"))).alias("asked")))
+    more = F.transform(F.filter(every(F.col("parts")), lambda k: outside & (k != F.col("mine"))), lambda k: F.struct(k.alias("part"), F.col("my_ask").alias("ask"), F.lit(False).alias("data"), F.lit(True).alias("asked")))
+    return saved(rows.select("band", "cls", "size", "shared", "root", "top", F.inline(F.concat(cells, more))))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -368,9 +415,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ``component_id`` does not where ids repeat, and ``text_hash`` is the XXH64 of the text.
 
     Every set has SimHash fingerprints in many tables. Vantage-point trees deal each table to shards and find the
-    fingerprints near each other. First each set is compared with one of its fingerprint. Only what still is in several
-    components is then compared across them, within a task that returns links and no pairs, so a large group of near
-    copies costs little more than its rows.
+    fingerprints near each other. First each set is compared with one of its fingerprint. Of what still meets other
+    components, sets stay that have enough shingles in common with any others. These alone are dealt again with whole
+    sketches, and compared across components within a task that returns links and no pairs.
     """
     text = F.col("text").cast("string").alias("text")
     rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_hash")).mapInArrow(_sketches, "doc_id long, cls long, size int, bits binary, text_hash long"))
@@ -379,8 +426,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     dropped(rows)
     bits, hashes = classes.select("cls", "bits").hint("merge"), classes.select("cls", "text_hash")
     sized = lambda c: classes.select(F.col("cls").alias(c), F.col("size").alias(f"{c}_size")).hint("merge")
-    alone = classes.where("size > 0").withColumn("root", F.col("cls"))
-    stars = _shards(alone, STARS).groupBy("t", "leaf").applyInPandas(_stars, "a long, b long").distinct()
+    alone = classes.where("size > 0").withColumn("root", F.col("cls")).withColumn("fresh", F.lit(True))
+    stars = _shards(alone, range(STARS)).groupBy("t", "leaf").applyInPandas(_stars, "a long, b long").distinct()
     stars = stars.join(sized("a"), "a").join(sized("b"), "b").where(F.greatest("a_size", "b_size") * LIKE <= F.least("a_size", "b_size") * OF)
     stars = saved(stars.select("a", "b"))
     wanted = saved(stars.select(F.col("a").alias("cls")).union(stars.select("b")).distinct().join(hashes.hint("merge"), "cls"))
@@ -388,17 +435,22 @@ def near_copies(docs: DataFrame) -> DataFrame:
     linked = _checked(stars, sets)
     dropped(stars, sets, wanted)
     roots = saved(components(linked).withColumnRenamed("node", "cls"))
-    placed = saved(classes.where("size > 0").join(roots, "cls", "left").select("cls", "size", "bits", F.coalesce("root", "cls").alias("root")))
-    members = saved(_shards(placed, SMALL_TABLES).groupBy("t", "leaf").applyInPandas(_members, "band long, cls long, root long"))
-    parts = _dealt(members, classes)
-    rows = _bundled(parts).join(bits, "cls")
-    near = saved(rows.groupBy("bundle").applyInPandas(_narrowed, rows.drop("bits").schema).drop("bundle"))
-    dropped(roots, placed, members, parts)
-    wanted = saved(near.select("cls").distinct().join(hashes.hint("merge"), "cls"))
+    placed = saved(classes.where("size > 0").join(roots, "cls", "left").select("cls", "size", "bits", F.coalesce("root", "cls").alias("root"), F.lit(True).alias("fresh")))
+    first = saved(_shards(placed, range(EARLY)).groupBy("t", "leaf").applyInPandas(_met, "cls long").distinct())
+    rest = placed.drop("fresh").join(first.select("cls", F.lit(False).alias("known")).hint("merge"), "cls", "left").withColumn("fresh", F.col("known").isNull())
+    rest = saved(rest.drop("known"))
+    late = saved(_shards(rest, range(EARLY, SMALL_TABLES)).groupBy("t", "leaf").applyInPandas(_met, "cls long").distinct())
+    wanted = saved(first.union(late).join(hashes.hint("merge"), "cls"))
     sets = _sets(docs, wanted)
-    more = _bundled(near).join(bits, "cls").join(sets.hint("merge"), "cls").groupBy("bundle").applyInPandas(_rivals, "a long, b long")
+    # A link takes four fifths of a set's shingles from another set, so sets that have too many of their own are done.
+    able = saved(placed.join(_shared(sets).hint("merge"), "cls").where(F.col("shared") * OF >= F.col("size") * LIKE))
+    dropped(roots, placed, first, rest, late, wanted)
+    members = saved(_shards(able, range(SMALL_TABLES), whole=True).groupBy("t", "leaf").applyInPandas(_members, "band long, cls long, size int, shared int, root long"))
+    parts = _dealt(members)
+    rows = _bundled(parts).join(bits, "cls").join(sets.hint("merge"), "cls")
+    more = rows.groupBy("bundle").applyInPandas(_rivals, "a long, b long")
     more = saved(more.distinct())
-    dropped(near, sets, wanted)
+    dropped(able, members, parts, sets)
     roots = saved(components(linked.union(more)).withColumnRenamed("node", "cls"))
     whole = saved(classes.join(roots, "cls", "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
     least = saved(whole.groupBy("root").agg(F.min("least").alias("component_id")))

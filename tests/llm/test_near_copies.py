@@ -98,3 +98,22 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     want = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
     monkeypatch.setattr(module, "_filter", lambda hashes: np.full(module.FILTER // 8, 255, np.uint8))
     assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == want
+
+
+def test_sets_beside_a_family_cost_few_rows(spark, monkeypatch):
+    # 300 close copies of a text, and 300 texts that share most of it but are too far from all: every fingerprint of these
+    # meets some of the family. The rows dealt out for exact checks must not grow with all the tables in which they do.
+    rng, rows, dealt = random.Random(11), [], []
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    for k in range(600):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), 2 if k < 300 else 8):
+            words[at] = f"c{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    want = plain_components(rows)
+    assert len(set(want.values())) == 301
+    was = module._dealt
+    monkeypatch.setattr(module, "_dealt", lambda members, *more: dealt.append(members.count()) or was(members, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies(docs).collect()} == want
+    assert dealt[0] <= 4 * 600
